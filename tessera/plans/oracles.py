@@ -184,3 +184,110 @@ ORACLES: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+# ---------------------------------------------------------------- E: space
+PROBS = """probs AS (
+  SELECT p.subject, p.predicate, p.object, p.frequency, p.pair, p.src, CAST(t.tot AS BIGINT) AS tot,
+         (CAST(p.frequency * 100 AS DOUBLE) / CAST(t.tot AS DOUBLE)) * 0.01 AS prob
+  FROM pat p JOIN (SELECT predicate, sum(frequency) AS tot FROM pat GROUP BY predicate) t
+    ON p.predicate = t.predicate)"""
+DIMS = """dims AS (SELECT CAST(row_number() OVER (ORDER BY pair) - 1 AS BIGINT) AS component, pair AS label
+  FROM (SELECT DISTINCT pair FROM pat) d)"""
+ENT = """fp AS (SELECT predicate, pair, prob AS value FROM (
+    SELECT predicate, pair, prob, row_number() OVER (PARTITION BY predicate, pair
+      ORDER BY src, frequency DESC) AS rn FROM probs) x WHERE rn = 1),
+  ent AS (SELECT fp.predicate, dims.component, fp.value FROM fp JOIN dims ON fp.pair = dims.label)"""
+ROWS_ALL = """allrows AS (SELECT predicate, CAST(row_number() OVER (ORDER BY predicate) - 1 AS BIGINT) AS row_order
+  FROM (SELECT DISTINCT predicate FROM pat) d)"""
+PLIST = """plist AS (SELECT predicate, CAST(row_order AS BIGINT) AS row_order FROM (VALUES
+  ('red bolt', 0), ('hot ring', 1), ('cold gear', 2), ('old rod', 3), ('no such name', 4)) v(predicate, row_order))"""
+E5 = """e5 AS (SELECT predicate, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS component, value
+  FROM ent WHERE predicate IN (SELECT predicate FROM plist) AND value <> 0)"""
+E6 = """clones AS (SELECT predicate, base, CAST(k AS BIGINT) AS k FROM (VALUES
+    ('red bolt_@1', 'red bolt', 0), ('red bolt_@2', 'red bolt', 1)) v(predicate, base, k)),
+  d5 AS (SELECT count(DISTINCT component) AS d FROM e5),
+  surv AS (SELECT predicate, CAST(row_number() OVER (ORDER BY row_order) - 1 AS BIGINT) AS row_order
+    FROM plist WHERE predicate NOT IN (SELECT base FROM clones)),
+  rows6 AS (SELECT * FROM surv
+    UNION ALL SELECT predicate, (SELECT count(*) FROM surv) + k FROM clones),
+  ent6 AS (SELECT * FROM e5 WHERE predicate NOT IN (SELECT base FROM clones)
+    UNION ALL SELECT c.predicate, e.component, e.value FROM clones c JOIN e5 e ON e.predicate = c.base
+    UNION ALL SELECT predicate, (SELECT d FROM d5) + k, 1.0 FROM clones)"""
+E7 = """rows7 AS (SELECT * FROM rows6 UNION ALL SELECT 'no_relation', (SELECT max(row_order) + 1 FROM rows6)),
+  ent7 AS (SELECT * FROM ent6 UNION ALL
+    SELECT 'no_relation', CAST(i AS BIGINT), -1.0 FROM range((SELECT d + 2 FROM d5)) r(i))"""
+SPACE_CTES = (PAT, PROBS, DIMS, ENT, PLIST, E5, E6, E7)
+
+
+def _long(rows: str, ent: str) -> str:
+    return f"""SELECT r.predicate, r.row_order, e.component, round(e.value, 6) AS value
+  FROM {rows} r LEFT JOIN {ent} e ON e.predicate = r.predicate"""
+
+
+TARGET = """t AS (SELECT component, value AS tv FROM ent WHERE predicate = 'red bolt'),
+  sims AS (
+    SELECT r.predicate, r.row_order,
+      round(sqrt(greatest(na + coalesce(s.nb, 0) - 2 * coalesce(s.ab, 0), 0)), 6) AS euclidean,
+      round(CASE WHEN na > 0 AND coalesce(s.nb, 0) > 0
+                 THEN 1 - coalesce(s.ab, 0) / (sqrt(na) * sqrt(s.nb)) END, 6) AS cosine
+    FROM allrows r
+    LEFT JOIN (SELECT e.predicate, sum(e.value * coalesce(t.tv, 0)) AS ab, sum(e.value * e.value) AS nb
+               FROM ent e LEFT JOIN t ON e.component = t.component GROUP BY e.predicate) s
+      ON s.predicate = r.predicate,
+    (SELECT coalesce(sum(tv * tv), 0) AS na FROM t) tn
+    WHERE r.row_order <= 20)"""
+
+ALLPAIRS = """norms AS (SELECT r.predicate, coalesce(n.sq, 0) AS sq FROM allrows r
+    LEFT JOIN (SELECT predicate, sum(value * value) AS sq FROM ent GROUP BY predicate) n
+      ON n.predicate = r.predicate),
+  dots AS (SELECT a.predicate AS pa, b.predicate AS pb, sum(a.value * b.value) AS ab
+    FROM ent a JOIN ent b ON a.component = b.component GROUP BY 1, 2),
+  prs AS (SELECT x.predicate, y.predicate AS neighbor, x.sq AS qs, y.sq AS s, coalesce(d.ab, 0) AS ab
+    FROM norms x CROSS JOIN norms y LEFT JOIN dots d ON d.pa = x.predicate AND d.pb = y.predicate),
+  scored AS (
+    SELECT predicate, neighbor, 'euclidean' AS metric, round(sqrt(greatest(qs + s - 2 * ab, 0)), 6) AS distance FROM prs
+    UNION ALL
+    SELECT predicate, neighbor, 'cosine', round(CASE WHEN qs > 0 AND s > 0 THEN 1 - ab / (sqrt(qs) * sqrt(s)) END, 6) FROM prs)"""
+
+ORACLES.update({
+    "e1_probabilities": with_(PAT, PROBS) + "SELECT subject, predicate, object, frequency, pair, src, tot, round(prob, 6) AS prob FROM probs",
+    "e2_dimensions": with_(PAT, DIMS) + "SELECT component, label FROM dims",
+    "e3_vectorise": with_(PAT, PROBS, DIMS, ENT) + "SELECT predicate, component, round(value, 6) AS value FROM ent",
+    "e4_restrict_to": with_(PAT, PROBS, DIMS, ENT, PLIST) + _long("plist", "ent"),
+    "e5_drop_zero_dims": with_(PAT, PROBS, DIMS, ENT, PLIST, E5) + _long("plist", "e5"),
+    "e6_disambiguate": with_(PAT, PROBS, DIMS, ENT, PLIST, E5, E6) + _long("rows6", "ent6"),
+    "e7_add_constant_row": with_(*SPACE_CTES) + _long("rows7", "ent7"),
+    "e9_row_sums": with_(*SPACE_CTES) + """SELECT r.predicate, r.row_order,
+        round(coalesce(sum(e.value), 0), 6) AS row_sum
+        FROM rows7 r LEFT JOIN ent7 e ON e.predicate = r.predicate GROUP BY r.predicate, r.row_order""",
+    "e10_build_space": with_(*SPACE_CTES) + _long("rows7", "ent7"),
+    "e10_space_dims": with_(PAT, PROBS, DIMS, ENT, PLIST, E5, E6) + """
+        SELECT DISTINCT e5.component, dims.label FROM e5
+          JOIN ent ON ent.predicate = e5.predicate AND ent.value = e5.value
+          JOIN dims ON dims.component = ent.component
+          WHERE e5.component = (SELECT count(DISTINCT x.component) FROM ent x
+                                WHERE x.predicate IN (SELECT predicate FROM plist) AND x.value <> 0
+                                  AND x.component < ent.component)
+        UNION ALL SELECT (SELECT d FROM d5) + k, concat('add', CAST(k + 1 AS VARCHAR)) FROM clones""",
+    "e11_pair_similarity": with_(PAT, PROBS, DIMS, ENT).rstrip() + """,
+        a AS (SELECT component, value AS va FROM ent WHERE predicate = 'red bolt'),
+        b AS (SELECT component, value AS vb FROM ent WHERE predicate = 'hot ring'),
+        s AS (SELECT coalesce(sum(va * vb), 0) AS ab, coalesce(sum(va * va), 0) AS na,
+                     coalesce(sum(vb * vb), 0) AS nb FROM a FULL OUTER JOIN b ON a.component = b.component)
+        SELECT 'red bolt' AS a, 'hot ring' AS b, round(sqrt(greatest(na + nb - 2 * ab, 0)), 6) AS euclidean,
+               round(CASE WHEN na > 0 AND nb > 0 THEN 1 - ab / (sqrt(na) * sqrt(nb)) END, 6) AS cosine FROM s""".replace(
+        "\n        a AS", "\n        a AS", 1),
+    "e12_similarities": with_(PAT, PROBS, DIMS, ENT, ROWS_ALL, TARGET) + "SELECT * FROM sims",
+    "e13_top_similar": with_(PAT, PROBS, DIMS, ENT, ROWS_ALL, TARGET) + """
+        SELECT metric, predicate, distance, rank FROM (
+          SELECT metric, predicate, distance, CAST(row_number() OVER (PARTITION BY metric
+                 ORDER BY distance NULLS LAST, predicate) AS INTEGER) AS rank
+          FROM (SELECT 'euclidean' AS metric, predicate, euclidean AS distance FROM sims
+                UNION ALL SELECT 'cosine', predicate, cosine FROM sims) u) x WHERE rank <= 10""",
+    "e14_all_pairs_similarity": with_(PAT, PROBS, DIMS, ENT, ROWS_ALL, ALLPAIRS) + """
+        SELECT predicate, metric, rank, neighbor, distance FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY predicate, metric
+                 ORDER BY distance NULLS LAST, neighbor) AS BIGINT) AS rank FROM scored) x
+        WHERE rank <= 10""",
+})

@@ -161,3 +161,112 @@ def deduped_sentences(spark, sf):
 @query("c16_relation_counts")
 def _c16(spark, sf):
     return C.relation_counts(SF.strip_direction(deduped_sentences(spark, sf)))
+
+
+# ------------------------------------------------------------------ E
+from tessera.operators import similarity as ES  # noqa: E402
+from tessera.operators import space as SP  # noqa: E402
+
+PROPERTY_LIST = ["red bolt", "hot ring", "cold gear", "old rod", "no such name"]
+CLONES = ["red bolt_@1", "red bolt_@2"]
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def _long6(space):
+    return space.long().select("predicate", "row_order", "component", _r6("value"))
+
+
+def global_space(spark, sf):
+    """E1 -> E2 -> E3 over every predicate of F-PAT (rows in predicate order)."""
+    return SP.full_space(SP.probabilities(pat(spark, sf)))
+
+
+def listed_space(spark, sf):
+    g = global_space(spark, sf)
+    return SP.restrict_to(g, SP.property_rows(spark, PROPERTY_LIST))
+
+
+@query("e1_probabilities")
+def _e1(spark, sf):
+    return SP.probabilities(pat(spark, sf)).select(*PAT_COLS, "tot", _r6("prob"))
+
+
+@query("e2_dimensions")
+def _e2(spark, sf):
+    return SP.dimensions(pat(spark, sf))
+
+
+@query("e3_vectorise")
+def _e3(spark, sf):
+    p = SP.probabilities(pat(spark, sf))
+    return SP.vectorise(p, SP.dimensions(p)).select("predicate", "component", _r6("value"))
+
+
+@query("e4_restrict_to")
+def _e4(spark, sf):
+    return _long6(listed_space(spark, sf))
+
+
+@query("e5_drop_zero_dims")
+def _e5(spark, sf):
+    return _long6(SP.drop_zero_dims(listed_space(spark, sf)))
+
+
+@query("e6_disambiguate")
+def _e6(spark, sf):
+    return _long6(SP.disambiguate(SP.drop_zero_dims(listed_space(spark, sf)), CLONES))
+
+
+@query("e7_add_constant_row")
+def _e7(spark, sf):
+    s = SP.disambiguate(SP.drop_zero_dims(listed_space(spark, sf)), CLONES)
+    return _long6(SP.add_constant_row(s, "no_relation", -1.0))
+
+
+@query("e8_to_wide")
+def _e8(spark, sf):
+    return SP.to_wide(SP.build_space(pat(spark, sf), PROPERTY_LIST, CLONES), max_cols=5000)
+
+
+@query("e9_row_sums")
+def _e9(spark, sf):
+    return SP.row_sums(SP.build_space(pat(spark, sf), PROPERTY_LIST, CLONES)).select(
+        "predicate", "row_order", _r6("row_sum"))
+
+
+@query("e10_build_space")
+def _e10(spark, sf):
+    return _long6(SP.build_space(pat(spark, sf), PROPERTY_LIST, CLONES))
+
+
+@query("e10_space_dims")
+def _e10d(spark, sf):
+    return SP.build_space(pat(spark, sf), PROPERTY_LIST, CLONES).dims
+
+
+@query("e11_pair_similarity")
+def _e11(spark, sf):
+    return ES.pair_similarity(global_space(spark, sf), "red bolt", "hot ring")
+
+
+@query("e12_similarities")
+def _e12(spark, sf):
+    return ES.similarities(global_space(spark, sf), "red bolt", 20)
+
+
+@query("e13_top_similar")
+def _e13(spark, sf):
+    return ES.top_similar(global_space(spark, sf), "red bolt", 20, 10)
+
+
+@query("e14_all_pairs_similarity")
+def _e14(spark, sf):
+    return ES.all_pairs_similarity(global_space(spark, sf), 10, block_size=16)
+
+
+@query("e15_pca")
+def _e15(spark, sf):
+    return ES.pca(global_space(spark, sf), 2)
