@@ -291,3 +291,72 @@ ORACLES.update({
                  ORDER BY distance NULLS LAST, neighbor) AS BIGINT) AS rank FROM scored) x
         WHERE rank <= 10""",
 })
+
+
+# ---------------------------------------------------------------- D: ontology / derive
+def _closure(roots_sql: str) -> str:
+    return f"""roots AS ({roots_sql}),
+  clo AS (SELECT root, root AS type FROM roots
+          UNION SELECT c.root, s.child FROM clo c JOIN subclass s ON s.parent = c.type)"""
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+APPROX = """ap AS (SELECT DISTINCT predicate AS value FROM pat WHERE regexp_matches(predicate, 'ring|bolt', 'i')
+    UNION SELECT DISTINCT b FROM eqp WHERE a IN (
+      SELECT DISTINCT predicate FROM pat WHERE regexp_matches(predicate, 'ring|bolt', 'i')))"""
+MATCH_AFRICA = """subs AS (SELECT type AS value FROM clo
+    UNION SELECT b FROM eqc WHERE a IN (SELECT type FROM clo))"""
+
+RULE_MEMBERS = """rp AS (
+    SELECT r.rule, m.value AS predicate FROM (VALUES ('x:ring_africa', 'ring'), ('x:bolt_europe', 'bolt'),
+        ('x:gear_rod_asia', 'gear|rod')) r(rule, rx),
+      (SELECT DISTINCT predicate AS value FROM pat UNION SELECT DISTINCT b FROM eqp) m
+    WHERE (regexp_matches(m.value, r.rx, 'i') AND m.value IN (SELECT predicate FROM pat))
+       OR m.value IN (SELECT b FROM eqp WHERE a IN (SELECT predicate FROM pat)
+                      AND regexp_matches(a, r.rx, 'i'))),
+  rroots AS (SELECT * FROM (VALUES ('x:ring_africa', 'AFRICA'), ('x:bolt_europe', 'EUROPE'),
+        ('x:gear_rod_asia', 'ASIA')) v(rule, root)),
+  rs AS (SELECT DISTINCT rr.rule, x.value AS subject FROM rroots rr JOIN (
+           SELECT root, type AS value FROM clo
+           UNION SELECT c.root, e.b FROM clo c JOIN eqc e ON e.a = c.type) x ON x.root = rr.root),
+  ro AS (SELECT * FROM (VALUES ('x:ring_africa', 'SMALL'), ('x:ring_africa', 'ECONOMY'),
+        ('x:gear_rod_asia', 'PROMO'), ('x:gear_rod_asia', 'STANDARD')) v(rule, object)),
+  art AS (SELECT p.subject, rp.rule AS predicate, p.object, p.pair, CAST(sum(p.frequency) AS BIGINT) AS frequency
+    FROM pat p JOIN rp ON rp.predicate = p.predicate
+    WHERE p.subject IN (SELECT subject FROM rs WHERE rs.rule = rp.rule)
+      AND (rp.rule NOT IN (SELECT rule FROM ro) OR p.object IN (SELECT object FROM ro WHERE ro.rule = rp.rule))
+    GROUP BY p.subject, rp.rule, p.object, p.pair)"""
+
+ORACLES.update({
+    "d1_filter_exact": with_(PAT) + f"SELECT {PAT_COLS} FROM pat WHERE predicate IN ('red bolt', 'hot ring', 'no such')",
+    "d2_filter_contains": with_(PAT) + f"SELECT {PAT_COLS} FROM pat WHERE regexp_matches(predicate, 'ring|bolt', 'i')",
+    "d3_equivalent_properties": with_(PAT, EQ_PROP) + """SELECT DISTINCT b AS value FROM eqp
+        WHERE a IN (SELECT predicate FROM pat WHERE regexp_matches(predicate, 'ring', 'i'))""",
+    "d4_approximate_match": with_(PAT, EQ_PROP, APPROX) + "SELECT value FROM ap",
+    "d5_subtypes": with_rec(ONTO, _closure("SELECT 'AFRICA' AS root")) + "SELECT root, type FROM clo",
+    "d6_equivalent_classes": with_rec(ONTO, EQ_CLASS, _closure("SELECT 'AFRICA' AS root")) + """
+        SELECT DISTINCT b AS value FROM eqc WHERE a IN (SELECT type FROM clo)""",
+    "d7_subtypes_match": with_rec(ONTO, EQ_CLASS, _closure("SELECT 'AFRICA' AS root"), MATCH_AFRICA) + "SELECT value FROM subs",
+    "d8_resource_labels": with_(LAB) + """SELECT r.resource, coalesce(l.label, 'NULL') AS label
+        FROM (SELECT DISTINCT resource FROM lab) r
+        LEFT JOIN (SELECT resource, min(label) AS label FROM lab
+                   WHERE lower(lang) = 'es' OR starts_with(lower(lang), 'es-') GROUP BY resource) l
+          ON l.resource = r.resource""",
+    "d9_artificial_property": with_rec(PAT, ONTO, EQ_CLASS, EQ_PROP, APPROX,
+                                       _closure("SELECT 'AFRICA' AS root"), MATCH_AFRICA) + """
+        SELECT subject, 'x:ringbolt' AS predicate, object, pair, CAST(sum(frequency) AS BIGINT) AS frequency
+        FROM pat WHERE predicate IN (SELECT value FROM ap) AND object IN ('ECONOMY', 'SMALL')
+          AND subject IN (SELECT value FROM subs)
+        GROUP BY subject, object, pair""",
+    "d10_artificial_properties": with_rec(PAT, ONTO, EQ_CLASS, EQ_PROP,
+                                          _closure("SELECT DISTINCT root FROM (VALUES ('AFRICA'), ('EUROPE'), ('ASIA')) v(root)"),
+                                          RULE_MEMBERS) + "SELECT subject, predicate, object, pair, frequency FROM art",
+    "d11_extend_profile": with_rec(PAT, ONTO, EQ_CLASS, EQ_PROP, B2, B3_ON_B2, B4_ON_B3, B5_ON_B4,
+                                   _closure("SELECT DISTINCT root FROM (VALUES ('AFRICA'), ('EUROPE'), ('ASIA')) v(root)"),
+                                   RULE_MEMBERS) + f"""
+        SELECT {PAT_COLS} FROM b5
+        UNION ALL SELECT subject, predicate, object, frequency, pair, 2 AS src FROM art""",
+})

@@ -270,3 +270,89 @@ def _e14(spark, sf):
 @query("e15_pca")
 def _e15(spark, sf):
     return ES.pca(global_space(spark, sf), 2)
+
+
+# ------------------------------------------------------------------ D
+from tessera.operators import derive as D  # noqa: E402
+from tessera.operators import ontology as O  # noqa: E402
+
+FIXTURE_RULES = [
+    D.Rule("x:ring_africa", ["ring"], ["AFRICA"], objects=["SMALL", "ECONOMY"]),
+    D.Rule("x:bolt_europe", ["bolt"], ["EUROPE"]),
+    D.Rule("x:gear_rod_asia", ["gear rod"], ["ASIA"], objects=["PROMO", "STANDARD"]),
+]
+
+
+def _roots(spark, names):
+    return O.values_frame(spark, names)
+
+
+@query("d1_filter_exact")
+def _d1(spark, sf):
+    return D.filter_exact(pat(spark, sf), "predicate", ["red bolt", "hot ring", "no such"]).select(*PAT_COLS)
+
+
+@query("d2_filter_contains")
+def _d2(spark, sf):
+    return D.filter_contains(pat(spark, sf), "predicate", ["ring", "bolt"]).select(*PAT_COLS)
+
+
+@query("d3_equivalent_properties")
+def _d3(spark, sf):
+    preds = D.filter_contains(pat(spark, sf), "predicate", ["ring"]).select(F.col("predicate").alias("value"))
+    return O.equivalent_properties(preds, V.equivalent_property_edges(spark, sf))
+
+
+@query("d4_approximate_match")
+def _d4(spark, sf):
+    return D.approximate_match(pat(spark, sf), ["ring", "bolt"], "predicate",
+                               V.equivalent_property_edges(spark, sf))
+
+
+@query("d5_subtypes")
+def _d5(spark, sf):
+    return O.subtypes(_roots(spark, ["AFRICA"]), V.subclass_edges(spark, sf))
+
+
+@query("d6_equivalent_classes")
+def _d6(spark, sf):
+    types = O.subtypes(_roots(spark, ["AFRICA"]), V.subclass_edges(spark, sf)).select(
+        F.col("type").alias("value"))
+    return O.equivalent_classes(types, V.equivalent_class_edges(spark, sf))
+
+
+@query("d7_subtypes_match")
+def _d7(spark, sf):
+    return O.subtypes_match(_roots(spark, ["AFRICA"]), V.subclass_edges(spark, sf),
+                            V.equivalent_class_edges(spark, sf))
+
+
+@query("d8_resource_labels")
+def _d8(spark, sf):
+    lab = V.resource_label_table(spark, sf)
+    return O.resource_labels(lab.select("resource"), lab, "es")
+
+
+@query("d9_artificial_property")
+def _d9(spark, sf):
+    p = pat(spark, sf)
+    preds = D.approximate_match(p, ["ring", "bolt"], "predicate", V.equivalent_property_edges(spark, sf))
+    subs = O.subtypes_match(_roots(spark, ["AFRICA"]), V.subclass_edges(spark, sf),
+                            V.equivalent_class_edges(spark, sf))
+    return D.artificial_property(p, "x:ringbolt", preds, subs, ["ECONOMY", "SMALL"])
+
+
+def fixture_artificial(spark, sf):
+    return D.artificial_properties(pat(spark, sf), FIXTURE_RULES, V.subclass_edges(spark, sf),
+                                   V.equivalent_class_edges(spark, sf),
+                                   V.equivalent_property_edges(spark, sf))
+
+
+@query("d10_artificial_properties")
+def _d10(spark, sf):
+    return fixture_artificial(spark, sf)
+
+
+@query("d11_extend_profile")
+def _d11(spark, sf):
+    return D.extend_profile(B.clean(pat(spark, sf), kw=NOISE_KW), fixture_artificial(spark, sf))
