@@ -360,3 +360,184 @@ ORACLES.update({
         SELECT {PAT_COLS} FROM b5
         UNION ALL SELECT subject, predicate, object, frequency, pair, 2 AS src FROM art""",
 })
+
+
+# ---------------------------------------------------------------- F: sentences
+_STRIP = "replace(replace(replace(replace(sentence, '<e1>', ''), '</e1>', ''), '<e2>', ''), '</e2>', '')"
+TOKS = """toks AS (SELECT sentence, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS i FROM (
+    SELECT sentence, list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> '') AS t FROM dedup) s),
+  spans AS (SELECT d.sentence,
+      CAST(coalesce(max(i) FILTER (WHERE tok = '<e1>'), 0) AS BIGINT) AS e1_start,
+      CAST(coalesce(max(i) FILTER (WHERE tok = '</e1>') - 2, 0) AS BIGINT) AS e1_end,
+      CAST(coalesce(max(i) FILTER (WHERE tok = '<e2>') - 2, 0) AS BIGINT) AS e2_start,
+      CAST(coalesce(max(i) FILTER (WHERE tok = '</e2>') - 4, 0) AS BIGINT) AS e2_end
+    FROM dedup d LEFT JOIN toks ON toks.sentence = d.sentence GROUP BY d.sentence)"""
+TAGS = f"""tags AS (SELECT sentence, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM (
+    SELECT sentence, list_filter(string_split_regex({_STRIP}, '\\s+'), lambda x: x <> '') AS t FROM dedup) s),
+  tagged AS (SELECT sentence, pos, CASE
+      WHEN starts_with(token, 'Customer#') THEN 'PERSON'
+      WHEN token IN ('red', 'blue') THEN 'COLOR'
+      WHEN token IN ('small', 'large') THEN 'SIZE'
+      WHEN token IN ('old', 'new') THEN 'AGE'
+      WHEN token IN ('hot', 'cold') THEN 'TEMP'
+      WHEN token IN ('anvil', 'bolt', 'gear', 'gizmo', 'plate', 'ring', 'rod', 'widget') THEN 'PRODUCT'
+      ELSE 'O' END AS tag FROM tags),
+  ends AS (SELECT sentence, 'e1' AS ent, e1_start AS pos FROM spans UNION ALL SELECT sentence, 'e1', e1_end FROM spans
+    UNION ALL SELECT sentence, 'e2', e2_start FROM spans UNION ALL SELECT sentence, 'e2', e2_end FROM spans),
+  types AS (SELECT e.sentence,
+      string_agg(DISTINCT t.tag, ',' ORDER BY t.tag) FILTER (WHERE e.ent = 'e1' AND t.tag <> 'O') AS e1t,
+      string_agg(DISTINCT t.tag, ',' ORDER BY t.tag) FILTER (WHERE e.ent = 'e2' AND t.tag <> 'O') AS e2t,
+      count(DISTINCT t.tag) FILTER (WHERE e.ent = 'e1' AND t.tag <> 'O') AS n1,
+      count(DISTINCT t.tag) FILTER (WHERE e.ent = 'e2' AND t.tag <> 'O') AS n2
+    FROM ends e LEFT JOIN tagged t ON t.sentence = e.sentence AND t.pos = e.pos GROUP BY e.sentence)"""
+
+ORACLES.update({
+    "f1_strip_direction": with_(SENT, DEDUP, REL) + "SELECT sentence, relation, rel FROM rels",
+    "f2_extract_entity": with_(SENT, DEDUP) + """SELECT sentence,
+        regexp_extract(sentence, '<e1>(.*)</e1>', 1) AS e1, regexp_extract(sentence, '<e2>(.*)</e2>', 1) AS e2
+        FROM dedup""",
+    "f3_strip_markers": with_(SENT, DEDUP) + f"SELECT sentence, {_STRIP} AS clean FROM dedup",
+    "f4_entity_spans": with_(SENT, DEDUP, TOKS) + "SELECT * FROM spans",
+    "f5_entity_types": with_(SENT, DEDUP, TOKS, TAGS) + """SELECT sentence, CAST(n1 AS BIGINT) AS n_e1_types,
+        CAST(n2 AS BIGINT) AS n_e2_types FROM types""",
+    "f6_types_as_csv": with_(SENT, DEDUP, TOKS, TAGS) + """SELECT sentence, coalesce(e1t, '') AS e1_type_CNLP,
+        coalesce(e2t, '') AS e2_type_CNLP FROM types""",
+    "f7_prepare_sentences": with_(SENT, DEDUP, REL, TOKS, TAGS) + """SELECT r.sentence, r.relation, r.rel,
+        regexp_extract(r.sentence, '<e1>(.*)</e1>', 1) AS e1, regexp_extract(r.sentence, '<e2>(.*)</e2>', 1) AS e2,
+        coalesce(t.e1t, '') AS e1_type_CNLP, coalesce(t.e2t, '') AS e2_type_CNLP
+        FROM rels r JOIN types t ON t.sentence = r.sentence""",
+})
+
+
+# ---------------------------------------------------------------- G / H: vectors
+SIMS = """qn AS (SELECT vec_id, sum(value * value) AS qa FROM vlong GROUP BY vec_id),
+  sn AS (SELECT predicate, row_order, sum(value * value) AS sb FROM space GROUP BY predicate, row_order),
+  dots AS (SELECT v.vec_id, s.predicate, s.row_order, sum(v.value * s.value) AS ab
+    FROM vlong v JOIN space s ON s.component = v.component GROUP BY 1, 2, 3),
+  cs AS (SELECT d.vec_id, d.predicate, d.row_order,
+      d.ab / (greatest(sqrt(q.qa), 1e-8) * greatest(sqrt(n.sb), 1e-8)) AS sim
+    FROM dots d JOIN qn q ON q.vec_id = d.vec_id JOIN sn n ON n.predicate = d.predicate),
+  best_first AS (SELECT * FROM (SELECT cs.*, row_number() OVER (PARTITION BY vec_id
+      ORDER BY round(sim, 12) DESC, row_order ASC) AS rn FROM cs) x WHERE rn = 1),
+  best_last AS (SELECT * FROM (SELECT cs.*, row_number() OVER (PARTITION BY vec_id
+      ORDER BY round(sim, 12) DESC, row_order DESC) AS rn FROM cs) x WHERE rn = 1),
+  inv AS (SELECT prop, max(rel) AS rel FROM vmap GROUP BY prop),
+  gated AS (SELECT b.vec_id, v.rel AS y_true,
+      CASE WHEN v.gate < 0.5 THEN inv.rel ELSE 'no_relation' END AS y_pred
+    FROM best_first b JOIN vec v ON v.vec_id = b.vec_id LEFT JOIN inv ON inv.prop = b.predicate)"""
+
+LOSSES = """tgt AS (SELECT v.vec_id, sum(v.value * s.value) AS ab, sum(s.value * s.value) AS tb
+    FROM vlong v JOIN vec x ON x.vec_id = v.vec_id
+    JOIN space s ON s.predicate = x.prop AND s.component = v.component GROUP BY v.vec_id),
+  pl AS (SELECT x.vec_id, x.batch_id,
+      CASE WHEN x.rel = 'no_relation' THEN CAST(0 AS DOUBLE)
+           ELSE 1 - t.ab / sqrt((q.qa + 1e-12) * (t.tb + 1e-12)) END AS ploss,
+      -((CASE WHEN x.rel = 'no_relation' THEN 1 ELSE 0 END) *
+          (CASE WHEN x.gate <= 0 THEN -100 ELSE greatest(ln(x.gate), -100) END)
+        + (1 - (CASE WHEN x.rel = 'no_relation' THEN 1 ELSE 0 END)) *
+          (CASE WHEN 1 - x.gate <= 0 THEN -100 ELSE greatest(ln(1 - x.gate), -100) END)) AS gloss
+    FROM vec x JOIN tgt t ON t.vec_id = x.vec_id JOIN qn q ON q.vec_id = x.vec_id)"""
+
+
+def _report_sql(pred: str, labels: list[str]) -> str:
+    vals = ", ".join(f"('{lab}', {i})" for i, lab in enumerate(labels))
+    inlist = ", ".join(f"'{lab}'" for lab in labels)
+    n = len(labels)
+    return f"""per AS (SELECT l.label, l.label_order, coalesce(tp.n, 0) AS tp, coalesce(pn.n, 0) AS pn,
+        coalesce(sp.n, 0) AS support
+      FROM (VALUES {vals}) l(label, label_order)
+      LEFT JOIN (SELECT y_true AS label, count(*) AS n FROM {pred} WHERE y_true = y_pred GROUP BY 1) tp ON tp.label = l.label
+      LEFT JOIN (SELECT y_pred AS label, count(*) AS n FROM {pred} GROUP BY 1) pn ON pn.label = l.label
+      LEFT JOIN (SELECT y_true AS label, count(*) AS n FROM {pred} GROUP BY 1) sp ON sp.label = l.label),
+    pm AS (SELECT *, CASE WHEN pn > 0 THEN tp / pn ELSE CAST(0 AS DOUBLE) END AS precision,
+        CASE WHEN support > 0 THEN tp / support ELSE CAST(0 AS DOUBLE) END AS recall FROM per),
+    pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+        ELSE CAST(0 AS DOUBLE) END AS f1_score FROM pm),
+    tot AS (SELECT sum(tp) AS stp, sum(pn) AS spn, sum(support) AS ssup, avg(precision) AS mp, avg(recall) AS mr,
+        avg(f1_score) AS mf,
+        CASE WHEN sum(support) > 0 THEN sum(precision * support) / sum(support) ELSE CAST(0 AS DOUBLE) END AS wp,
+        CASE WHEN sum(support) > 0 THEN sum(recall * support) / sum(support) ELSE CAST(0 AS DOUBLE) END AS wr,
+        CASE WHEN sum(support) > 0 THEN sum(f1_score * support) / sum(support) ELSE CAST(0 AS DOUBLE) END AS wf
+      FROM pf),
+    nout AS (SELECT count(*) AS n_out FROM (SELECT y_true AS t, y_pred AS p FROM {pred} GROUP BY 1, 2) g
+      WHERE t NOT IN ({inlist}) OR p NOT IN ({inlist})),
+    mic AS (SELECT CASE WHEN spn > 0 THEN stp / spn ELSE CAST(0 AS DOUBLE) END AS p,
+        CASE WHEN ssup > 0 THEN stp / ssup ELSE CAST(0 AS DOUBLE) END AS r, ssup FROM tot),
+    report AS (
+      SELECT label, label_order, precision, recall, f1_score, support FROM pf
+      UNION ALL SELECT CASE WHEN (SELECT n_out FROM nout) = 0 THEN 'accuracy' ELSE 'micro avg' END, {n}, p, r,
+        CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE CAST(0 AS DOUBLE) END, ssup FROM mic
+      UNION ALL SELECT 'macro avg', {n + 1}, mp, mr, mf, ssup FROM tot
+      UNION ALL SELECT 'weighted avg', {n + 2}, wp, wr, wf, ssup FROM tot)"""
+
+
+REPORT_OUT = """SELECT label, label_order, round(precision, 6) AS precision, round(recall, 6) AS recall,
+    round(f1_score, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM report"""
+
+
+def _cm_sql(pred: str, labels: list[str]) -> str:
+    vals = ", ".join(f"('{lab}')" for lab in labels)
+    return f"""SELECT a.l AS actual, p.l AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+      FROM (VALUES {vals}) a(l) CROSS JOIN (VALUES {vals}) p(l)
+      LEFT JOIN (SELECT y_true, y_pred, count(*) AS n FROM {pred} GROUP BY 1, 2) c
+        ON c.y_true = a.l AND c.y_pred = p.l"""
+
+
+QPRED = "qpred AS (SELECT doc_id, CAST(quality AS VARCHAR) AS y_true, CAST(toxic AS VARCHAR) AS y_pred FROM labels)"
+EMB_LABELS = ["no_relation"] + [f"rel{i}" for i in range(1, 10)]
+VOCAB = """vt AS (SELECT unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')) AS token FROM rels),
+  vocab AS (SELECT token, CAST(count(*) AS BIGINT) AS n FROM vt GROUP BY token)"""
+
+ORACLES.update({
+    "g1_map_relations": with_(SENT, DEDUP, REL, MAP) + """SELECT r.sentence, r.rel, m.prop
+        FROM rels r LEFT JOIN mapping m ON m.rel = r.rel""",
+    "g1_unmapped_count": with_(SENT, DEDUP, REL, MAP) + """SELECT CAST(count(*) AS BIGINT) AS n_unmapped
+        FROM rels WHERE rel NOT IN (SELECT rel FROM mapping)""",
+    "g2_integer_labels": with_(MAP) + "SELECT rel, prop, CAST(rank() OVER (ORDER BY prop) - 1 AS BIGINT) AS int_label FROM mapping",
+    "g3_no_relation_flag": with_(SENT, DEDUP, REL) + """SELECT sentence, rel, rel = 'no_relation' AS is_no_relation,
+        CASE WHEN rel = 'no_relation' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS attribute FROM rels""",
+    "g4_label_vectors": with_(VEC) + """SELECT v.vec_id, s.component, round(s.value, 6) AS value
+        FROM vec v JOIN vmap m ON m.rel = v.rel JOIN space s ON s.predicate = m.prop""",
+    "g6_check_label_vectors": with_(VEC) + """SELECT CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch,
+        CAST(count(*) FILTER (WHERE rel = 'no_relation') AS BIGINT) AS n_no_relation FROM vec""",
+    "g7_check_nearest": with_(VEC, SIMS) + """SELECT b.vec_id, v.prop, b.predicate AS nearest,
+        round(vs.s, 6) AS vec_sum, round(b.sim, 6) AS sim
+        FROM best_last b JOIN vec v ON v.vec_id = b.vec_id
+        JOIN (SELECT vec_id, sum(value) AS s FROM vlong GROUP BY vec_id) vs ON vs.vec_id = b.vec_id
+        WHERE b.predicate <> v.prop""",
+    "g9_build_vocabulary": with_(SENT, DEDUP, REL, VOCAB) + """SELECT token, n,
+        CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 4 AS BIGINT) AS token_id FROM vocab""",
+    "g11_check_vector_owner": with_(VEC) + """SELECT CAST(count(*) AS BIGINT) AS n_rows,
+        CAST(count(*) FILTER (WHERE prop IN (SELECT predicate FROM space)) AS BIGINT) AS n_owned,
+        CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch FROM vec""",
+    "g12_corruption_check": with_(VEC, SIMS) + """
+        SELECT 'label_vectors' AS source, CAST(count(*) AS BIGINT) AS n_checked,
+               CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_corrupt FROM vec
+        UNION ALL
+        SELECT 'embeddings', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (WHERE ms < 1 - 1e-12) AS BIGINT)
+        FROM (SELECT vec_id, max(sim) AS ms FROM cs GROUP BY vec_id) m""",
+    "h1_nearest_property": with_(VEC, SIMS) + """SELECT vec_id, predicate AS nearest, row_order AS nearest_order,
+        round(sim, 6) AS sim FROM best_first""",
+    "h2_gated_predict": with_(VEC, SIMS) + "SELECT vec_id, y_true, y_pred FROM gated",
+    "h3_top_class": with_(VEC, SIMS) + """SELECT b.vec_id, inv.rel AS y_pred FROM best_first b
+        LEFT JOIN inv ON inv.prop = b.predicate""",
+    "h4_projection_loss": with_(VEC, SIMS, LOSSES) + "SELECT round(avg(ploss), 6) AS projection_loss FROM pl",
+    "h5_gate_loss": with_(VEC, SIMS, LOSSES) + "SELECT round(avg(gloss), 6) AS gate_loss FROM pl",
+    "h6_composed_loss": with_(VEC, SIMS, LOSSES) + """SELECT round(avg(ploss) + avg(gloss), 6) AS loss,
+        round(avg(ploss), 6) AS projection_loss, round(avg(gloss), 6) AS gate_loss FROM pl""",
+    "h7_cross_entropy": with_(VEC, SIMS).rstrip() + """,
+        il AS (SELECT prop, CAST(rank() OVER (ORDER BY prop) - 1 AS BIGINT) AS int_label FROM vmap),
+        mx AS (SELECT vec_id, max(sim) AS m FROM cs GROUP BY vec_id),
+        lse AS (SELECT c.vec_id, max(mx.m) + ln(sum(exp(c.sim - mx.m))) AS lse FROM cs c
+                JOIN mx ON mx.vec_id = c.vec_id GROUP BY c.vec_id)
+        SELECT round(avg(l.lse - c.sim), 6) AS cross_entropy FROM lse l JOIN vec v ON v.vec_id = l.vec_id
+        JOIN il ON il.prop = v.prop JOIN cs c ON c.vec_id = l.vec_id AND c.row_order = il.int_label""",
+    "h8_epoch_loss": with_(VEC, SIMS, LOSSES).rstrip() + """,
+        pb AS (SELECT batch_id, avg(ploss) AS p, avg(gloss) AS g FROM pl GROUP BY batch_id)
+        SELECT round(avg(p + g), 6) AS epoch_loss, round(avg(p), 6) AS epoch_projection_loss,
+               round(avg(g), 6) AS epoch_gate_loss, CAST(count(*) AS BIGINT) AS n_batches FROM pb""",
+    "h9_classification_report": with_(QPRED, _report_sql("qpred", ["0", "1"])) + REPORT_OUT,
+    "h10_confusion_matrix": with_(QPRED) + _cm_sql("qpred", ["0", "1"]),
+    "h11_evaluate": with_(VEC, SIMS, _report_sql("gated", EMB_LABELS)) + REPORT_OUT,
+    "h11_confusion_matrix": with_(VEC, SIMS) + _cm_sql("gated", EMB_LABELS),
+})

@@ -356,3 +356,288 @@ def _d10(spark, sf):
 @query("d11_extend_profile")
 def _d11(spark, sf):
     return D.extend_profile(B.clean(pat(spark, sf), kw=NOISE_KW), fixture_artificial(spark, sf))
+
+
+# ------------------------------------------------------------------ F
+def sentences_with_rel(spark, sf):
+    return SF.strip_direction(deduped_sentences(spark, sf))
+
+
+def fixture_tags(spark, sf):
+    return V.token_tags(deduped_sentences(spark, sf))
+
+
+@query("f1_strip_direction")
+def _f1(spark, sf):
+    return sentences_with_rel(spark, sf).select("sentence", "relation", "rel")
+
+
+@query("f2_extract_entity")
+def _f2(spark, sf):
+    s = SF.extract_entity(SF.extract_entity(deduped_sentences(spark, sf), "e1"), "e2")
+    return s.select("sentence", "e1", "e2")
+
+
+@query("f3_strip_markers")
+def _f3(spark, sf):
+    return SF.strip_markers(deduped_sentences(spark, sf)).select("sentence", "clean")
+
+
+SPAN_COLS = ["e1_start", "e1_end", "e2_start", "e2_end"]
+
+
+@query("f4_entity_spans")
+def _f4(spark, sf):
+    s = SF.entity_spans(deduped_sentences(spark, sf))
+    return s.select("sentence", *[F.col(c).cast("bigint").alias(c) for c in SPAN_COLS])
+
+
+@query("f5_entity_types")
+def _f5(spark, sf):
+    s = SF.entity_types(SF.entity_spans(deduped_sentences(spark, sf)), fixture_tags(spark, sf))
+    return s.select("sentence", F.size("e1_types").cast("bigint").alias("n_e1_types"),
+                    F.size("e2_types").cast("bigint").alias("n_e2_types"))
+
+
+@query("f6_types_as_csv")
+def _f6(spark, sf):
+    s = SF.entity_types(SF.entity_spans(deduped_sentences(spark, sf)), fixture_tags(spark, sf))
+    return SF.types_as_csv(s).select("sentence", "e1_type_CNLP", "e2_type_CNLP")
+
+
+@query("f7_prepare_sentences")
+def _f7(spark, sf):
+    recs = V.sentence_order(V.marked_sentences(spark, sf)).select("sentence", "relation", "ord")
+    return SF.prepare_sentences(recs, fixture_tags(spark, sf))
+
+
+# ------------------------------------------------------------------ G / H (vectors)
+from tessera.operators import fits as FT  # noqa: E402
+from tessera.operators import labels as G  # noqa: E402
+from tessera.operators import metrics as M  # noqa: E402
+from tessera.operators import scoring as H  # noqa: E402
+
+VID = ["vec_id"]
+
+
+def vec_rows(spark, sf):
+    return V.vectors(spark, sf)
+
+
+def vec_space(spark, sf):
+    return H.space_from_long(V.vector_space(spark, sf))
+
+
+def vec_mapping(spark, sf):
+    return V.vector_mapping(spark, sf)
+
+
+def with_targets(spark, sf):
+    """Vectors with their label vector, flags and gate (the H4-H8 input)."""
+    lv = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf))
+    return G.no_relation_flag(lv)
+
+
+def sentence_frame(spark, sf):
+    return sentences_with_rel(spark, sf).select("sentence", "rel")
+
+
+@query("g1_map_relations")
+def _g1(spark, sf):
+    return G.map_relations(sentence_frame(spark, sf), V.relation_mapping(spark, sf)).select(
+        "sentence", "rel", "prop")
+
+
+@query("g1_unmapped_count")
+def _g1b(spark, sf):
+    return G.unmapped_count(sentence_frame(spark, sf), V.relation_mapping(spark, sf))
+
+
+@query("g2_integer_labels")
+def _g2(spark, sf):
+    return H.integer_labels(V.relation_mapping(spark, sf)).select("rel", "prop", "int_label")
+
+
+@query("g3_no_relation_flag")
+def _g3(spark, sf):
+    return G.no_relation_flag(sentence_frame(spark, sf)).select("sentence", "rel", "is_no_relation", "attribute")
+
+
+@query("g4_label_vectors")
+def _g4(spark, sf):
+    lv = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf))
+    return lv.select("vec_id", F.posexplode("target").alias("component", "value")).select(
+        "vec_id", F.col("component").cast("bigint").alias("component"), _r6("value"))
+
+
+def onehot_space(spark, sf):
+    il = H.integer_labels(V.relation_mapping(spark, sf))
+    return H.space_from_long(il.select(F.col("prop").alias("predicate"), F.col("int_label").alias("row_order"),
+                                       F.col("int_label").alias("component"), F.lit(1.0).alias("value")))
+
+
+@query("g5_training_rows")
+def _g5(spark, sf):
+    s = sentence_frame(spark, sf).withColumn("id", F.col("sentence"))
+    vocab = G.build_vocabulary(s)
+    return G.training_rows(s, V.relation_mapping(spark, sf), onehot_space(spark, sf), vocab)
+
+
+@query("g6_check_label_vectors")
+def _g6(spark, sf):
+    stored = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf))
+    return G.check_label_vectors(stored, vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf),
+                                 id_col="vec_id")
+
+
+@query("g7_check_nearest")
+def _g7(spark, sf):
+    out = G.check_nearest(vec_rows(spark, sf), vec_space(spark, sf), VID)
+    return out.select("vec_id", "prop", "nearest", _r6("vec_sum"), _r6("sim"))
+
+
+@query("g8_encode_sequences")
+def _g8(spark, sf):
+    s = sentence_frame(spark, sf).withColumn("id", F.col("sentence"))
+    return G.encode_sequences(s, G.build_vocabulary(s))
+
+
+@query("g9_build_vocabulary")
+def _g9(spark, sf):
+    return G.build_vocabulary(sentence_frame(spark, sf))
+
+
+@query("g10_check_encoding")
+def _g10(spark, sf):
+    s = sentence_frame(spark, sf).withColumn("id", F.col("sentence"))
+    vocab = G.build_vocabulary(s)
+    return G.check_encoding(G.encode_sequences(s, vocab), s, vocab)
+
+
+@query("g11_check_vector_owner")
+def _g11(spark, sf):
+    stored = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf))
+    return G.check_vector_owner(stored, vec_space(spark, sf), vec_mapping(spark, sf), id_col="vec_id")
+
+
+@query("g12_corruption_check")
+def _g12(spark, sf):
+    space = vec_space(spark, sf)
+    stored = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), space).select(
+        "vec_id", F.col("target").alias("vec"))
+    parts = []
+    for name, vecs in (("label_vectors", stored), ("embeddings", vec_rows(spark, sf).select("vec_id", "vec"))):
+        c = G.corruption_check(vecs, space, VID)
+        parts.append(c.agg(F.count(F.lit(1)).alias("n_checked"),
+                           F.count_if("corrupt").alias("n_corrupt")).withColumn("source", F.lit(name)))
+    return parts[0].unionByName(parts[1]).select("source", "n_checked", "n_corrupt")
+
+
+@query("g13_mini_batches")
+def _g13(spark, sf):
+    return G.mini_batches(vec_rows(spark, sf).select("vec_id", "rel"), 128, 7, "vec_id")
+
+
+@query("h1_nearest_property")
+def _h1(spark, sf):
+    n = H.nearest_property(vec_rows(spark, sf).select("vec_id", "vec"), vec_space(spark, sf), VID)
+    return n.select("vec_id", "nearest", F.col("nearest_order").cast("bigint").alias("nearest_order"), _r6("sim"))
+
+
+def gated(spark, sf):
+    return H.gated_predict(vec_rows(spark, sf), vec_space(spark, sf), vec_mapping(spark, sf), VID)
+
+
+@query("h2_gated_predict")
+def _h2(spark, sf):
+    return gated(spark, sf).select("vec_id", F.col("rel").alias("y_true"), "y_pred")
+
+
+def scored(spark, sf):
+    return H.class_scores(vec_rows(spark, sf), vec_space(spark, sf), VID)
+
+
+@query("h3_top_class")
+def _h3(spark, sf):
+    return H.top_class(scored(spark, sf), vec_mapping(spark, sf)).select("vec_id", "y_pred")
+
+
+@query("h4_projection_loss")
+def _h4(spark, sf):
+    return H.projection_loss(with_targets(spark, sf)).select(_r6("projection_loss"))
+
+
+@query("h5_gate_loss")
+def _h5(spark, sf):
+    return H.gate_loss(with_targets(spark, sf)).select(_r6("gate_loss"))
+
+
+@query("h6_composed_loss")
+def _h6(spark, sf):
+    return H.composed_loss(with_targets(spark, sf)).select(_r6("loss"), _r6("projection_loss"), _r6("gate_loss"))
+
+
+@query("h7_cross_entropy")
+def _h7(spark, sf):
+    il = F.broadcast(H.integer_labels(vec_mapping(spark, sf)).select("prop", "int_label"))
+    return H.cross_entropy(scored(spark, sf).join(il, "prop")).select(_r6("cross_entropy"))
+
+
+@query("h8_epoch_loss")
+def _h8(spark, sf):
+    e = H.epoch_loss(with_targets(spark, sf))
+    return e.select(_r6("epoch_loss"), _r6("epoch_projection_loss"), _r6("epoch_gate_loss"),
+                    F.col("n_batches").cast("bigint").alias("n_batches"))
+
+
+def quality_predictions(spark, sf):
+    lab = V.table(spark, sf, "labels")
+    return lab.select("doc_id", F.col("quality").cast("string").alias("y_true"),
+                      F.col("toxic").cast("string").alias("y_pred"))
+
+
+@query("h9_classification_report")
+def _h9(spark, sf):
+    return M.classification_report(quality_predictions(spark, sf), ["0", "1"])
+
+
+@query("h10_confusion_matrix")
+def _h10(spark, sf):
+    return M.confusion_matrix(quality_predictions(spark, sf), ["0", "1"])
+
+
+EMB_LABELS = ["no_relation"] + [f"rel{i}" for i in range(1, 10)]
+
+
+@query("h11_evaluate")
+def _h11(spark, sf):
+    _, report, _ = M.evaluate(vec_rows(spark, sf), vec_space(spark, sf), vec_mapping(spark, sf),
+                              EMB_LABELS, VID)
+    return report
+
+
+@query("h11_confusion_matrix")
+def _h11b(spark, sf):
+    _, _, cm = M.evaluate(vec_rows(spark, sf), vec_space(spark, sf), vec_mapping(spark, sf),
+                          EMB_LABELS, VID)
+    return cm
+
+
+@query("h12_fit_gate")
+def _h12(spark, sf):
+    _, out = FT.fit_gate(with_targets(spark, sf), "vec", "attribute", max_iter=50)
+    return out.select("vec_id", "rel", "gate")
+
+
+@query("h13_fit_baseline")
+def _h13(spark, sf):
+    il = F.broadcast(H.integer_labels(vec_mapping(spark, sf)).select("prop", "int_label"))
+    _, out = FT.fit_baseline(vec_rows(spark, sf).join(il, "prop"), "vec", "int_label", max_iter=30)
+    return out.select("vec_id", "int_label", "pred_label")
+
+
+@query("h14_fit_projector")
+def _h14(spark, sf):
+    t = with_targets(spark, sf)
+    w = FT.fit_projector(t)
+    return FT.project(t, w).select("vec_id", F.posexplode("projection").alias("component", "value"))
