@@ -541,3 +541,70 @@ ORACLES.update({
     "h11_evaluate": with_(VEC, SIMS, _report_sql("gated", EMB_LABELS)) + REPORT_OUT,
     "h11_confusion_matrix": with_(VEC, SIMS) + _cm_sql("gated", EMB_LABELS),
 })
+
+
+# ---------------------------------------------------------------- flagship
+B4_MIN1 = "b4 AS (SELECT * FROM b3 WHERE frequency > 1)"
+ORACLES["q0_most_probable_pairs"] = with_(PAT, B2, B3_ON_B2, B4_MIN1, B5_ON_B4).rstrip() + """,
+  pr AS (SELECT b5.*, (CAST(frequency * 100 AS DOUBLE) / CAST(t.tot AS DOUBLE)) * 0.01 AS prob
+         FROM b5 JOIN (SELECT predicate, sum(frequency) AS tot FROM b5 GROUP BY predicate) t
+           ON t.predicate = b5.predicate)
+SELECT predicate, subject, object, pair, round(prob, 6) AS prob FROM (
+  SELECT pr.*, row_number() OVER (PARTITION BY pr.predicate ORDER BY prob DESC, pair) AS rn FROM pr) x
+WHERE rn = 1""".replace("\n,\n", "\n", 0)
+
+
+# ---------------------------------------------------------------- A: round trips, I: planned ops
+ORACLES.update({
+    "a1_read_patterns": ORACLES["b1_with_pair"],
+    "a2_read_marked_records": with_(SENT, DEDUP) + "SELECT sentence, relation FROM dedup",
+    "a4_sentences_round_trip": ORACLES["f7_prepare_sentences"],
+    "a5_space_round_trip": ORACLES["e10_build_space"],
+    "a6_read_mapping": with_(MAP) + "SELECT rel, prop FROM mapping",
+    "a7_read_property_list": with_(PAT) + """SELECT predicate,
+        CAST(row_number() OVER (ORDER BY predicate) - 1 AS BIGINT) AS row_order FROM (SELECT DISTINCT predicate FROM pat) d""",
+    "a8_materialise_label_vectors": ORACLES["g4_label_vectors"],
+})
+
+PREP = """prep AS (SELECT r.sentence, r.rel, coalesce(t.e1t, '') AS e1, coalesce(t.e2t, '') AS e2
+    FROM rels r JOIN types t ON t.sentence = r.sentence)"""
+
+
+def _mode_sql(col: str) -> str:
+    return f"""mode_{col} AS (SELECT rel, t FROM (SELECT rel, t, row_number() OVER (PARTITION BY rel ORDER BY count(*) DESC, t) AS rn
+      FROM (SELECT rel, unnest(string_split({col}, ',')) AS t FROM prep) x WHERE t <> '' GROUP BY rel, t) y WHERE rn = 1),
+    cnt_{col} AS (SELECT rel, t, count(*) AS n FROM (SELECT rel, unnest(string_split({col}, ',')) AS t FROM prep) x
+      WHERE t <> '' GROUP BY rel, t)"""
+
+
+def _resolve_expr(col: str) -> str:
+    return f"""CASE WHEN len(list_filter(string_split(p.{col}, ','), lambda x: x <> '')) > 1 THEN (
+        SELECT c.t FROM (SELECT unnest(list_filter(string_split(p.{col}, ','), lambda x: x <> '')) AS t) u
+        LEFT JOIN cnt_{col} c ON c.rel = p.rel AND c.t = u.t
+        ORDER BY coalesce(c.n, 0) DESC, u.t LIMIT 1) ELSE p.{col} END"""
+
+
+ORACLES.update({
+    "i1_majority_type": with_(SENT, DEDUP, TOKS, TAGS).rstrip() + """,
+      span_pos AS (SELECT sentence, 'e1' AS ent, unnest(range(e1_start, e1_end + 1)) AS pos FROM spans
+        UNION ALL SELECT sentence, 'e2', unnest(range(e2_start, e2_end + 1)) FROM spans),
+      cnt AS (SELECT s.sentence, s.ent, t.tag, count(*) AS n FROM span_pos s
+        JOIN tagged t ON t.sentence = s.sentence AND t.pos = s.pos WHERE t.tag <> 'O' GROUP BY 1, 2, 3),
+      best AS (SELECT sentence, ent, tag FROM (SELECT *, row_number() OVER (PARTITION BY sentence, ent
+        ORDER BY n DESC, tag) AS rn FROM cnt) x WHERE rn = 1)
+      SELECT d.sentence, b1.tag AS e1_major, b2.tag AS e2_major FROM dedup d
+        LEFT JOIN best b1 ON b1.sentence = d.sentence AND b1.ent = 'e1'
+        LEFT JOIN best b2 ON b2.sentence = d.sentence AND b2.ent = 'e2'""",
+    "i2_impute_types": with_(SENT, DEDUP, REL, TOKS, TAGS, PREP, _mode_sql("e1"), _mode_sql("e2")) + """
+      SELECT p.sentence, p.rel,
+        CASE WHEN p.e1 = '' THEN coalesce(m1.t, '') ELSE p.e1 END AS e1_type_CNLP,
+        CASE WHEN p.e2 = '' THEN coalesce(m2.t, '') ELSE p.e2 END AS e2_type_CNLP
+      FROM prep p LEFT JOIN mode_e1 m1 ON m1.rel = p.rel LEFT JOIN mode_e2 m2 ON m2.rel = p.rel""",
+    "i3_resolve_types": with_(SENT, DEDUP, REL, TOKS, TAGS, PREP, _mode_sql("e1"), _mode_sql("e2")) + f"""
+      SELECT p.sentence, p.rel, {_resolve_expr("e1")} AS e1_type_CNLP, {_resolve_expr("e2")} AS e2_type_CNLP
+      FROM prep p""",
+    "i4_clones_from_mapping": with_(MAP).rstrip() + """,
+      m AS (SELECT rel, regexp_replace(prop, '^prop:(small|medium|large)$', 'prop:size') AS prop FROM mapping)
+      SELECT rel, prop, concat(prop, '_@', CAST(row_number() OVER (PARTITION BY prop ORDER BY rel) AS VARCHAR)) AS clone
+      FROM m WHERE prop IN (SELECT prop FROM m GROUP BY prop HAVING count(*) > 1)""",
+})

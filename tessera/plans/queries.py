@@ -641,3 +641,105 @@ def _h14(spark, sf):
     t = with_targets(spark, sf)
     w = FT.fit_projector(t)
     return FT.project(t, w).select("vec_id", F.posexplode("projection").alias("component", "value"))
+
+
+# ------------------------------------------------------------------ flagship
+from tessera.plans.flagship import most_probable_pairs  # noqa: E402
+
+
+@query("q0_most_probable_pairs")
+def _q0(spark, sf):
+    return most_probable_pairs(spark, sf, min_freq=1)
+
+
+# ------------------------------------------------------------------ A (round trips through files)
+from tessera import scratch_path  # noqa: E402
+from tessera.sources import io as IO  # noqa: E402
+from tessera.sources.patterns import read_patterns, write_patterns  # noqa: E402
+from tessera.sources.records import read_marked_records  # noqa: E402
+
+
+@query("a1_read_patterns")
+def _a1(spark, sf):
+    path = scratch_path(spark, "profile")
+    write_patterns(pat(spark, sf), path)
+    return read_patterns(spark, path).select(*PAT_COLS)
+
+
+@query("a2_read_marked_records")
+def _a2(spark, sf):
+    path = scratch_path(spark, "records")
+    IO.write_marked_records(V.marked_sentences(spark, sf), path, V.SENTENCE_KEY)
+    recs = read_marked_records(spark, path).withColumn("ord", F.struct("file", "rec_id"))
+    return dedupe_last_label(recs).select("sentence", "relation")
+
+
+@query("a4_sentences_round_trip")
+def _a4(spark, sf):
+    path = scratch_path(spark, "sentences")
+    IO.write_sentences(_f7(spark, sf), path)
+    return IO.read_sentences(spark, path)
+
+
+@query("a5_space_round_trip")
+def _a5(spark, sf):
+    path = scratch_path(spark, "space")
+    IO.write_space(SP.build_space(pat(spark, sf), PROPERTY_LIST, CLONES), path)
+    return _long6(IO.read_space(spark, path))
+
+
+@query("a6_read_mapping")
+def _a6(spark, sf):
+    path = scratch_path(spark, "mapping")
+    IO.write_mapping(V.relation_mapping(spark, sf), path)
+    return IO.read_mapping(spark, path)
+
+
+@query("a7_read_property_list")
+def _a7(spark, sf):
+    path = scratch_path(spark, "plist")
+    preds = pat(spark, sf).select("predicate").distinct()
+    lines = preds.select(F.lit(0).alias("k"), "predicate").unionByName(
+        spark.createDataFrame([(1, ""), (2, "after the blank line")], "k int, predicate string"))
+    IO.write_lines(lines, "predicate", path, ["k", "predicate"])
+    return IO.read_property_list(spark, path)
+
+
+@query("a8_materialise_label_vectors")
+def _a8(spark, sf):
+    path = scratch_path(spark, "labelvec")
+    lv = G.label_vectors(vec_rows(spark, sf), vec_mapping(spark, sf), vec_space(spark, sf))
+    back = IO.materialise_label_vectors(lv.select("vec_id", "target"), path)
+    return back.select("vec_id", F.posexplode("target").alias("component", "value")).select(
+        "vec_id", F.col("component").cast("bigint").alias("component"), _r6("value"))
+
+
+# ------------------------------------------------------------------ I (planned in the reference)
+from tessera.operators import planned as PL  # noqa: E402
+
+
+@query("i1_majority_type")
+def _i1(spark, sf):
+    s = PL.majority_type(SF.entity_spans(deduped_sentences(spark, sf)), fixture_tags(spark, sf))
+    return s.select("sentence", "e1_major", "e2_major")
+
+
+def prepared(spark, sf):
+    return _f7(spark, sf)
+
+
+@query("i2_impute_types")
+def _i2(spark, sf):
+    return PL.impute_types(prepared(spark, sf)).select("sentence", "rel", "e1_type_CNLP", "e2_type_CNLP")
+
+
+@query("i3_resolve_types")
+def _i3(spark, sf):
+    return PL.resolve_types(prepared(spark, sf)).select("sentence", "rel", "e1_type_CNLP", "e2_type_CNLP")
+
+
+@query("i4_clones_from_mapping")
+def _i4(spark, sf):
+    m = V.relation_mapping(spark, sf).select(
+        "rel", F.regexp_replace("prop", "^prop:(small|medium|large)$", "prop:size").alias("prop"))
+    return PL.clones_from_mapping(m)
