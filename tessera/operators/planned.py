@@ -8,22 +8,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _array_mode(arr):
+    """Most frequent element of an array (tie: smallest); null if empty."""
+    counted = F.transform(F.array_distinct(arr), lambda t: F.struct(
+        (-F.size(F.filter(arr, lambda x: x == t))).alias("m"), t.alias("t")))
+    return F.array_min(counted)["t"]
+
+
 def majority_type(spans: DataFrame, tags: DataFrame, key: str = "sentence") -> DataFrame:
     """The most frequent tag (not ``O``) over all tokens of each entity
-    span (tie: smallest tag); null when the span has none.  Spans are
-    expanded with ``sequence(start, end)``, joined to the tags on the
-    position and counted per (key, entity, tag)."""
-    ends = spans.select(key, F.explode(F.array(
-        F.struct(F.lit("e1").alias("ent"), F.col("e1_start").alias("s"), F.col("e1_end").alias("e")),
-        F.struct(F.lit("e2").alias("ent"), F.col("e2_start").alias("s"), F.col("e2_end").alias("e")))).alias("x"))
-    pos = ends.select(key, "x.ent", F.explode(F.sequence(F.col("x.s").cast("bigint"),
-                                                       F.col("x.e").cast("bigint"))).alias("pos"))
-    t = tags.select(key, F.col("pos").cast("bigint").alias("pos"), "tag").filter(F.col("tag") != "O")
-    counts = pos.join(t, [key, "pos"]).groupBy(key, "ent", "tag").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(key, "ent").agg(F.min_by("tag", F.struct((-F.col("n")).alias("m"), "tag")).alias("tag"))
-    wide = best.groupBy(key).agg(F.max(F.when(F.col("ent") == "e1", F.col("tag"))).alias("e1_major"),
-                                 F.max(F.when(F.col("ent") == "e2", F.col("tag"))).alias("e2_major"))
-    return spans.join(wide, key, "left")
+    span (tie: smallest tag); null when the span has none.  One join with
+    the per-sentence tags (``tag_arrays``); the counting happens inside the
+    row (a span is bounded by its sentence)."""
+    from tessera.operators.sentences import tag_arrays
+
+    j = spans.join(tag_arrays(tags, key), key, "left")
+
+    def span_tags(a, b):
+        s, e = F.col(a).cast("bigint"), F.col(b).cast("bigint")
+        pos = F.when(e >= s, F.sequence(s, e)).otherwise(F.array().cast("array<bigint>"))
+        look = F.transform(pos, lambda p: F.try_element_at(F.col("tag_map"), p))
+        return F.filter(look, lambda t: t.isNotNull() & (t != F.lit("O")))
+
+    return (j.withColumn("e1_major", _array_mode(span_tags("e1_start", "e1_end")))
+            .withColumn("e2_major", _array_mode(span_tags("e2_start", "e2_end"))).drop("tag_map"))
 
 
 def _mode_per_rel(df: DataFrame, type_col: str, rel: str) -> DataFrame:

@@ -83,24 +83,35 @@ def entity_spans(df: DataFrame, order_safe: bool = False) -> DataFrame:
     return out.drop("_toks")
 
 
+def tag_arrays(tags: DataFrame, key: str = "sentence") -> DataFrame:
+    """(key, tag_map map<bigint,string>) from tagger output: either long
+    rows (key, pos, tag) or one array per key (key, tags).  The long form is
+    grouped once per sentence (a sentence's tags, bounded by its length)."""
+    if "tags" in tags.columns:
+        arr = F.col("tags")
+        idx = F.sequence(F.lit(0).cast("bigint"), (F.size(arr) - 1).cast("bigint"))
+        return tags.select(key, F.map_from_arrays(F.slice(idx, 1, F.size(arr)), arr).alias("tag_map"))
+    return tags.groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col("pos").cast("bigint"), F.col("tag")))).alias("tag_map"))
+
+
 def entity_types(spans: DataFrame, tags: DataFrame, key: str = "sentence") -> DataFrame:
-    """tags of the first and last token of each entity, as a set without
-    ``O``.  ``tags`` is (key, pos, tag).  A position outside the sentence
-    finds no tag."""
-    ends = spans.select(key, F.explode(F.array(
-        F.struct(F.lit("e1").alias("ent"), F.col("e1_start").alias("pos")),
-        F.struct(F.lit("e1").alias("ent"), F.col("e1_end").alias("pos")),
-        F.struct(F.lit("e2").alias("ent"), F.col("e2_start").alias("pos")),
-        F.struct(F.lit("e2").alias("ent"), F.col("e2_end").alias("pos")))).alias("x"))
-    ends = ends.select(key, "x.ent", F.col("x.pos").cast("bigint").alias("pos"))
-    t = tags.select(key, F.col("pos").cast("bigint").alias("pos"), "tag")
-    j = ends.join(t, [key, "pos"], "left")
-    g = j.groupBy(key).agg(
-        F.collect_set(F.when(F.col("ent") == "e1", F.col("tag"))).alias("e1_types"),
-        F.collect_set(F.when(F.col("ent") == "e2", F.col("tag"))).alias("e2_types"))
-    g = (g.withColumn("e1_types", F.array_sort(F.array_remove("e1_types", "O")))
-         .withColumn("e2_types", F.array_sort(F.array_remove("e2_types", "O"))))
-    return spans.join(g, key, "left")
+    """tags of the first and last token of each entity, as a sorted set
+    without ``O``.  ``tags`` is tagger output keyed like ``spans`` (see
+    ``tag_arrays``).  A position outside the sentence finds no tag.
+
+    One join on the key: the sentence side is already partitioned by it
+    after the dedupe, so only the tag side moves."""
+    tm = tag_arrays(tags, key)
+    j = spans.join(tm, key, "left")
+
+    def types(a, b):
+        look = [F.try_element_at(F.col("tag_map"), F.col(c).cast("bigint")) for c in (a, b)]
+        arr = F.filter(F.array(*look), lambda t: t.isNotNull() & (t != F.lit("O")))
+        return F.array_sort(F.array_distinct(arr))
+
+    return (j.withColumn("e1_types", types("e1_start", "e1_end"))
+            .withColumn("e2_types", types("e2_start", "e2_end")).drop("tag_map"))
 
 
 def types_as_csv(df: DataFrame, suffix: str = "CNLP") -> DataFrame:

@@ -364,7 +364,8 @@ def sentences_with_rel(spark, sf):
 
 
 def fixture_tags(spark, sf):
-    return V.token_tags(deduped_sentences(spark, sf))
+    """Tagger output for the deduped sentences, one tag array per sentence."""
+    return V.token_tag_arrays(deduped_sentences(spark, sf))
 
 
 @query("f1_strip_direction")

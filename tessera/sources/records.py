@@ -39,7 +39,10 @@ def read_marked_records(spark: SparkSession, path: str) -> DataFrame:
 def dedupe_last_label(df: DataFrame, key: str = "sentence", order: str = "ord",
                       label: str = "relation") -> DataFrame:
     """A3: one row per ``key``: position of the first occurrence
-    (``first_ord``) and the label of the last occurrence.  Both aggregates
-    combine map-side, so a repeated key does not pile up in one task."""
-    return df.groupBy(key).agg(F.min(order).alias("first_ord"),
-                               F.max_by(label, order).alias(label))
+    (``first_ord``) and the label of the last occurrence (an exact tie in
+    ``order`` takes the larger label).  Both aggregates combine map-side,
+    so a repeated key does not pile up in one task; ``max`` of a struct is
+    cheaper here than ``max_by``."""
+    last = F.max(F.struct(F.col(order).alias("o"), F.col(label).alias("v")))
+    return (df.groupBy(key).agg(F.min(order).alias("first_ord"), last.alias("_last"))
+            .select(key, "first_ord", F.col("_last.v").alias(label)))

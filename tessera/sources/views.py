@@ -147,6 +147,14 @@ def token_tags(sentences: DataFrame, key: str = "sentence") -> DataFrame:
             .withColumn("tag", tag_expr(F.col("token"))))
 
 
+def token_tag_arrays(sentences: DataFrame, key: str = "sentence") -> DataFrame:
+    """F-TAGS as one array per sentence: (key, tags), tag i for token i."""
+    clean = F.col("sentence")
+    for m in ("<e1>", "</e1>", "<e2>", "</e2>"):
+        clean = F.replace(clean, F.lit(m), F.lit(""))
+    return sentences.select(key, F.transform(tokens(clean), tag_expr).alias("tags"))
+
+
 def relation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-MAP: rel:<type> -> prop:<type> plus no_relation."""
     types = table(spark, sf_dir, "part").select(F.lower("p_type").alias("t")).distinct()
