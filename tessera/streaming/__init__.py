@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The profile, sentence and vector inputs are read as whole files; nothing in
+the operator inventory consumes an unbounded stream, uses event time or
+keeps state across micro-batches, so this package is intentionally empty.
+"""
