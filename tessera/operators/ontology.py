@@ -46,21 +46,25 @@ def subtypes(types: DataFrame, subclass: DataFrame, col: str = "value",
     as distinct (root, type); every root is included even without edges.
 
     Breadth-first: each round joins the frontier to the edges on the parent
-    and anti-joins what was already reached, so cycles end.  Each round is
-    checkpointed to the shared checkpoint folder (lineage stays one round
-    deep and a lost executor re-reads the checkpoint); the loop stops when
-    the frontier is empty."""
+    and anti-joins everything reached so far, so cycles end.  Every
+    frontier is checkpointed to the shared checkpoint folder (lineage stays
+    one round deep and a lost executor re-reads the checkpoint); the result
+    is the union of the checkpointed frontiers.  One job per round, plus a
+    cheap emptiness probe of the checkpoint."""
     spark = types.sparkSession
     checkpoint_dir(spark)
     edges = subclass.select(F.col("parent").alias("type"), F.col("child")).distinct()
-    seen = types.select(F.col(col).alias("root"), F.col(col).alias("type")).distinct().checkpoint()
-    frontier = seen
+    frontier = types.select(F.col(col).alias("root"), F.col(col).alias("type")).distinct().checkpoint()
+    parts = [frontier]
     for _ in range(max_rounds):
+        seen = parts[0]
+        for p in parts[1:]:
+            seen = seen.unionByName(p)
         nxt = (frontier.join(edges, "type").select("root", F.col("child").alias("type")).distinct()
                .join(seen, ["root", "type"], "left_anti").checkpoint())
         if nxt.isEmpty():
             return seen
-        seen = seen.unionByName(nxt).checkpoint()
+        parts.append(nxt)
         frontier = nxt
     raise RuntimeError(f"subclass closure did not converge in {max_rounds} rounds")
 

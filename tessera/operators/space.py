@@ -30,6 +30,8 @@ class Space:
     rows: DataFrame
     entries: DataFrame
     dims: DataFrame
+    # row names in row order when they come from a bounded, driver-side list
+    row_names: list[str] | None = None
 
     def long(self) -> DataFrame:
         """rows left join entries: (predicate, row_order, component, value);
@@ -87,6 +89,10 @@ def property_rows(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _unique(names: list[str]) -> list[str]:
+    return list(dict.fromkeys(names))
+
+
 def full_space(probs: DataFrame) -> Space:
     """E2 + E3 for every predicate (notebook mode): rows in predicate order."""
     dims = dimensions(probs)
@@ -96,12 +102,17 @@ def full_space(probs: DataFrame) -> Space:
 
 
 # ------------------------------------------------------------------ E4
-def restrict_to(space: Space, rows: DataFrame) -> Space:
+def restrict_to(space: Space, rows: DataFrame | list[str]) -> Space:
     """Only the listed predicates, in list order; a listed predicate
-    without patterns is a zero row (present in ``rows`` only).  The list is
-    bounded by the caller, so it is broadcast."""
+    without patterns is a zero row (present in ``rows`` only).  ``rows`` is
+    a Python list or a (predicate, row_order) DataFrame; either way it is
+    the caller's bounded list, so it is broadcast."""
+    names = None
+    if not isinstance(rows, DataFrame):
+        names = _unique(list(rows))
+        rows = property_rows(space.rows.sparkSession, names)
     r = F.broadcast(rows.select("predicate", "row_order"))
-    return Space(r, space.entries.join(r.select("predicate"), "predicate", "left_semi"), space.dims)
+    return Space(r, space.entries.join(r.select("predicate"), "predicate", "left_semi"), space.dims, names)
 
 
 # ------------------------------------------------------------------ E5
@@ -115,7 +126,7 @@ def drop_zero_dims(space: Space) -> Space:
             .select(F.col("new_component").alias("component"), "label"))
     entries = (nz.join(remap, "component")
                .select("predicate", F.col("new_component").alias("component"), "value"))
-    return Space(space.rows, entries, dims)
+    return Space(space.rows, entries, dims, space.row_names)
 
 
 # ------------------------------------------------------------------ E6
@@ -148,11 +159,23 @@ def disambiguate(space: Space, clones: list[str]) -> Space:
                            .otherwise(F.raise_error(F.concat(F.lit("clone base not in space: "),
                                                              F.col("predicate"))))))
     bases = F.broadcast(cl.select(F.col("base").alias("predicate")).distinct())
-    kept_rows = space.rows.join(bases, "predicate", "left_anti")
-    # row order: surviving rows keep their relative order, clones follow
-    surv = dense_index(kept_rows, ["row_order"], "_r").select("predicate", F.col("_r").alias("row_order"))
-    offset = kept_rows.agg(F.count(F.lit(1)).alias("_nk")).first()["_nk"]
-    clone_rows = checked.select("predicate", (F.lit(offset) + F.col("k")).alias("row_order"))
+    base_names = sorted({b for _, b in items})
+    if space.row_names is not None:
+        missing = [b for b in base_names if b not in space.row_names]
+        if missing:
+            raise ValueError(f"clone base not in space: {missing}")
+        kept = [n for n in space.row_names if n not in base_names]
+        names = kept + [c for c, _ in items]
+        surv = spark.createDataFrame([(n, i) for i, n in enumerate(kept)], "predicate string, row_order bigint")
+        clone_rows = spark.createDataFrame([(c, len(kept) + i) for i, (c, _) in enumerate(items)],
+                                           "predicate string, row_order bigint")
+    else:
+        names = None
+        kept_rows = space.rows.join(bases, "predicate", "left_anti")
+        # row order: surviving rows keep their relative order, clones follow
+        surv = dense_index(kept_rows, ["row_order"], "_r").select("predicate", F.col("_r").alias("row_order"))
+        offset = kept_rows.agg(F.count(F.lit(1)).alias("_nk")).first()["_nk"]
+        clone_rows = checked.select("predicate", (F.lit(offset) + F.col("k")).alias("row_order"))
     copies = (space.entries.withColumnRenamed("predicate", "base")
               .join(F.broadcast(checked.select("base", "predicate")), "base")
               .select("predicate", "component", "value"))
@@ -163,19 +186,23 @@ def disambiguate(space: Space, clones: list[str]) -> Space:
                           F.lit(1.0).alias("value"))
     entries = (space.entries.join(bases, "predicate", "left_anti")
                .unionByName(copies).unionByName(ones))
-    return Space(surv.unionByName(clone_rows), entries, space.dims.unionByName(extra_dims))
+    return Space(surv.unionByName(clone_rows), entries, space.dims.unionByName(extra_dims), names)
 
 
 # ------------------------------------------------------------------ E7
 def add_constant_row(space: Space, name: str = "no_relation", value: float = -1.0) -> Space:
     """A row holding ``value`` in every dimension (extra ones included),
     appended after the other rows."""
-    nxt = space.rows.agg(F.coalesce(F.max("row_order") + 1, F.lit(0)).alias("r")).first()["r"]
+    if space.row_names is not None:
+        nxt = len(space.row_names)
+    else:
+        nxt = space.rows.agg(F.coalesce(F.max("row_order") + 1, F.lit(0)).alias("r")).first()["r"]
     spark = space.rows.sparkSession
     row = spark.createDataFrame([(name, int(nxt))], "predicate string, row_order bigint")
     filler = space.dims.select(F.lit(name).alias("predicate"), "component",
                                F.lit(float(value)).alias("value"))
-    return Space(space.rows.unionByName(row), space.entries.unionByName(filler), space.dims)
+    names = None if space.row_names is None else space.row_names + [name]
+    return Space(space.rows.unionByName(row), space.entries.unionByName(filler), space.dims, names)
 
 
 # ------------------------------------------------------------------ E8
@@ -251,7 +278,8 @@ def build_space(df: DataFrame, property_list: list[str] | DataFrame | None = Non
     dims = dense_index(fp.select(F.col("pair").alias("label")).distinct(), ["label"], "component")
     entries = (fp.join(dims.withColumnRenamed("label", "pair"), "pair")
                .select("predicate", "component", "value"))
-    space = Space(rows, entries, dims.select("component", "label"))
+    names = None if property_list is None or isinstance(property_list, DataFrame) else _unique(list(property_list))
+    space = Space(rows, entries, dims.select("component", "label"), names)
     if clones:
         space = disambiguate(space, clones)
     if filler is not None:

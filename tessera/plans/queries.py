@@ -186,7 +186,7 @@ def global_space(spark, sf):
 
 def listed_space(spark, sf):
     g = global_space(spark, sf)
-    return SP.restrict_to(g, SP.property_rows(spark, PROPERTY_LIST))
+    return SP.restrict_to(g, PROPERTY_LIST)
 
 
 @query("e1_probabilities")

@@ -45,7 +45,7 @@ def test_build_space_rows_zero_row_clones_filler(spark):
 
 def test_build_space_equals_stepwise(spark):
     df = sample(spark)
-    step = SP.restrict_to(SP.full_space(SP.probabilities(df)), SP.property_rows(spark, ["p", "missing", "s"]))
+    step = SP.restrict_to(SP.full_space(SP.probabilities(df)), ["p", "missing", "s"])
     step = SP.add_constant_row(SP.disambiguate(SP.drop_zero_dims(step), ["p_@1"]))
     one = SP.build_space(df, ["p", "missing", "s"], ["p_@1"])
     assert rows(step.long()) == rows(one.long())
