@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import DEFAULT_BLOCK_ROWS, block_stats, join_blocks, pack_blocks
+from tessera.functions.blocks import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS
 from tessera.functions.vectors import sparse_dot
 from tessera.operators.space import Space, to_dense
 
@@ -76,7 +76,9 @@ def top_similar(space: Space, prop: str, n: int, k: int = 10) -> DataFrame:
 
 
 def sparse_rows(space: Space) -> DataFrame:
-    """(predicate, row_order, vec map<bigint,double>, sq) for every row."""
+    """(predicate, row_order, vec map<bigint,double>, sq) for every row.
+    Holds a whole row per map: only for spaces whose rows are bounded
+    (small restricted spaces); the all-rows operators use ``block_dots``."""
     m = space.entries.groupBy("predicate").agg(
         F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("vec"),
         F.sum(F.col("value") * F.col("value")).alias("sq"))
@@ -86,59 +88,100 @@ def sparse_rows(space: Space) -> DataFrame:
                     F.coalesce("sq", F.lit(0.0)).alias("sq")))
 
 
+DEFAULT_CHUNK = 4096
+
+
+def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: int = DEFAULT_CHUNK,
+               max_broadcast_entries: int = DEFAULT_MAX_BROADCAST_CELLS):
+    """Dot products of every row with every row, one dense array per
+    (row, block of rows).
+
+    Vectors are cut into chunks of at most ``chunk_size`` components, so no
+    row, block member or group holds more than a chunk: a predicate with a
+    huge share of the patterns is spread over many chunk rows.  A query
+    chunk joins the block chunks with the same (block, chunk) id and yields
+    a partial ``block_size``-long array; the partial arrays of a
+    (row, block) are summed element-wise (at most one per chunk).  The
+    member table is broadcast only when the whole space is under
+    ``max_broadcast_entries`` (one count); otherwise it is a shuffle join on
+    (block, chunk).
+
+    Returns (n_rows, n_blocks, DataFrame(predicate, qs, _block, dots,
+    names, sqs)) where ``names``/``sqs`` list the block members in position
+    order and ``dots`` is padded to ``block_size``."""
+    B = block_size
+    rows = space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order"))
+    norms = space.entries.groupBy("predicate").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
+    rows = rows.join(norms, "predicate", "left").fillna(0.0, ["sq"])
+    stats = space.rows.agg(F.count(F.lit(1)).alias("n")).first()
+    n_rows = int(stats["n"])
+    n_blocks = max(1, -(-n_rows // B))
+    blocks_seq = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
+    chunks = (space.entries.withColumn("chunk", F.floor(F.col("component") / chunk_size).cast("bigint"))
+              .groupBy("predicate", "chunk")
+              .agg(F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("m")))
+    placed = (rows.withColumn("_block", F.floor(F.col("row_order") / B).cast("bigint"))
+              .withColumn("_pos", (F.col("row_order") % B).cast("int")))
+    members = (chunks.join(placed.select("predicate", "_block", "_pos"), "predicate")
+               .groupBy("_block", "chunk")
+               .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "m"))).alias("_mm")))
+    # dense by position (null where the row has nothing in this chunk); built
+    # once per (block, chunk) so scoring below is a single pass
+    members = members.select("_block", "chunk", F.transform(
+        F.sequence(F.lit(0), F.lit(B - 1)), lambda i: F.element_at(F.col("_mm"), i)).alias("_members"))
+    roster = (placed.groupBy("_block")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("predicate").alias("n"),
+                                                        F.col("sq").alias("s")))).alias("_r"))
+              .select("_block", F.transform("_r", lambda x: x["n"]).alias("names"),
+                      F.transform("_r", lambda x: x["s"]).alias("sqs")))
+    q = chunks.withColumn("_block", blocks_seq)
+    small = space.entries.count() <= max_broadcast_entries
+    j = q.join(F.broadcast(members) if small else members, ["_block", "chunk"])
+    partial = j.select("predicate", "_block", F.transform(
+        "_members", lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(sparse_dot(F.col("m"), x))).alias("part"))
+    summed = partial.groupBy("predicate", "_block").agg(F.collect_list("part").alias("_parts"))
+    every = placed.select("predicate", F.col("sq").alias("qs")).withColumn("_block", blocks_seq)
+    dots = F.aggregate(F.coalesce(F.col("_parts"), F.array().cast("array<array<double>>")),
+                       F.array_repeat(F.lit(0.0), B),
+                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    out = (every.join(summed, ["predicate", "_block"], "left")
+           .join(F.broadcast(roster) if n_blocks * B <= max_broadcast_entries else roster, "_block")
+           .select("predicate", "qs", "_block", dots.alias("dots"), "names", "sqs"))
+    return n_rows, n_blocks, out
+
+
 def all_pairs_similarity(space: Space, k: int = 10, block_size: int = DEFAULT_BLOCK_ROWS,
-                         ndigits: int = 6) -> DataFrame:
+                         ndigits: int = 6, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
     """E13 for every row at once: (predicate, metric, rank, neighbor,
     distance), the ``k`` nearest rows by each metric, self included.
 
-    Blocked: each (row, block) pair reduces the block to its own top-k
-    inside one expression, then a window keeps the best ``k`` of the
+    Built on ``block_dots``: each (row, block) reduces its block to its own
+    top-k inside one expression, then a window keeps the best ``k`` of the
     per-block winners (at most blocks x k rows per predicate)."""
-    vecs = sparse_rows(space).cache()
-    n_rows, cells = block_stats(vecs, F.size("vec"))
-    n_blocks = max(1, -(-n_rows // block_size))
-    member = F.struct(F.col("predicate").alias("p"), F.col("vec").alias("v"), F.col("sq").alias("s"))
-    blocks = pack_blocks(vecs, member, block_size)
-    q = vecs.select(F.col("predicate"), F.col("vec").alias("qv"), F.col("sq").alias("qs"))
-    j = join_blocks(q, blocks, n_blocks, cells, ["predicate"])
-    dots = F.transform("_members", lambda m: F.struct(
-        m["p"].alias("p"), m["s"].alias("s"), sparse_dot(F.col("qv"), m["v"]).alias("ab")))
-    j = j.select("predicate", "qs", dots.alias("_d"))
-
-    def top(metric):
-        if metric == "euclidean":
-            dist = lambda x: _euclid(F.col("qs"), x["s"], x["ab"])
-        else:
-            dist = lambda x: _cos_dist(F.col("qs"), x["s"], x["ab"])
+    _, _, bd = block_dots(space, block_size, chunk_size)
+    trio = F.zip_with(F.zip_with("names", "sqs", lambda n, s: F.struct(n.alias("n"), s.alias("s"))),
+                      F.slice("dots", 1, F.size("names")),
+                      lambda c, d: F.struct(c["n"].alias("p"), c["s"].alias("s"), d.alias("ab")))
+    j = bd.select("predicate", "qs", trio.alias("_d"))
+
+    def ranked(dist):
         scored = F.transform("_d", lambda x: F.struct(
             F.coalesce(F.round(dist(x), ndigits), F.lit(INF)).alias("key"),
             x["p"].alias("neighbor"), F.round(dist(x), ndigits).alias("distance")))
-        best = F.slice(F.array_sort(scored), 1, k)
-        return (j.select("predicate", F.lit(metric).alias("metric"), F.explode(best).alias("b"))
-                .select("predicate", "metric", "b.key", "b.neighbor", "b.distance"))
-
-    cand = top("euclidean").unionByName(top("cosine"))
+        return F.slice(F.array_sort(scored), 1, k)
+
+    eu = ranked(lambda x: _euclid(F.col("qs"), x["s"], x["ab"]))
+    co = ranked(lambda x: _cos_dist(F.col("qs"), x["s"], x["ab"]))
+    tagged = F.concat(F.transform(eu, lambda b: F.struct(F.lit("euclidean").alias("metric"), b.alias("b"))),
+                      F.transform(co, lambda b: F.struct(F.lit("cosine").alias("metric"), b.alias("b"))))
+    cand = (j.select("predicate", F.explode(tagged).alias("t"))
+            .select("predicate", "t.metric", "t.b.key", "t.b.neighbor", "t.b.distance"))
     w = Window.partitionBy("predicate", "metric").orderBy("key", "neighbor")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("predicate", "metric", F.col("rank").cast("bigint").alias("rank"),
                     "neighbor", "distance"))
 
 
-def gram(space: Space, block_size: int = DEFAULT_BLOCK_ROWS):
-    """All row-by-row dot products as (row_order, [(row_order, dot), ...]) per
-    (row, block); one array per block, never one row per pair."""
-    vecs = sparse_rows(space)
-    n_rows, cells = block_stats(vecs, F.size("vec"))
-    n_blocks = max(1, -(-n_rows // block_size))
-    blocks = pack_blocks(vecs, F.struct(F.col("row_order").alias("o"), F.col("vec").alias("v")),
-                         block_size)
-    q = vecs.select("predicate", "row_order", F.col("vec").alias("qv"))
-    j = join_blocks(q, blocks, n_blocks, cells, ["predicate"])
-    dots = F.transform("_members", lambda m: F.struct(m["o"].alias("o"),
-                                                      sparse_dot(F.col("qv"), m["v"]).alias("d")))
-    return n_rows, j.select("predicate", "row_order", dots.alias("dots"))
-
-
 def pca(space: Space, k: int = 2, max_rows: int = 5000,
         block_size: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Scores on the first ``k`` principal components of the
@@ -152,16 +195,17 @@ def pca(space: Space, k: int = 2, max_rows: int = 5000,
     covariance matrix locally."""
     import numpy as np
 
-    n_rows, g = gram(space, block_size)
+    n_rows = space.rows.count()
     if n_rows > max_rows:
         raise ValueError(f"{n_rows} rows exceed max_rows={max_rows} for the Gram eigenproblem")
-    rows = g.collect()
-    names = {}
+    _, _, bd = block_dots(space, block_size)
+    order = {r["predicate"]: r["row_order"] for r in space.rows.collect()}  # bounded by max_rows
+    names = {v: k for k, v in order.items()}
     G = np.zeros((n_rows, n_rows))
-    for r in rows:
-        names[r["row_order"]] = r["predicate"]
-        for e in r["dots"]:
-            G[r["row_order"], e["o"]] = e["d"]
+    for r in bd.select("predicate", "dots", "names").collect():  # n_rows x n_rows values, bounded
+        i = order[r["predicate"]]
+        for pos, other in enumerate(r["names"]):
+            G[i, order[other]] = r["dots"][pos]
     H = np.eye(n_rows) - 1.0 / n_rows
     Gc = H @ G @ H
     vals, vecs = np.linalg.eigh(Gc)

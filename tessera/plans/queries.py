@@ -264,7 +264,7 @@ def _e13(spark, sf):
 
 @query("e14_all_pairs_similarity")
 def _e14(spark, sf):
-    return ES.all_pairs_similarity(global_space(spark, sf), 10, block_size=16)
+    return ES.all_pairs_similarity(global_space(spark, sf), 10, block_size=16, chunk_size=512)
 
 
 @query("e15_pca")

@@ -93,7 +93,7 @@ def test_all_pairs_topk_matches_brute_force_and_is_symmetric(spark):
     space = SP.build_space(pat_df(spark, data), None, None, filler=None)
     names, X = dense_np(space)
     k = 4
-    got = ES.all_pairs_similarity(space, k, block_size=3)
+    got = ES.all_pairs_similarity(space, k, block_size=3, chunk_size=2)
     eu = {}
     for r in got.filter(F.col("metric") == "euclidean").collect():
         eu.setdefault(r["predicate"], []).append((r["rank"], r["neighbor"], r["distance"]))
