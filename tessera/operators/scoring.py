@@ -127,12 +127,15 @@ def integer_labels(mapping: DataFrame) -> DataFrame:
 
 
 def top_class(df: DataFrame, mapping: DataFrame, scores: str = "scores") -> DataFrame:
-    """H3: index of the largest score (first on ties) -> property of that
-    integer label -> relation."""
-    il = integer_labels(mapping)
-    lab = (il.groupBy("int_label").agg(F.first("prop").alias("_prop"))
+    """H3: index of the largest score (first on ties) -> the property at that
+    position of the sorted mapping values -> relation (the inverse mapping)."""
+    from pyspark.sql import Window
+    # class i = the i-th entry of the mapping values sorted as strings
+    # (duplicates keep their positions); mapping-sized window
+    pos = mapping.withColumn("_cls", (F.row_number().over(Window.orderBy("prop", "rel")) - 1).cast("bigint"))
+    lab = (pos.select("_cls", F.col("prop").alias("_prop"))
            .join(inverse_mapping(mapping).withColumnRenamed("prop", "_prop"), "_prop")
-           .select(F.col("int_label").alias("_cls"), F.col("rel").alias("y_pred")))
+           .select("_cls", F.col("rel").alias("y_pred")))
     out = df.withColumn("_cls", argmax_first(F.col(scores)).cast("bigint"))
     return out.join(F.broadcast(lab), "_cls", "left").drop("_cls")
 

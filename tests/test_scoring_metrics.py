@@ -120,3 +120,12 @@ def test_confusion_matrix_zeros_and_total(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a"), ("x", "a")], "y_true string, y_pred string")
     cm = {(r["actual"], r["predicted"]): r["n"] for r in M.confusion_matrix(df, ["a", "b"]).collect()}
     assert cm == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}
+
+
+def test_top_class_positions_follow_sorted_values_with_duplicates(spark):
+    m = spark.createDataFrame([("r1", "b"), ("r2", "a"), ("r3", "b"), ("r4", "c")], "rel string, prop string")
+    df = spark.createDataFrame([(1, [0.0, 0.0, 5.0, 1.0]), (2, [9.0, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 0.0, 2.0]),
+                                (4, [1.0, 1.0, 0.0, 0.0])], "id int, scores array<double>")
+    got = {r["id"]: r["y_pred"] for r in H.top_class(df, m).collect()}
+    # sorted values a, b, b, c; b maps back to its last relation r3
+    assert got == {1: "r3", 2: "r2", 3: "r4", 4: "r2"}
