@@ -62,16 +62,16 @@ def dimensions(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E3
-def first_prob(df: DataFrame) -> DataFrame:
+def first_prob(df: DataFrame, statistic: str = "frequency") -> DataFrame:
     """One value per (predicate, pair): the first row's prob, first = lowest
     ``src`` then larger statistic (all rows still count in ``tot``)."""
-    key = F.struct(F.col("src"), (-F.col("frequency")).alias("negf"))
+    key = F.struct(F.col("src"), (-F.col(statistic)).alias("negf"))
     return df.groupBy("predicate", "pair").agg(F.min_by("prob", key).alias("value"))
 
 
-def vectorise(probs: DataFrame, dims: DataFrame) -> DataFrame:
+def vectorise(probs: DataFrame, dims: DataFrame, statistic: str = "frequency") -> DataFrame:
     """Entries (predicate, component, value) of every predicate."""
-    fp = first_prob(probs)
+    fp = first_prob(probs, statistic)
     return (fp.join(dims.withColumnRenamed("label", "pair"), "pair")
             .select("predicate", "component", "value"))
 
@@ -93,10 +93,10 @@ def _unique(names: list[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
 
-def full_space(probs: DataFrame) -> Space:
+def full_space(probs: DataFrame, statistic: str = "frequency") -> Space:
     """E2 + E3 for every predicate (notebook mode): rows in predicate order."""
     dims = dimensions(probs)
-    entries = vectorise(probs, dims)
+    entries = vectorise(probs, dims, statistic)
     rows = dense_index(probs.select("predicate").distinct(), ["predicate"], "row_order")
     return Space(rows, entries, dims)
 
@@ -274,7 +274,7 @@ def build_space(df: DataFrame, property_list: list[str] | DataFrame | None = Non
         rows = property_rows(spark, list(property_list))
     if property_list is not None:
         probs = probs.join(F.broadcast(rows.select("predicate")), "predicate", "left_semi")
-    fp = first_prob(probs).filter(F.col("value") != 0)
+    fp = first_prob(probs, statistic).filter(F.col("value") != 0)
     dims = dense_index(fp.select(F.col("pair").alias("label")).distinct(), ["label"], "component")
     entries = (fp.join(dims.withColumnRenamed("label", "pair"), "pair")
                .select("predicate", "component", "value"))

@@ -608,3 +608,5 @@ ORACLES.update({
       SELECT rel, prop, concat(prop, '_@', CAST(row_number() OVER (PARTITION BY prop ORDER BY rel) AS VARCHAR)) AS clone
       FROM m WHERE prop IN (SELECT prop FROM m GROUP BY prop HAVING count(*) > 1)""",
 })
+
+ORACLES["i6_instances_statistic"] = ORACLES["e3_vectorise"]

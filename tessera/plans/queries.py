@@ -744,3 +744,15 @@ def _i4(spark, sf):
     m = V.relation_mapping(spark, sf).select(
         "rel", F.regexp_replace("prop", "^prop:(small|medium|large)$", "prop:size").alias("prop"))
     return PL.clones_from_mapping(m)
+
+
+@query("i6_instances_statistic")
+def _i6(spark, sf):
+    """The ``instances`` statistic end to end: profile files written and read
+    in the instances layout, then E1-E3 on that column."""
+    path = scratch_path(spark, "profile-instances")
+    write_patterns(pat(spark, sf).withColumnRenamed("frequency", "instances"), path, "instances")
+    p = read_patterns(spark, path, statistic="instances")
+    probs = SP.probabilities(p, "instances")
+    space = SP.full_space(probs, "instances")
+    return space.entries.select("predicate", "component", _r6("value"))
