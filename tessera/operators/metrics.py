@@ -27,34 +27,45 @@ def classification_report(pred: DataFrame, labels: list[str], y_true: str = "y_t
     """H9: (label, precision, recall, f1_score, support) for every label of
     the list (unseen labels included with zeros; zero division gives 0),
     then ``accuracy`` (when every observed label is in the list, otherwise
-    ``micro avg``), ``macro avg`` and ``weighted avg``."""
+    ``micro avg``), ``macro avg`` and ``weighted avg``.
+
+    One pass over the predictions: each row emits its true label (support),
+    its predicted label (predicted count) and, when they agree, a hit; one
+    grouped count (combined map-side) gives every per-label figure and the
+    number of labels outside the list.  The rest works on label-sized rows."""
     spark = pred.sparkSession
-    counts = pred.groupBy(F.col(y_true).alias("t"), F.col(y_pred).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"))
+    t, p = F.col(y_true), F.col(y_pred)
+    tags = F.array(F.struct(t.alias("label"), F.lit(1).alias("sup"), F.lit(0).alias("pn"), F.lit(0).alias("tp")),
+                   F.struct(p.alias("label"), F.lit(0).alias("sup"), F.lit(1).alias("pn"), F.lit(0).alias("tp")),
+                   F.struct(t.alias("label"), F.lit(0).alias("sup"), F.lit(0).alias("pn"),
+                            F.when(t == p, F.lit(1)).otherwise(F.lit(0)).alias("tp")))
+    per_label = (pred.select(F.explode(tags).alias("x"))
+                 .groupBy(F.col("x.label").alias("label"))
+                 .agg(F.sum("x.sup").cast("bigint").alias("support"), F.sum("x.pn").cast("bigint").alias("pn"),
+                      F.sum("x.tp").cast("bigint").alias("tp")))
     lab = F.broadcast(_labels_frame(spark, labels))
-    tp = counts.filter(F.col("t") == F.col("p")).select(F.col("t").alias("label"), F.col("n").alias("tp"))
-    pn = counts.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("pn"))
-    sup = counts.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    per = (lab.join(tp, "label", "left").join(pn, "label", "left").join(sup, "label", "left")
-           .fillna(0, ["tp", "pn", "support"]))
+    per = (lab.join(per_label, "label", "left").fillna(0, ["tp", "pn", "support"]))
     per = (per.withColumn("precision", _safe_div(F.col("tp"), F.col("pn")))
            .withColumn("recall", _safe_div(F.col("tp"), F.col("support")))
            .withColumn("f1_score", _f1(F.col("precision"), F.col("recall"))))
-    listed = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
-    outside = (counts.filter(~F.array_contains(listed, F.col("t")) | ~F.array_contains(listed, F.col("p")))
-               .agg(F.count(F.lit(1)).alias("n_out")))
-    tot = per.agg(F.sum("tp").alias("stp"), F.sum("pn").alias("spn"), F.sum("support").alias("ssup"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
-                  _safe_div(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
-                  _safe_div(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
-                  _safe_div(F.sum(F.col("f1_score") * F.col("support")), F.sum("support")).alias("wf"))
-    # both one-row aggregates; combined by union + aggregate, not a join
-    summary = (tot.select("*", F.lit(None).cast("bigint").alias("n_out"))
-               .unionByName(outside.select(*[F.lit(None).cast("double" if c[0] in "mw" else "bigint").alias(c)
-                                             for c in ["stp", "spn", "ssup", "mp", "mr", "mf", "wp", "wr", "wf"]],
-                                           "n_out"))
-               .agg(*[F.max(c).alias(c) for c in ["stp", "spn", "ssup", "mp", "mr", "mf", "wp", "wr", "wf"]],
-                    F.max("n_out").alias("n_out")))
+    outside = per_label.join(lab, "label", "left_anti").select(F.lit(1).alias("o"))
+    # per-label rows and the outside marker folded by one aggregate (label-sized input)
+    folded = (per.select("tp", "pn", "support", "precision", "recall", "f1_score", F.lit(0).alias("o"),
+                         F.lit(1).alias("listed"))
+              .unionByName(outside.select(*[F.lit(None).cast(c).alias(n) for n, c in
+                                            [("tp", "bigint"), ("pn", "bigint"), ("support", "bigint"),
+                                             ("precision", "double"), ("recall", "double"),
+                                             ("f1_score", "double")]], "o", F.lit(0).alias("listed"))))
+    ls = F.col("listed") == 1
+    summary = folded.agg(
+        F.sum(F.when(ls, F.col("tp"))).alias("stp"), F.sum(F.when(ls, F.col("pn"))).alias("spn"),
+        F.sum(F.when(ls, F.col("support"))).alias("ssup"),
+        F.avg(F.when(ls, F.col("precision"))).alias("mp"), F.avg(F.when(ls, F.col("recall"))).alias("mr"),
+        F.avg(F.when(ls, F.col("f1_score"))).alias("mf"),
+        _safe_div(F.sum(F.when(ls, F.col("precision") * F.col("support"))), F.sum(F.when(ls, F.col("support")))).alias("wp"),
+        _safe_div(F.sum(F.when(ls, F.col("recall") * F.col("support"))), F.sum(F.when(ls, F.col("support")))).alias("wr"),
+        _safe_div(F.sum(F.when(ls, F.col("f1_score") * F.col("support"))), F.sum(F.when(ls, F.col("support")))).alias("wf"),
+        F.sum("o").alias("n_out"))
     micro_p = _safe_div(F.col("stp"), F.col("spn"))
     micro_r = _safe_div(F.col("stp"), F.col("ssup"))
     micro = summary.select(
