@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import DEFAULT_BLOCK_ROWS, block_stats, join_blocks, pack_blocks
+from tessera.functions.blocks import (DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS, block_stats,
+                                      join_blocks, pack_blocks)
 from tessera.functions.vectors import argmax_first, cosine, dot, embedding_cosine, sq_norm
 from tessera.operators.space import Space, to_dense
 
@@ -38,7 +39,8 @@ def dense_rows(space: Space, max_dims: int = 1_000_000) -> DataFrame:
 
 
 def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
-              ties: str = "first", block_size: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+              ties: str = "first", block_size: int = DEFAULT_BLOCK_ROWS,
+              max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """queries + ``nearest``, ``nearest_order``, ``sim`` (cosine, norms
     clamped, so a zero vector scores 0 everywhere and gets the first row).
     ``ties='first'``: lowest row order wins a tie; ``'last'``: highest."""
@@ -48,7 +50,7 @@ def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
                       F.col("vec").alias("v"), F.col("sq").alias("s"))
     blocks = pack_blocks(rows, member, block_size)
     q = queries.withColumn("_qsq", sq_norm(F.col(vec)))
-    j = join_blocks(q, blocks, n_blocks, cells, id_cols)
+    j = join_blocks(q, blocks, n_blocks, cells, id_cols, max_broadcast_cells)
     tie = (lambda m: -m["o"]) if ties == "first" else (lambda m: m["o"])
 
     def score(m):
@@ -66,9 +68,13 @@ def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
 
 
 def nearest_property(projections: DataFrame, space: Space, id_cols=("id",), vec: str = "vec",
-                     block_size: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """H1: nearest space row by cosine; the first maximum in row order wins."""
-    return _best_row(projections, list(id_cols), vec, dense_rows(space), "first", block_size)
+                     block_size: int = DEFAULT_BLOCK_ROWS,
+                     max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
+    """H1: nearest space row by cosine; the first maximum in row order wins.
+    Space blocks are broadcast below ``max_broadcast_cells`` (rows x width),
+    otherwise joined by a salted shuffle."""
+    return _best_row(projections, list(id_cols), vec, dense_rows(space), "first", block_size,
+                     max_broadcast_cells)
 
 
 def inverse_mapping(mapping: DataFrame) -> DataFrame:

@@ -151,14 +151,15 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
 
 
 def all_pairs_similarity(space: Space, k: int = 10, block_size: int = DEFAULT_BLOCK_ROWS,
-                         ndigits: int = 6, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                         ndigits: int = 6, chunk_size: int = DEFAULT_CHUNK,
+                         max_broadcast_entries: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """E13 for every row at once: (predicate, metric, rank, neighbor,
     distance), the ``k`` nearest rows by each metric, self included.
 
     Built on ``block_dots``: each (row, block) reduces its block to its own
     top-k inside one expression, then a window keeps the best ``k`` of the
     per-block winners (at most blocks x k rows per predicate)."""
-    _, _, bd = block_dots(space, block_size, chunk_size)
+    _, _, bd = block_dots(space, block_size, chunk_size, max_broadcast_entries)
     trio = F.zip_with(F.zip_with("names", "sqs", lambda n, s: F.struct(n.alias("n"), s.alias("s"))),
                       F.slice("dots", 1, F.size("names")),
                       lambda c, d: F.struct(c["n"].alias("p"), c["s"].alias("s"), d.alias("ab")))

@@ -34,6 +34,9 @@ def test_nearest_blocks_agree_with_single_block(spark):
     q = [(i, [float(x) for x in rng.normal(size=5)], 0.1) for i in range(40)]
     a = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=4), "id", "nearest")
     b = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=1000), "id", "nearest")
+    # the same answer when the blocks are too big to broadcast (salted shuffle join)
+    c = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=4, max_broadcast_cells=0), "id", "nearest")
+    assert a == c
     X = np.array([v for _, v in vecs])
     expect = []
     for i, v, _ in q:
