@@ -24,6 +24,22 @@ from tessera.functions.vectors import dense_from_map
 
 CLONE_MARK = "@"
 
+# The clone list of the reference's relation space (properties
+# shared by several relations, one clone per relation).
+PROFILE_CLONES = [
+    "http://dbpedia.org/ontology/headquarter_@1",
+    "http://dbpedia.org/ontology/headquarter_@2",
+    "http://dbpedia.org/ontology/headquarter_@3",
+    "http://dbpedia.org/ontology/membership_@1",
+    "http://dbpedia.org/ontology/membership_@2",
+    "http://dbpedia.org/ontology/membership_@3",
+    "http://dbpedia.org/ontology/residence_@1",
+    "http://dbpedia.org/ontology/residence_@2",
+    "http://dbpedia.org/ontology/residence_@3",
+    "http://dbpedia.org/ontology/alias_@1",
+    "http://dbpedia.org/ontology/alias_@2",
+]
+
 
 @dataclass
 class Space:
