@@ -25,5 +25,7 @@ def test_profile_to_relation_space(spark, tmp_dir):
     space = W.relation_space(spark, prof, tmp_dir + "/plist.txt", clones=["hq_@1", "hq_@2"])
     sums = {r["predicate"]: round(r["row_sum"], 9) for r in SP.row_sums(space).collect()}
     assert set(sums) == {"spouse", "org:hq_city", "none", "hq_@1", "hq_@2", "no_relation"}
-    assert sums["hq_@1"] == 2.0 and sums["none"] == 0.0 and sums["spouse"] == 1.0
+    # (Org, hq, Lake) is in both files: both count in the total (112), only
+    # the first row's probability is used, so the hq row sums to 100/112
+    assert sums["hq_@1"] == round(1 + 100 / 112, 9) and sums["none"] == 0.0 and sums["spouse"] == 1.0
     assert rows(space.rows, "row_order", "predicate")[-1] == (5, "no_relation")
