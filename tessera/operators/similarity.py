@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS
+from tessera.functions.blocks import DEFAULT_BLOCK_ROWS
 from tessera.functions.vectors import sparse_dot
 from tessera.operators.space import Space, to_dense
 
@@ -92,7 +92,7 @@ DEFAULT_CHUNK = 4096
 
 
 def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: int = DEFAULT_CHUNK,
-               max_broadcast_entries: int = DEFAULT_MAX_BROADCAST_CELLS):
+               max_broadcast_entries: int | None = None):
     """Dot products of every row with every row, one dense array per
     (row, block of rows).
 
@@ -101,10 +101,12 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
     huge share of the patterns is spread over many chunk rows.  A query
     chunk joins the block chunks with the same (block, chunk) id and yields
     a partial ``block_size``-long array; the partial arrays of a
-    (row, block) are summed element-wise (at most one per chunk).  The
-    member table is broadcast only when the whole space is under
-    ``max_broadcast_entries`` (one count); otherwise it is a shuffle join on
-    (block, chunk).
+    (row, block) are summed element-wise (at most one per chunk).  By
+    default the member and roster joins are left to AQE, which broadcasts
+    them only when their materialised size is under the broadcast
+    threshold and otherwise keeps a shuffle join on (block, chunk); with
+    ``max_broadcast_entries`` the space is counted and the member table is
+    hinted when it is under that bound.
 
     Returns (n_rows, n_blocks, DataFrame(predicate, qs, _block, dots,
     names, sqs)) where ``names``/``sqs`` list the block members in position
@@ -135,8 +137,9 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
               .select("_block", F.transform("_r", lambda x: x["n"]).alias("names"),
                       F.transform("_r", lambda x: x["s"]).alias("sqs")))
     q = chunks.withColumn("_block", blocks_seq)
-    small = space.entries.count() <= max_broadcast_entries
-    j = q.join(F.broadcast(members) if small else members, ["_block", "chunk"])
+    if max_broadcast_entries is not None and space.entries.count() <= max_broadcast_entries:
+        members = F.broadcast(members)
+    j = q.join(members, ["_block", "chunk"])
     partial = j.select("predicate", "_block", F.transform(
         "_members", lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(sparse_dot(F.col("m"), x))).alias("part"))
     summed = partial.groupBy("predicate", "_block").agg(F.collect_list("part").alias("_parts"))
@@ -145,14 +148,14 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
                        F.array_repeat(F.lit(0.0), B),
                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
     out = (every.join(summed, ["predicate", "_block"], "left")
-           .join(F.broadcast(roster) if n_blocks * B <= max_broadcast_entries else roster, "_block")
+           .join(roster, "_block")
            .select("predicate", "qs", "_block", dots.alias("dots"), "names", "sqs"))
     return n_rows, n_blocks, out
 
 
 def all_pairs_similarity(space: Space, k: int = 10, block_size: int = DEFAULT_BLOCK_ROWS,
                          ndigits: int = 6, chunk_size: int = DEFAULT_CHUNK,
-                         max_broadcast_entries: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
+                         max_broadcast_entries: int | None = None) -> DataFrame:
     """E13 for every row at once: (predicate, metric, rank, neighbor,
     distance), the ``k`` nearest rows by each metric, self included.
 

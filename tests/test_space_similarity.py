@@ -101,8 +101,15 @@ def test_all_pairs_topk_matches_brute_force_and_is_symmetric(spark):
         d = np.linalg.norm(X - X[i], axis=1)
         expect = sorted((round(d[j], 6), names[j]) for j in range(len(names)))[:k]
         assert [(x[2], x[1]) for x in sorted(eu[n])] == expect
-    shuffled = ES.all_pairs_similarity(space, k, block_size=3, chunk_size=2, max_broadcast_entries=0)
-    assert rows(shuffled) == rows(got)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffle joins
+    try:
+        shuffled = ES.all_pairs_similarity(space, k, block_size=3, chunk_size=2, max_broadcast_entries=0)
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [_block" not in plan and "SortMergeJoin [_block" in plan
+        assert rows(shuffled) == rows(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     dist = {(r["predicate"], r["neighbor"]): r["distance"] for r in got.collect()}
     for (a, b), v in dist.items():
         if (b, a) in dist:
