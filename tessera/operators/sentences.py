@@ -47,17 +47,30 @@ def strip_markers(df: DataFrame, out: str = "clean") -> DataFrame:
     return df.withColumn(out, clean_sentence(F.col("sentence")))
 
 
-def _last_index(toks, marker):
-    idx = F.transform(toks, lambda t, i: F.when(t == F.lit(marker), i))
-    return F.array_max(F.filter(idx, lambda x: x.isNotNull()))
+_MARK_FIELDS = {"<e1>": "a", "</e1>": "b", "<e2>": "c", "</e2>": "d"}
 
 
-def _markers_before(toks, marker):
-    """For the last ``marker`` token: how many marker tokens precede it."""
-    flags = F.transform(toks, lambda t: F.when(t.isin(*MARKERS), F.lit(1)).otherwise(F.lit(0)))
-    last = _last_index(toks, marker)
-    return F.aggregate(F.slice(flags, F.lit(1), F.coalesce(last, F.lit(0))), F.lit(0),
-                       lambda acc, x: acc + x)
+def _marker_scan(toks):
+    """One pass over the tokens: for each marker the index of its last
+    occurrence (``a``-``d``) and how many marker tokens precede it
+    (``na``-``nd``); nulls when a marker is absent."""
+    init = F.struct(*[F.lit(None).cast("int").alias(f) for f in "abcd"],
+                    *[F.lit(None).cast("int").alias("n" + f) for f in "abcd"],
+                    F.lit(0).alias("seen"))
+
+    def step(acc, x):
+        t, i = x["t"], x["i"]
+        fields = []
+        for m, f in _MARK_FIELDS.items():
+            fields.append(F.when(t == F.lit(m), i).otherwise(acc[f]).alias(f))
+        for m, f in _MARK_FIELDS.items():
+            fields.append(F.when(t == F.lit(m), acc["seen"]).otherwise(acc["n" + f]).alias("n" + f))
+        is_marker = t.isin(*MARKERS)
+        fields.append((acc["seen"] + F.when(is_marker, F.lit(1)).otherwise(F.lit(0))).alias("seen"))
+        return F.struct(*fields)
+
+    indexed = F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    return F.aggregate(indexed, init, step)
 
 
 def entity_spans(df: DataFrame, order_safe: bool = False) -> DataFrame:
@@ -66,21 +79,18 @@ def entity_spans(df: DataFrame, order_safe: bool = False) -> DataFrame:
     For the last ``<e1>``, ``</e1>``, ``<e2>``, ``</e2>`` token at index i the
     positions are i, i-2, i-2, i-4; a missing marker gives 0.  These fixed
     offsets assume e1 precedes e2; ``order_safe`` instead subtracts the
-    markers actually seen before each one."""
-    toks = tokens(F.col("sentence"))
-    out = df.withColumn("_toks", toks)
-    t = F.col("_toks")
+    markers actually seen before each one.  The tokens are scanned once."""
+    out = df.withColumn("_scan", _marker_scan(tokens(F.col("sentence"))))
+    sc = F.col("_scan")
     if not order_safe:
-        offsets = {"e1_start": ("<e1>", 0), "e1_end": ("</e1>", 2),
-                   "e2_start": ("<e2>", 2), "e2_end": ("</e2>", 4)}
-        for name, (m, off) in offsets.items():
-            out = out.withColumn(name, F.coalesce(_last_index(t, m) - F.lit(off), F.lit(0)))
+        offsets = {"e1_start": ("a", 0), "e1_end": ("b", 2), "e2_start": ("c", 2), "e2_end": ("d", 4)}
+        for name, (f, off) in offsets.items():
+            out = out.withColumn(name, F.coalesce(sc[f] - F.lit(off), F.lit(0)))
     else:
-        for name, m, closing in (("e1_start", "<e1>", 0), ("e1_end", "</e1>", 1),
-                                 ("e2_start", "<e2>", 0), ("e2_end", "</e2>", 1)):
-            pos = _last_index(t, m) - _markers_before(t, m) - F.lit(closing)
-            out = out.withColumn(name, F.coalesce(pos, F.lit(0)))
-    return out.drop("_toks")
+        for name, f, closing in (("e1_start", "a", 0), ("e1_end", "b", 1),
+                                 ("e2_start", "c", 0), ("e2_end", "d", 1)):
+            out = out.withColumn(name, F.coalesce(sc[f] - sc["n" + f] - F.lit(closing), F.lit(0)))
+    return out.drop("_scan")
 
 
 def tag_arrays(tags: DataFrame, key: str = "sentence") -> DataFrame:

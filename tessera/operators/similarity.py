@@ -2,8 +2,8 @@
 
 Distances are Euclidean and cosine *distance* (1 - cosine); a zero row
 has a null cosine distance.  Sparse dot products are joins on the
-component (E11, E12) or block-wise map lookups (E14); no pair of rows is
-ever materialised as a row.
+component (E11, E12) or block-wise chunk lookups (E14, E15); no pair of
+rows is ever materialised as a row.
 """
 
 from __future__ import annotations
@@ -75,19 +75,6 @@ def top_similar(space: Space, prop: str, n: int, k: int = 10) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def sparse_rows(space: Space) -> DataFrame:
-    """(predicate, row_order, vec map<bigint,double>, sq) for every row.
-    Holds a whole row per map: only for spaces whose rows are bounded
-    (small restricted spaces); the all-rows operators use ``block_dots``."""
-    m = space.entries.groupBy("predicate").agg(
-        F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("vec"),
-        F.sum(F.col("value") * F.col("value")).alias("sq"))
-    return (space.rows.join(m, "predicate", "left")
-            .select("predicate", "row_order",
-                    F.coalesce("vec", F.create_map().cast("map<bigint,double>")).alias("vec"),
-                    F.coalesce("sq", F.lit(0.0)).alias("sq")))
-
-
 DEFAULT_CHUNK = 4096
 
 

@@ -236,7 +236,7 @@ TARGET = """t AS (SELECT component, value AS tv FROM ent WHERE predicate = 'red
                FROM ent e LEFT JOIN t ON e.component = t.component GROUP BY e.predicate) s
       ON s.predicate = r.predicate,
     (SELECT coalesce(sum(tv * tv), 0) AS na FROM t) tn
-    WHERE r.row_order <= 20)"""
+    WHERE r.row_order <= 14000)"""
 
 ALLPAIRS = """norms AS (SELECT r.predicate, coalesce(n.sq, 0) AS sq FROM allrows r
     LEFT JOIN (SELECT predicate, sum(value * value) AS sq FROM ent GROUP BY predicate) n
