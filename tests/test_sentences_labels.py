@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tessera.operators import labels as G
