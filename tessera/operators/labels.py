@@ -10,6 +10,7 @@ from tessera.functions.text import tokens
 from tessera.functions.vectors import array_sum
 from tessera.operators.scoring import _best_row, dense_rows, integer_labels  # noqa: F401
 from tessera.operators.space import Space
+from tessera.session import checkpoint_dir
 
 # Reserved ids of the sequence encoder.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -123,6 +124,11 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str = "id", col: s
         "_ids", F.coalesce(F.transform("_s", lambda x: x["token_id"]), F.array().cast("array<int>")))
     body = F.slice(F.col("_ids"), 1, max_length - 2)
     seq = seq.withColumn("_enc", F.concat(F.array(F.lit(cls_id)), body, F.array(F.lit(sep_id))))
+    # padding needs the longest row first: checkpoint the unpadded encodings
+    # once, so the length scan and the output read the same written data
+    # instead of running the tokenise/join/group twice
+    checkpoint_dir(seq.sparkSession)
+    seq = seq.select(id_col, "_enc").checkpoint()
     longest = seq.agg(F.max(F.size("_enc"))).first()[0] or 0
     pad = F.array_repeat(F.lit(pad_id), F.lit(longest) - F.size("_enc"))
     return seq.select(
