@@ -19,10 +19,18 @@ def _check_position(position: str) -> None:
         raise ValueError(f"position must be one of {POSITIONS}")
 
 
+# a Python value list up to this size becomes an IN filter, which reaches
+# the parquet scan (row-group skipping); longer lists are a broadcast semi-join
+MAX_IN_LIST = 1000
+
+
 def filter_exact(df: DataFrame, position: str, values) -> DataFrame:
-    """Patterns whose ``position`` is one of ``values`` (semi-join; a
-    Python list is bounded by the caller and broadcast)."""
+    """Patterns whose ``position`` is one of ``values``.  A short Python
+    list is an ``IN`` filter pushed to the scan; a longer list is broadcast
+    (its size is the caller's); a DataFrame is a semi-join sized by AQE."""
     _check_position(position)
+    if not isinstance(values, DataFrame) and len(set(values)) <= MAX_IN_LIST:
+        return df.filter(F.col(position).isin(sorted(set(values))))
     v = values_frame(df.sparkSession, values, position)
     if not isinstance(values, DataFrame):
         v = F.broadcast(v)

@@ -276,20 +276,23 @@ def build_space(df: DataFrame, property_list: list[str] | DataFrame | None = Non
                 statistic: str = "frequency") -> Space:
     """E1 -> E2 -> E3 -> E4 -> E5 -> E6 -> E7.
 
-    With a property list the patterns are restricted before indexing, so
-    only the pairs of the kept rows are indexed once (that is exactly the
-    E2 ids after E5's re-index).  ``property_list=None`` keeps every
+    With a property list the patterns are restricted first (totals are per
+    predicate, so this does not change any probability) and only the pairs
+    of the kept rows are indexed, once (exactly the E2 ids after E5's
+    re-index).  ``property_list=None`` keeps every
     predicate (notebook mode)."""
     spark = df.sparkSession
-    probs = probabilities(df, statistic)
     if property_list is None:
         rows = dense_index(df.select("predicate").distinct(), ["predicate"], "row_order")
     elif isinstance(property_list, DataFrame):
         rows = property_list.select("predicate", F.col("row_order").cast("bigint"))
+        # a predicate's total only depends on its own rows: restrict first
+        df = df.join(F.broadcast(rows.select("predicate")), "predicate", "left_semi")
     else:
         rows = property_rows(spark, list(property_list))
-    if property_list is not None:
-        probs = probs.join(F.broadcast(rows.select("predicate")), "predicate", "left_semi")
+        # restrict before the totals; a listed IN filter reaches the scan
+        df = df.filter(F.col("predicate").isin(_unique(list(property_list))))
+    probs = probabilities(df, statistic)
     fp = first_prob(probs, statistic).filter(F.col("value") != 0)
     dims = dense_index(fp.select(F.col("pair").alias("label")).distinct(), ["label"], "component")
     entries = (fp.join(dims.withColumnRenamed("label", "pair"), "pair")

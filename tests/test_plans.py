@@ -18,10 +18,15 @@ def test_no_cartesian_product_in_all_pairs(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_exact_filter_is_a_broadcast_semi_join(spark):
-    df = pat_df(spark, [("a", "p", "b", 1)])
+def test_exact_filter_pushes_short_lists_and_broadcasts_long_ones(spark, tmp_dir):
+    pat_df(spark, [("a", "p", "b", 1), ("a", "z", "b", 2)]).write.parquet(tmp_dir + "/pat")
+    df = spark.read.parquet(tmp_dir + "/pat")
     p = plan(D.filter_exact(df, "predicate", ["p", "q"]))
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p
+    assert "PushedFilters: [In(predicate, [p,q])]" in p or "In(predicate, [p,q])" in p
+    long_list = [f"v{i}" for i in range(D.MAX_IN_LIST + 1)] + ["p"]
+    p2 = plan(D.filter_exact(df, "predicate", long_list))
+    assert "BroadcastHashJoin" in p2 and "LeftSemi" in p2
+    assert [r["predicate"] for r in D.filter_exact(df, "predicate", long_list).collect()] == ["p"]
 
 
 def test_lookup_is_pushed_to_the_scan(spark, tmp_dir):
