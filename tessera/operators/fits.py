@@ -47,17 +47,29 @@ def fit_baseline(df: DataFrame, vec: str = "vec", label: str = "int_label", n_cl
     return model, out.drop("_f", "_y", "rawPrediction", "probability", "prediction")
 
 
-def _outer(a, b):
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+def _gram_batches(batches, x_col: str = "_x", y_col: str = "_y"):
+    """Per Arrow batch: X'X and X'Y as flat arrays (numpy matrix products
+    inside the task; one small row per batch leaves it)."""
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        X = np.stack(pdf[x_col].to_numpy()).astype(float)
+        Y = np.stack(pdf[y_col].to_numpy()).astype(float)
+        yield pd.DataFrame({"xx": [(X.T @ X).ravel()], "xy": [(X.T @ Y).ravel()]})
 
 
 def fit_projector(df: DataFrame, vec: str = "vec", target: str = "target",
                   no_rel: str = "is_no_relation", ridge: float = 1e-3):
     """Linear map vector -> property vector (with bias) fitted by ridge
     least squares on the rows that are not no-relation (as the projection
-    loss masks them).  X'X and X'Y are summed by a Spark aggregate
-    (``Summarizer`` over flattened outer products); the solve is local.
-    Returns the weight matrix (numpy, (d+1) x D)."""
+    loss masks them).  Each task multiplies its Arrow batches with numpy
+    (``mapInPandas``) and emits one partial X'X / X'Y per batch; a JVM
+    aggregate (``Summarizer.sum``) adds them, and only the
+    (d+1) x (d+1) solve is local.  Returns the weight matrix
+    (numpy, (d+1) x D)."""
     import numpy as np
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
@@ -68,9 +80,9 @@ def fit_projector(df: DataFrame, vec: str = "vec", target: str = "target",
     if first is None:
         raise ValueError("no training rows")
     d, k = len(first["_x"]), len(first["_y"])
-    g = train.select(array_to_vector(_outer(F.col("_x"), F.col("_x"))).alias("xx"),
-                     array_to_vector(_outer(F.col("_x"), F.col("_y"))).alias("xy"))
-    s = g.select(Summarizer.sum(F.col("xx")).alias("xx"), Summarizer.sum(F.col("xy")).alias("xy")).first()
+    parts = train.mapInPandas(_gram_batches, "xx array<double>, xy array<double>")
+    s = parts.select(Summarizer.sum(array_to_vector("xx")).alias("xx"),
+                     Summarizer.sum(array_to_vector("xy")).alias("xy")).first()
     xx = np.asarray(s["xx"].toArray()).reshape(d, d)
     xy = np.asarray(s["xy"].toArray()).reshape(d, k)
     return np.linalg.solve(xx + ridge * np.eye(d), xy)

@@ -132,3 +132,20 @@ def test_top_class_positions_follow_sorted_values_with_duplicates(spark):
     got = {r["id"]: r["y_pred"] for r in H.top_class(df, m).collect()}
     # sorted values a, b, b, c; b maps back to its last relation r3
     assert got == {1: "r3", 2: "r2", 3: "r4", 4: "r2"}
+
+
+def test_projector_matches_numpy_ridge(spark):
+    from tessera.operators import fits as FT
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 4))
+    W = rng.normal(size=(5, 3))
+    Y = np.c_[X, np.ones(60)] @ W
+    data = [(i, [float(v) for v in X[i]], [float(v) for v in Y[i]], bool(i % 7 == 0)) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, vec array<double>, target array<double>, is_no_relation boolean")
+    got = FT.fit_projector(df.repartition(3), ridge=1e-9)
+    keep = [i for i in range(60) if i % 7 != 0]
+    Xb = np.c_[X[keep], np.ones(len(keep))]
+    expect = np.linalg.solve(Xb.T @ Xb + 1e-9 * np.eye(5), Xb.T @ Y[keep])
+    assert np.abs(got - expect).max() < 1e-8
+    out = FT.project(df, got).orderBy("id").collect()
+    assert np.allclose(out[1]["projection"], np.maximum(Y[1], 0), atol=1e-6)
