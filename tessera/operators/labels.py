@@ -80,7 +80,9 @@ def check_vector_owner(vectors: DataFrame, space: Space, mapping: DataFrame, id_
     rows checked, rows owned by their property, mismatches."""
     dense = dense_rows(space).select(F.col("predicate").alias("owner"), F.col("vec").alias(vec))
     v = map_relations(vectors.select(id_col, rel, vec), mapping, "null")
-    owned = (v.join(dense, vec, "left")
+    # many rows share one vector (one per relation): broadcast the checked
+    # space side so no vector value becomes a hot shuffle key
+    owned = (v.join(F.broadcast(dense), vec, "left")
              .groupBy(id_col).agg(F.max(F.col("owner") == F.col("prop")).alias("_ok")))
     return owned.agg(F.count(F.lit(1)).alias("n_rows"),
                      F.count_if(F.coalesce("_ok", F.lit(False))).alias("n_owned"),
