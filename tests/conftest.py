@@ -32,3 +32,10 @@ def pat_df(spark, data, src=0):
     df = spark.createDataFrame(data, "subject string, predicate string, object string, frequency bigint")
     from pyspark.sql import functions as F
     return with_pair(df.withColumn("src", F.lit(src)))
+
+
+@pytest.fixture(scope="session")
+def spark_session_holder(spark):
+    """The session for hypothesis tests (function-scoped fixtures are
+    reset between generated examples, session ones are not)."""
+    return spark
