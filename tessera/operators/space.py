@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.index import dense_index
 from tessera.functions.vectors import dense_from_map
+from tessera.session import checkpoint_dir
 
 CLONE_MARK = "@"
 
@@ -110,10 +111,16 @@ def _unique(names: list[str]) -> list[str]:
 
 
 def full_space(probs: DataFrame, statistic: str = "frequency") -> Space:
-    """E2 + E3 for every predicate (notebook mode): rows in predicate order."""
-    dims = dimensions(probs)
-    entries = vectorise(probs, dims, statistic)
-    rows = dense_index(probs.select("predicate").distinct(), ["predicate"], "row_order")
+    """E2 + E3 for every predicate (notebook mode): rows in predicate order.
+    The first-row table is checkpointed once; dims, rows and entries all
+    read it instead of recomputing the totals."""
+    checkpoint_dir(probs.sparkSession)
+    fp = first_prob(probs, statistic).checkpoint()
+    dims = dense_index(fp.select(F.col("pair").alias("label")).distinct(), ["label"], "component").select(
+        "component", "label")
+    entries = (fp.join(dims.withColumnRenamed("label", "pair"), "pair")
+               .select("predicate", "component", "value"))
+    rows = dense_index(fp.select("predicate").distinct(), ["predicate"], "row_order")
     return Space(rows, entries, dims)
 
 
@@ -293,7 +300,9 @@ def build_space(df: DataFrame, property_list: list[str] | DataFrame | None = Non
         # restrict before the totals; a listed IN filter reaches the scan
         df = df.filter(F.col("predicate").isin(_unique(list(property_list))))
     probs = probabilities(df, statistic)
-    fp = first_prob(probs, statistic).filter(F.col("value") != 0)
+    checkpoint_dir(spark)
+    # computed once: the dense index and the entries both read the checkpoint
+    fp = first_prob(probs, statistic).filter(F.col("value") != 0).checkpoint()
     dims = dense_index(fp.select(F.col("pair").alias("label")).distinct(), ["label"], "component")
     entries = (fp.join(dims.withColumnRenamed("label", "pair"), "pair")
                .select("predicate", "component", "value"))
