@@ -41,7 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     It is read from the session.  Only when the setting is absent (local
     tests) a private temporary folder is created and registered."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     current = sc.getCheckpointDir()
     if current:
         return current
