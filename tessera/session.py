@@ -44,7 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        # a folder the cluster shares by definition, not a machine-local one
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
     current = sc.getCheckpointDir()
     if current:
         return current
