@@ -610,3 +610,4 @@ ORACLES.update({
 })
 
 ORACLES["i6_instances_statistic"] = ORACLES["e3_vectorise"]
+ORACLES["a4_sentences_csv_round_trip"] = ORACLES["f7_prepare_sentences"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.index import lines_in_file_order
-from tessera.operators.space import Space, to_wide
+from tessera.operators.space import Space, to_long, to_wide
 
 
 # ------------------------------------------------------------------ A2 writer
@@ -38,9 +38,19 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_CSV_KEEP_SPACES = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_sentences_csv(df: DataFrame, path: str) -> None:
-    """A4 as CSV with a header; empty type strings stay ``""``."""
-    df.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+    """A4 as CSV with a header; entity text keeps its surrounding blanks and
+    an empty type string is written as an empty field."""
+    df.write.mode("overwrite").options(**_CSV_KEEP_SPACES).csv(path)
+
+
+def read_sentences_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A4 reload from CSV (all columns strings).  As with the reference's
+    CSV round trip, an empty type comes back missing (null)."""
+    return spark.read.options(**_CSV_KEEP_SPACES).csv(path)
 
 
 # ------------------------------------------------------------------ A5
@@ -58,8 +68,20 @@ def read_space(spark: SparkSession, path: str) -> Space:
 
 
 def write_space_wide_csv(space: Space, path: str, max_cols: int = 1000) -> None:
-    """A5 wide export: predicate first, one column per component."""
-    to_wide(space, max_cols).drop("row_order").write.mode("overwrite").option("header", True).csv(path)
+    """A5 wide export: predicate and row order first, one column ``c<k>`` per
+    component."""
+    to_wide(space, max_cols).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_space_wide_csv(spark: SparkSession, path: str) -> Space:
+    """A5 reload of the wide export as a sparse space (zeros dropped)."""
+    wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    comp = [c for c in wide.columns if c.startswith("c") and c[1:].isdigit()]
+    typed = wide.select("predicate", F.col("row_order").cast("bigint").alias("row_order"),
+                        *[F.col(c).cast("double").alias(c) for c in comp])
+    entries = to_long(typed)
+    dims = spark.createDataFrame([(int(c[1:]), c) for c in comp], "component bigint, label string")
+    return Space(typed.select("predicate", "row_order"), entries, dims)
 
 
 # ------------------------------------------------------------------ A6

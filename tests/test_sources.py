@@ -30,3 +30,21 @@ def test_mapping_json_round_trip(spark, tmp_dir):
                                        ("org:top_members/employees", "org:top_members_employees")]
     IO.write_mapping(m, tmp_dir + "/map2")
     assert rows(IO.read_mapping(spark, tmp_dir + "/map2")) == rows(m)
+
+
+def test_sentence_csv_keeps_blanks_and_reads_empty_types_as_missing(spark, tmp_dir):
+    df = spark.createDataFrame([("s <e1> a </e1>", " a ", "PER", ""), ("t", " b", "", "LOC")],
+                               "sentence string, e1 string, e1_type_CNLP string, e2_type_CNLP string")
+    IO.write_sentences_csv(df, tmp_dir + "/csv")
+    back = IO.read_sentences_csv(spark, tmp_dir + "/csv")
+    assert rows(back) == [("s <e1> a </e1>", " a ", "PER", None), ("t", " b", None, "LOC")]
+
+
+def test_wide_space_csv_round_trip(spark, tmp_dir):
+    from conftest import pat_df
+    from tessera.operators import space as SP
+    space = SP.build_space(pat_df(spark, [("a", "p", "x", 3), ("a", "p", "y", 1), ("b", "q", "x", 2)]),
+                           ["p", "q", "none"], None)
+    IO.write_space_wide_csv(space, tmp_dir + "/wide")
+    back = IO.read_space_wide_csv(spark, tmp_dir + "/wide")
+    assert rows(back.long()) == rows(space.long())
