@@ -143,10 +143,10 @@ def predicates_with_n_patterns(df: DataFrame, n: int = 5) -> DataFrame:
             .filter(F.col("size") == n).select("predicate"))
 
 
-def pair_sets(df: DataFrame, preds: DataFrame | None = None) -> DataFrame:
-    """C14: sorted set of pairs per predicate (restricted to ``preds`` when
-    given).  Meant for the bounded predicates of C13."""
-    src = df if preds is None else df.join(preds, "predicate", "left_semi")
+def pair_sets(df: DataFrame, preds: DataFrame) -> DataFrame:
+    """C14: sorted set of pairs of each selected predicate.  The selection
+    (C13: predicates with exactly n patterns) bounds every set by n."""
+    src = df.join(preds.select("predicate"), "predicate", "left_semi")
     return src.groupBy("predicate").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
 
 

@@ -107,7 +107,7 @@ def evaluate(projections: DataFrame, space, mapping: DataFrame, labels: list[str
     """H2 over every row, then the report (H9) and matrix.
     The default label list is the mapping's relations (dictionary-sized)."""
     if labels is None:
-        labels = sorted(r[0] for r in mapping.select("rel").distinct().collect())
+        labels = sorted(r[0] for r in mapping.select("rel").distinct().collect())  # dictionary-sized
     pred = gated_predict(projections, space, mapping, id_cols, vec, gate)
     pred = pred.select(*id_cols, F.col(y_true).alias("y_true"), "y_pred")
     return pred, classification_report(pred, labels), confusion_matrix(pred, labels)

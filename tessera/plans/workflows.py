@@ -35,8 +35,7 @@ def relation_space(spark: SparkSession, profile: DataFrame, property_list_path:
     """E10 over the listed properties (A7), with the clone rows and the
     ``no_relation`` filler; ``property_list_path=None`` keeps every predicate."""
     plist = read_property_list(spark, property_list_path) if property_list_path else None
-    names = None if plist is None else [r["predicate"] for r in plist.orderBy("row_order").collect()]
-    return build_space(profile, names, clones, statistic=statistic)
+    return build_space(profile, plist, clones, statistic=statistic)
 
 
 def prepared_dataset(spark: SparkSession, records_path: str, tags: DataFrame) -> DataFrame:
