@@ -53,7 +53,8 @@ def subtypes(types: DataFrame, subclass: DataFrame, col: str = "value",
     cheap emptiness probe of the checkpoint."""
     spark = types.sparkSession
     checkpoint_dir(spark)
-    edges = subclass.select(F.col("parent").alias("type"), F.col("child")).distinct()
+    # read by every round: materialised once instead of re-derived per level
+    edges = subclass.select(F.col("parent").alias("type"), F.col("child")).distinct().checkpoint()
     frontier = types.select(F.col(col).alias("root"), F.col(col).alias("type")).distinct().checkpoint()
     parts = [frontier]
     for _ in range(max_rounds):
