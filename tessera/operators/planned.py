@@ -20,18 +20,20 @@ def majority_type(spans: DataFrame, tags: DataFrame, key: str = "sentence") -> D
     span (tie: smallest tag); null when the span has none.  One join with
     the per-sentence tags (``tag_arrays``); the counting happens inside the
     row (a span is bounded by its sentence)."""
-    from tessera.operators.sentences import tag_arrays
+    from tessera.operators.sentences import tag_arrays, tag_at
 
-    j = spans.join(tag_arrays(tags, key), key, "left")
+    tm = tag_arrays(tags, key)
+    j = spans.join(tm, key, "left")
 
     def span_tags(a, b):
         s, e = F.col(a).cast("bigint"), F.col(b).cast("bigint")
         pos = F.when(e >= s, F.sequence(s, e)).otherwise(F.array().cast("array<bigint>"))
-        look = F.transform(pos, lambda p: F.try_element_at(F.col("tag_map"), p))
+        look = F.transform(pos, lambda p: tag_at(tm, p))
         return F.filter(look, lambda t: t.isNotNull() & (t != F.lit("O")))
 
     return (j.withColumn("e1_major", _array_mode(span_tags("e1_start", "e1_end")))
-            .withColumn("e2_major", _array_mode(span_tags("e2_start", "e2_end"))).drop("tag_map"))
+            .withColumn("e2_major", _array_mode(span_tags("e2_start", "e2_end")))
+            .drop(*[c for c in tm.columns if c != key]))
 
 
 def _mode_per_rel(df: DataFrame, type_col: str, rel: str) -> DataFrame:

@@ -94,17 +94,24 @@ def entity_spans(df: DataFrame, order_safe: bool = False) -> DataFrame:
 
 
 def tag_arrays(tags: DataFrame, key: str = "sentence") -> DataFrame:
-    """(key, tag_map map<bigint,string>) from tagger output: either long
-    rows (key, pos, tag) or one array per key (key, tags).  The long form is
-    grouped once per sentence (a sentence's tags, bounded by its length)."""
+    """(key, tag_arr) or (key, tag_map) from tagger output: one array per key
+    (key, tags), tag i for token i, is kept as it is; long rows
+    (key, pos, tag) are grouped once per sentence into a position map (a
+    sentence's tags, bounded by its length)."""
     if "tags" in tags.columns:
-        arr = F.col("tags")
-        idx = F.sequence(F.lit(0).cast("bigint"), (F.size(arr) - 1).cast("bigint"))
-        return tags.select(key, F.map_from_arrays(F.slice(idx, 1, F.size(arr)), arr).alias("tag_map"))
+        return tags.select(key, F.col("tags").alias("tag_arr"))
     return tags.groupBy(key).agg(F.map_from_entries(F.collect_list(
         F.struct(F.col("pos").cast("bigint"), F.col("tag")))).alias("tag_map"))
 
 
+def tag_at(tm: DataFrame, pos):
+    """Tag at a 0-based token position (null outside the sentence)."""
+    if "tag_arr" in tm.columns:
+        p = pos.cast("int")
+        return F.when(p >= 0, F.try_element_at(F.col("tag_arr"), p + F.lit(1)))
+    return F.try_element_at(F.col("tag_map"), pos.cast("bigint"))
+
+
 def entity_types(spans: DataFrame, tags: DataFrame, key: str = "sentence") -> DataFrame:
     """tags of the first and last token of each entity, as a sorted set
     without ``O``.  ``tags`` is tagger output keyed like ``spans`` (see
@@ -116,12 +123,12 @@ def entity_types(spans: DataFrame, tags: DataFrame, key: str = "sentence") -> Da
     j = spans.join(tm, key, "left")
 
     def types(a, b):
-        look = [F.try_element_at(F.col("tag_map"), F.col(c).cast("bigint")) for c in (a, b)]
+        look = [tag_at(tm, F.col(c)) for c in (a, b)]
         arr = F.filter(F.array(*look), lambda t: t.isNotNull() & (t != F.lit("O")))
         return F.array_sort(F.array_distinct(arr))
 
     return (j.withColumn("e1_types", types("e1_start", "e1_end"))
-            .withColumn("e2_types", types("e2_start", "e2_end")).drop("tag_map"))
+            .withColumn("e2_types", types("e2_start", "e2_end")).drop(*[c for c in tm.columns if c != key]))
 
 
 def types_as_csv(df: DataFrame, suffix: str = "CNLP") -> DataFrame:
