@@ -48,3 +48,31 @@ def test_wide_space_csv_round_trip(spark, tmp_dir):
     IO.write_space_wide_csv(space, tmp_dir + "/wide")
     back = IO.read_space_wide_csv(spark, tmp_dir + "/wide")
     assert rows(back.long()) == rows(space.long())
+
+
+def test_line_numbers_across_file_splits(spark, tmp_dir):
+    from tessera.functions.index import lines_in_file_order
+    from tessera.sources.records import read_marked_records
+    d = tmp_dir + "/big"
+    os.makedirs(d)
+    lines = [f"line {i:04d} " + "x" * (i % 13) for i in range(400)]
+    with open(d + "/one.txt", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # many splits of one file
+    try:
+        df = lines_in_file_order(spark, d)
+        assert spark.read.text(d).rdd.getNumPartitions() > 10  # the scan really is split
+        got = sorted((r["line_no"], r["value"]) for r in df.collect())
+        assert got == list(enumerate(lines))
+        recs = []
+        for i in range(25):
+            recs += [f'{i}\t" sentence {i} "', f"rel{i % 3}", "Comment:", ""]
+        os.makedirs(tmp_dir + "/recs")
+        with open(tmp_dir + "/recs/r.txt", "w") as f:
+            f.write("\n".join(recs) + "\n")
+        r = read_marked_records(spark, tmp_dir + "/recs")
+        assert sorted((x["rec_id"], x["sentence"], x["relation"]) for x in r.collect()) == [
+            (i, f" sentence {i} ", f"rel{i % 3}") for i in range(25)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
