@@ -47,20 +47,6 @@ def fit_baseline(df: DataFrame, vec: str = "vec", label: str = "int_label", n_cl
     return model, out.drop("_f", "_y", "rawPrediction", "probability", "prediction")
 
 
-def _gram_batches(batches, x_col: str = "_x", y_col: str = "_y"):
-    """Per Arrow batch: X'X and X'Y as flat arrays (numpy matrix products
-    inside the task; one small row per batch leaves it)."""
-    import numpy as np
-    import pandas as pd
-
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        X = np.stack(pdf[x_col].to_numpy()).astype(float)
-        Y = np.stack(pdf[y_col].to_numpy()).astype(float)
-        yield pd.DataFrame({"xx": [(X.T @ X).ravel()], "xy": [(X.T @ Y).ravel()]})
-
-
 def fit_projector(df: DataFrame, vec: str = "vec", target: str = "target",
                   no_rel: str = "is_no_relation", ridge: float = 1e-3):
     """Linear map vector -> property vector (with bias) fitted by ridge
@@ -80,7 +66,21 @@ def fit_projector(df: DataFrame, vec: str = "vec", target: str = "target",
     if first is None:
         raise ValueError("no training rows")
     d, k = len(first["_x"]), len(first["_y"])
-    parts = train.mapInPandas(_gram_batches, "xx array<double>, xy array<double>")
+
+    # defined here so it is shipped to the Python workers by value: they need
+    # numpy and pandas only, not this package
+    def gram_batches(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["_x"].to_numpy()).astype(float)
+            Y = np.stack(pdf["_y"].to_numpy()).astype(float)
+            yield pd.DataFrame({"xx": [(X.T @ X).ravel()], "xy": [(X.T @ Y).ravel()]})
+
+    parts = train.mapInPandas(gram_batches, "xx array<double>, xy array<double>")
     s = parts.select(Summarizer.sum(array_to_vector("xx")).alias("xx"),
                      Summarizer.sum(array_to_vector("xy")).alias("xy")).first()
     xx = np.asarray(s["xx"].toArray()).reshape(d, d)
