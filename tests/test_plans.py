@@ -34,3 +34,24 @@ def test_lookup_is_pushed_to_the_scan(spark, tmp_dir):
     df = spark.read.parquet(tmp_dir + "/pat")
     p = plan(C.lookup_predicate(df, "p"))
     assert "PushedFilters: [IsNotNull(predicate), EqualTo(predicate,p)]" in p
+
+
+def test_counts_and_totals_use_aggregates_not_windows(spark):
+    from tessera.operators import cleaning as B
+    data = [(f"s{i % 3}", f"p{i % 4}", f"o{i % 5}", i + 1) for i in range(40)]
+    df = pat_df(spark, data)
+    for out in (B.drop_rare_pairs(df), B.drop_small_predicates(df), SP.probabilities(df)):
+        p = plan(out)
+        assert "Window" not in p and "HashAggregate" in p
+
+
+def test_nearest_row_search_has_no_pair_product(spark):
+    from tessera.operators import scoring as H
+    long = spark.createDataFrame([("A", 0, 0, 1.0), ("B", 1, 1, 1.0)],
+                                 "predicate string, row_order bigint, component bigint, value double")
+    sp = H.space_from_long(long)
+    q = spark.createDataFrame([(1, [0.2, 0.9]), (2, [0.7, 0.1])], "id int, vec array<double>")
+    near = H.nearest_property(q, sp, ["id"])
+    p = plan(near)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert {r["id"]: r["nearest"] for r in near.collect()} == {1: "B", 2: "A"}
