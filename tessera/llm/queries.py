@@ -17,8 +17,23 @@ def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by SimHash distance."""
+    from tessera.llm.simhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows not held out."""
+    from tessera.llm.langid import fit, identify
+    docs = documents(spark, sf_dir)
+    return identify(docs, fit(docs))
+
+
 LLM_QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
+    "op3_simhash_trie": op3_simhash_trie,
+    "op6_language_id": op6_language_id,
 }
 
 LLM_ORACLES: dict[str, str] = {}
