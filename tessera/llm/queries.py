@@ -30,10 +30,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item within the allowed edits."""
+    from tessera.llm.decontam import contaminated
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that occur earlier."""
+    from tessera.llm.rindex import remove_repeats
+    return remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 LLM_QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_trie": op3_simhash_trie,
     "op6_language_id": op6_language_id,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op10_run_index": op10_run_index,
 }
 
 LLM_ORACLES: dict[str, str] = {}
