@@ -30,6 +30,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, weak ones by their credential."""
+    from tessera.llm.secret_scan import find_secrets
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item within the allowed edits."""
     from tessera.llm.decontam import contaminated
@@ -46,6 +52,7 @@ LLM_QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_trie": op3_simhash_trie,
     "op6_language_id": op6_language_id,
+    "op7_secret_links": op7_secret_links,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op10_run_index": op10_run_index,
 }
