@@ -23,6 +23,12 @@ def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and weakly supervised verdict of every document."""
+    from tessera.llm.quality import judge
+    return judge(documents(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows not held out."""
     from tessera.llm.langid import fit, identify
@@ -51,6 +57,7 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_trie": op3_simhash_trie,
+    "op4_quality_votes": op4_quality_votes,
     "op6_language_id": op6_language_id,
     "op7_secret_links": op7_secret_links,
     "op8_benchmark_leaks": op8_benchmark_leaks,
