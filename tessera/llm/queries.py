@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.base import documents, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the source field and of every line of every document."""
+    from tessera.llm.bpe_fst import read_ranks
+    from tessera.llm.token_counts import count_tokens
+    return count_tokens(documents(spark, sf_dir), read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN,
+                        fields=["source", "text"], rule="most")
 
 
 def op2_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +39,13 @@ def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in Parquet files, and what these hold."""
+    from tessera.llm.token_files import token_files
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        return token_files(documents(spark, sf_dir), f.read())
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows not held out."""
     from tessera.llm.langid import fit, identify
@@ -48,6 +65,13 @@ def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation and the same
+    one with its neighbour's last answer."""
+    from tessera.llm.preferences import exchanged_answers, format_pairs
+    return format_pairs(exchanged_answers(table(spark, sf_dir, "conversations")))
+
+
 def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 100-byte strings that occur earlier."""
     from tessera.llm.rindex import remove_repeats
@@ -55,13 +79,46 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_bpe_transducer": op2_bpe_transducer,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_quality_votes": op4_quality_votes,
+    "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_secret_links": op7_secret_links,
     "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op9_preference_pairs": op9_preference_pairs,
     "op10_run_index": op10_run_index,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op9_preference_pairs": """
+        WITH rows AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+        last AS (SELECT pair_id, max(turn) AS last_turn FROM rows WHERE role = 'assistant' GROUP BY pair_id),
+        answer AS (SELECT l.pair_id, l.last_turn, max(r.text) AS text FROM last l
+                   JOIN rows r ON r.pair_id = l.pair_id AND r.turn = l.last_turn AND r.role = 'assistant' GROUP BY 1, 2),
+        sides AS (
+            SELECT pair_id, turn, role, text, true AS c, false AS r FROM rows
+            UNION ALL
+            SELECT rows.pair_id, rows.turn, rows.role, rows.text, false, true FROM rows LEFT JOIN answer a USING (pair_id)
+            WHERE NOT coalesce(rows.role = 'assistant' AND rows.turn = a.last_turn, false)
+            UNION ALL
+            SELECT a.pair_id, a.last_turn, 'assistant', o.text, false, true
+            FROM answer a JOIN answer o ON o.pair_id = xor(a.pair_id, 1)),
+        each AS (SELECT pair_id, turn, role, text, bool_or(c) AS c, bool_or(r) AS r FROM sides GROUP BY 1, 2, 3, 4),
+        marked AS (SELECT *, bool_and(c AND r) OVER w AS common,
+                          '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, length(role) + 5 AS head
+                   FROM each WINDOW w AS (PARTITION BY pair_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+        placed AS (SELECT *, sum(CASE WHEN c AND NOT common THEN length(rendered) ELSE 0 END) OVER w AS c_end,
+                          sum(CASE WHEN r AND NOT common THEN length(rendered) ELSE 0 END) OVER w AS r_end
+                   FROM marked WINDOW w AS (PARTITION BY pair_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT pair_id, sum(common::INT)::BIGINT AS n_prompt_turns,
+               coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (common), '') AS prompt,
+               coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (c AND NOT common), '') AS chosen,
+               coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (r AND NOT common), '') AS rejected,
+               coalesce(string_agg((c_end - length(rendered) + head)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY turn, role, text)
+                        FILTER (c AND NOT common AND role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg((r_end - length(rendered) + head)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn, role, text)
+                        FILTER (r AND NOT common AND role = 'assistant'), '') AS rejected_spans
+        FROM placed GROUP BY pair_id""",
+}
