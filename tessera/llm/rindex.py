@@ -125,19 +125,28 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order of small integers by doubling the sorted length."""
+    """Suffix order of small integers by doubling the sorted length, from
+    as many symbols as fit one number."""
     n = len(text)
-    rank, step = text.astype(np.int64), 1
+    bits = (int(text.max()) + 1).bit_length()
+    step = max(62 // bits, 1)
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        if k < n:
+            key[:n - k] += text[k:] + 1
     while True:
-        after = np.zeros(n, np.int64)
-        after[:-step or None] = rank[step:] + 1 if step < n else 0
-        key = rank * (int(rank.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+        order = np.argsort(key)
+        ordered = key[order]
+        fresh = np.zeros(n, np.int64)
+        np.cumsum(ordered[1:] != ordered[:-1], out=fresh[1:])
         if fresh[-1] == n - 1:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = fresh
+        key = rank * (n + 1)
+        if step < n:
+            key[:n - step] += rank[step:] + 1
         step *= 2
 
 
