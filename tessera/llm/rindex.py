@@ -42,6 +42,8 @@ LENGTH = 100
 GRAM = 32
 PIECE = 1 << 19  # bytes whose anchors are found together; places fit 20 bits
 INDEX_BYTES = 1 << 20
+#: Bits of a segment's number of starts and kind beside its place in one number.
+SPAN_BITS = 16
 #: An anchor with more classes than this has its segments cut by offset first.
 CROWDED = 20_000
 
@@ -259,20 +261,17 @@ def _find_segments(rows: DataFrame, length: int) -> DataFrame:
             cols = [c[order] for c in cols]
             copy = np.zeros(len(order), bool)
             copy[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, copy.astype(np.int64))],
-                                             ["anchor", "cls", "rid", "place", "n", "kind"])
+            span = cols[3] << SPAN_BITS | cols[4] << 1 | copy  # one number, as these rows are what is shuffled most
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols[:3], span)], ["anchor", "cls", "rid", "span"])
 
-    return rows.select("rid", "text").mapInArrow(
-        run, "anchor bigint, cls bigint, rid bigint, place bigint, n bigint, kind bigint")
+    return rows.select("rid", "text").mapInArrow(run, "anchor bigint, cls bigint, rid bigint, span bigint")
 
 
 def _judge_classes(found: DataFrame) -> DataFrame:
     """Repeats (kind 1) and classes whose anchor has others (kind 2); the
     rest is dropped.  Reads sorted rows once and keeps one row at a time."""
-    key = F.when(F.col("kind") == 0, F.col("anchor")).otherwise(F.xxhash64("rid", "place"))
-    dealt = (found.withColumn("deal", key).repartition("deal").drop("deal")
-             .sortWithinPartitions("kind", "anchor", "cls", "rid", "place"))
-    names = ["anchor", "cls", "rid", "place", "n", "kind"]
+    key = F.when(F.col("span").bitwiseAND(F.lit(1)) == 0, F.col("anchor")).otherwise(F.xxhash64("rid", "span"))
+    dealt = found.repartition(key).sortWithinPartitions("anchor", "cls", "rid", "span")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, before = None, None  # the first class of the last anchor; the last row's anchor and class
@@ -282,8 +281,9 @@ def _judge_classes(found: DataFrame) -> DataFrame:
                 pa.array(np.full(len(rows[0]), kind, np.int64))], ["anchor", "rid", "place", "n", "kind"])
 
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in names]
-            done = cols[5] == 1
+            anchor, cls, rid, span = (c.to_numpy() for c in b.columns)
+            cols = [anchor, cls, rid, span >> SPAN_BITS, (span & ((1 << SPAN_BITS) - 1)) >> 1]
+            done = (span & 1) == 1
             if done.any():
                 yield out([c[done] for c in cols], 1)
             cols = [c[~done] for c in cols]
@@ -418,10 +418,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     never cross documents, and are judged on the input.  Rows with equal
     doc_id and text are one document and get equal results.  Null and
     shorter texts keep all they have; other columns are ignored."""
-    spark = docs.sparkSession
-    checkpoint_dir(spark)
+    if not GRAM <= length < 1 << (SPAN_BITS - 1):
+        raise ValueError(f"length must be from {GRAM} to {(1 << (SPAN_BITS - 1)) - 1}")
+    checkpoint_dir(docs.sparkSession)
     rows, single = _rows(docs)
-    spans = repeated_stretches(single, length, crowded_at).distinct().groupBy("rid").agg(
+    spans = repeated_stretches(single, length, crowded_at).groupBy("rid").agg(
         F.collect_list(F.struct("first", "end")).alias("spans"))  # one text's own stretches
     joined = rows.join(spans, "rid", "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.end").alias("end"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
