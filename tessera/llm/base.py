@@ -15,13 +15,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 def per_process(key, make: Callable):
     """What ``make`` builds, kept for later tasks of the same Python worker
-    (tables that are bounded, and costly to build again for each task)."""
+    (tables that are bounded, and costly to build again for each task).  A
+    worker keeps the tables of one operator at a time."""
     kept = sys.__dict__.setdefault("_tessera_worker_kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+def free_worker() -> None:
+    """Lets go of the tables of other operators at the start of a task."""
+    sys.__dict__.setdefault("_tessera_worker_kept", {}).clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -61,6 +68,7 @@ def keep_rows(docs: DataFrame, make_mask: Callable[[], Callable[[list], list]])
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         mask = make_mask()
         for b in batches:
             yield b.filter(pa.array(mask(b.column(at).to_pylist()), pa.bool_()))

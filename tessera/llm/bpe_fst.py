@@ -35,8 +35,8 @@ from tessera.llm.base import id_text, per_process
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_STATES = 400_000
-MAX_PIECES = 600_000
+MAX_STATES = 300_000
+MAX_PIECES = 150_000
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -80,7 +80,7 @@ class Merges:
         ``before`` = -1: does the token alone?"""
         key = (before, token)
         if key not in self._pairs:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             right = self.bytes_of[token]
             alone = len(right) == 1 or self.halves(right) is not None
@@ -198,16 +198,15 @@ class Encoder:
 
 
 class Pieces(dict):
-    """Bounded table of piece -> ids in front of the transducer."""
+    """Bounded table of piece -> ids in front of the transducer; frequent
+    pieces come early, and what comes once it is full goes through."""
 
     def __init__(self, encoder: Encoder, limit: int = MAX_PIECES):
         self.encoder, self.limit = encoder, limit
 
     def __missing__(self, piece: str):
-        if len(self) >= self.limit:
-            self.clear()
         ids = tuple(self.encoder.encode(piece.encode()))
-        if len(piece) <= 64:
+        if len(piece) <= 64 and len(self) < self.limit:
             self[piece] = ids
         return ids
 
@@ -223,9 +222,7 @@ class Words(dict):
         if not word or word[0].isspace() or word[-1].isspace():
             return None
         ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(word) <= 64 and len(self) < self.limit:
             self[word] = ids
         return ids
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from tessera.llm.base import id_text, keep_rows
+from tessera.llm.base import free_worker, id_text, keep_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -338,6 +338,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            free_worker()
             split = Words(CHUNK_BYTES + (1 << 16))
             for b in batches:
                 ids = b.column(0).to_pylist()

@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import id_text, keep_rows
+from tessera.llm.base import free_worker, id_text, keep_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -279,6 +279,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     rows are predicted alike; other columns are ignored.  No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for b in batches:
             langs, scores = predict(model, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()),
