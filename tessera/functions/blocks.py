@@ -1,12 +1,13 @@
 """Compare every query vector with every row of a space without emitting
 the (query, row) pairs as rows.
 
-Space rows are packed into blocks of at most ``block_size`` rows (one
-array per block).  Each query row is joined to every block on the block
+Space rows are packed into blocks by a hash of the row, as many as the
+rows and their cells ask for (one array per block).  Each query row is joined to every block on the block
 id and reduces the whole block inside one expression (argmax, top-k), so
 the rows that leave a join are (query, block) and the per-block result
-is already reduced.  Work per task is bounded by ``block_size`` whatever
-the number of rows, and a popular row or component costs nothing extra.
+is already reduced.  Every row falls into exactly one of the blocks that
+the queries visit, whatever its ``row_order``; a query whose space is empty
+is kept and finds nothing.
 
 The block table is broadcast only when its total size (rows x width) is
 under a checked bound; beyond it the join is a shuffle join on
@@ -20,13 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 256
+DEFAULT_BLOCK_CELLS = 2_000_000
 DEFAULT_MAX_BROADCAST_CELLS = 8_000_000
 
 
-def pack_blocks(rows: DataFrame, member: Column, block_size: int) -> DataFrame:
-    """(``_block``, ``_members`` array<struct>) from rows with ``row_order``."""
-    return (rows.withColumn("_block", F.floor(F.col("row_order") / block_size).cast("bigint"))
-            .groupBy("_block").agg(F.collect_list(member).alias("_members")))
+def block_count(n_rows: int, cells: int, block_size: int = DEFAULT_BLOCK_ROWS,
+                block_cells: int = DEFAULT_BLOCK_CELLS) -> int:
+    """Blocks of about ``block_size`` rows and ``block_cells`` cells."""
+    return max(1, -(-n_rows // block_size), -(-cells // block_cells))
+
+
+def pack_blocks(rows: DataFrame, member: Column, n_blocks: int) -> DataFrame:
+    """(``_block``, ``_members`` array<struct>) from rows with ``predicate``
+    and ``row_order``; the block of a row is a hash of both."""
+    block = F.pmod(F.xxhash64("row_order", "predicate"), F.lit(n_blocks)).cast("bigint")
+    return rows.withColumn("_block", block).groupBy("_block").agg(F.collect_list(member).alias("_members"))
 
 
 def block_stats(rows: DataFrame, width: Column) -> tuple[int, int]:
@@ -38,12 +47,13 @@ def block_stats(rows: DataFrame, width: Column) -> tuple[int, int]:
 def join_blocks(queries: DataFrame, blocks: DataFrame, n_blocks: int, total_cells: int,
                 key_cols: list[str], max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS,
                 salts: int | None = None) -> DataFrame:
-    """Every query row joined with every block (equi-join on the block id)."""
+    """Every query row joined with every block (equi-join on the block id);
+    a query keeps a row with null members for a block that has none."""
     q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                                           F.lit(max(n_blocks, 1) - 1).cast("bigint"))))
     if total_cells <= max_broadcast_cells:
-        return q.join(F.broadcast(blocks), "_block")
+        return q.join(F.broadcast(blocks), "_block", "left")
     s = salts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = q.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(s)))
     b = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(s - 1).cast("bigint"))))
-    return q.join(b, ["_block", "_salt"]).drop("_salt")
+    return q.join(b, ["_block", "_salt"], "left").drop("_salt")

@@ -58,7 +58,8 @@ def lines_in_file_order(spark, path: str) -> DataFrame:
                      F.col("_metadata.file_block_start").alias("_blk"),
                      F.monotonically_increasing_id().alias("_mid")))
     offs = _chunk_offsets(lines)
-    return (lines.join(offs, ["file", "_blk"])
+    # one row per file split: a proven size bound, and the lines stay where they are read
+    return (lines.join(F.broadcast(offs), ["file", "_blk"])
             .withColumn("line_no", (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
             .select("file", "line_no", "value"))
 

@@ -13,13 +13,13 @@ WS_SPLIT = r"(?U)[\s\x1c-\x1f]+"
 
 
 def keyword_alternation(keywords, escape: bool = False) -> str:
-    """Keywords joined by blanks and blanks turned into ``|`` (a multi-word
-    keyword therefore splits into alternatives).  ``escape`` quotes each
-    alternative so it matches literally."""
-    words = " ".join(keywords).replace(" ", "|")
+    """One alternative for each blank-separated part of each keyword, empty
+    parts included.  ``escape`` quotes the alternatives (themselves cut at
+    ``|``) so they match literally."""
+    parts = [part for k in keywords for part in k.split(" ")]
     if escape:
-        words = "|".join(re.escape(w) for w in words.split("|"))
-    return words
+        parts = [re.escape(p) for part in parts for p in part.split("|")]
+    return "|".join(parts)
 
 
 def ci_search(col: Column, pattern: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ci_search, keyword_alternation
 from tessera.operators.ontology import equivalent_properties, subtypes, values_frame
+from tessera.session import checkpoint_dir
 
 POSITIONS = ("subject", "predicate", "object")
 
@@ -26,14 +27,14 @@ MAX_IN_LIST = 1000
 
 def filter_exact(df: DataFrame, position: str, values) -> DataFrame:
     """Patterns whose ``position`` is one of ``values``.  A short Python
-    list is an ``IN`` filter pushed to the scan; a longer list is broadcast
-    (its size is the caller's); a DataFrame is a semi-join sized by AQE."""
+    list is an ``IN`` filter pushed to the scan; a longer list is
+    broadcast; a DataFrame is a semi-join sized by AQE."""
     _check_position(position)
     if not isinstance(values, DataFrame) and len(set(values)) <= MAX_IN_LIST:
         return df.filter(F.col(position).isin(sorted(set(values))))
     v = values_frame(df.sparkSession, values, position)
     if not isinstance(values, DataFrame):
-        v = F.broadcast(v)
+        v = F.broadcast(v)  # a list the driver already holds and ships with the plan
     return df.join(v.distinct(), position, "left_semi")
 
 
@@ -100,12 +101,18 @@ def rule_members(df: DataFrame, rules: list[Rule], subclass: DataFrame | None,
     plus (rule, has_subjects, has_objects).  All subject/object roots of all
     rules are expanded by a single closure."""
     spark = df.sparkSession
-    distinct_preds = df.select("predicate").distinct()  # one scan shared by every rule
-    preds = None
-    for r in rules:
-        p = approximate_match(distinct_preds, r.keywords, "predicate", equiv_props).select(
-            F.lit(r.label).alias("rule"), F.col("value").alias("predicate"))
-        preds = p if preds is None else preds.unionByName(p)
+    checkpoint_dir(spark)
+    # every rule's keywords are tried on a predicate at once, in one pass over
+    # the distinct predicates; the small result is written, so its uses share it
+    tried = F.array(*[F.when(ci_search(F.col("predicate"), keyword_alternation(r.keywords)), F.lit(r.label))
+                      for r in rules])
+    preds = (df.select("predicate").distinct()
+             .select(F.explode(F.filter(tried, lambda label: label.isNotNull())).alias("rule"), "predicate")
+             .checkpoint())
+    if equiv_props is not None:
+        also = (equiv_props.select(F.col("a").alias("predicate"), "b").join(preds, "predicate")
+                .select("rule", F.col("b").alias("predicate")))
+        preds = preds.unionByName(also)
     roots, fixed = [], []
     for r in rules:
         roots += [(r.label, "subject", x) for x in (r.subject_roots or [])]
@@ -134,8 +141,10 @@ def artificial_properties(df: DataFrame, rules: list[Rule], subclass: DataFrame
                           statistic: str = "frequency") -> DataFrame:
     """Every rule applied to the same input, results concatenated.
 
-    One scan of the patterns: it is joined to the (rule, predicate) table
-    (a pattern fans out only to the few rules naming its predicate), then
+    The patterns are read twice: once for their distinct predicates, which
+    all rules' keywords are matched against, and once to be joined to the
+    (rule, predicate) table (a pattern fans out only to the few rules naming
+    its predicate) and
     checked against the (rule, subject) and (rule, object) tables; rules
     without a constraint on a side pass it."""
     preds, subs, objs, flags = rule_members(df, rules, subclass, equiv_classes, equiv_props)

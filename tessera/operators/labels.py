@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.blocks import DEFAULT_MAX_BROADCAST_CELLS, block_stats
 from tessera.functions.index import dense_index
 from tessera.functions.text import tokens
 from tessera.functions.vectors import array_sum
@@ -18,11 +19,9 @@ RESERVED = [PAD, UNK, CLS, SEP]
 
 
 def map_relations(sent: DataFrame, mapping: DataFrame, on_missing: str = "error") -> DataFrame:
-    """G1: ``prop`` of every ``rel`` (broadcast of the dictionary-sized
-    mapping).  An unmapped relation fails the query (``'error'``) or gives
+    """G1: ``prop`` of every ``rel``.  An unmapped relation fails the query (``'error'``) or gives
     null (``'null'``)."""
-    m = F.broadcast(mapping.select("rel", "prop"))
-    out = sent.join(m, "rel", "left")
+    out = sent.join(mapping.select("rel", "prop"), "rel", "left")
     if on_missing == "error":
         return out.withColumn("prop", F.when(F.col("prop").isNotNull(), F.col("prop")).otherwise(
             F.raise_error(F.concat(F.lit("unmapped relation: "), F.coalesce(F.col("rel"), F.lit("null"))))))
@@ -33,7 +32,7 @@ def map_relations(sent: DataFrame, mapping: DataFrame, on_missing: str = "error"
 
 def unmapped_count(sent: DataFrame, mapping: DataFrame) -> DataFrame:
     """Number of rows whose relation has no mapping."""
-    return (sent.join(F.broadcast(mapping.select("rel")), "rel", "left_anti")
+    return (sent.join(mapping.select("rel"), "rel", "left_anti")
             .agg(F.count(F.lit(1)).alias("n_unmapped")))
 
 
@@ -44,13 +43,19 @@ def no_relation_flag(df: DataFrame, rel: str = "rel") -> DataFrame:
             .withColumn("attribute", F.when(flag, F.lit(1.0)).otherwise(F.lit(0.0))))
 
 
+def _broadcast_if_small(dense: DataFrame, vec: str, max_cells: int) -> DataFrame:
+    """Broadcast hint for a vector table of at most ``max_cells`` numbers
+    (rows x width); a larger one is left to a shuffle join."""
+    return F.broadcast(dense) if block_stats(dense, F.size(vec))[1] <= max_cells else dense
+
+
 def label_vectors(rows: DataFrame, mapping: DataFrame, space: Space, rel: str = "rel",
-                  max_dims: int = 1_000_000) -> DataFrame:
+                  max_dims: int = 1_000_000, max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """Every row gets the dense vector (``target``) of its mapped
-    property.  The space side is a few rows per property (checked width)."""
+    property.  The space side is broadcast up to ``max_broadcast_cells``."""
     dense = dense_rows(space, max_dims).select(F.col("predicate").alias("prop"), F.col("vec").alias("target"))
     mapped = map_relations(rows, mapping) if "prop" not in rows.columns else rows
-    return mapped.join(F.broadcast(dense), "prop", "left")
+    return mapped.join(_broadcast_if_small(dense, "target", max_broadcast_cells), "prop", "left")
 
 
 def check_label_vectors(stored: DataFrame, rows: DataFrame, mapping: DataFrame, space: Space,
@@ -69,20 +74,21 @@ def check_nearest(vectors: DataFrame, space: Space, id_cols=("id",), vec: str =
     a tie); only rows where it is not the expected property, with the
     vector's sum and the similarity."""
     near = _best_row(vectors, list(id_cols), vec, dense_rows(space), "last")
-    return (near.filter(F.col("nearest") != F.col(prop))
+    return (near.filter(~F.col("nearest").eqNullSafe(F.col(prop)))
             .select(*id_cols, prop, "nearest", array_sum(F.col(vec)).alias("vec_sum"), "sim"))
 
 
 def check_vector_owner(vectors: DataFrame, space: Space, mapping: DataFrame, id_col: str = "id",
-                       vec: str = "target", rel: str = "rel") -> DataFrame:
+                       vec: str = "target", rel: str = "rel",
+                       max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """The space row equal to each vector (exact array equality, an
     equi-join on the array) must be the mapped property.  Returns one row:
     rows checked, rows owned by their property, mismatches."""
     dense = dense_rows(space).select(F.col("predicate").alias("owner"), F.col("vec").alias(vec))
     v = map_relations(vectors.select(id_col, rel, vec), mapping, "null")
-    # many rows share one vector (one per relation): broadcast the checked
-    # space side so no vector value becomes a hot shuffle key
-    owned = (v.join(F.broadcast(dense), vec, "left")
+    # many rows share one vector (one per relation): a small space side is
+    # broadcast, so no vector value becomes a hot shuffle key
+    owned = (v.join(_broadcast_if_small(dense, vec, max_broadcast_cells), vec, "left")
              .groupBy(id_col).agg(F.max(F.col("owner") == F.col("prop")).alias("_ok")))
     return owned.agg(F.count(F.lit(1)).alias("n_rows"),
                      F.count_if(F.coalesce("_ok", F.lit(False))).alias("n_owned"),
@@ -118,14 +124,15 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str = "id", col: s
     with the vocabulary (unknown -> [UNK])."""
     cls_id, sep_id, pad_id, unk_id = (RESERVED.index(CLS), RESERVED.index(SEP),
                                       RESERVED.index(PAD), RESERVED.index(UNK))
-    toks = df.select(id_col, F.posexplode(sentence_tokens(F.col(col), lower)).alias("pos", "token"))
+    # cut before the join: what is beyond ``max_length`` never leaves its row
+    kept = F.slice(sentence_tokens(F.col(col), lower), 1, max_length - 2)
+    toks = df.select(id_col, F.posexplode(kept).alias("pos", "token"))
     ids = (toks.join(vocab.select("token", "token_id"), "token", "left")
            .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)).cast("int")))
     seq = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
     seq = df.select(id_col).join(seq, id_col, "left").withColumn(
         "_ids", F.coalesce(F.transform("_s", lambda x: x["token_id"]), F.array().cast("array<int>")))
-    body = F.slice(F.col("_ids"), 1, max_length - 2)
-    seq = seq.withColumn("_enc", F.concat(F.array(F.lit(cls_id)), body, F.array(F.lit(sep_id))))
+    seq = seq.withColumn("_enc", F.concat(F.array(F.lit(cls_id)), F.col("_ids"), F.array(F.lit(sep_id))))
     # padding needs the longest row first: checkpoint the unpadded encodings
     # once, so the length scan and the output read the same written data
     # instead of running the tokenise/join/group twice

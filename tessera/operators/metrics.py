@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 from tessera.operators.scoring import gated_predict
 
 
@@ -93,7 +95,7 @@ def confusion_matrix(pred: DataFrame, labels: list[str], y_true: str = "y_true",
     grid = spark.createDataFrame([(a, p) for a in labels for p in labels], "actual string, predicted string")
     counts = pred.groupBy(F.col(y_true).alias("actual"), F.col(y_pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -109,5 +111,7 @@ def evaluate(projections: DataFrame, space, mapping: DataFrame, labels: list[str
     if labels is None:
         labels = sorted(r[0] for r in mapping.select("rel").distinct().collect())  # dictionary-sized
     pred = gated_predict(projections, space, mapping, id_cols, vec, gate)
-    pred = pred.select(*id_cols, F.col(y_true).alias("y_true"), "y_pred")
+    checkpoint_dir(pred.sparkSession)
+    # scored once: the report and the matrix read the written predictions
+    pred = pred.select(*id_cols, F.col(y_true).alias("y_true"), "y_pred").checkpoint()
     return pred, classification_report(pred, labels), confusion_matrix(pred, labels)

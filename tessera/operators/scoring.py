@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import (DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS, block_stats,
-                                      join_blocks, pack_blocks)
+from tessera.functions.blocks import (DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS, block_count,
+                                      block_stats, join_blocks, pack_blocks)
 from tessera.functions.vectors import argmax_first, cosine, dot, embedding_cosine, sq_norm
 from tessera.operators.space import Space, to_dense
 
@@ -43,12 +43,13 @@ def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
               max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """queries + ``nearest``, ``nearest_order``, ``sim`` (cosine, norms
     clamped, so a zero vector scores 0 everywhere and gets the first row).
-    ``ties='first'``: lowest row order wins a tie; ``'last'``: highest."""
+    ``ties='first'``: lowest row order wins a tie; ``'last'``: highest.  With
+    an empty space every query is kept with nulls."""
     n_rows, cells = block_stats(rows, F.size("vec"))
-    n_blocks = max(1, -(-n_rows // block_size))
+    n_blocks = block_count(n_rows, cells, block_size)
     member = F.struct(F.col("row_order").alias("o"), F.col("predicate").alias("p"),
                       F.col("vec").alias("v"), F.col("sq").alias("s"))
-    blocks = pack_blocks(rows, member, block_size)
+    blocks = pack_blocks(rows, member, n_blocks)
     q = queries.withColumn("_qsq", sq_norm(F.col(vec)))
     j = join_blocks(q, blocks, n_blocks, cells, id_cols, max_broadcast_cells)
     tie = (lambda m: -m["o"]) if ties == "first" else (lambda m: m["o"])
@@ -61,7 +62,7 @@ def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
     j = j.withColumn("_best", F.array_max(F.transform("_members", score)))
     if n_blocks > 1:
         best = j.groupBy(*id_cols).agg(F.max("_best").alias("_best"))
-        j = queries.join(best, id_cols)
+        j = queries.join(best, id_cols, "left")
     keep = [c for c in queries.columns]
     return j.select(*keep, F.col("_best.p").alias("nearest"), F.col("_best.o").alias("nearest_order"),
                     F.col("_best.sim").alias("sim"))
@@ -89,9 +90,8 @@ def gated_predict(projections: DataFrame, space: Space, mapping: DataFrame, id_c
     relation; otherwise ``no_relation``.  ``candidates='mapped'`` only
     searches rows that are mapping targets; ``'all'`` searches every row and
     yields a null relation for an unmapped one.  ``unexpected`` flags a
-    nearest ``no_relation`` row.  The mapping is dictionary-sized and
-    broadcast."""
-    inv = F.broadcast(inverse_mapping(mapping))
+    nearest ``no_relation`` row."""
+    inv = inverse_mapping(mapping)
     rows = dense_rows(space)
     if candidates == "mapped":
         rows = rows.join(inv.select(F.col("prop").alias("predicate")), "predicate", "left_semi")
@@ -107,21 +107,26 @@ def gated_predict(projections: DataFrame, space: Space, mapping: DataFrame, id_c
 
 
 def class_scores(projections: DataFrame, space: Space, id_cols=("id",), vec: str = "vec",
-                 max_rows: int = 4096) -> DataFrame:
+                 block_size: int = DEFAULT_BLOCK_ROWS,
+                 max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
     """``scores``: cosine of the projection with every space row, in row
-    order (for a space of at most ``max_rows`` rows, broadcast as one
-    block)."""
+    order.  Each block yields its part of the array; the parts of a
+    projection are put together by row order (an array of numbers as long
+    as the space has rows, which is the output itself)."""
     rows = dense_rows(space)
     n_rows, cells = block_stats(rows, F.size("vec"))
-    if n_rows > max_rows:
-        raise ValueError(f"{n_rows} rows exceed max_rows={max_rows} for a score array")
+    n_blocks = block_count(n_rows, cells, block_size)
     member = F.struct(F.col("row_order").alias("o"), F.col("vec").alias("v"), F.col("sq").alias("s"))
-    blocks = pack_blocks(rows, member, n_rows or 1).select(
-        "_block", F.array_sort("_members").alias("_members"))
+    blocks = pack_blocks(rows, member, n_blocks)
     q = projections.withColumn("_qsq", sq_norm(F.col(vec)))
-    j = join_blocks(q, blocks, 1, cells, list(id_cols))
-    sc = F.transform("_members", lambda m: cosine(dot(F.col(vec), m["v"]), F.col("_qsq"), m["s"]))
-    return j.withColumn("scores", sc).drop("_block", "_members", "_qsq")
+    j = join_blocks(q, blocks, n_blocks, cells, list(id_cols), max_broadcast_cells)
+    part = F.transform("_members", lambda m: F.struct(
+        m["o"].alias("o"), cosine(dot(F.col(vec), m["v"]), F.col("_qsq"), m["s"]).alias("c")))
+    j = j.withColumn("_part", part).drop("_block", "_members", "_qsq")
+    if n_blocks > 1:
+        parts = j.groupBy(*id_cols).agg(F.flatten(F.collect_list("_part")).alias("_part"))
+        j = projections.join(parts, list(id_cols), "left")
+    return j.withColumn("scores", F.transform(F.array_sort("_part"), lambda x: x["c"])).drop("_part")
 
 
 def integer_labels(mapping: DataFrame) -> DataFrame:

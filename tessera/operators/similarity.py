@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.blocks import DEFAULT_BLOCK_ROWS
+from tessera.functions.index import dense_index
 from tessera.functions.vectors import sparse_dot
 from tessera.operators.space import Space
 
@@ -41,15 +42,15 @@ def pair_similarity(space: Space, a: str, b: str, ndigits: int | None = 6) -> Da
     return s.select(F.lit(a).alias("a"), F.lit(b).alias("b"), eu.alias("euclidean"), co.alias("cosine"))
 
 
-def similarities(space: Space, prop: str, n: int, ndigits: int | None = 6) -> DataFrame:
-    """Distances from ``prop`` to the first ``n + 1`` rows (row_order
-    0..n), itself included when among them.  The target vector joins the
+def similarities(space: Space, prop: str, n: int | None = None, ndigits: int | None = 6) -> DataFrame:
+    """Distances from ``prop`` to every row, itself included; with
+    ``n`` only to those with row_order 0..n.  The target vector joins the
     candidates' entries on the component; its squared norm is one scalar."""
     target = space.entries.filter(F.col("predicate") == prop).select(
         "component", F.col("value").alias("tv"))
     na = float(target.agg(F.coalesce(F.sum(F.col("tv") * F.col("tv")), F.lit(0.0))).first()[0])
-    cands = space.rows.filter(F.col("row_order") <= n)
-    ce = space.entries.join(cands.select("predicate"), "predicate", "left_semi")
+    cands = space.rows if n is None else space.rows.filter(F.col("row_order") <= n)
+    ce = space.entries if n is None else space.entries.join(cands.select("predicate"), "predicate", "left_semi")
     stats = (ce.join(target, "component", "left")
              .groupBy("predicate")
              .agg(F.sum(F.col("value") * F.coalesce(F.col("tv"), F.lit(0.0))).alias("ab"),
@@ -62,20 +63,20 @@ def similarities(space: Space, prop: str, n: int, ndigits: int | None = 6) -> Da
     return out.select("predicate", "row_order", eu.alias("euclidean"), co.alias("cosine"))
 
 
-def top_similar(space: Space, prop: str, n: int, k: int = 10) -> DataFrame:
+def top_similar(space: Space, prop: str, n: int | None = None, k: int = 10) -> DataFrame:
     """The ``k`` smallest by Euclidean and the ``k`` smallest by cosine
-    distance (ties by predicate; a null cosine sorts last)."""
-    sims = similarities(space, prop, n).cache()
-    parts = []
-    for metric in ("euclidean", "cosine"):
-        top = (sims.orderBy(F.col(metric).asc_nulls_last(), F.col("predicate")).limit(k)
-               .select(F.lit(metric).alias("metric"), "predicate", F.col(metric).alias("distance")))
-        w = Window.orderBy(F.col("distance").asc_nulls_last(), F.col("predicate"))
-        parts.append(top.withColumn("rank", F.row_number().over(w)))  # k rows, bounded
-    return parts[0].unionByName(parts[1])
+    distance (ties by predicate; a null cosine sorts last).  One pass makes
+    both rankings; each task keeps its ``k`` best before they meet."""
+    sims = similarities(space, prop, n)
+    long = sims.select("predicate", F.explode(F.create_map(
+        F.lit("euclidean"), F.col("euclidean"), F.lit("cosine"), F.col("cosine"))).alias("metric", "distance"))
+    w = Window.partitionBy("metric").orderBy(F.col("distance").asc_nulls_last(), F.col("predicate"))
+    return (long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("metric", "predicate", "distance", "rank"))
 
 
 DEFAULT_CHUNK = 4096
+SUM_WIDTH = 64
 
 
 def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: int = DEFAULT_CHUNK,
@@ -88,7 +89,7 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
     huge share of the patterns is spread over many chunk rows.  A query
     chunk joins the block chunks with the same (block, chunk) id and yields
     a partial ``block_size``-long array; the partial arrays of a
-    (row, block) are summed element-wise (at most one per chunk).  By
+    (row, block) are summed element-wise, at most ``SUM_WIDTH`` at a time.  By
     default the member and roster joins are left to AQE, which broadcasts
     them only when their materialised size is under the broadcast
     threshold and otherwise keeps a shuffle join on (block, chunk); with
@@ -99,7 +100,9 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
     names, sqs)) where ``names``/``sqs`` list the block members in position
     order and ``dots`` is padded to ``block_size``."""
     B = block_size
-    rows = space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order"))
+    # positions without gaps, whatever the row orders are
+    rows = dense_index(space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order")),
+                       ["row_order", "predicate"], "_at")
     norms = space.entries.groupBy("predicate").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
     rows = rows.join(norms, "predicate", "left").fillna(0.0, ["sq"])
     stats = space.rows.agg(F.count(F.lit(1)).alias("n")).first()
@@ -109,8 +112,8 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
     chunks = (space.entries.withColumn("chunk", F.floor(F.col("component") / chunk_size).cast("bigint"))
               .groupBy("predicate", "chunk")
               .agg(F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("m")))
-    placed = (rows.withColumn("_block", F.floor(F.col("row_order") / B).cast("bigint"))
-              .withColumn("_pos", (F.col("row_order") % B).cast("int")))
+    placed = (rows.withColumn("_block", F.floor(F.col("_at") / B).cast("bigint"))
+              .withColumn("_pos", (F.col("_at") % B).cast("int")))
     members = (chunks.join(placed.select("predicate", "_block", "_pos"), "predicate")
                .groupBy("_block", "chunk")
                .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "m"))).alias("_mm")))
@@ -127,13 +130,22 @@ def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: i
     if max_broadcast_entries is not None and space.entries.count() <= max_broadcast_entries:
         members = F.broadcast(members)
     j = q.join(members, ["_block", "chunk"])
-    partial = j.select("predicate", "_block", F.transform(
+    partial = j.select("predicate", "_block", "chunk", F.transform(
         "_members", lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(sparse_dot(F.col("m"), x))).alias("part"))
+
+    def added(parts):
+        return F.aggregate(parts, F.array_repeat(F.lit(0.0), B), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+
+    # parts are added up in groups of at most SUM_WIDTH chunks, level by level
+    n_chunks = int((space.entries.agg(F.max("component")).first()[0] or 0) // chunk_size) + 1
+    while n_chunks > SUM_WIDTH:
+        partial = (partial.withColumn("chunk", F.floor(F.col("chunk") / SUM_WIDTH).cast("bigint"))
+                   .groupBy("predicate", "_block", "chunk").agg(F.collect_list("part").alias("_p"))
+                   .select("predicate", "_block", "chunk", added(F.col("_p")).alias("part")))
+        n_chunks = -(-n_chunks // SUM_WIDTH)
     summed = partial.groupBy("predicate", "_block").agg(F.collect_list("part").alias("_parts"))
     every = placed.select("predicate", F.col("sq").alias("qs")).withColumn("_block", blocks_seq)
-    dots = F.aggregate(F.coalesce(F.col("_parts"), F.array().cast("array<array<double>>")),
-                       F.array_repeat(F.lit(0.0), B),
-                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    dots = added(F.coalesce(F.col("_parts"), F.array().cast("array<array<double>>")))
     out = (every.join(summed, ["predicate", "_block"], "left")
            .join(roster, "_block")
            .select("predicate", "qs", "_block", dots.alias("dots"), "names", "sqs"))

@@ -106,6 +106,13 @@ def property_rows(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def listed_once(rows: DataFrame) -> DataFrame:
+    """A property table with one row per predicate, its first, and row
+    orders without gaps (as for a Python list)."""
+    first = rows.groupBy("predicate").agg(F.min(F.col("row_order").cast("bigint")).alias("_first"))
+    return dense_index(first, ["_first", "predicate"], "row_order").select("predicate", "row_order")
+
+
 def _unique(names: list[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
@@ -128,13 +135,15 @@ def full_space(probs: DataFrame, statistic: str = "frequency") -> Space:
 def restrict_to(space: Space, rows: DataFrame | list[str]) -> Space:
     """Only the listed predicates, in list order; a listed predicate
     without patterns is a zero row (present in ``rows`` only).  ``rows`` is
-    a Python list or a (predicate, row_order) DataFrame; either way it is
-    the caller's bounded list, so it is broadcast."""
+    a Python list, which is broadcast, or a (predicate, row_order) DataFrame
+    of any size, for which the join is left to AQE; of a repeated predicate
+    the first row counts."""
     names = None
     if not isinstance(rows, DataFrame):
         names = _unique(list(rows))
-        rows = property_rows(space.rows.sparkSession, names)
-    r = F.broadcast(rows.select("predicate", "row_order"))
+        r = F.broadcast(property_rows(space.rows.sparkSession, names))
+    else:
+        r = listed_once(rows)
     return Space(r, space.entries.join(r.select("predicate"), "predicate", "left_semi"), space.dims, names)
 
 
@@ -292,9 +301,9 @@ def build_space(df: DataFrame, property_list: list[str] | DataFrame | None = Non
     if property_list is None:
         rows = dense_index(df.select("predicate").distinct(), ["predicate"], "row_order")
     elif isinstance(property_list, DataFrame):
-        rows = property_list.select("predicate", F.col("row_order").cast("bigint"))
+        rows = listed_once(property_list)
         # a predicate's total only depends on its own rows: restrict first
-        df = df.join(F.broadcast(rows.select("predicate")), "predicate", "left_semi")
+        df = df.join(rows.select("predicate"), "predicate", "left_semi")
     else:
         rows = property_rows(spark, list(property_list))
         # restrict before the totals; a listed IN filter reaches the scan

@@ -236,7 +236,7 @@ TARGET = """t AS (SELECT component, value AS tv FROM ent WHERE predicate = 'red
                FROM ent e LEFT JOIN t ON e.component = t.component GROUP BY e.predicate) s
       ON s.predicate = r.predicate,
     (SELECT coalesce(sum(tv * tv), 0) AS na FROM t) tn
-    WHERE r.row_order <= 14000)"""
+)"""
 
 ALLPAIRS = """norms AS (SELECT r.predicate, coalesce(n.sq, 0) AS sq FROM allrows r
     LEFT JOIN (SELECT predicate, sum(value * value) AS sq FROM ent GROUP BY predicate) n
@@ -261,6 +261,7 @@ ORACLES.update({
     "e9_row_sums": with_(*SPACE_CTES) + """SELECT r.predicate, r.row_order,
         round(coalesce(sum(e.value), 0), 6) AS row_sum
         FROM rows7 r LEFT JOIN ent7 e ON e.predicate = r.predicate GROUP BY r.predicate, r.row_order""",
+    "e8_to_wide": with_(*SPACE_CTES) + "SELECT predicate, component, round(value, 6) AS value FROM ent7 WHERE value <> 0",
     "e10_build_space": with_(*SPACE_CTES) + _long("rows7", "ent7"),
     "e10_space_dims": with_(PAT, PROBS, DIMS, ENT, PLIST, E5, E6) + """
         SELECT DISTINCT e5.component, dims.label FROM e5
@@ -488,6 +489,17 @@ EMB_LABELS = ["no_relation"] + [f"rel{i}" for i in range(1, 10)]
 VOCAB = """vt AS (SELECT unnest(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')) AS token FROM rels),
   vocab AS (SELECT token, CAST(count(*) AS BIGINT) AS n FROM vt GROUP BY token)"""
 
+# [CLS] ids [SEP], at most 160, padded to the longest; integer labels beside
+ENCODED = """vid AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM vocab),
+  cut AS (SELECT sentence, list_filter(string_split_regex(lower(sentence), '\\s+'), lambda x: x <> '')[1:158] AS t FROM rels),
+  pos AS (SELECT sentence, unnest(t) AS token, generate_subscripts(t, 1) AS k FROM cut),
+  body AS (SELECT p.sentence, list(v.token_id ORDER BY p.k) AS ids FROM pos p JOIN vid v ON v.token = p.token GROUP BY p.sentence),
+  raw AS (SELECT c.sentence AS id, list_concat(list_concat([2], coalesce(b.ids, [])), [3]) AS ids FROM cut c LEFT JOIN body b ON b.sentence = c.sentence),
+  enc AS (SELECT id, array_to_string(ids, ',') || repeat(',0', (m - len(ids))::INT) AS input_ids,
+      trim(repeat('1,', len(ids)::INT) || repeat('0,', (m - len(ids))::INT), ',') AS attention_mask
+    FROM raw, (SELECT max(len(ids)) AS m FROM raw) mm)"""
+LABELS = "il AS (SELECT rel, prop, CAST(rank() OVER (ORDER BY prop) - 1 AS BIGINT) AS int_label FROM mapping)"
+
 ORACLES.update({
     "g1_map_relations": with_(SENT, DEDUP, REL, MAP) + """SELECT r.sentence, r.rel, m.prop
         FROM rels r LEFT JOIN mapping m ON m.rel = r.rel""",
@@ -498,7 +510,15 @@ ORACLES.update({
         CASE WHEN rel = 'no_relation' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS attribute FROM rels""",
     "g4_label_vectors": with_(VEC) + """SELECT v.vec_id, s.component, round(s.value, 6) AS value
         FROM vec v JOIN vmap m ON m.rel = v.rel JOIN space s ON s.predicate = m.prop""",
-    "g6_check_label_vectors": with_(VEC) + """SELECT CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch,
+    "g5_training_rows": with_(SENT, DEDUP, REL, MAP, LABELS, VOCAB, ENCODED) + """SELECT e.id, e.input_ids, e.attention_mask,
+        (SELECT string_agg(CASE WHEN k = l.int_label THEN '1' ELSE '0' END, ',' ORDER BY k)
+         FROM generate_series(0, (SELECT max(int_label) FROM il)) g(k)) AS target,
+        r.rel, l.prop, l.int_label, r.rel = 'no_relation' AS is_no_relation,
+        CASE WHEN r.rel = 'no_relation' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS attribute
+        FROM enc e JOIN rels r ON r.sentence = e.id JOIN il l ON l.rel = r.rel""",
+    "g8_encode_sequences": with_(SENT, DEDUP, REL, VOCAB, ENCODED) + "SELECT id, input_ids, attention_mask FROM enc",
+    "g10_check_encoding": with_(SENT, DEDUP, REL) + "SELECT sentence AS id FROM rels WHERE length(sentence) % 7 = 0",
+    "g6_check_label_vectors": with_(VEC) + """SELECT CAST(count(*) FILTER (WHERE vec_id % 7 = 0 OR prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch,
         CAST(count(*) FILTER (WHERE rel = 'no_relation') AS BIGINT) AS n_no_relation FROM vec""",
     "g7_check_nearest": with_(VEC, SIMS) + """SELECT b.vec_id, v.prop, b.predicate AS nearest,
         round(vs.s, 6) AS vec_sum, round(b.sim, 6) AS sim
@@ -508,8 +528,8 @@ ORACLES.update({
     "g9_build_vocabulary": with_(SENT, DEDUP, REL, VOCAB) + """SELECT token, n,
         CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 4 AS BIGINT) AS token_id FROM vocab""",
     "g11_check_vector_owner": with_(VEC) + """SELECT CAST(count(*) AS BIGINT) AS n_rows,
-        CAST(count(*) FILTER (WHERE prop IN (SELECT predicate FROM space)) AS BIGINT) AS n_owned,
-        CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch FROM vec""",
+        CAST(count(*) FILTER (WHERE vec_id % 7 <> 0 AND prop IN (SELECT predicate FROM space)) AS BIGINT) AS n_owned,
+        CAST(count(*) FILTER (WHERE vec_id % 7 = 0 OR prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_mismatch FROM vec""",
     "g12_corruption_check": with_(VEC, SIMS) + """
         SELECT 'label_vectors' AS source, CAST(count(*) AS BIGINT) AS n_checked,
                CAST(count(*) FILTER (WHERE prop NOT IN (SELECT predicate FROM space)) AS BIGINT) AS n_corrupt FROM vec
@@ -519,6 +539,14 @@ ORACLES.update({
     "h1_nearest_property": with_(VEC, SIMS) + """SELECT vec_id, predicate AS nearest, row_order AS nearest_order,
         round(sim, 6) AS sim FROM best_first""",
     "h2_gated_predict": with_(VEC, SIMS) + "SELECT vec_id, y_true, y_pred FROM gated",
+    "h2_gated_predict_scattered": with_(VEC, SIMS) + "SELECT vec_id, y_true, y_pred FROM gated",
+    "i5_nearest_all_predicates": """
+        WITH c AS (SELECT c_name, CAST(c_custkey * 3 AS BIGINT) AS o, c_nationkey AS n, CAST(c_acctbal AS DOUBLE) / 10000 AS a FROM customer),
+        s AS (SELECT s_suppkey, s_nationkey AS n, CAST(s_acctbal AS DOUBLE) / 10000 AS a FROM supplier),
+        sims AS (SELECT s_suppkey, c_name, o, (CASE WHEN s.n = c.n THEN 1 ELSE 0 END + s.a * c.a)
+                 / (sqrt(1 + s.a * s.a) * sqrt(1 + c.a * c.a)) AS sim FROM s, c)
+        SELECT s_suppkey, c_name AS nearest, o AS nearest_order, round(sim, 6) AS sim FROM (
+          SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(sim, 12) DESC, o) AS rn FROM sims) x WHERE rn = 1""",
     "h3_top_class": with_(VEC, SIMS) + """SELECT b.vec_id, inv.rel AS y_pred FROM best_first b
         LEFT JOIN inv ON inv.prop = b.predicate""",
     "h4_projection_loss": with_(VEC, SIMS, LOSSES) + "SELECT round(avg(ploss), 6) AS projection_loss FROM pl",
@@ -557,6 +585,7 @@ WHERE rn = 1""".replace("\n,\n", "\n", 0)
 # ---------------------------------------------------------------- A: round trips, I: planned ops
 ORACLES.update({
     "a1_read_patterns": ORACLES["b1_with_pair"],
+    "a3_dedupe_last_label": with_(SENT, DEDUP) + "SELECT sentence, relation FROM dedup",
     "a2_read_marked_records": with_(SENT, DEDUP) + "SELECT sentence, relation FROM dedup",
     "a4_sentences_round_trip": ORACLES["f7_prepare_sentences"],
     "a5_space_round_trip": ORACLES["e10_build_space"],

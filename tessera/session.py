@@ -4,7 +4,6 @@ shared folder used for checkpoints and written intermediate tables."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,15 +38,14 @@ def build_session(master: str | None = None, app: str = "tessera",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    It is read from the session.  Only when the setting is absent (local
-    tests) a private temporary folder is created and registered."""
+    It is read from the session.  When the setting is absent, a folder below
+    the warehouse is used, which a cluster shares by definition."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns the checkpoint folder
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             return configured
-        # a folder the cluster shares by definition, not a machine-local one
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
     current = sc.getCheckpointDir()
     if current:
@@ -55,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.index import lines_in_file_order
-from tessera.operators.space import Space, to_long, to_wide
+from tessera.functions.index import dense_index, lines_in_file_order
+from tessera.operators.space import Space, to_wide
 
 
 # ------------------------------------------------------------------ A2 writer
@@ -38,7 +38,15 @@ def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_CSV_KEEP_SPACES = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# quotes inside a field are doubled, as data-frame dumps write them
+_CSV_KEEP_SPACES = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+                    "quote": '"', "escape": '"', "multiLine": True}
+
+
+def _without_index(df: DataFrame) -> DataFrame:
+    """Drops the unnamed first column of a data-frame dump."""
+    first = df.columns[0]
+    return df.drop(first) if first in ("", "_c0", "Unnamed: 0") else df
 
 
 def write_sentences_csv(df: DataFrame, path: str) -> None:
@@ -48,9 +56,10 @@ def write_sentences_csv(df: DataFrame, path: str) -> None:
 
 
 def read_sentences_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A4 reload from CSV (all columns strings).  As with the reference's
-    CSV round trip, an empty type comes back missing (null)."""
-    return spark.read.options(**_CSV_KEEP_SPACES).csv(path)
+    """A4 reload from CSV (all columns strings), from ``write_sentences_csv``
+    or a data-frame dump with an unnamed index column.  An empty type comes
+    back missing (null)."""
+    return _without_index(spark.read.options(**_CSV_KEEP_SPACES).csv(path))
 
 
 # ------------------------------------------------------------------ A5
@@ -74,14 +83,29 @@ def write_space_wide_csv(space: Space, path: str, max_cols: int = 1000) -> None:
 
 
 def read_space_wide_csv(spark: SparkSession, path: str) -> Space:
-    """A5 reload of the wide export as a sparse space (zeros dropped)."""
-    wide = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    comp = [c for c in wide.columns if c.startswith("c") and c[1:].isdigit()]
-    typed = wide.select("predicate", F.col("row_order").cast("bigint").alias("row_order"),
-                        *[F.col(c).cast("double").alias(c) for c in comp])
-    entries = to_long(typed)
-    dims = spark.createDataFrame([(int(c[1:]), c) for c in comp], "component bigint, label string")
-    return Space(typed.select("predicate", "row_order"), entries, dims)
+    """A5 reload of a wide table as a sparse space (zeros dropped).
+
+    Reads the export above, and data-frame dumps: there the first, unnamed
+    column holds the predicates, rows are in file order, and every other
+    column is a component named by its label (a number or ``add<k>``).
+    Components are numbered in column order and keep their labels."""
+    wide = spark.read.options(**_CSV_KEEP_SPACES).csv(path)
+    if "predicate" in wide.columns and "row_order" in wide.columns:
+        keys, order = wide.columns[:2], F.col("row_order").cast("bigint")
+        wide = wide.withColumn("row_order", order)
+    else:
+        first = wide.columns[0]
+        named = wide.withColumnRenamed(first, "predicate").withColumns(
+            {"_file": F.col("_metadata.file_path"), "_mid": F.monotonically_increasing_id()})
+        wide = dense_index(named, ["_file", "_mid"], "row_order").drop("_file", "_mid")
+        keys = ["predicate", "row_order"]
+    comp = [c for c in wide.columns if c not in keys]
+    pairs = F.array(*[F.struct(F.lit(k).cast("bigint").alias("component"), F.col(f"`{c}`").cast("double").alias("value"))
+                      for k, c in enumerate(comp)])
+    entries = (wide.select("predicate", F.explode(pairs).alias("e")).select("predicate", "e.component", "e.value")
+               .filter(F.col("value") != 0))
+    dims = spark.createDataFrame(list(enumerate(comp)), "component bigint, label string")
+    return Space(wide.select("predicate", "row_order"), entries, dims)
 
 
 # ------------------------------------------------------------------ A6

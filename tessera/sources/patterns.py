@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 PAIR_SEP = "#-#"
 
+#: What the usual data-frame readers take for a missing field.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+           "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # file names of a profile directory, per statistic: (object patterns, datatype patterns)
 PROFILE_FILES = {
     "frequency": ("object_akp.txt", "datatype_akp.txt"),
@@ -39,23 +43,28 @@ def read_patterns(spark: SparkSession, profile_dir: str, statistic: str = "frequ
     (object patterns first, ``src`` 0, then datatype patterns, ``src`` 1).
 
     Files are headerless and ``;``-separated.  With ``null_as_nan`` a missing
-    subject/predicate/object becomes the literal ``"nan"`` and takes part in
-    grouping like any other value."""
+    subject/predicate/object (an empty field or one of ``MISSING``) becomes
+    the literal ``"nan"`` and takes part in grouping like any other value.  A
+    count may be written as a decimal (``12.0``); a count that is not a whole
+    number, or a row without one, fails the query."""
     if statistic not in PROFILE_FILES:
         raise ValueError(f"statistic must be one of {sorted(PROFILE_FILES)}")
     obj_file, dt_file = PROFILE_FILES[statistic]
     base = profile_dir.rstrip("/")
-    schema = pattern_schema(statistic)
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in pattern_schema(statistic)])
+    number = F.expr(f"try_cast({statistic} as double)")
+    count = F.when(number == F.floor(number), F.coalesce(F.expr(f"try_cast({statistic} as bigint)"), number.cast("bigint"))).otherwise(
+        F.raise_error(F.concat(F.lit(f"not a whole {statistic}: "), F.coalesce(F.col(statistic), F.lit("(missing)")))))
 
     def load(name, src):
         return (spark.read.schema(schema)
                 .csv(f"{base}/{name}", sep=";", header=False, quote='"', escape='"')
-                .withColumn("src", F.lit(src)))
+                .withColumn(statistic, count.cast("bigint")).withColumn("src", F.lit(src)))
 
     df = load(obj_file, 0).unionByName(load(dt_file, 1))
     if null_as_nan:
         for c in ("subject", "predicate", "object"):
-            df = df.withColumn(c, F.coalesce(F.col(c), F.lit("nan")))
+            df = df.withColumn(c, F.when(F.col(c).isNull() | F.col(c).isin(MISSING), F.lit("nan")).otherwise(F.col(c)))
     return with_pair(df).select("subject", "predicate", "object", statistic, "pair", "src")
 
 

@@ -10,7 +10,7 @@ from tessera.sources.records import dedupe_last_label, read_marked_records
 
 def test_worked_record_and_unterminated_last_record(spark, tmp_dir):
     os.makedirs(tmp_dir + "/r", exist_ok=True)
-    text = ('7\t" Russia is to sell <e1> oil group </e1> <e2> Yukos </e2> . "\n'
+    text = ('7\t" Norland plans to rent <e1> dairy union </e1> <e2> Brelk </e2> . "\n'
             "org:alternate_names(e2,e1)\nComment:\n\n"
             '8\t" no tab here"\nno_relation\nComment:\n')  # second record lacks its 4th line
     with open(tmp_dir + "/r/part.txt", "w") as f:
@@ -19,8 +19,8 @@ def test_worked_record_and_unterminated_last_record(spark, tmp_dir):
     got = recs.collect()
     assert len(got) == 1
     s = SF.strip_direction(SF.extract_entity(SF.extract_entity(recs, "e1"), "e2")).first()
-    assert s["sentence"] == " Russia is to sell <e1> oil group </e1> <e2> Yukos </e2> . "
-    assert (s["rel"], s["e1"], s["e2"]) == ("org:alternate_names", " oil group ", " Yukos ")
+    assert s["sentence"] == " Norland plans to rent <e1> dairy union </e1> <e2> Brelk </e2> . "
+    assert (s["rel"], s["e1"], s["e2"]) == ("org:alternate_names", " dairy union ", " Brelk ")
 
 
 def test_record_without_tab_starts_at_second_char(spark, tmp_dir):
