@@ -15,6 +15,7 @@ from tessera.functions.blocks import DEFAULT_BLOCK_ROWS
 from tessera.functions.index import dense_index
 from tessera.functions.vectors import sparse_dot
 from tessera.operators.space import Space
+from tessera.session import checkpoint_dir
 
 INF = float("inf")
 
@@ -185,35 +186,74 @@ def all_pairs_similarity(space: Space, k: int = 10, block_size: int = DEFAULT_BL
                     "neighbor", "distance"))
 
 
-def pca(space: Space, k: int = 2, max_rows: int = 5000,
-        block_size: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+PCA_EXTRA = 14  # columns iterated beyond the components asked for
+PCA_TOLERANCE = 1e-12  # squared residual of the components, of their squared length
+
+
+def pca(space: Space, k: int = 2, max_rounds: int = 300) -> DataFrame:
     """Scores on the first ``k`` principal components of the
     mean-centred space (the sign of a component is free).
 
-    A profile space has far fewer rows than dimensions, so the components
-    come from the double-centred Gram matrix (rows x rows): the dot
-    products are computed by the distributed block join, and only the
-    rows x rows eigenproblem (bounded by ``max_rows``) is solved on the
-    driver.  Spark ML's PCA would instead decompose a dims x dims
-    covariance matrix locally."""
+    Subspace iteration on the sparse entries: a table of a few numbers per
+    row is multiplied by the space (join on the predicate, sums per
+    component) and back (join on the component, sums per predicate), and
+    centred, which is all that centring the space amounts to.  Only sums of
+    products of its few columns reach the driver, which makes them
+    orthogonal again.  Rounds end when the components asked for are
+    invariant (``PCA_TOLERANCE``); ``max_rounds`` ends a space whose
+    components are tied, for which any rotation of them is right."""
     import numpy as np
 
-    n_rows = space.rows.count()
-    if n_rows > max_rows:
-        raise ValueError(f"{n_rows} rows exceed max_rows={max_rows} for the Gram eigenproblem")
-    _, _, bd = block_dots(space, block_size)
-    order = {r["predicate"]: r["row_order"] for r in space.rows.collect()}  # bounded by max_rows
-    names = {v: k for k, v in order.items()}
-    G = np.zeros((n_rows, n_rows))
-    for r in bd.select("predicate", "dots", "names").collect():  # n_rows x n_rows values, bounded
-        i = order[r["predicate"]]
-        for pos, other in enumerate(r["names"]):
-            G[i, order[other]] = r["dots"][pos]
-    H = np.eye(n_rows) - 1.0 / n_rows
-    Gc = H @ G @ H
-    vals, vecs = np.linalg.eigh(Gc)
-    top = np.argsort(vals)[::-1][:k]
-    scores = vecs[:, top] * np.sqrt(np.clip(vals[top], 0, None))
-    out = [(names[i], int(i), *[float(x) for x in scores[i]]) for i in range(n_rows)]
-    schema = "predicate string, row_order bigint, " + ", ".join(f"pc{j + 1} double" for j in range(k))
-    return space.rows.sparkSession.createDataFrame(out, schema)
+    checkpoint_dir(space.rows.sparkSession)
+    rows = space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order")).checkpoint()
+    entries = space.entries.select("predicate", "component", "value").checkpoint()
+    n = rows.count()
+    m = max(min(k + PCA_EXTRA, n), 1)
+    cols = [f"u{j}" for j in range(m)]
+    u = rows.select("predicate", *[(F.xxhash64("predicate", F.lit(j)) / float(1 << 63)).alias(c) for j, c in enumerate(cols)])
+
+    def products(df, left, right):
+        """Means of ``right`` and the matrices right'right and left'right."""
+        pairs = [(i, j) for i in range(m) for j in range(i, m)]
+        out = df.agg(*[F.avg(c).alias(f"m{j}") for j, c in enumerate(right)],
+                     *[F.sum(F.col(right[i]) * F.col(right[j])).alias(f"g{i}_{j}") for i, j in pairs],
+                     *[F.sum(F.col(left[i]) * F.col(right[j])).alias(f"t{i}_{j}") for i in range(m) for j in range(m)]).first()
+        mean = np.array([out[f"m{j}"] for j in range(m)])
+        gram = np.zeros((m, m))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = out[f"g{i}_{j}"]
+        return mean, gram - n * np.outer(mean, mean), np.array([[out[f"t{i}_{j}"] for j in range(m)] for i in range(m)])
+
+    def turned(df, mean, by, names=cols):
+        """(row - mean) times a small matrix."""
+        return df.select("predicate", *[sum(((F.col(c) - float(mean[i])) * float(by[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(name)
+                                        for j, name in enumerate(names)])
+
+    def inverse_root(gram):
+        values, vectors = np.linalg.eigh(gram)
+        good = values > max(values.max(), 0) * 1e-14
+        return vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0)
+
+    if not n:
+        return rows.select("predicate", "row_order", *[F.lit(0.0).alias(f"pc{j + 1}") for j in range(k)])
+    mean, gram, _ = products(u, cols, cols)
+    u = turned(u, mean, inverse_root(gram)).checkpoint()
+    for _ in range(max_rounds):
+        across = entries.join(u, "predicate").groupBy("component").agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in cols])
+        back = entries.join(across, "component").groupBy("predicate").agg(*[F.sum(F.col("value") * F.col(c)).alias(f"v{j}") for j, c in enumerate(cols)])
+        both = u.join(back, "predicate", "left").fillna(0.0).checkpoint()
+        new = [f"v{j}" for j in range(m)]
+        mean, gram, ritz = products(both, cols, new)
+        values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
+        order = np.argsort(values)[::-1]
+        values, vectors = np.clip(values[order], 0, None), vectors[:, order]
+        lengths = np.einsum("ij,ik,kj->j", vectors, gram, vectors)  # squared lengths of the images
+        left = np.clip(lengths - values ** 2, 0, None)[:k]
+        done = (left <= PCA_TOLERANCE * np.maximum(lengths[:k], 1e-300)).all()
+        if done:
+            break
+        u = turned(both.select("predicate", *[F.col(v).alias(c) for v, c in zip(new, cols)]), mean, inverse_root(gram))
+    top = np.zeros((m, k))
+    top[:, :min(k, m)] = (vectors * np.sqrt(values))[:, :k]
+    scores = turned(both, np.zeros(m), top, [f"pc{j + 1}" for j in range(k)])
+    return rows.join(scores, "predicate").select("predicate", "row_order", *[f"pc{j + 1}" for j in range(k)])
