@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ci_search
+from tessera.session import checkpoint_dir
 from tessera.sources.patterns import pair_col
 
 
@@ -53,8 +54,11 @@ def drop_small_predicates(df: DataFrame, n: int = 1) -> DataFrame:
 
 def clean(df: DataFrame, kw: str = "wiki", pair_n: int = 1, min_freq: int = 10,
           pred_n: int = 1, statistic: str = "frequency") -> DataFrame:
-    """B2 -> B3 -> B4 -> B5, each count taken on the previous output."""
-    out = drop_keyword_predicates(df, kw)
+    """B2 -> B3 -> B4 -> B5, each count taken on the previous output.
+    The output of B2 is checkpointed: the counts and the rows read it, and
+    the source is read once."""
+    checkpoint_dir(df.sparkSession)
+    out = drop_keyword_predicates(df, kw).checkpoint()
     out = drop_rare_pairs(out, pair_n)
     out = drop_infrequent(out, min_freq, statistic)
     return drop_small_predicates(out, pred_n)
@@ -65,7 +69,10 @@ def clean_from_summary(df: DataFrame, kw: str = "wiki", min_freq: int = 10,
     """Notebook variant.  Unrepeated pairs (fewer than 2 rows) and
     predicates with fewer than 2 rare (statistic < 2) patterns are computed
     on the uncleaned input, then: keyword filter, drop those pairs, keep
-    statistic > ``min_freq``, drop those predicates."""
+    statistic > ``min_freq``, drop those predicates.  The input is
+    checkpointed, as three steps read it."""
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()
     t5 = (df.groupBy("subject", "object").agg(F.count(F.lit(1)).alias("size"))
           .filter(F.col("size") < 2).select(pair_col().alias("pair")).distinct())
     t4 = (df.filter(F.col(statistic) < 2).groupBy("predicate")

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def _array_mode(arr):
     """Most frequent element of an array (tie: smallest); null if empty."""
@@ -44,13 +46,25 @@ def _mode_per_rel(df: DataFrame, type_col: str, rel: str) -> DataFrame:
     return counts.groupBy(rel).agg(F.min_by("t", F.struct((-F.col("n")).alias("m"), "t")).alias("_mode"))
 
 
+MAX_BROADCAST_RELATIONS = 100_000
+
+
+def _per_relation(table: DataFrame) -> DataFrame:
+    """A table of one row per relation, written once; broadcast up to
+    ``MAX_BROADCAST_RELATIONS`` rows, so that a relation with a large share
+    of the sentences does not end in one task."""
+    checkpoint_dir(table.sparkSession)
+    written = table.checkpoint()
+    return F.broadcast(written) if written.count() <= MAX_BROADCAST_RELATIONS else written
+
+
 def impute_types(df: DataFrame, rel: str = "rel", cols=("e1_type_CNLP", "e2_type_CNLP")) -> DataFrame:
     """An empty type cell takes the most frequent type of its relation
     (tie: smallest type); cells already typed are unchanged."""
     out = df
     for c in cols:
         mode = _mode_per_rel(df, c, rel).withColumnRenamed("_mode", f"_mode_{c}")
-        out = (out.join(mode, rel, "left")
+        out = (out.join(_per_relation(mode), rel, "left")
                .withColumn(c, F.when(F.coalesce(F.col(c), F.lit("")) == "", F.coalesce(F.col(f"_mode_{c}"), F.lit("")))
                            .otherwise(F.col(c))).drop(f"_mode_{c}"))
     return out
@@ -64,7 +78,7 @@ def resolve_types(df: DataFrame, rel: str = "rel", cols=("e1_type_CNLP", "e2_typ
         counts = (df.select(rel, F.explode(F.split(F.col(c), ",")).alias("t")).filter(F.col("t") != "")
                   .groupBy(rel, "t").agg(F.count(F.lit(1)).alias("n")))
         arr = counts.groupBy(rel).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_cnt"))
-        out = out.join(arr, rel, "left")
+        out = out.join(_per_relation(arr), rel, "left")
         cand = F.filter(F.split(F.col(c), ","), lambda x: x != F.lit(""))
         ranked = F.transform(cand, lambda x: F.struct((-F.coalesce(F.element_at(F.col("_cnt"), x), F.lit(0))).alias("m"),
                                                        x.alias("t")))

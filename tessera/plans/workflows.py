@@ -20,11 +20,14 @@ def profile_table(spark: SparkSession, profile_dir: str, subclass: DataFrame | N
                   equiv_classes: DataFrame | None = None, equiv_props: DataFrame | None = None,
                   statistic: str = "frequency", do_clean: bool = True,
                   rules: list[Rule] | None = PROFILE_RULES) -> DataFrame:
-    """A1 -> B6 (optional) -> D10 + D11 (when ontology tables are given)."""
+    """A1 -> B6 (optional) -> D10 + D11.  Without ``subclass`` a root stands
+    for itself alone."""
     df = read_patterns(spark, profile_dir, statistic)
     if do_clean:
         df = clean(df, statistic=statistic)
-    if rules and subclass is not None:
+    if rules:
+        if subclass is None:
+            subclass = spark.createDataFrame([], "child string, parent string")
         art = artificial_properties(df, rules, subclass, equiv_classes, equiv_props, statistic)
         df = extend_profile(df, art, statistic)
     return df
