@@ -363,6 +363,43 @@ ORACLES.update({
 })
 
 
+# the shipped rules as rows: rule, predicate keywords, subject root, allowed objects or object root
+_ORG, _PERSON = "http://dbpedia.org/ontology/Organisation", "http://dbpedia.org/ontology/Person"
+_PLACES = {"city": "http://dbpedia.org/ontology/City", "country": "http://schema.org/Country",
+           "region": "http://www.wikidata.org/entity/Q3455524"}
+_SHIPPED = [
+    ("org:city_of_headquarters", "headquarter", _ORG, "city", None), ("org:country_of_headquarters", "headquarter", _ORG, "country", None),
+    ("org:stateorprovince_of_headquarters", "headquarter", _ORG, "region", None), ("per:cities_of_residence", "residence", _PERSON, "city", None),
+    ("per:countries_of_residence", "residence", _PERSON, "country", None), ("per:stateorprovinces_of_residence", "residence", _PERSON, "region", None),
+    ("org:alternate_names", "alias|alternatename", _ORG, None, None), ("per:alternate_names", "alias|alternatename", _PERSON, None, None),
+    ("org:members", "employee|member", _ORG, None, _ORG), ("per:employee_of", "employee|member", _PERSON, None, _ORG),
+    ("org:top_members_employees", "employee|member", _ORG, None, _PERSON)]
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else "'" + v + "'"
+
+
+ORACLES["d10_profile_rules"] = with_rec(PAT, ONTO, f"""m AS (SELECT subject, frequency,
+      'http://x/' || CASE split_part(predicate, ' ', 2) WHEN 'bolt' THEN 'headquarter' WHEN 'ring' THEN 'residence'
+        WHEN 'gear' THEN 'aliasName' WHEN 'rod' THEN 'memberOf' ELSE 'other' END AS predicate,
+      CASE object WHEN 'SMALL' THEN '{_PLACES["city"]}' WHEN 'ECONOMY' THEN '{_PLACES["country"]}'
+        WHEN 'PROMO' THEN '{_PLACES["region"]}' WHEN 'STANDARD' THEN 'FRANCE' ELSE 'KENYA' END AS object
+    FROM pat WHERE src = 0)""",
+    f"""sc AS (SELECT child, parent FROM subclass UNION ALL SELECT * FROM (VALUES ('AFRICA', '{_ORG}'), ('EUROPE', '{_PERSON}')) v(child, parent))""",
+    f"""clo AS (SELECT root, root AS type FROM (VALUES ('{_ORG}'), ('{_PERSON}')) v(root)
+      UNION SELECT c.root, s.child FROM clo c JOIN sc s ON s.parent = c.type)""",
+    "rules AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({_sql(a)}, {_sql(b)}, {_sql(c)}, {_sql(_PLACES.get(d))}, {_sql(e)})" for a, b, c, d, e in _SHIPPED)
+    + ") v(rule, rx, root, place, object_root))") + """
+    SELECT m.subject, r.rule AS predicate, m.object, m.subject || '#-#' || m.object AS pair, CAST(sum(m.frequency) AS BIGINT) AS frequency
+    FROM m JOIN rules r ON regexp_matches(m.predicate, r.rx, 'i')
+    WHERE m.subject IN (SELECT type FROM clo WHERE clo.root = r.root)
+      AND (r.place IS NULL OR m.object = r.place)
+      AND (r.object_root IS NULL OR m.object IN (SELECT type FROM clo WHERE clo.root = r.object_root))
+    GROUP BY ALL"""
+
+
 # ---------------------------------------------------------------- F: sentences
 _STRIP = "replace(replace(replace(replace(sentence, '<e1>', ''), '</e1>', ''), '<e2>', ''), '</e2>', '')"
 TOKS = """toks AS (SELECT sentence, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS i FROM (

@@ -355,6 +355,26 @@ def _d10(spark, sf):
     return fixture_artificial(spark, sf)
 
 
+def profile_view(spark, sf):
+    """F-PAT in the words of the shipped rules: keywords in the predicates,
+    class IRIs among the objects, regions below the root classes."""
+    word = F.split_part("predicate", F.lit(" "), F.lit(2))
+    predicate = F.concat(F.lit("http://x/"), F.when(word == "bolt", "headquarter").when(word == "ring", "residence")
+                         .when(word == "gear", "aliasName").when(word == "rod", "memberOf").otherwise("other"))
+    obj = (F.when(F.col("object") == "SMALL", D.CITY[0]).when(F.col("object") == "ECONOMY", D.COUNTRY[1])
+           .when(F.col("object") == "PROMO", D.REGION[2]).when(F.col("object") == "STANDARD", "FRANCE").otherwise("KENYA"))
+    rows = pat(spark, sf).filter("src = 0").withColumns({"predicate": predicate, "object": obj})
+    roots = spark.createDataFrame([("AFRICA", D.ORG), ("EUROPE", D.PERSON)], "child string, parent string")
+    return with_pair(rows), V.subclass_edges(spark, sf).unionByName(roots)
+
+
+@query("d10_profile_rules")
+def _d10p(spark, sf):
+    """All shipped rules at once."""
+    rows, subclass = profile_view(spark, sf)
+    return D.artificial_properties(rows, D.PROFILE_RULES, subclass)
+
+
 @query("d11_extend_profile")
 def _d11(spark, sf):
     return D.extend_profile(B.clean(pat(spark, sf), kw=NOISE_KW), fixture_artificial(spark, sf))
