@@ -36,7 +36,10 @@ from tessera.llm.base import id_text, per_process
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_STATES = 300_000
-MAX_PIECES = 150_000
+MAX_PIECES = 50_000
+MAX_WORDS = 300_000
+#: Marks that end many words and, after a letter, are a match of their own.
+MARKS = frozenset(".,;:!?")
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -215,13 +218,18 @@ class Words(dict):
     """Bounded table of what stands between two single spaces -> ids, with
     the space before it; None where the spaces around are not single."""
 
-    def __init__(self, split, pieces: Pieces, limit: int = MAX_PIECES):
+    def __init__(self, split, pieces: Pieces, limit: int = MAX_WORDS):
         self.split, self.pieces, self.limit = split, pieces, limit
 
     def __missing__(self, word: str):
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
+        if word.isalpha():  # one match of the pattern
+            ids = tuple(self.pieces.encoder.encode(b" " + word.encode()))
+        elif word[-1] in MARKS and word[:-1].isalpha():  # two
+            return self[word[:-1]] + self.pieces[word[-1]]
+        else:
+            ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + word))))
         if len(word) <= 64 and len(self) < self.limit:
             self[word] = ids
         return ids
