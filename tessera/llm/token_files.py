@@ -26,12 +26,14 @@ from tessera.session import scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 2
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
+#: Marks that end many words and, after a letter, are a piece of their own.
+MARKS = frozenset(".,;:!?")
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 #: Writer settings: format version with delta encodings, 16 MB row groups,
 #: pages of at most 64 KB or 1000 rows, no dictionary for what never repeats.
 WRITER = {
-    "compression": "zstd",
+    "compression": "snappy",  # packed ids hardly shrink further
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(16 << 20),
     "parquet.page.size": str(64 << 10),
@@ -42,80 +44,119 @@ WRITER = {
 }
 
 
+class Numbers(dict):
+    """word -> row of the id table; numbers a word when it is first asked
+    for and remembers that its ids are still to be made."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library.
 
     Such a tokenizer splits a text before it merges bytes, and a single
     space between two characters that are no white space always begins a
     new piece.  So each word, with its space, is given to the library once
-    and its ids are kept; texts with other spacing are given to it whole."""
+    and its ids are kept; texts with other spacing are given to it whole.
+    A mark after letters is a piece of its own, so such a word is put
+    together from its parts.  The table keeps the first ``max_words`` words
+    (frequent ones come early) and forgets the others after each call."""
 
     def __init__(self, tokenizer_json: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.max_words = max_words
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)  # -1: not a word
         self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
+        self.marks = {m: self._encode([m])[0][0] for m in MARKS}  # a byte is one id
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        for word, ids in zip(words, self._encode([w[1:] if w[0] == "\0" else " " + w for w in words])):
-            k = len(self.number)
-            if k == len(self.first):
-                self.first, self.size = (np.concatenate([a, np.zeros(k, a.dtype)]) for a in (self.first, self.size))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.first[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.number[word] = k
+    def _learn(self) -> None:
+        """Makes the ids of all words that were numbered since."""
+        table = self.number
+        marked = [w for w in table.new if w and w[-1] in MARKS and w[:-1].isalpha()]
+        for w in marked:
+            table[w[:-1]]  # numbers the part before the mark, if it is new
+        words, table.new = table.new, []
+        while len(table) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.first, self.size))
+        self.size[len(table) - len(words):len(table)] = -1
+        apart = set(marked)
+        plain = [w for w in words if w.isalpha() or (w not in apart and w and not (
+            w[0].isspace() or w[-1].isspace() or w == "\0"))]
+        for at in range(0, len(plain), 20_000):  # the library's results are large
+            some = plain[at:at + 20_000]
+            ids = self._encode([w[1:] if w[0] == "\0" else " " + w for w in some])
+            size = np.fromiter(map(len, ids), np.int64, len(some))
+            self._store(np.fromiter(map(table.__getitem__, some), np.int64, len(some)), size,
+                        np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+        if marked:
+            base = np.fromiter((table[w[:-1]] for w in marked), np.int64, len(marked))
+            size = self.size[base] + 1
+            ends = np.cumsum(size)
+            flat = np.empty(ends[-1], np.int32)
+            body = np.ones(ends[-1], bool)
+            body[ends - 1] = False
+            n = size - 1
+            flat[body] = self.ids[np.arange(n.sum()) + np.repeat(self.first[base] - (np.cumsum(n) - n), n)]
+            flat[ends - 1] = [self.marks[w[-1]] for w in marked]
+            self._store(np.fromiter(map(table.__getitem__, marked), np.int64, len(marked)), size, flat)
+
+    def _store(self, numbers: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.first[numbers], self.size[numbers] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[np.ndarray | None] = [np.zeros(0, np.int32)] * len(texts)
-        regular, words = [], []
-        whole = []
-        for k, text in enumerate(texts):
+        out = [np.zeros(0, np.int32)] * len(texts)
+        kept, used = len(self.number), self.used
+        words = []
+        for text in texts:
             parts = text.split(" ")
-            if "" in parts or not all(map(_is_word, parts)):
-                if text:
-                    whole.append(k)
-                continue
-            parts[0] = "\0" + parts[0]  # no space before it
-            regular.append(k)
+            # no space before the first word, which a character that begins no word of a text says
+            parts[0] = "\0" + parts[0] if parts[0] and not parts[0][0].isspace() and "\0" not in text else ""
             words.append(parts)
-        if len(self.number) > self.max_words:
-            self.reset()
-        new = set(chain.from_iterable(words)).difference(self.number)
-        if new:
-            self._learn(sorted(new))
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        if self.number.new:
+            self._learn()
+        size = self.size[at]
+        ends = np.cumsum(n_words)
+        odd = np.add.reduceat(size < 0, ends - n_words) > 0  # texts with something else between two spaces
+        whole = [k for k in np.flatnonzero(odd).tolist() if texts[k]]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = np.array(ids, np.int32)
-        if regular:
-            n_words = np.fromiter(map(len, words), np.int64, len(words))
-            at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            flat = self.ids[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - size), size)]
-            cuts = ends[np.cumsum(n_words)[:-1] - 1]
-            for k, ids in zip(regular, np.split(flat, cuts)):
-                out[k] = ids
+        size = np.maximum(size, 0)
+        stop = np.cumsum(size)
+        if len(stop) and stop[-1]:
+            flat = self.ids[np.arange(stop[-1]) + np.repeat(self.first[at] - (stop - size), size)]
+            for k, ids in enumerate(np.split(flat, stop[ends[:-1] - 1])):
+                if not odd[k]:
+                    out[k] = ids
+        if len(self.number) > self.max_words:
+            keep = max(kept, min(self.max_words, len(self.number)))
+            if keep == kept:  # full: what this call added goes
+                self.used = used
+            while len(self.number) > keep:
+                self.number.popitem()  # the last one added
         return out
 
 
-def _is_word(part: str) -> bool:
-    return not (part[0].isspace() or part[-1].isspace() or part[0] == "\0")
-
-
 def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = END_ID,
                  writer: dict[str, str] | None = None) -> None:
     """Writes the ids of every text, ``end_id`` appended, to ``path`` in
@@ -125,8 +166,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("words", hash(tokenizer_json)), lambda: WordEncoder(tokenizer_json))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 ids = encoder([t or "" for t in part.column(1).to_pylist()])
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
