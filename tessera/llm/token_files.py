@@ -20,13 +20,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import id_text, per_process
+from tessera.llm.base import free_worker, id_text, per_process
 from tessera.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 2
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 #: Marks that end many words and, after a letter, are a piece of their own.
 MARKS = frozenset(".,;:!?")
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
@@ -166,8 +166,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("words", hash(tokenizer_json)), lambda: WordEncoder(tokenizer_json))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 ids = encoder([t or "" for t in part.column(1).to_pylist()])
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
@@ -194,6 +194,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     (of the ids as little-endian unsigned 32-bit integers), from the files."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for b in batches:
             lists = b.column(1)
             values = lists.values.to_numpy().astype("<u4", copy=False)
