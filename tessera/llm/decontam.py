@@ -16,6 +16,11 @@ the walk that stands at word i before step j is that of step j + 1 at word
 i or i + 1, xor-ed with the symbol if j is sampled.  A window that meets an
 item is placed over the item's full length and the exact edit distance to
 the best stretch of text decides.
+
+Exact copies do not rest on the walks: the first bytes of every item are
+looked up at every byte of the text, so they are found whatever the length
+and the script of the item; a lone word of ASCII letters or digits counts
+where it is not part of a longer one.
 """
 
 from __future__ import annotations
@@ -41,11 +46,15 @@ SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, distance bigi
 #: An item uses the first of these that it has the words for:
 #: (least words, steps of the walk, sampled steps, walks of 4 hashes each).
 EMBEDDINGS = ((12, 20, 8, 2), (4, 6, 5, 1), (1, 1, 1, 1))
+#: Exact copies are found by the first bytes of an item: the largest power of
+#: two it has, up to this.
+EXACT_BYTES = 64
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_SPACED = _WORD & (np.arange(256) < 128)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -70,6 +79,22 @@ class Words:
         self.ahead = _powers(_BASE, size + 1)
         self.back = _powers(pow(_BASE, -1, 1 << 64), size + 1)
 
+    def stretches(self, text: bytes, size: int) -> np.ndarray:
+        """64-bit hash of the ``size`` bytes at every place that has them."""
+        data = np.frombuffer(text, np.uint8)
+        if len(data) >= len(self.ahead):
+            self.__init__(len(data))
+        out = np.empty(max(len(data) - size + 1, 0), U)
+        block = 1 << 14
+        for at in range(0, len(out), block):
+            part = data[at:at + block + size - 1]
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(part) + 1, U)
+                np.cumsum(self.ahead[:len(part)] * (part + U(1)), out=sums[1:])
+                n = len(part) - size + 1
+                out[at:at + n] = (sums[size:] - sums[:n]) * self.back[:n]
+        return out
+
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(text, np.uint8)
         if len(data) >= len(self.ahead):
@@ -193,10 +218,22 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.texts = [r[1].encode().lower().decode() for r in rows]
         self.n_words = np.zeros(len(rows), np.int64)
+        self.n_bytes = np.zeros(len(rows), np.int64)
         split, parsed = Words(1 << 12), []
         for k, t in enumerate(self.texts):
             parsed.append(split(t.encode()))
             self.n_words[k] = len(parsed[-1][0])
+            self.n_bytes[k] = len(t.encode())
+        self.exact = []
+        for size in (1 << k for k in range(EXACT_BYTES.bit_length())):
+            own = [k for k in np.flatnonzero(self.n_words).tolist()
+                   if size <= self.n_bytes[k] and (self.n_bytes[k] < 2 * size or size == EXACT_BYTES)]
+            if own:
+                keys = np.array([split.stretches(self.texts[k].encode()[:size], size)[0] for k in own], U)
+                order = np.argsort(keys, kind="stable")
+                seen = np.zeros(1 << 20, bool)
+                seen[keys >> U(44)] = True
+                self.exact.append((size, keys[order], np.array(own)[order], seen))
         self.tables = []
         for c, (least, steps, sampled, walks) in enumerate(EMBEDDINGS):
             above = EMBEDDINGS[c - 1][0] if c else 1 << 60
@@ -211,7 +248,7 @@ class Items:
                 keys.append(emb.keys(words))
                 inside.append(np.arange(n) + emb.reach(words) <= n)
                 item.append(np.full(n, k))
-                offset.append(np.arange(n))
+                offset.append(parsed[k][0])
             keys, inside = np.concatenate(keys, 1), np.concatenate(inside, 1)
             item, offset = np.concatenate(item), np.concatenate(offset)
             lanes = []
@@ -223,21 +260,35 @@ class Items:
                 lanes.append((keys[h][some], item[some], offset[some], seen))
             self.tables.append((emb, lanes))
 
-    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word at which it would start) for all meeting windows."""
-        items, starts = [], []
+    def candidates(self, joined: bytes, first: np.ndarray, words: np.ndarray,
+                   split: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, byte at which it would start, byte at which they meet) for
+        all meeting windows."""
+        found = [(np.zeros(0, np.int64),) * 3]
+
+        def meet(key, some, sorted_keys):
+            lo = np.searchsorted(sorted_keys, key, "left")
+            n = np.searchsorted(sorted_keys, key, "right") - lo
+            some, lo, n = some[n > 0], lo[n > 0], n[n > 0]
+            return np.repeat(some, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+        spaced = np.concatenate([[False], _SPACED[np.frombuffer(joined, np.uint8)], [False]])  # byte i is at i + 1
+        for size, sorted_keys, item, seen in self.exact:
+            key = split.stretches(joined, size)
+            some = np.flatnonzero(seen[key >> U(44)])
+            at, hit = meet(key[some], some, sorted_keys)
+            item = item[hit]
+            # a single spaced word counts where it stands as a word
+            end = at + self.n_bytes[item]
+            inner = (spaced[at] & spaced[at + 1]) | (spaced[np.minimum(end, len(joined))] & spaced[np.minimum(end + 1, len(joined) + 1)])
+            ok = (self.n_words[item] > 1) | ~inner
+            found.append((item[ok], at[ok], at[ok]))
         for emb, lanes in self.tables:
             for key, (sorted_keys, item, offset, seen) in zip(emb.keys(words), lanes):
                 some = np.flatnonzero(seen[key >> 12])
-                lo = np.searchsorted(sorted_keys, key[some], "left")
-                n = np.searchsorted(sorted_keys, key[some], "right") - lo
-                some, lo, n = some[n > 0], lo[n > 0], n[n > 0]
-                hit = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                items.append(item[hit])
-                starts.append(np.repeat(some, n) - offset[hit])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(items), np.concatenate(starts)
+                at, hit = meet(key[some], some, sorted_keys)
+                found.append((item[hit], first[at] - offset[hit], first[at]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def search(self, texts: list[str | None], split: Words, first_only: bool = False) -> list[tuple]:
         """(text number, item number, start, end, distance): the best place
@@ -248,16 +299,14 @@ class Items:
             data.append((t or "").encode().lower())
             sizes[k] = len(data[-1]) + 1
         joined = b"\n".join(data)
-        first, end, hashes = split(joined)
+        first, _, hashes = split(joined)
         if not len(first):
             return []
-        item, start = self.candidates(hashes)
+        item, start, at = self.candidates(joined, first, hashes, split)
         if not len(item):
             return []
         bounds = np.cumsum([0, *sizes])
-        # the window that met lies in one text: that of the item's middle word, as far as there is one
-        anchor = np.clip(start + self.n_words[item] // 2, 0, len(first) - 1)
-        owner = np.searchsorted(bounds, first[anchor], "right") - 1
+        owner = np.searchsorted(bounds, at, "right") - 1  # the text in which they meet
         seen = np.unique(np.stack([owner, item, start], 1), axis=0)
         out, best = [], {}
         k = 0
@@ -265,10 +314,10 @@ class Items:
             o, i, s = seen[k]
             last = k
             while last + 1 < len(seen) and seen[last + 1][0] == o and seen[last + 1][1] == i and \
-                    seen[last + 1][2] - seen[last][2] <= max(2, self.n_words[i] // 2):
+                    seen[last + 1][2] - seen[last][2] <= max(8, self.n_bytes[i] // 2):
                 last += 1
             hit = None if first_only and (o,) in best else self._verify(
-                data[o], int(bounds[o]), first, end, int(i), int(s), int(seen[last][2]))
+                data[o], int(bounds[o]), int(i), int(s), int(seen[last][2]))
             if hit:
                 old = best.get((o, i))
                 if old is None or hit < old:
@@ -280,12 +329,11 @@ class Items:
                 out.append((int(key[0]), int(key[1]), *value[1:], value[0]))
         return out
 
-    def _verify(self, data: bytes, begin: int, first, end, item: int, low: int, high: int):
+    def _verify(self, data: bytes, begin: int, item: int, low: int, high: int):
         text = self.texts[item]
         most = int(MAX_EDITS * len(text))
-        last = min(max(high + int(self.n_words[item]) - 1, 0), len(first) - 1)
-        a = max(int(first[max(low, 0)]) - begin - 4 * most - 4, 0)
-        b = min(int(end[last]) - begin + 4 * most + 4, len(data))
+        a = max(low - begin - 4 * most - 4, 0)
+        b = min(high - begin + int(self.n_bytes[item]) + 4 * most + 4, len(data))
         if a >= b:
             return None
         while a > 0 and data[a] & 0xC0 == 0x80:

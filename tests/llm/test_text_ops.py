@@ -303,6 +303,22 @@ def test_decontamination_finds_all_exact_and_most_edited(spark):
     assert sum((k, p[0]) in found for k, p in enumerate(planted)) / len(planted) >= 0.9
 
 
+def test_decontamination_finds_exact_copies_of_short_and_unspaced_items():
+    rng = random.Random(12)
+    letters = "".join(chr(c) for c in range(97, 123))
+    items = [(n * 1000 + k, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n)))
+             for n in range(1, 15) for k in range(30)]
+    items += [(50_000 + k, "".join(chr(rng.randint(0x4e00, 0x9fff)) for _ in range(rng.randint(1, 40)))) for k in range(60)]
+    # in an unspaced text, and with letters at both ends
+    texts = [f"a b{e}{x}{e}c d" for _, x in items for e in (" ", "\u6f22\u5b57", "zz")]
+    block, split = decontam.Items(items), decontam.Words(1 << 16)
+    hits = {(t, block.ids[i]) for t, i, _, _, d in block.search(texts, split) if d == 0}
+    for k, (i, x) in enumerate(items):
+        for j in range(3):
+            lone = x.isascii() and " " not in x and j == 2  # part of a longer word
+            assert ((3 * k + j, i) in hits) != lone
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "another text of the same id"), (1, "another text of the same id"), (2, None), (3, ""), (4, "!!"),
                                        (5, "1234"), (None, "no id here, but token")], "item_id bigint, text string")
