@@ -8,14 +8,16 @@ agree: edit distance has become Hamming distance.  Sampling a few steps
 makes a hash, and repeating that with other samples and other walks makes
 sequences with few edits meet at least once.
 
-Symbols are words.  Every word of a text begins a window, and every word of
-an item begins one too, as far as its walk ends inside the item, so a
-passage that is cut or edited at either end still shares windows with it.
-All windows of a text are embedded together, last step first: the hash of
-the walk that stands at word i before step j is that of step j + 1 at word
-i or i + 1, xor-ed with the symbol if j is sampled.  A window that meets an
-item is placed over the item's full length and the exact edit distance to
-the best stretch of text decides.
+Symbols are bytes.  Every byte of a text begins a window, and every byte of
+an item begins one too, as far as its walk ends inside the item, so one
+stretch that is left whole between two edits is enough to meet, wherever in
+the item it is.  All windows of a text are embedded together, last step
+first: the hash of the walk that stands at byte i before step j is that of
+step j + 1 at byte i or i + 1, xor-ed with the symbol if j is sampled.
+Where a window meets an item, the ``SLICE`` bytes of the item around it are
+first compared with the text in one machine word; then the item is placed
+over its full length and the exact edit distance to the best stretch of
+text decides.
 
 Exact copies do not rest on the walks: the first bytes of every item are
 looked up at every byte of the text, so they are found whatever the length
@@ -43,9 +45,13 @@ BLOCK_ITEMS = 4096
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, distance bigint, similarity double"
-#: An item uses the first of these that it has the words for:
-#: (least words, steps of the walk, sampled steps, walks of 4 hashes each).
-EMBEDDINGS = ((12, 20, 8, 2), (4, 6, 5, 1), (1, 1, 1, 1))
+#: An item uses the first of these that it has the bytes for:
+#: (least bytes, steps of the walk, sampled steps, walks of 2 hashes each).
+EMBEDDINGS = ((48, 24, 20, 1), (16, 10, 8, 2), (5, 4, 3, 2))
+#: Bytes of an item that are compared first, and the share of them that may
+#: differ there (edits can lie closer together than in the whole item).
+SLICE = 64
+SLICE_EDITS = 0.375
 #: Exact copies are found by the first bytes of an item: the largest power of
 #: two it has, up to this.
 EXACT_BYTES = 64
@@ -71,6 +77,9 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U(29))
 
 
+_SYMBOLS = _mix(np.arange(1, 257, dtype=U), 0x5EED)
+
+
 class Words:
     """Words (runs of letters, digits and non-ASCII bytes, A-Z lower-cased)
     of a byte string: first byte, end and 64-bit hash of each."""
@@ -114,61 +123,67 @@ class Embedding:
 
     steps: int
     samples: np.ndarray  # (hashes, steps) bool
-    factors: np.ndarray  # (hashes, steps) odd multipliers
+    factors: np.ndarray  # (hashes, steps) odd multipliers of the symbols
     salts: list[int]  # one for each walk
 
     @classmethod
     def drawn(cls, steps: int, sampled: int, walks: int, seed: int = 11) -> Embedding:
         rng = np.random.default_rng(seed)
-        hashes = walks * 4
+        hashes = walks * 2
         samples = np.zeros((hashes, steps), bool)
         for row in samples:
             row[rng.permutation(steps)[:sampled]] = True
         return cls(steps, samples, rng.integers(0, 1 << 63, (hashes, steps), dtype=U) * U(2) + U(1),
                    [int(x) for x in rng.integers(1, 1 << 62, walks)])
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """(hashes, windows) 32-bit keys of the window at every word; a walk
-        past the last word reads zeros."""
-        out = np.empty((len(self.samples), len(words)), np.uint32)
-        block = 1 << 14
-        for at in range(0, len(words), block):
-            part = words[at:at + block + self.steps]
-            x = np.zeros(len(part) + self.steps, U)
-            x[:len(part)] = part
-            n = min(block, len(words) - at)
-            for w, salt in enumerate(self.salts):
-                bits = _mix(x, salt)
-                for pair in range(2):  # two 32-bit hashes in one 64-bit number
-                    h = 4 * w + 2 * pair
-                    g = np.zeros(len(x) + 1, U)
-                    with np.errstate(over="ignore"):
-                        for j in range(self.steps - 1, -1, -1):
-                            move = U(0) - ((bits >> U(j)) & U(1))
-                            now = g[1:] ^ g[:-1]
-                            now &= move
-                            now ^= g[:-1]
-                            if self.samples[h, j]:
-                                now ^= (x * self.factors[h, j]) & U(0xFFFFFFFF00000000)
-                            if self.samples[h + 1, j]:
-                                now ^= (x * self.factors[h + 1, j]) >> U(32)
-                            g[:-1] = now
-                    out[h, at:at + n] = g[:n] >> U(32)
-                    out[h + 1, at:at + n] = g[:n] & U(0xFFFFFFFF)
-        return out
+    def moves(self, walk: int) -> np.ndarray:
+        """(steps, 256): 1 where the walk moves on after that byte."""
+        bits = _mix(_SYMBOLS, self.salts[walk])
+        return (bits >> np.arange(self.steps, dtype=U)[:, None]) & U(1)
 
-    def reach(self, words: np.ndarray) -> np.ndarray:
-        """(hashes, windows): how many words the walk reads up to its last
+    def keys(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """32-bit keys of the window at every byte, one array for each hash;
+        a walk past the last byte reads zeros."""
+        block = 1 << 14
+        for w in range(len(self.salts)):
+            masks = U(0) - self.moves(w)
+            high, low = 2 * w, 2 * w + 1  # two 32-bit hashes in one 64-bit number
+            with np.errstate(over="ignore"):
+                parts = [(_SYMBOLS * self.factors[high, j] & U(0xFFFFFFFF00000000 * int(self.samples[high, j])))
+                         ^ ((_SYMBOLS * self.factors[low, j] >> U(32)) * U(int(self.samples[low, j]))) for j in range(self.steps)]
+            out = np.empty((2, len(data)), np.uint32)
+            for at in range(0, len(data), block):
+                part = data[at:at + block + self.steps]
+                x = np.zeros(len(part) + self.steps, np.intp)
+                x[:len(part)] = part
+                n = min(block, len(data) - at)
+                g, now = np.zeros(len(x) + 1, U), np.zeros(len(x) + 1, U)
+                some = np.empty(len(x), U)
+                for j in range(self.steps - 1, -1, -1):
+                    np.bitwise_xor(g[1:], g[:-1], out=now[:-1])
+                    np.take(masks[j], x, out=some, mode="clip")
+                    now[:-1] &= some
+                    now[:-1] ^= g[:-1]
+                    np.take(parts[j], x, out=some, mode="clip")
+                    now[:-1] ^= some
+                    g, now = now, g
+                out[0, at:at + n] = g[:n] >> U(32)
+                out[1, at:at + n] = g[:n] & U(0xFFFFFFFF)
+            yield from out
+
+    def reach(self, data: np.ndarray) -> np.ndarray:
+        """(hashes, windows): how many bytes the walk reads up to its last
         sampled step."""
-        n, out = len(words), np.zeros((len(self.samples), len(words)), np.int64)
-        for w, salt in enumerate(self.salts):
-            bits = np.append(_mix(words, salt), np.zeros(self.steps + 1, U))
+        n, out = len(data), np.zeros((len(self.samples), len(data)), np.int64)
+        padded = np.append(data, np.zeros(self.steps + 1, np.uint8))
+        for w in range(len(self.salts)):
+            moves = self.moves(w).astype(np.int64)
             at = np.arange(n)
             for j in range(self.steps):
-                for h in range(4 * w, 4 * w + 4):
+                for h in (2 * w, 2 * w + 1):
                     if self.samples[h, j]:
                         out[h] = at - np.arange(n) + 1
-                at = at + ((bits[at] >> U(j)) & U(1)).astype(np.int64)
+                at = at + moves[j][padded[at]]
         return out
 
 
@@ -234,34 +249,72 @@ class Items:
                 seen = np.zeros(1 << 20, bool)
                 seen[keys >> U(44)] = True
                 self.exact.append((size, keys[order], np.array(own)[order], seen))
+        # the items' bytes as one; a window is the place where it begins
+        self.begins = np.cumsum(self.n_bytes) - self.n_bytes
+        data = np.frombuffer("".join(self.texts).encode(), np.uint8)
+        owner = np.repeat(np.arange(len(rows)), self.n_bytes)
+        lone = np.array([w == 1 and t.isascii() for w, t in zip(self.n_words, self.texts)], bool)
         self.tables = []
         for c, (least, steps, sampled, walks) in enumerate(EMBEDDINGS):
             above = EMBEDDINGS[c - 1][0] if c else 1 << 60
-            own = [k for k in range(len(rows)) if least <= self.n_words[k] < above]
-            if not own:
+            own = (least <= self.n_bytes) & (self.n_bytes < above) & (self.n_words > 0) & ~lone
+            if not own.any():
                 continue
             emb = Embedding.drawn(steps, sampled, walks)
-            keys, inside, item, offset = [], [], [], []
-            for k in own:
-                words = parsed[k][2]
-                n = len(words)
-                keys.append(emb.keys(words))
-                inside.append(np.arange(n) + emb.reach(words) <= n)
-                item.append(np.full(n, k))
-                offset.append(parsed[k][0])
-            keys, inside = np.concatenate(keys, 1), np.concatenate(inside, 1)
-            item, offset = np.concatenate(item), np.concatenate(offset)
+            inside = np.arange(len(data)) + emb.reach(data) <= (self.begins + self.n_bytes)[owner]
             lanes = []
-            for h in range(len(keys)):
-                some = np.flatnonzero(inside[h])
-                some = some[np.argsort(keys[h][some], kind="stable")]
+            for h, keys in enumerate(emb.keys(data)):
+                some = np.flatnonzero(inside[h] & own[owner]).astype(np.int32)
+                some = some[np.argsort(keys[some], kind="stable")]
                 seen = np.zeros(1 << 20, bool)
-                seen[keys[h][some] >> 12] = True
-                lanes.append((keys[h][some], item[some], offset[some], seen))
+                seen[keys[some] >> 12] = True
+                lanes.append((keys[some], some, seen))
             self.tables.append((emb, lanes))
+        # slices of every item at steps of half a slice, the last one at its end; of each the places of
+        # every byte as bits, bytes with equal low bits as one
+        half = SLICE // 2
+        count = np.maximum(-(-(self.n_bytes - SLICE) // half), 0) + 1
+        self.first_slice = np.cumsum(count) - count
+        item = np.repeat(np.arange(len(rows)), count)
+        place = (np.arange(len(item)) - self.first_slice[item]) * half
+        self.slice_offset = np.maximum(np.minimum(place, self.n_bytes[item] - SLICE), 0)
+        self.slice_size = np.minimum(self.n_bytes[item], SLICE)
+        self.places = np.zeros((len(item), 32), U)
+        for k in range(SLICE):
+            some = np.flatnonzero(k < self.slice_size)
+            at = self.begins[item[some]] + self.slice_offset[some] + k
+            self.places[some, data[at] & 31] |= U(1 << k)
+
+    def near(self, data: np.ndarray, slices: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether a stretch of the text about ``start`` is like the slice
+        that would start there: columns of the edit matrix, one machine word
+        for each slice."""
+        out = np.zeros(len(slices), bool)
+        slack = int(SLICE * MAX_EDITS)
+        for at in range(0, len(slices), 4096):
+            some, begin = slices[at:at + 4096], start[at:at + 4096] - slack
+            size = self.slice_size[some]
+            top = (size - 1).astype(U)
+            rows = some * 32
+            score, best = size.copy(), size.copy()
+            up, down = np.full(len(some), ~U(0)), np.zeros(len(some), U)
+            for k in range(int(size.max()) + 2 * slack):
+                eq = self.places.ravel()[rows + (data[np.clip(begin + k, 0, len(data) - 1)] & 31)]
+                with np.errstate(over="ignore"):
+                    diagonal = (((eq & up) + up) ^ up) | eq | down
+                plus = down | ~(diagonal | up)
+                minus = up & diagonal
+                score += ((plus >> top) & U(1)).astype(np.int64)
+                score -= ((minus >> top) & U(1)).astype(np.int64)
+                plus <<= U(1)
+                minus <<= U(1)
+                up = minus | ~(diagonal | plus)
+                down = plus & diagonal
+                np.minimum(best, score, out=best)
+            out[at:at + 4096] = best <= np.ceil(SLICE_EDITS * size)
+        return out
 
-    def candidates(self, joined: bytes, first: np.ndarray, words: np.ndarray,
-                   split: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, joined: bytes, split: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, byte at which it would start, byte at which they meet) for
         all meeting windows."""
         found = [(np.zeros(0, np.int64),) * 3]
@@ -283,11 +336,24 @@ class Items:
             inner = (spaced[at] & spaced[at + 1]) | (spaced[np.minimum(end, len(joined))] & spaced[np.minimum(end + 1, len(joined) + 1)])
             ok = (self.n_words[item] > 1) | ~inner
             found.append((item[ok], at[ok], at[ok]))
+        data = np.frombuffer(joined, np.uint8)
+        met = []
         for emb, lanes in self.tables:
-            for key, (sorted_keys, item, offset, seen) in zip(emb.keys(words), lanes):
+            for key, (sorted_keys, place, seen) in zip(emb.keys(data), lanes):
                 some = np.flatnonzero(seen[key >> 12])
                 at, hit = meet(key[some], some, sorted_keys)
-                found.append((item[hit], first[at] - offset[hit], first[at]))
+                met.append(np.stack([place[hit], at]))
+        if met:
+            place, at = np.concatenate(met, 1)
+            item = np.searchsorted(self.begins, place, "right") - 1
+            offset = place - self.begins[item]
+            last = np.append(self.first_slice[1:], len(self.slice_size)) - 1
+            slices = np.minimum(self.first_slice[item] + np.maximum(offset - SLICE // 4, 0) // (SLICE // 2), last[item])
+            # windows that place one slice at about one byte are judged once
+            _, one = np.unique(slices * (len(data) + SLICE) + (at - offset + self.slice_offset[slices] + SLICE) // 8, return_index=True)
+            item, offset, at, slices = item[one], offset[one], at[one], slices[one]
+            ok = self.near(data, slices, at - offset + self.slice_offset[slices])
+            found.append((item[ok], (at - offset)[ok], at[ok]))
         return tuple(np.concatenate(c) for c in zip(*found))
 
     def search(self, texts: list[str | None], split: Words, first_only: bool = False) -> list[tuple]:
@@ -299,10 +365,9 @@ class Items:
             data.append((t or "").encode().lower())
             sizes[k] = len(data[-1]) + 1
         joined = b"\n".join(data)
-        first, _, hashes = split(joined)
-        if not len(first):
+        if not joined:
             return []
-        item, start, at = self.candidates(joined, first, hashes, split)
+        item, start, at = self.candidates(joined, split)
         if not len(item):
             return []
         bounds = np.cumsum([0, *sizes])

@@ -319,6 +319,35 @@ def test_decontamination_finds_exact_copies_of_short_and_unspaced_items():
             assert ((3 * k + j, i) in hits) != lone
 
 
+def with_noise(rng, text, edits):
+    """The text with so many characters replaced, dropped or put in."""
+    out = list(text)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = rng.choice([rng.choice("aeinorst"), "", out[k] + rng.choice("aeinorst")])
+    return "".join(out)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_decontamination_recall_with_character_noise(spark, share):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    rng = random.Random(13)
+    rows += [(1000 + k, " ".join(x.split(" ")[:n])) for k, (_, x) in enumerate(rows) for n in [rng.randint(4, 12)]]
+    texts = dict(rows)
+    items, split = decontam.Items(rows), decontam.Words(1 << 20)
+    planted = []
+    for i, x in rows * 3:
+        t = rng.choice(docs)[:600]
+        planted.append((i, t[:300] + " " + with_noise(rng, x.strip(), int(share * len(x))) + " " + t[300:]))
+    found = {(t, items.ids[i]) for t, i, *_ in items.search([p[1] for p in planted], split)}
+    true = {(k, i) for k, (i, t) in enumerate(planted)  # by the edit matrix alone
+            if decontam.best_stretch(texts[i].lower(), t.lower(), int(decontam.MAX_EDITS * len(texts[i])))}
+    assert len(true) > 0.9 * len(planted)
+    long = {k for k in true if k[1] < 1000}
+    assert len(found & long) / len(long) >= 0.9
+    assert len(found & (true - long)) / len(true - long) >= 0.9
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "another text of the same id"), (1, "another text of the same id"), (2, None), (3, ""), (4, "!!"),
                                        (5, "1234"), (None, "no id here, but token")], "item_id bigint, text string")
