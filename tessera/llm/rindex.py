@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.index import dense_index
@@ -44,8 +44,10 @@ PIECE = 1 << 19  # bytes whose anchors are found together; places fit 20 bits
 INDEX_BYTES = 1 << 20
 #: Bits of a segment's number of starts and kind beside its place in one number.
 SPAN_BITS = 16
-#: An anchor with more classes than this has its segments cut by offset first.
+#: An anchor with more classes than this is judged string by string, the
+#: starts of a string dealt over this many salts.
 CROWDED = 20_000
+SALTS = 256
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -337,15 +339,20 @@ def _texts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "anchor bigint, rid bigint, place bigint, part binary")
 
 
-def _cut_crowded(parts: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
-    """Segments of crowded anchors as single strings dealt by their bytes:
-    equal strings still meet, and of each string only the earliest start of
-    every salt goes on as one row; the rest are repeats already."""
-    single = (parts.join(crowded, "anchor", "left_semi")
-              .withColumn("k", F.explode(F.sequence(F.lit(0), F.length("part") - length)))
-              .select(F.xxhash64("anchor", F.expr(f"substring(part, k + 1, {length})")).alias("anchor"), "rid",
-                      (F.col("place") + F.col("k")).alias("place"), F.expr(f"substring(part, k + 1, {length})").alias("part")))
-    return parts.join(crowded, "anchor", "left_anti").union(single)
+def _judge_strings(parts: DataFrame, length: int) -> DataFrame:
+    """(rid, first, end): repeats among the single strings of segments of
+    crowded anchors.  Equal strings are dealt by their bytes and a salt; all
+    but the earliest of a salt are repeats, and the earliest of every salt,
+    at most ``SALTS`` for a string, are judged again without it.  The others
+    keep their salt there, so that no task gets all starts of a string."""
+    single = (parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("part") - length)))
+              .select(F.xxhash64("anchor", F.expr(f"substring(part, k + 1, {length})")).alias("string"), "rid",
+                      (F.col("place") + F.col("k")).alias("first"))
+              .withColumn("salt", F.pmod(F.xxhash64("rid", "first"), F.lit(SALTS))))
+    rank = F.row_number().over(Window.partitionBy("string", "salt").orderBy("rid", "first"))
+    once = single.withColumn("again", rank > 1).withColumn("salt", F.when(F.col("again"), F.col("salt")).otherwise(F.lit(-1)))
+    return (once.withColumn("again", F.col("again") | (rank > 1)).filter("again")
+            .select("rid", "first", (F.col("first") + length).alias("end")))
 
 
 def _index(parts: DataFrame, length: int) -> DataFrame:
@@ -401,11 +408,12 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, crowded_at: int =
     copies = judged.filter("kind = 1").select("rid", F.col("place").alias("first"),
                                               (F.col("place") + F.col("n") + (length - 1)).alias("end"))
     shared = judged.filter("kind = 2")
-    parts = _texts_of(rows, shared, length)
     crowded = shared.groupBy("anchor").count().filter(F.col("count") > crowded_at).select("anchor")
-    if not crowded.isEmpty():
-        parts = _cut_crowded(parts, crowded, length)
-    return copies.union(_index(parts, length))
+    if not crowded.isEmpty():  # at most one anchor for every crowded_at segments, so it can be broadcast
+        strings = _texts_of(rows, shared.join(F.broadcast(crowded), "anchor", "left_semi"), length)
+        copies = copies.union(_judge_strings(strings, length))
+        shared = shared.join(F.broadcast(crowded), "anchor", "left_anti")
+    return copies.union(_index(_texts_of(rows, shared, length), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, crowded_at: int = CROWDED) -> DataFrame:

@@ -198,6 +198,28 @@ def test_removal_of_odd_rows(spark, odd, none, monkeypatch):
     assert rindex.remove_repeats(none).count() == 0
 
 
+def test_a_common_passage_does_not_meet_in_one_index(spark, monkeypatch):
+    rng = random.Random(9)
+
+    def some(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    common = some(150)
+    docs = spark.createDataFrame([(k, some(60) + common + some(60)) for k in range(300)], "doc_id bigint, text string").repartition(4)
+    expect = {tuple(r) for r in rindex.remove_repeats(docs, with_text=False).collect()}
+    most, index = [], rindex._index
+
+    def watched(parts, length):
+        most.append(parts.groupBy("anchor").count().agg({"count": "max"}).first()[0] or 0)
+        return index(parts, length)
+
+    monkeypatch.setattr(rindex, "_index", watched)
+    monkeypatch.setattr(rindex, "SALTS", 7, raising=False)
+    got = {tuple(r) for r in rindex.remove_repeats(docs, with_text=False, crowded_at=20).collect()}
+    assert got == expect and sum(r[2] >= 150 for r in got) == 299
+    assert most[0] <= 20
+
+
 # 9: preference pairs
 
 def plain_pair(rows):
