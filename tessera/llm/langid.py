@@ -223,6 +223,10 @@ def pooled(model: Model, data: list[bytes], window: int = WINDOW) -> np.ndarray:
     return total / np.maximum(sizes, 1)[:, None]
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and its probability for each text; ``und`` and 0 for a text
     that is null or has no letter, and for all texts without a model."""
@@ -234,7 +238,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
             langs[k], scores[k] = model.langs[int(p.argmax())], float(min(p.max(), 1.0))
 
     for k, t in enumerate(texts):
-        if model is not None and t and any(map(str.isalpha, t)):
+        if model is not None and has_letter(t):
             some.append(k)
             held += len(t)
             if held > 4_000_000:
@@ -291,9 +295,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` whose language could be told (all columns)."""
+    """The rows of ``docs`` whose language can be told (all columns): those
+    whose text is not null and has a letter.  Without a model (nothing could
+    be learned) that property of the text alone decides."""
 
     def make_mask():
+        if model is None:
+            return lambda texts: [has_letter(t) for t in texts]
         return lambda texts: [lang != UNDETERMINED for lang in predict(model, texts)[0]]
 
     return keep_rows(docs, make_mask)

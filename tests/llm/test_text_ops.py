@@ -143,6 +143,14 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_stage_without_labels(spark, odd):
+    unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "n_tokens", "score")
+    model = langid.fit(unlabelled)
+    kept = langid.keep_identified(unlabelled, model)
+    assert model is None and kept.columns == odd.columns
+    assert kept.count() == sum(any(map(str.isalpha, r[1] or "")) for r in ODD)
+
+
 # 4: quality rules
 
 def base_counts(t):
