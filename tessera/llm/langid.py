@@ -30,10 +30,12 @@ UNDETERMINED = "und"
 WINDOW = 128
 HIDDEN = 8
 BATCH_WINDOWS = 2048
-#: Bounds of the training sample: languages (most frequent first), rows of
-#: each, and characters of each row (a stretch at a place given by its hash).
-MAX_LANGUAGES = 64
+#: Bounds of the training sample: rows in all, divided over all languages,
+#: most and least rows of each, and characters of each row (a stretch at a
+#: place given by its hash).
+SAMPLE_ROWS = 19_200
 ROWS_PER_LANGUAGE = 300
+LEAST_ROWS = 20
 CHARS_PER_ROW = 2000
 TRAIN_STEPS = 400
 TRAIN_BATCH = 128
@@ -208,8 +210,9 @@ def pooled(model: Model, data: list[bytes], window: int = WINDOW) -> np.ndarray:
     by_length = np.argsort(-lengths, kind="stable")
     total = np.zeros((len(data), len(model.langs)))
     hidden = model.out.shape[0] // 2
-    for at in range(0, len(by_length), BATCH_WINDOWS):
-        some = by_length[at:at + BATCH_WINDOWS]
+    batch = max(min(BATCH_WINDOWS, BATCH_WINDOWS * 64 // len(model.langs)), 1)  # what a batch holds grows with the languages
+    for at in range(0, len(by_length), batch):
+        some = by_length[at:at + batch]
         steps = np.arange(lengths[some[0]])
         x = text[np.minimum(starts[some][None, :] + steps[:, None], len(text) - 1)].astype(np.intp)
         inside = steps[:, None] < lengths[some][None, :]
@@ -255,21 +258,23 @@ def is_held_out() -> F.Column:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Model from labelled rows that are not held out: at most
-    ``MAX_LANGUAGES`` x ``ROWS_PER_LANGUAGE`` rows, those with the lowest
-    hashes of their language, of each a stretch of ``CHARS_PER_ROW``."""
+    """Model of every language among the labelled rows that are not held
+    out, from about ``SAMPLE_ROWS`` rows divided over the languages (at most
+    ``ROWS_PER_LANGUAGE`` and at least ``LEAST_ROWS`` of each), those with
+    the lowest hashes of their language, of each a stretch of
+    ``CHARS_PER_ROW``."""
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
             .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out()))
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not frequent:
+    n_langs = rows.select("lang").distinct().count()
+    if not n_langs:
         return None
+    per_lang = max(min(SAMPLE_ROWS // n_langs, ROWS_PER_LANGUAGE), LEAST_ROWS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     place = F.pmod(F.col("h"), F.greatest(F.length("text") - CHARS_PER_ROW, F.lit(0)) + 1) + 1
-    sample = (rows.filter(F.col("lang").isin(frequent))
-              .select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
+    sample = (rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"))
               .select("doc_id", "lang", "h", F.substring(F.col("text"), place, F.lit(CHARS_PER_ROW)).alias("text"))
-              .withColumn("rank", rank).filter(F.col("rank") <= ROWS_PER_LANGUAGE)
+              .withColumn("rank", rank).filter(F.col("rank") <= per_lang)
               .orderBy("lang", "rank").select("lang", "text").collect())
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 

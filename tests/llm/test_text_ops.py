@@ -143,6 +143,12 @@ def test_language_odd_rows(spark, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(n * 10 + k, chr(0x4e00 + 40 * n) * 30, f"l{n}") for n in range(70) for k in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == sorted({r[2] for r in rows})
+
+
 def test_language_stage_without_labels(spark, odd):
     unlabelled = odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "n_tokens", "score")
     model = langid.fit(unlabelled)
