@@ -74,3 +74,20 @@ def keep_rows(docs: DataFrame, make_mask: Callable[[], Callable[[list], list]])
             yield b.filter(pa.array(mask(b.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+#: Keys with over 1 in ``HOT_SHARE`` of all rows are joined by broadcast.
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row per key, with the number of
+    rows of the key in ``count``; ``total`` is the sum of all counts).  The
+    facts of hot keys are fewer than ``HOT_SHARE`` by arithmetic and are
+    broadcast; no key left for the shuffle holds more than its share.
+    ``facts`` is read twice: give a written or checkpointed table."""
+    hot = facts.filter(F.col(count) * HOT_SHARE > total)
+    cold = facts.filter(F.col(count) * HOT_SHARE <= total)
+    there = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return there.unionByName(rest.join(cold, key, how))
