@@ -78,6 +78,25 @@ def op10_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    from tessera.llm.prefix_trie import prefix_nodes, rebuilt_turns
+    return prefix_nodes(rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source in each of 120 orders."""
+    from tessera.llm.filter_audit import audit_documents
+    return audit_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by word counts and by the
+    probabilistic suffix tree, both learned from the rows not held out."""
+    from tessera.llm.suffix_tree import score_documents
+    return score_documents(documents(spark, sf_dir))
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_transducer": op2_bpe_transducer,
@@ -89,6 +108,9 @@ LLM_QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_preference_pairs": op9_preference_pairs,
     "op10_run_index": op10_run_index,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_suffix_tree": op13_suffix_tree,
 }
 
 LLM_ORACLES: dict[str, str] = {
@@ -121,4 +143,31 @@ LLM_ORACLES: dict[str, str] = {
                coalesce(string_agg((r_end - length(rendered) + head)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY turn, role, text)
                         FILTER (r AND NOT common AND role = 'assistant'), '') AS rejected_spans
         FROM placed GROUP BY pair_id""",
+    "op12_filter_audit": """
+        WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                              doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS later FROM documents),
+        masks AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+                         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(later, false)::INT AS mask FROM words),
+        marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+                  FROM masks LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+        l AS (SELECT unnest([0, 1, 2, 3, 4]) AS f),
+        orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM l a, l b, l c, l d, l e
+                   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        steps AS (SELECT array_to_string(list_transform(o, lambda x: substr('ABCDE', x + 1, 1)), '') AS filter_order,
+                         unnest([1, 2, 3, 4, 5]) AS step, unnest(o) AS f, o FROM orders),
+        bits AS (SELECT filter_order, step, f, list_sum(list_transform(o[1:step - 1], lambda x: (1 << x))) AS earlier FROM steps),
+        outcome AS (SELECT part, filter_order, step, f,
+                           sum(CASE WHEN mask & (coalesce(earlier, 0)::INT | (1 << f)) = 0 THEN n ELSE 0 END) AS kept,
+                           sum(CASE WHEN mask & (1 << f) > 0 AND mask & coalesce(earlier, 0)::INT = 0 THEN n ELSE 0 END) AS removed,
+                           sum(CASE WHEN mask & (1 << f) > 0 AND mask & coalesce(earlier, 0)::INT > 0 THEN n ELSE 0 END) AS redundant,
+                           sum(CASE WHEN mask = (1 << f) THEN n ELSE 0 END) AS unique_fails,
+                           sum(CASE WHEN mask & (1 << f) > 0 AND mask & coalesce(earlier, 0)::INT = 0 THEN good ELSE 0 END) AS good_lost,
+                           sum(CASE WHEN mask & (1 << f) > 0 AND mask & coalesce(earlier, 0)::INT = 0 THEN toxic ELSE 0 END) AS toxic_lost
+                    FROM cells, bits GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+               redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+               toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM outcome""",
 }
