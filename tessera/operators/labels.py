@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import DEFAULT_MAX_BROADCAST_CELLS, block_stats
 from tessera.functions.index import dense_index
 from tessera.functions.text import tokens
 from tessera.functions.vectors import array_sum
@@ -17,6 +16,9 @@ from tessera.session import checkpoint_dir
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 RESERVED = [PAD, UNK, CLS, SEP]
 
+#: Numbers (rows x width) of a vector table that is broadcast.
+DEFAULT_MAX_BROADCAST_CELLS = 8_000_000
+
 
 def map_relations(sent: DataFrame, mapping: DataFrame, on_missing: str = "error") -> DataFrame:
     """G1: ``prop`` of every ``rel``.  An unmapped relation fails the query (``'error'``) or gives
@@ -46,7 +48,8 @@ def no_relation_flag(df: DataFrame, rel: str = "rel") -> DataFrame:
 def _broadcast_if_small(dense: DataFrame, vec: str, max_cells: int) -> DataFrame:
     """Broadcast hint for a vector table of at most ``max_cells`` numbers
     (rows x width); a larger one is left to a shuffle join."""
-    return F.broadcast(dense) if block_stats(dense, F.size(vec))[1] <= max_cells else dense
+    cells = dense.agg(F.coalesce(F.sum(F.size(vec)), F.lit(0))).first()[0]
+    return F.broadcast(dense) if cells <= max_cells else dense
 
 
 def label_vectors(rows: DataFrame, mapping: DataFrame, space: Space, rel: str = "rel",
@@ -73,32 +76,42 @@ def check_nearest(vectors: DataFrame, space: Space, id_cols=("id",), vec: str =
     """Nearest space row of every vector by cosine (the *last* row wins
     a tie); only rows where it is not the expected property, with the
     vector's sum and the similarity."""
-    near = _best_row(vectors, list(id_cols), vec, dense_rows(space), "last")
+    near = _best_row(vectors, list(id_cols), vec, space, "last")
     return (near.filter(~F.col("nearest").eqNullSafe(F.col(prop)))
             .select(*id_cols, prop, "nearest", array_sum(F.col(vec)).alias("vec_sum"), "sim"))
 
 
+def content_hash(vec: str) -> list:
+    """128 bits of a vector's content, as two columns."""
+    return [F.xxhash64(F.col(vec)).alias("_h1"), F.xxhash64(F.lit("vector"), F.col(vec)).alias("_h2")]
+
+
 def check_vector_owner(vectors: DataFrame, space: Space, mapping: DataFrame, id_col: str = "id",
-                       vec: str = "target", rel: str = "rel",
-                       max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
-    """The space row equal to each vector (exact array equality, an
-    equi-join on the array) must be the mapped property.  Returns one row:
-    rows checked, rows owned by their property, mismatches."""
-    dense = dense_rows(space).select(F.col("predicate").alias("owner"), F.col("vec").alias(vec))
+                       vec: str = "target", rel: str = "rel") -> DataFrame:
+    """The space row equal to each vector must be the mapped property.
+    Returns one row: rows checked, rows owned by their property, mismatches.
+
+    Vectors meet on 128 bits of their content, never on the array.  Rows of
+    one relation with one content are counted before the join (a vector that
+    many rows have is one row there), together with the least and the
+    greatest vector of the group, whose equality proves that all are equal;
+    the owner's vector is compared with it after the join."""
     v = map_relations(vectors.select(id_col, rel, vec), mapping, "null")
-    # many rows share one vector (one per relation): a small space side is
-    # broadcast, so no vector value becomes a hot shuffle key
-    owned = (v.join(_broadcast_if_small(dense, vec, max_broadcast_cells), vec, "left")
-             .groupBy(id_col).agg(F.max(F.col("owner") == F.col("prop")).alias("_ok")))
-    return owned.agg(F.count(F.lit(1)).alias("n_rows"),
-                     F.count_if(F.coalesce("_ok", F.lit(False))).alias("n_owned"),
-                     F.count_if(~F.coalesce("_ok", F.lit(False))).alias("n_mismatch"))
+    per_id = v.select(id_col, "prop", vec, *content_hash(vec))
+    groups = per_id.groupBy("prop", "_h1", "_h2").agg(F.count_distinct(id_col).alias("n"), F.min(vec).alias("lo"), F.max(vec).alias("hi"))
+    dense = dense_rows(space).select(F.col("predicate").alias("owner"), F.col("vec").alias("own_vec"), *content_hash("vec"))
+    same = F.col("lo").eqNullSafe(F.col("own_vec")) & F.col("hi").eqNullSafe(F.col("own_vec"))
+    met = groups.join(dense, ["_h1", "_h2"], "left").withColumn("_ok", F.coalesce(same & (F.col("owner") == F.col("prop")), F.lit(False)))
+    each = met.groupBy("prop", "_h1", "_h2").agg(F.max("n").alias("n"), F.max("_ok").alias("_ok"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    owned = F.coalesce(F.sum(F.when(F.col("_ok"), F.col("n")).otherwise(0)), F.lit(0))
+    return each.agg(total.alias("n_rows"), owned.alias("n_owned"), (total - owned).alias("n_mismatch"))
 
 
 def corruption_check(vectors: DataFrame, space: Space, id_cols=("id",), vec: str = "vec",
                      tol: float = 1e-12) -> DataFrame:
     """Vectors with no space row at cosine 1 (within ``tol``)."""
-    near = _best_row(vectors, list(id_cols), vec, dense_rows(space), "first")
+    near = _best_row(vectors, list(id_cols), vec, space, "first")
     return near.withColumn("corrupt", F.col("sim") < F.lit(1.0 - tol))
 
 

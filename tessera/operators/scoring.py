@@ -1,22 +1,25 @@
 """Scoring against the property space and the training losses (H1-H8).
 
-Projections and label vectors are dense ``array<double>`` columns; the
-space is dense only after ``dense_rows`` has checked its size.  Nearest-row
-search goes through the block join of ``tessera.functions.blocks``: each
-projection reduces a whole block of space rows to its best row in one
-expression, so no (projection, row) pair becomes a row.
+Projections are ``array<double>`` or ``map<bigint,double>`` columns; the
+space stays sparse, so its width does not matter.  A space of checked size
+is searched by the pruned index of ``tessera.functions.nearest``, which every
+task holds: projections stay where they are.  A larger one is an inverted
+index that projections meet component by component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import (DEFAULT_BLOCK_ROWS, DEFAULT_MAX_BROADCAST_CELLS, block_count,
-                                      block_stats, join_blocks, pack_blocks)
-from tessera.functions.vectors import argmax_first, cosine, dot, embedding_cosine, sq_norm
+from tessera.functions.index import dense_index
+from tessera.functions.nearest import add_nearest, add_scores, space_index
+from tessera.functions.sparse_join import shared_dots
+from tessera.functions.vectors import argmax_first, cosine, dense_from_map, dot, embedding_cosine, sq_norm
 from tessera.operators.space import Space, to_dense
 
+#: Entries and rows of a space that a task holds as an index.
+MAX_INDEX_ENTRIES = 8_000_000
 # ranking key precision: engines differ in the last bits of a dot product
 RANK_DIGITS = 12
 LOG_CLAMP = -100.0
@@ -38,44 +41,71 @@ def dense_rows(space: Space, max_dims: int = 1_000_000) -> DataFrame:
     return d.withColumn("sq", sq_norm(F.col("vec")))
 
 
-def _best_row(queries: DataFrame, id_cols: list[str], vec: str, rows: DataFrame,
-              ties: str = "first", block_size: int = DEFAULT_BLOCK_ROWS,
-              max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
+def _fits(space: Space, max_entries: int) -> bool:
+    """Whether rows and entries together are at most ``max_entries``."""
+    sizes = space.entries.agg(F.count(F.lit(1)).alias("n")).unionAll(space.rows.agg(F.count(F.lit(1)).alias("n")))
+    return sum(r["n"] for r in sizes.collect()) <= max_entries
+
+
+def _vector_entries(queries: DataFrame, id_cols: list[str], vec: str) -> DataFrame:
+    """id columns, component, va, qsq of every non-zero of the vectors."""
+    is_map = dict(queries.dtypes)[vec].startswith("map")
+    sq = sq_norm(F.map_values(F.col(vec)) if is_map else F.col(vec))
+    each = queries.select(*id_cols, sq.alias("qsq"), (F.explode if is_map else F.posexplode)(F.col(vec)).alias("component", "va"))
+    return each.select(*id_cols, "qsq", F.col("component").cast("bigint").alias("component"),
+                       F.col("va").cast("double").alias("va")).filter(F.col("va") != 0)
+
+
+def _joined_cosines(queries: DataFrame, id_cols: list[str], vec: str, space: Space, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(id columns, place, sim) of every query and row that share a
+    component, by the inverted index; and the rows with their ``place`` (from
+    0, in the given order)."""
+    sort_keys = [f"_o{k}" for k in range(len(order))]
+    rows = space.rows.select("predicate", "row_order", *[c.alias(k) for k, c in zip(sort_keys, order)])
+    placed = dense_index(rows, sort_keys, "place").select("predicate", "row_order", "place").checkpoint()
+    norms = space.entries.groupBy("predicate").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
+    right = space.entries.filter(F.col("value") != 0).join(placed, "predicate").join(norms, "predicate").select(
+        "place", "component", F.col("value").alias("vb"), "sq")
+    dots = shared_dots(_vector_entries(queries, id_cols, vec), right, id_cols, ["place"],
+                       {"qsq": F.max("qsq"), "sq": F.max("sq")})
+    return dots.select(*id_cols, "place", cosine(F.col("ab"), F.col("qsq"), F.col("sq")).alias("sim")), placed
+
+
+def _best_row(queries: DataFrame, id_cols: list[str], vec: str, space: Space, ties: str = "first",
+              max_entries: int | None = None) -> DataFrame:
     """queries + ``nearest``, ``nearest_order``, ``sim`` (cosine, norms
     clamped, so a zero vector scores 0 everywhere and gets the first row).
     ``ties='first'``: lowest row order wins a tie; ``'last'``: highest.  With
-    an empty space every query is kept with nulls."""
-    n_rows, cells = block_stats(rows, F.size("vec"))
-    n_blocks = block_count(n_rows, cells, block_size)
-    member = F.struct(F.col("row_order").alias("o"), F.col("predicate").alias("p"),
-                      F.col("vec").alias("v"), F.col("sq").alias("s"))
-    blocks = pack_blocks(rows, member, n_blocks)
-    q = queries.withColumn("_qsq", sq_norm(F.col(vec)))
-    j = join_blocks(q, blocks, n_blocks, cells, id_cols, max_broadcast_cells)
-    tie = (lambda m: -m["o"]) if ties == "first" else (lambda m: m["o"])
-
-    def score(m):
-        sim = cosine(dot(F.col(vec), m["v"]), F.col("_qsq"), m["s"])
-        return F.struct(F.round(sim, RANK_DIGITS).alias("k"), tie(m).alias("t"),
-                        m["p"].alias("p"), m["o"].alias("o"), sim.alias("sim"))
-
-    j = j.withColumn("_best", F.array_max(F.transform("_members", score)))
-    if n_blocks > 1:
-        best = j.groupBy(*id_cols).agg(F.max("_best").alias("_best"))
-        j = queries.join(best, id_cols, "left")
-    keep = [c for c in queries.columns]
-    return j.select(*keep, F.col("_best.p").alias("nearest"), F.col("_best.o").alias("nearest_order"),
-                    F.col("_best.sim").alias("sim"))
+    an empty space every query is kept with nulls.
+
+    Up to ``max_entries`` rows and entries the space is an index in every
+    task and the queries do not move.  Beyond, queries and rows meet on
+    shared components; rows that share none have cosine 0, of which the
+    first is the first place missing among those met."""
+    limit = MAX_INDEX_ENTRIES if max_entries is None else max_entries
+    if _fits(space, limit):
+        return add_nearest(queries, vec, space_index(space.long()), ties == "last")
+    order = [F.col("row_order"), F.col("predicate")] if ties == "first" else [-F.col("row_order"), F.col("predicate")]
+    met, placed = _joined_cosines(queries, id_cols, vec, space, order)
+    n_rows = placed.count()
+    # places are met in order until one is missing
+    met = met.withColumn("_gap", F.row_number().over(Window.partitionBy(*id_cols).orderBy("place")) - 1)
+    best = met.groupBy(*id_cols).agg(
+        F.max(F.struct(F.round("sim", RANK_DIGITS).alias("k"), (-F.col("place")).alias("t"), F.col("sim"))).alias("b"),
+        F.coalesce(F.min(F.when(F.col("place") != F.col("_gap"), F.col("_gap"))), F.count(F.lit(1))).cast("bigint").alias("gap"))
+    out = queries.join(best, id_cols, "left").withColumn("gap", F.coalesce("gap", F.lit(0).cast("bigint")))
+    unmet = F.when(F.col("gap") < n_rows, F.struct(F.lit(0.0).alias("k"), (-F.col("gap")).alias("t"), F.lit(0.0).alias("sim")))
+    out = out.withColumn("b", F.greatest("b", unmet)).withColumn("place", -F.col("b.t"))
+    names = placed.select("place", F.col("predicate").alias("nearest"), F.col("row_order").alias("nearest_order"))
+    return out.join(names, "place", "left").select(*queries.columns, "nearest", "nearest_order", F.col("b.sim").alias("sim"))
 
 
 def nearest_property(projections: DataFrame, space: Space, id_cols=("id",), vec: str = "vec",
-                     block_size: int = DEFAULT_BLOCK_ROWS,
-                     max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
+                     max_entries: int | None = None) -> DataFrame:
     """H1: nearest space row by cosine; the first maximum in row order wins.
-    Space blocks are broadcast below ``max_broadcast_cells`` (rows x width),
-    otherwise joined by a salted shuffle."""
-    return _best_row(projections, list(id_cols), vec, dense_rows(space), "first", block_size,
-                     max_broadcast_cells)
+    The space is an index in every task up to ``max_entries`` rows and
+    entries, otherwise an inverted index."""
+    return _best_row(projections, list(id_cols), vec, space, "first", max_entries)
 
 
 def inverse_mapping(mapping: DataFrame) -> DataFrame:
@@ -85,19 +115,20 @@ def inverse_mapping(mapping: DataFrame) -> DataFrame:
 
 def gated_predict(projections: DataFrame, space: Space, mapping: DataFrame, id_cols=("id",),
                   vec: str = "vec", gate: str = "gate", threshold: float = 0.5,
-                  candidates: str = "mapped", block_size: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  candidates: str = "mapped", max_entries: int | None = None) -> DataFrame:
     """H2: gate below ``threshold`` -> nearest row (H1) mapped back to its
     relation; otherwise ``no_relation``.  ``candidates='mapped'`` only
     searches rows that are mapping targets; ``'all'`` searches every row and
     yields a null relation for an unmapped one.  ``unexpected`` flags a
     nearest ``no_relation`` row."""
     inv = inverse_mapping(mapping)
-    rows = dense_rows(space)
     if candidates == "mapped":
-        rows = rows.join(inv.select(F.col("prop").alias("predicate")), "predicate", "left_semi")
+        props = inv.select(F.col("prop").alias("predicate"))
+        space = Space(space.rows.join(props, "predicate", "left_semi"),
+                      space.entries.join(props, "predicate", "left_semi"), space.dims)
     elif candidates != "all":
         raise ValueError("candidates must be 'mapped' or 'all'")
-    near = _best_row(projections, list(id_cols), vec, rows, "first", block_size)
+    near = _best_row(projections, list(id_cols), vec, space, "first", max_entries)
     near = near.join(inv.select(F.col("prop").alias("nearest"), F.col("rel").alias("_nrel")),
                      "nearest", "left")
     return (near.withColumn("y_pred", F.when(F.col(gate) < threshold, F.col("_nrel"))
@@ -107,32 +138,25 @@ def gated_predict(projections: DataFrame, space: Space, mapping: DataFrame, id_c
 
 
 def class_scores(projections: DataFrame, space: Space, id_cols=("id",), vec: str = "vec",
-                 block_size: int = DEFAULT_BLOCK_ROWS,
-                 max_broadcast_cells: int = DEFAULT_MAX_BROADCAST_CELLS) -> DataFrame:
+                 max_entries: int | None = None) -> DataFrame:
     """``scores``: cosine of the projection with every space row, in row
-    order.  Each block yields its part of the array; the parts of a
-    projection are put together by row order (an array of numbers as long
-    as the space has rows, which is the output itself)."""
-    rows = dense_rows(space)
-    n_rows, cells = block_stats(rows, F.size("vec"))
-    n_blocks = block_count(n_rows, cells, block_size)
-    member = F.struct(F.col("row_order").alias("o"), F.col("vec").alias("v"), F.col("sq").alias("s"))
-    blocks = pack_blocks(rows, member, n_blocks)
-    q = projections.withColumn("_qsq", sq_norm(F.col(vec)))
-    j = join_blocks(q, blocks, n_blocks, cells, list(id_cols), max_broadcast_cells)
-    part = F.transform("_members", lambda m: F.struct(
-        m["o"].alias("o"), cosine(dot(F.col(vec), m["v"]), F.col("_qsq"), m["s"]).alias("c")))
-    j = j.withColumn("_part", part).drop("_block", "_members", "_qsq")
-    if n_blocks > 1:
-        parts = j.groupBy(*id_cols).agg(F.flatten(F.collect_list("_part")).alias("_part"))
-        j = projections.join(parts, list(id_cols), "left")
-    return j.withColumn("scores", F.transform(F.array_sort("_part"), lambda x: x["c"])).drop("_part")
+    order (an array of numbers as long as the space has rows, which is the
+    output itself).  Beyond ``max_entries`` the cosines of rows that share a
+    component come from the inverted index; the others are 0."""
+    limit = MAX_INDEX_ENTRIES if max_entries is None else max_entries
+    if _fits(space, limit):
+        return add_scores(projections, vec, space_index(space.long()))
+    id_cols = list(id_cols)
+    met, placed = _joined_cosines(projections, id_cols, vec, space, [F.col("row_order"), F.col("predicate")])
+    found = met.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("place", "sim"))).alias("_m"))
+    none = F.create_map().cast("map<bigint,double>")
+    return projections.join(found, id_cols, "left").withColumn(
+        "scores", dense_from_map(F.coalesce("_m", none), placed.count())).drop("_m")
 
 
 def integer_labels(mapping: DataFrame) -> DataFrame:
     """G2 (used by H3/H7): index of the prop in the sorted list of mapping
     values, i.e. the number of mapping entries with a smaller prop."""
-    from pyspark.sql import Window
     w = Window.orderBy("prop")  # mapping-sized input
     return mapping.withColumn("int_label", (F.rank().over(w) - 1).cast("bigint"))
 
@@ -140,7 +164,6 @@ def integer_labels(mapping: DataFrame) -> DataFrame:
 def top_class(df: DataFrame, mapping: DataFrame, scores: str = "scores") -> DataFrame:
     """H3: index of the largest score (first on ties) -> the property at that
     position of the sorted mapping values -> relation (the inverse mapping)."""
-    from pyspark.sql import Window
     # class i = the i-th entry of the mapping values sorted as strings
     # (duplicates keep their positions); mapping-sized window
     pos = mapping.withColumn("_cls", (F.row_number().over(Window.orderBy("prop", "rel")) - 1).cast("bigint"))

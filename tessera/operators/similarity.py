@@ -2,18 +2,17 @@
 
 Distances are Euclidean and cosine *distance* (1 - cosine); a zero row
 has a null cosine distance.  Sparse dot products are joins on the
-component (E11, E12) or block-wise chunk lookups (E14, E15); no pair of
-rows is ever materialised as a row.
+component (E11, E12, E14, E15); rows that share none are never compared.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.blocks import DEFAULT_BLOCK_ROWS
-from tessera.functions.index import dense_index
-from tessera.functions.vectors import sparse_dot
+from tessera.functions.sparse_join import HOT_ROWS, shared_dots
 from tessera.operators.space import Space
 from tessera.session import checkpoint_dir
 
@@ -76,110 +75,109 @@ def top_similar(space: Space, prop: str, n: int | None = None, k: int = 10) -> D
             .select("metric", "predicate", "distance", "rank"))
 
 
-DEFAULT_CHUNK = 4096
-SUM_WIDTH = 64
-
-
-def block_dots(space: Space, block_size: int = DEFAULT_BLOCK_ROWS, chunk_size: int = DEFAULT_CHUNK,
-               max_broadcast_entries: int | None = None):
-    """Dot products of every row with every row, one dense array per
-    (row, block of rows).
-
-    Vectors are cut into chunks of at most ``chunk_size`` components, so no
-    row, block member or group holds more than a chunk: a predicate with a
-    huge share of the patterns is spread over many chunk rows.  A query
-    chunk joins the block chunks with the same (block, chunk) id and yields
-    a partial ``block_size``-long array; the partial arrays of a
-    (row, block) are summed element-wise, at most ``SUM_WIDTH`` at a time.  By
-    default the member and roster joins are left to AQE, which broadcasts
-    them only when their materialised size is under the broadcast
-    threshold and otherwise keeps a shuffle join on (block, chunk); with
-    ``max_broadcast_entries`` the space is counted and the member table is
-    hinted when it is under that bound.
-
-    Returns (n_rows, n_blocks, DataFrame(predicate, qs, _block, dots,
-    names, sqs)) where ``names``/``sqs`` list the block members in position
-    order and ``dots`` is padded to ``block_size``."""
-    B = block_size
-    # positions without gaps, whatever the row orders are
-    rows = dense_index(space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order")),
-                       ["row_order", "predicate"], "_at")
-    norms = space.entries.groupBy("predicate").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
-    rows = rows.join(norms, "predicate", "left").fillna(0.0, ["sq"])
-    stats = space.rows.agg(F.count(F.lit(1)).alias("n")).first()
-    n_rows = int(stats["n"])
-    n_blocks = max(1, -(-n_rows // B))
-    blocks_seq = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    chunks = (space.entries.withColumn("chunk", F.floor(F.col("component") / chunk_size).cast("bigint"))
-              .groupBy("predicate", "chunk")
-              .agg(F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("m")))
-    placed = (rows.withColumn("_block", F.floor(F.col("_at") / B).cast("bigint"))
-              .withColumn("_pos", (F.col("_at") % B).cast("int")))
-    members = (chunks.join(placed.select("predicate", "_block", "_pos"), "predicate")
-               .groupBy("_block", "chunk")
-               .agg(F.map_from_entries(F.collect_list(F.struct("_pos", "m"))).alias("_mm")))
-    # dense by position (null where the row has nothing in this chunk); built
-    # once per (block, chunk) so scoring below is a single pass
-    members = members.select("_block", "chunk", F.transform(
-        F.sequence(F.lit(0), F.lit(B - 1)), lambda i: F.element_at(F.col("_mm"), i)).alias("_members"))
-    roster = (placed.groupBy("_block")
-              .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), F.col("predicate").alias("n"),
-                                                        F.col("sq").alias("s")))).alias("_r"))
-              .select("_block", F.transform("_r", lambda x: x["n"]).alias("names"),
-                      F.transform("_r", lambda x: x["s"]).alias("sqs")))
-    q = chunks.withColumn("_block", blocks_seq)
-    if max_broadcast_entries is not None and space.entries.count() <= max_broadcast_entries:
-        members = F.broadcast(members)
-    j = q.join(members, ["_block", "chunk"])
-    partial = j.select("predicate", "_block", "chunk", F.transform(
-        "_members", lambda x: F.when(x.isNull(), F.lit(0.0)).otherwise(sparse_dot(F.col("m"), x))).alias("part"))
-
-    def added(parts):
-        return F.aggregate(parts, F.array_repeat(F.lit(0.0), B), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-
-    # parts are added up in groups of at most SUM_WIDTH chunks, level by level
-    n_chunks = int((space.entries.agg(F.max("component")).first()[0] or 0) // chunk_size) + 1
-    while n_chunks > SUM_WIDTH:
-        partial = (partial.withColumn("chunk", F.floor(F.col("chunk") / SUM_WIDTH).cast("bigint"))
-                   .groupBy("predicate", "_block", "chunk").agg(F.collect_list("part").alias("_p"))
-                   .select("predicate", "_block", "chunk", added(F.col("_p")).alias("part")))
-        n_chunks = -(-n_chunks // SUM_WIDTH)
-    summed = partial.groupBy("predicate", "_block").agg(F.collect_list("part").alias("_parts"))
-    every = placed.select("predicate", F.col("sq").alias("qs")).withColumn("_block", blocks_seq)
-    dots = added(F.coalesce(F.col("_parts"), F.array().cast("array<array<double>>")))
-    out = (every.join(summed, ["predicate", "_block"], "left")
-           .join(roster, "_block")
-           .select("predicate", "qs", "_block", dots.alias("dots"), "names", "sqs"))
-    return n_rows, n_blocks, out
-
-
-def all_pairs_similarity(space: Space, k: int = 10, block_size: int = DEFAULT_BLOCK_ROWS,
-                         ndigits: int = 6, chunk_size: int = DEFAULT_CHUNK,
-                         max_broadcast_entries: int | None = None) -> DataFrame:
+def _apart(space_norms: DataFrame, near: DataFrame, k: int, ndigits: int, levels: int, names: int) -> DataFrame:
+    """The ``k`` nearest rows of every row by each metric among those that
+    it shares no component with: predicate, qs, eu, co (sorted arrays of
+    (key, neighbor, distance)) and ``sure``.
+
+    Their distances are known: sqrt(qs + s), and cosine distance 1 (none if
+    a row is zero).  So only the rows of least norm can be among them, and by
+    cosine the first names; ``levels`` least norms are listed with ``names``
+    names each.  ``sure`` says that no row outside the list can belong to
+    the ``k``, ties after rounding included.  ``near``: predicate,
+    ``neighbor`` of rows that share a component."""
+    n_rows = space_norms.count()
+    by_norm = Window.partitionBy("sq").orderBy("predicate")
+    sizes = space_norms.groupBy("sq").agg(F.count(F.lit(1)).alias("size"))
+    least = sizes.orderBy("sq").limit(levels + 1).collect()
+    listed = [r["sq"] for r in least[:levels]]
+    size = {r["sq"]: r["size"] for r in least}
+    low = (space_norms.filter(F.col("sq") <= max(listed, default=0.0)).withColumn("_r", F.row_number().over(by_norm))
+           .filter(F.col("_r") <= names).select("predicate", "sq").collect())
+    by_name = Window.partitionBy(F.col("sq") > 0).orderBy("predicate")
+    full = (space_norms.withColumn("_r", F.row_number().over(by_name)).filter(F.col("_r") <= names)
+            .select("predicate", "sq").collect())
+    n_zero = size.get(0.0, 0)
+
+    def literal(rows):
+        return F.from_json(F.lit(json.dumps([{"p": r["predicate"], "s": r["sq"]} for r in rows])), "array<struct<p:string,s:double>>")
+
+    known = sorted({r["predicate"] for r in low} | {r["predicate"] for r in full})
+    met = near.groupBy("predicate").agg(
+        F.count(F.lit(1)).alias("n_met"), F.collect_set(F.when(F.col("neighbor").isin(known), F.col("neighbor"))).alias("met"))
+    rows = space_norms.select("predicate", F.col("sq").alias("qs")).join(met, "predicate", "left")
+    rows = rows.withColumn("met", F.coalesce("met", F.array().cast("array<string>"))).withColumn("n_met", F.coalesce("n_met", F.lit(0)))
+    rows = rows.withColumn("low", F.filter(literal(low), lambda x: ~F.array_contains("met", x["p"])))
+    rows = rows.withColumn("all", F.filter(literal(full), lambda x: ~F.array_contains("met", x["p"])))
+
+    def ranked(col, dist):
+        each = F.transform(col, lambda x: F.struct(F.coalesce(F.round(dist(x), ndigits), F.lit(INF)).alias("key"),
+                                                   x["p"].alias("neighbor"), F.round(dist(x), ndigits).alias("distance")))
+        return F.slice(F.array_sort(each), 1, k)
+
+    def eu(s):
+        return F.round(F.sqrt(F.col("qs") + s), ndigits)
+
+    rows = rows.withColumn("eu", ranked("low", lambda x: F.sqrt(F.col("qs") + x["s"])))
+    rows = rows.withColumn("co", ranked("all", lambda x: F.when((F.col("qs") > 0) & (x["s"] > 0), F.lit(1.0))))
+    apart = F.lit(n_rows) - F.col("n_met")
+    last = F.element_at(F.transform("eu", lambda x: x["key"]), -1)
+    # every truncated norm within the k-th distance has k names left, and the next norm is beyond it
+    cut = [r["sq"] for r in least[:levels] if r["size"] > names]
+    enough = F.lit(True)
+    for v in cut:
+        enough = enough & ((eu(F.lit(v)) > last) | (F.size(F.filter("low", lambda x, v=v: x["s"] == F.lit(v))) >= k))
+    if len(least) > levels:
+        enough = enough & (eu(F.lit(least[levels]["sq"])) > last)
+    sure_eu = (F.size("low") >= apart) | ((F.size("eu") >= k) & enough)
+    some = F.size(F.filter("all", lambda x: x["s"] > 0))
+    none = F.size(F.filter("all", lambda x: x["s"] == 0))
+    # a zero row ranks all rows by name alone, the others those that are not zero first
+    sure_co = (F.size("all") >= apart) | F.when(F.col("qs") > 0, (some >= k) | ((n_rows - n_zero <= names) & ((none >= k) | (n_zero <= names)))).otherwise(
+        ((some >= k) | (n_rows - n_zero <= names)) & ((none >= k) | (n_zero <= names)))
+    return rows.select("predicate", "qs", "eu", "co", (sure_eu & sure_co).alias("sure"))
+
+
+def all_pairs_similarity(space: Space, k: int = 10, ndigits: int = 6, hot_rows: int = HOT_ROWS,
+                         levels: int | None = None) -> DataFrame:
     """E13 for every row at once: (predicate, metric, rank, neighbor,
     distance), the ``k`` nearest rows by each metric, self included.
 
-    Built on ``block_dots``: each (row, block) reduces its block to its own
-    top-k inside one expression, then a window keeps the best ``k`` of the
-    per-block winners (at most blocks x k rows per predicate)."""
-    _, _, bd = block_dots(space, block_size, chunk_size, max_broadcast_entries)
-    trio = F.zip_with(F.zip_with("names", "sqs", lambda n, s: F.struct(n.alias("n"), s.alias("s"))),
-                      F.slice("dots", 1, F.size("names")),
-                      lambda c, d: F.struct(c["n"].alias("p"), c["s"].alias("s"), d.alias("ab")))
-    j = bd.select("predicate", "qs", trio.alias("_d"))
-
-    def ranked(dist):
-        scored = F.transform("_d", lambda x: F.struct(
-            F.coalesce(F.round(dist(x), ndigits), F.lit(INF)).alias("key"),
-            x["p"].alias("neighbor"), F.round(dist(x), ndigits).alias("distance")))
-        return F.slice(F.array_sort(scored), 1, k)
-
-    eu = ranked(lambda x: _euclid(F.col("qs"), x["s"], x["ab"]))
-    co = ranked(lambda x: _cos_dist(F.col("qs"), x["s"], x["ab"]))
-    tagged = F.concat(F.transform(eu, lambda b: F.struct(F.lit("euclidean").alias("metric"), b.alias("b"))),
-                      F.transform(co, lambda b: F.struct(F.lit("cosine").alias("metric"), b.alias("b"))))
-    cand = (j.select("predicate", F.explode(tagged).alias("t"))
-            .select("predicate", "t.metric", "t.b.key", "t.b.neighbor", "t.b.distance"))
+    Rows meet on the components that they share (``shared_dots``); rows that
+    share none are never compared, as their distances follow from the norms
+    (``_apart``).  What lies beyond the ``k``-th of those is dropped before
+    the ranking.  ``levels`` least norms are listed at first, and more for
+    the rows for which that was not enough."""
+    checkpoint_dir(space.rows.sparkSession)
+    entries = space.entries.filter(F.col("value") != 0).select("predicate", "component", "value").checkpoint()
+    sq = entries.groupBy("predicate").agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
+    norms = space.rows.select("predicate").join(sq, "predicate", "left").fillna(0.0, ["sq"]).checkpoint()
+    withs = entries.join(norms, "predicate")
+    near = shared_dots(
+        withs.select("predicate", "component", F.col("value").alias("va"), F.col("sq").alias("qs")),
+        withs.select(F.col("predicate").alias("neighbor"), "component", F.col("value").alias("vb"), F.col("sq").alias("s")),
+        ["predicate"], ["neighbor"], {"qs": F.max("qs"), "s": F.max("s")}, hot_rows).checkpoint()
+    levels = levels or 4 * k
+    apart = _apart(norms, near, k, ndigits, levels, levels).checkpoint()
+    done = apart.filter("sure")
+    while apart.filter(~F.col("sure")).take(1):
+        levels *= 4
+        left = apart.filter(~F.col("sure")).select("predicate")
+        apart = _apart(norms, near, k, ndigits, levels, levels).join(left, "predicate", "left_semi").checkpoint()
+        done = done.unionByName(apart.filter("sure"))
+
+    ranks = F.explode(F.array(F.struct(F.lit("euclidean").alias("metric"), F.col("eu").alias("far")),
+                              F.struct(F.lit("cosine").alias("metric"), F.col("co").alias("far")))).alias("m")
+    far = done.select("predicate", ranks).select("predicate", "m.metric", "m.far")
+    bound = F.when(F.size("far") >= k, F.element_at("far", F.when(F.size("far") > 0, -1))["key"]).otherwise(INF)
+    dist = [F.round(_euclid(F.col("qs"), F.col("s"), F.col("ab")), ndigits), F.round(_cos_dist(F.col("qs"), F.col("s"), F.col("ab")), ndigits)]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), d.alias("distance")) for m, d in zip(("euclidean", "cosine"), dist)])).alias("d")
+    close = near.select("predicate", "neighbor", each).select(
+        "predicate", "d.metric", F.coalesce("d.distance", F.lit(INF)).alias("key"), "neighbor", "d.distance")
+    close = close.join(far.select("predicate", "metric", bound.alias("bound")), ["predicate", "metric"]).filter(
+        F.col("key") <= F.col("bound")).drop("bound")
+    cand = close.unionByName(far.select("predicate", "metric", F.explode("far").alias("f")).select(
+        "predicate", "metric", "f.key", "f.neighbor", "f.distance"))
     w = Window.partitionBy("predicate", "metric").orderBy("key", "neighbor")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("predicate", "metric", F.col("rank").cast("bigint").alias("rank"),

@@ -266,7 +266,7 @@ def _e13(spark, sf):
 
 @query("e14_all_pairs_similarity")
 def _e14(spark, sf):
-    return ES.all_pairs_similarity(global_space(spark, sf), 10, block_size=16, chunk_size=512)
+    return ES.all_pairs_similarity(global_space(spark, sf), 10)
 
 
 @query("e15_pca")
@@ -594,10 +594,10 @@ def _h2(spark, sf):
 
 @query("h2_gated_predict_scattered")
 def _h2s(spark, sf):
-    """H2 on a space whose row orders have wide gaps, in blocks of two rows."""
+    """H2 on a space whose row orders have wide gaps, by the inverted index."""
     s = vec_space(spark, sf)
     wide = H.Space(s.rows.withColumn("row_order", F.col("row_order") * 1009 + 300), s.entries, s.dims)
-    p = H.gated_predict(vec_rows(spark, sf), wide, vec_mapping(spark, sf), VID, block_size=2)
+    p = H.gated_predict(vec_rows(spark, sf), wide, vec_mapping(spark, sf), VID, max_entries=0)
     return p.select("vec_id", F.col("rel").alias("y_true"), "y_pred")
 
 

@@ -14,7 +14,7 @@ def plan(df):
 def test_no_cartesian_product_in_all_pairs(spark):
     data = [(f"s{i % 5}", f"p{i % 11}", f"o{(i * 3) % 7}", i % 5 + 1) for i in range(60)]
     space = SP.build_space(pat_df(spark, data), None, None, filler=None)
-    p = plan(ES.all_pairs_similarity(space, 3, block_size=4, chunk_size=3))
+    p = plan(ES.all_pairs_similarity(space, 3))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 

@@ -39,7 +39,7 @@ def wide_space(spark):
 @pytest.mark.parametrize("mapped", [(400, 501), (2, 501)])
 @pytest.mark.parametrize("cells", [0, 10**9])
 def test_gated_search_finds_mapped_rows_of_any_order(spark, wide_space, mapped, cells, monkeypatch):
-    monkeypatch.setattr(H, "DEFAULT_MAX_BROADCAST_CELLS", cells)
+    monkeypatch.setattr(H, "MAX_INDEX_ENTRIES", cells)
     rows, space = wide_space
     mapping = spark.createDataFrame([(f"r{m}", f"p{m}") for m in mapped], "rel string, prop string")
     asked = spark.createDataFrame([(m, [float(x) for x in rows[m][2]], 0.1) for m in mapped], "id bigint, vec array<double>, gate double")
@@ -56,9 +56,9 @@ def test_nearest_and_scores_with_gaps_match_numpy(spark, cells):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "id bigint, vec array<double>")
     X = np.array([v for _, _, v in rows])
     sims = asked @ X.T / np.linalg.norm(X, axis=1) / np.linalg.norm(asked, axis=1)[:, None]
-    near = H.nearest_property(df, space, block_size=16, max_broadcast_cells=cells)
+    near = H.nearest_property(df, space, max_entries=cells)
     assert {r.id: r.nearest for r in near.collect()} == {k: rows[int(np.argmax(s))][0] for k, s in enumerate(sims)}
-    scores = H.class_scores(df, space, block_size=16, max_broadcast_cells=cells).collect()
+    scores = H.class_scores(df, space, max_entries=cells).collect()
     assert all(np.allclose(r.scores, sims[r.id], atol=1e-9) for r in scores) and len(scores) == 20
 
 
@@ -69,12 +69,11 @@ def test_queries_of_an_empty_space_are_kept(spark):
     assert [(r.id, r.nearest) for r in H.nearest_property(asked, none).collect()] == [(1, None)]
 
 
-@pytest.mark.parametrize("width", [64, 2])
-def test_all_pairs_with_gaps_and_many_chunks(spark, monkeypatch, width):
-    monkeypatch.setattr(ES, "SUM_WIDTH", width)
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_all_pairs_with_gaps_and_salted_components(spark, hot):
     rng = np.random.default_rng(2)
     rows = [(f"p{k}", o, rng.normal(size=23)) for k, o in enumerate([0, 3, 900, 901, 5000, 77777])]
-    got = ES.all_pairs_similarity(long_space(spark, rows), k=6, block_size=2, chunk_size=3).collect()
+    got = ES.all_pairs_similarity(long_space(spark, rows), k=6, hot_rows=hot).collect()
     X = np.array([v for _, _, v in rows])
     for r in got:
         a, b = int(r.predicate[1:]), int(r.neighbor[1:])
@@ -100,7 +99,7 @@ def test_vector_tables_beyond_the_broadcast_bound(spark):
             out = G.label_vectors(rows, mapping, space, max_broadcast_cells=cells)
             assert ("BroadcastHashJoin" in plan(out)) == hinted
             assert {r.id: r.target for r in out.collect()} == {1: [1.0, 0.0], 2: [0.0, 1.0], 3: [1.0, 0.0]}
-            owner = G.check_vector_owner(out, space, mapping, max_broadcast_cells=cells).first()
+            owner = G.check_vector_owner(out, space, mapping).first()
             assert tuple(owner) == (3, 3, 0)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -32,10 +32,10 @@ def test_nearest_blocks_agree_with_single_block(spark):
     vecs = [(f"P{i}", list(rng.normal(size=5))) for i in range(23)]
     sp = space(spark, vecs)
     q = [(i, [float(x) for x in rng.normal(size=5)], 0.1) for i in range(40)]
-    a = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=4), "id", "nearest")
-    b = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=1000), "id", "nearest")
-    # the same answer when the blocks are too big to broadcast (salted shuffle join)
-    c = rows(H.nearest_property(proj(spark, q), sp, ["id"], block_size=4, max_broadcast_cells=0), "id", "nearest")
+    a = rows(H.nearest_property(proj(spark, q), sp, ["id"]), "id", "nearest")
+    b = rows(H.nearest_property(proj(spark, q), sp, ["id"], max_entries=10**6), "id", "nearest")
+    # the same answer when the space is too big for an index in every task (inverted index)
+    c = rows(H.nearest_property(proj(spark, q), sp, ["id"], max_entries=0), "id", "nearest")
     assert a == c
     X = np.array([v for _, v in vecs])
     expect = []

@@ -93,7 +93,7 @@ def test_all_pairs_topk_matches_brute_force_and_is_symmetric(spark):
     space = SP.build_space(pat_df(spark, data), None, None, filler=None)
     names, X = dense_np(space)
     k = 4
-    got = ES.all_pairs_similarity(space, k, block_size=3, chunk_size=2)
+    got = ES.all_pairs_similarity(space, k)
     eu = {}
     for r in got.filter(F.col("metric") == "euclidean").collect():
         eu.setdefault(r["predicate"], []).append((r["rank"], r["neighbor"], r["distance"]))
@@ -104,9 +104,7 @@ def test_all_pairs_topk_matches_brute_force_and_is_symmetric(spark):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the shuffle joins
     try:
-        shuffled = ES.all_pairs_similarity(space, k, block_size=3, chunk_size=2, max_broadcast_entries=0)
-        plan = shuffled._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin [_block" not in plan and "SortMergeJoin [_block" in plan
+        shuffled = ES.all_pairs_similarity(space, k, hot_rows=2, levels=1)
         assert rows(shuffled) == rows(got)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
