@@ -177,8 +177,9 @@ def check_encoding(encoded: DataFrame, df: DataFrame, vocab: DataFrame, id_col:
 
 def mini_batches(df: DataFrame, size: int = 128, seed: int = 0, id_col: str = "id") -> DataFrame:
     """Rows in a seeded shuffled order cut into batches of ``size`` (the
-    last one may be short): ``batch_id`` and ``pos_in_batch``."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    last one may be short): ``batch_id`` and ``pos_in_batch``.  The order is
+    that of the md5 of ``seed:id``, which other engines have too."""
+    keyed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
     idx = dense_index(keyed, ["_h", id_col], "_idx")
     return (idx.withColumn("batch_id", F.floor(F.col("_idx") / size).cast("bigint"))
             .withColumn("pos_in_batch", (F.col("_idx") % size).cast("bigint")).drop("_h", "_idx"))

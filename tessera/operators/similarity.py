@@ -184,74 +184,156 @@ def all_pairs_similarity(space: Space, k: int = 10, ndigits: int = 6, hot_rows:
                     "neighbor", "distance"))
 
 
-PCA_EXTRA = 14  # columns iterated beyond the components asked for
-PCA_TOLERANCE = 1e-12  # squared residual of the components, of their squared length
+#: Length of the residual of a component, of the first eigenvalue.
+PCA_TOLERANCE = 1e-9
 
 
-def pca(space: Space, k: int = 2, max_rounds: int = 300) -> DataFrame:
+def pca(space: Space, k: int = 2, max_columns: int = 40, max_steps: int = 2000) -> DataFrame:
     """Scores on the first ``k`` principal components of the
-    mean-centred space (the sign of a component is free).
-
-    Subspace iteration on the sparse entries: a table of a few numbers per
-    row is multiplied by the space (join on the predicate, sums per
-    component) and back (join on the component, sums per predicate), and
-    centred, which is all that centring the space amounts to.  Only sums of
-    products of its few columns reach the driver, which makes them
-    orthogonal again.  Rounds end when the components asked for are
-    invariant (``PCA_TOLERANCE``); ``max_rounds`` ends a space whose
-    components are tied, for which any rotation of them is right."""
+    mean-centred space (the sign of a component is free; tied components are
+    any rotation of them).
+
+    A growing Krylov subspace on the sparse entries: a few columns are
+    multiplied by the space (join on the predicate, sums per component) and
+    back (join on the component, sums per predicate) and centred.  The
+    residuals of the best directions, made orthogonal to all columns twice,
+    are the next ones; at ``max_columns`` the best directions are kept
+    (locked) and the others dropped.  Only sums of products of columns reach
+    the driver.  It ends when the residual of every component, measured on
+    the rows, is at most ``PCA_TOLERANCE`` of the first eigenvalue, and
+    raises an error if ``max_steps`` do not suffice."""
     import numpy as np
 
     checkpoint_dir(space.rows.sparkSession)
     rows = space.rows.select("predicate", F.col("row_order").cast("bigint").alias("row_order")).checkpoint()
     entries = space.entries.select("predicate", "component", "value").checkpoint()
     n = rows.count()
-    m = max(min(k + PCA_EXTRA, n), 1)
-    cols = [f"u{j}" for j in range(m)]
-    u = rows.select("predicate", *[(F.xxhash64("predicate", F.lit(j)) / float(1 << 63)).alias(c) for j, c in enumerate(cols)])
-
-    def products(df, left, right):
-        """Means of ``right`` and the matrices right'right and left'right."""
-        pairs = [(i, j) for i in range(m) for j in range(i, m)]
-        out = df.agg(*[F.avg(c).alias(f"m{j}") for j, c in enumerate(right)],
-                     *[F.sum(F.col(right[i]) * F.col(right[j])).alias(f"g{i}_{j}") for i, j in pairs],
-                     *[F.sum(F.col(left[i]) * F.col(right[j])).alias(f"t{i}_{j}") for i in range(m) for j in range(m)]).first()
-        mean = np.array([out[f"m{j}"] for j in range(m)])
-        gram = np.zeros((m, m))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = out[f"g{i}_{j}"]
-        return mean, gram - n * np.outer(mean, mean), np.array([[out[f"t{i}_{j}"] for j in range(m)] for i in range(m)])
-
-    def turned(df, mean, by, names=cols):
-        """(row - mean) times a small matrix."""
-        return df.select("predicate", *[sum(((F.col(c) - float(mean[i])) * float(by[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(name)
-                                        for j, name in enumerate(names)])
-
-    def inverse_root(gram):
-        values, vectors = np.linalg.eigh(gram)
-        good = values > max(values.max(), 0) * 1e-14
-        return vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1)), 0)
-
+    scores = [f"pc{j + 1}" for j in range(k)]
     if not n:
-        return rows.select("predicate", "row_order", *[F.lit(0.0).alias(f"pc{j + 1}") for j in range(k)])
-    mean, gram, _ = products(u, cols, cols)
-    u = turned(u, mean, inverse_root(gram)).checkpoint()
-    for _ in range(max_rounds):
-        across = entries.join(u, "predicate").groupBy("component").agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in cols])
-        back = entries.join(across, "component").groupBy("predicate").agg(*[F.sum(F.col("value") * F.col(c)).alias(f"v{j}") for j, c in enumerate(cols)])
-        both = u.join(back, "predicate", "left").fillna(0.0).checkpoint()
-        new = [f"v{j}" for j in range(m)]
-        mean, gram, ritz = products(both, cols, new)
-        values, vectors = np.linalg.eigh((ritz + ritz.T) / 2)
-        order = np.argsort(values)[::-1]
-        values, vectors = np.clip(values[order], 0, None), vectors[:, order]
-        lengths = np.einsum("ij,ik,kj->j", vectors, gram, vectors)  # squared lengths of the images
-        left = np.clip(lengths - values ** 2, 0, None)[:k]
-        done = (left <= PCA_TOLERANCE * np.maximum(lengths[:k], 1e-300)).all()
-        if done:
+        return rows.select("predicate", "row_order", *[F.lit(0.0).alias(c) for c in scores])
+    width = min(k + 2, n)
+    order = np.arange
+
+    def products(table):
+        """Sums of ``v`` and of v v' over all rows, batch by batch."""
+        def work(batches):
+            import numpy as np
+            import pyarrow as pa
+            total = 0
+            for b in batches:
+                if b.num_rows:
+                    v = b.column(0).flatten().to_numpy().reshape(b.num_rows, -1)
+                    v = np.concatenate([v, np.ones((len(v), 1))], 1)
+                    total = total + v.T @ v
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["s"])
+
+        from pyspark.ml.functions import array_to_vector
+        from pyspark.ml.stat import Summarizer
+        out = table.select("v").mapInArrow(work, "s array<double>").select(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+        size = int(round(len(out) ** 0.5))
+        out = out.reshape(size, size)
+        return out[:-1, :-1], out[-1, :-1] / n
+
+    def turned(table, by, shift):
+        """``v`` times a small matrix, less ``shift``."""
+        def work(batches):
+            import numpy as np
+            import pyarrow as pa
+            for b in batches:
+                if b.num_rows:
+                    v = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) @ by - shift
+                    cuts = np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(v.ravel()))], ["predicate", "v"])
+        return table.mapInArrow(work, "predicate string, v array<double>")
+
+    def orthonormal(table, sums, means, size, others):
+        """The columns behind the first ``size`` orthonormal ones and
+        ``others`` more: centred, orthogonal to the first ones and to each
+        other; directions that vanish go.  (table, number left)"""
+        for again in (True, False):
+            along = sums[:size, size + others:]
+            m = means[size + others:]
+            gram = sums[size + others:, size + others:] - along.T @ along - n * np.outer(m, m)
+            values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+            good = values > max(values.max(initial=0), 1e-300) * 1e-13
+            turn = vectors[:, good] / np.sqrt(values[good])
+            by = np.zeros((size + others + len(m), size + others + turn.shape[1]))
+            by[order(size + others), order(size + others)] = 1
+            by[:size, size + others:] = -along @ turn
+            by[size + others:, size + others:] = turn
+            table = turned(table, by, np.append(np.zeros(size + others), m @ turn))
+            if not good.any():
+                return table, 0
+            if again:
+                sums, means = products(table)
+        return table, turn.shape[1]
+
+    table = rows.select("predicate", F.array(*[F.xxhash64("predicate", F.lit(j)) / float(1 << 63) for j in range(width)]).alias("v"))
+    table, fresh = orthonormal(table, *products(table), 0, 0)
+    size = 0  # v holds the columns done, what the space makes of them, and the new columns
+    for _ in range(max_steps):
+        if not fresh:
+            break
+        new = [F.get("v", F.lit(2 * size + j)).alias(f"q{j}") for j in range(fresh)]
+        table = table.checkpoint()
+        across = entries.join(table.select("predicate", *new), "predicate").groupBy("component").agg(
+            *[F.sum(F.col("value") * F.col(f"q{j}")).alias(f"q{j}") for j in range(fresh)])
+        back = entries.join(across, "component").groupBy("predicate").agg(
+            *[F.sum(F.col("value") * F.col(f"q{j}")).alias(f"a{j}") for j in range(fresh)])
+        v = F.concat(F.slice("v", 1, size), F.slice("v", 2 * size + 1, fresh), F.slice("v", size + 1, size),
+                     F.array(*[F.coalesce(f"a{j}", F.lit(0.0)) for j in range(fresh)]))
+        table = table.join(back, "predicate", "left").select("predicate", v.alias("v")).checkpoint()
+        size += fresh
+        sums, means = products(table)
+        theta = sums[:size, size:]  # columns are centred, so the means of the images drop out
+        values, vectors = np.linalg.eigh((theta + theta.T) / 2)
+        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+        some = min(width, size)
+        kept = size if size + some <= max_columns else min(size, width + k + 6)
+        top = vectors[:, :kept] if kept < size else np.eye(size)
+        by = np.zeros((2 * size, 2 * kept + some))
+        by[:size, :kept], by[size:, kept:2 * kept] = top, top
+        by[:size, 2 * kept:], by[size:, 2 * kept:] = -vectors[:, :some] * values[:some], vectors[:, :some]
+        shift = np.concatenate([np.zeros(kept), means[size:] @ top, means[size:] @ vectors[:, :some]])
+        table = turned(table, by, shift)
+        if kept < size:
+            vectors = np.eye(kept)
+        size = kept
+        sums, means = products(table)
+        left = np.sqrt(np.clip(np.diag(sums)[2 * size:], 0, None)[:k])  # residuals, measured on the rows
+        if size >= n or left.max(initial=0) <= PCA_TOLERANCE * max(values[0], 1e-300):
             break
-        u = turned(both.select("predicate", *[F.col(v).alias(c) for v, c in zip(new, cols)]), mean, inverse_root(gram))
-    top = np.zeros((m, k))
-    top[:, :min(k, m)] = (vectors * np.sqrt(values))[:, :k]
-    scores = turned(both, np.zeros(m), top, [f"pc{j + 1}" for j in range(k)])
-    return rows.join(scores, "predicate").select("predicate", "row_order", *[f"pc{j + 1}" for j in range(k)])
+        table, fresh = orthonormal(table, sums, means, size, size)
+    else:
+        raise ValueError(f"the first {k} components are not found in {max_steps} steps; allow more")
+    by = np.zeros((2 * size + (len(sums) - 2 * size if size else 0), k))
+    if size:  # otherwise all rows are equal
+        by[:size, :min(k, size)] = (vectors[:size] * np.sqrt(values[:vectors.shape[1]]))[:, :k]
+        if not fresh:
+            by = by[:2 * size]
+    else:
+        by = np.zeros((0, k))
+    out = turned(table, by, np.zeros(k))
+    return rows.join(out, "predicate").select("predicate", "row_order", *[F.get("v", F.lit(j)).alias(c) for j, c in enumerate(scores)])
+
+
+def pca_residual(space: Space, components: DataFrame, k: int = 2, ndigits: int = 6) -> DataFrame:
+    """What is left of the equations that principal components solve, one
+    row a component: ``mean`` of the scores, largest ``overlap`` with
+    another component, and ``residual`` of the eigenvalue equation; each
+    relative, rounded, and 0 for a component."""
+    cols = [f"pc{j + 1}" for j in range(k)]
+    across = space.entries.join(components, "predicate").groupBy("component").agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in cols])
+    back = space.entries.join(across, "component").groupBy("predicate").agg(*[F.sum(F.col("value") * F.col(c)).alias(f"a{c}") for c in cols])
+    both = components.join(back, "predicate", "left").fillna(0.0)
+    sums = both.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in cols for b in cols], *[F.sum(F.col(c)).alias(f"s{c}") for c in cols],
+                    *[F.avg(f"a{c}").alias(f"m{c}") for c in cols], F.count(F.lit(1)).alias("n"))
+    # a component's squared length is its eigenvalue
+    each = both.join(F.broadcast(sums)).agg(*[F.sqrt(F.sum(F.pow(F.col(f"a{c}") - F.col(f"m{c}") - F.col(f"{c}{c}") * F.col(c), 2))).alias(f"r{c}") for c in cols])
+    first = F.col(f"{cols[0]}{cols[0]}")
+    rows = F.array(*[F.struct(F.lit(j + 1).cast("bigint").alias("component"),
+                              F.round(F.abs(F.col(f"s{c}")) / F.sqrt(first * F.col("n")), ndigits).alias("mean"),
+                              F.round(F.greatest(*[F.abs(F.col(f"{c}{d}")) for d in cols if d != c], F.lit(0.0), F.lit(0.0)) / first, ndigits).alias("overlap"),
+                              F.round(F.col(f"r{c}") / F.pow(first, 1.5), ndigits).alias("residual")) for j, c in enumerate(cols)])
+    return sums.join(F.broadcast(each)).select(F.explode(rows).alias("x")).select("x.*")

@@ -677,3 +677,16 @@ ORACLES.update({
 
 ORACLES["i6_instances_statistic"] = ORACLES["e3_vectorise"]
 ORACLES["a4_sentences_csv_round_trip"] = ORACLES["f7_prepare_sentences"]
+
+# fits: what is left of the equations that their results solve
+ORACLES.update({
+    "e15_pca_residual": """SELECT CAST(c AS BIGINT) AS component, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS overlap,
+        CAST(0 AS DOUBLE) AS residual FROM range(1, 3) r(c)""",
+    "h12_gate_gradient": with_(VEC) + """SELECT CAST(c AS BIGINT) AS component, CAST(0 AS DOUBLE) AS gradient
+        FROM range((SELECT max(component) + 2 FROM vlong)) r(c)""",
+    "h14_projector_residual": with_(VEC) + """SELECT DISTINCT s.component, CAST(0 AS DOUBLE) AS residual
+        FROM vec v JOIN vmap m ON m.rel = v.rel JOIN space s ON s.predicate = m.prop
+        WHERE v.rel <> 'no_relation' AND s.component IS NOT NULL AND s.value <> 0""",
+    "g13_mini_batches": with_(VEC) + """SELECT vec_id, rel, CAST(floor(n / 128) AS BIGINT) AS batch_id, CAST(n % 128 AS BIGINT) AS pos_in_batch
+        FROM (SELECT vec_id, rel, row_number() OVER (ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS n FROM vec) x""",
+})

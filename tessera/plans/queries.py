@@ -274,6 +274,13 @@ def _e15(spark, sf):
     return ES.pca(global_space(spark, sf), 2)
 
 
+@query("e15_pca_residual")
+def _e15r(spark, sf):
+    """What is left of the equations of the first two components."""
+    space = global_space(spark, sf)
+    return ES.pca_residual(space, ES.pca(space, 2), 2)
+
+
 # ------------------------------------------------------------------ D
 from tessera.operators import derive as D  # noqa: E402
 from tessera.operators import ontology as O  # noqa: E402
@@ -704,8 +711,21 @@ def _h13(spark, sf):
 @query("h14_fit_projector")
 def _h14(spark, sf):
     t = with_targets(spark, sf)
-    w = FT.fit_projector(t)
-    return FT.project(t, w).select("vec_id", F.posexplode("projection").alias("component", "value"))
+    return FT.project(t, FT.fit_projector(t), ["vec_id"])
+
+
+@query("h14_projector_residual")
+def _h14r(spark, sf):
+    """What is left of the normal equations of the fitted projector."""
+    t = with_targets(spark, sf)
+    return FT.projector_residual(t, FT.fit_projector(t))
+
+
+@query("h12_gate_gradient")
+def _h12g(spark, sf):
+    """The gradient of the gate's loss at the fitted weights."""
+    w, out = FT.fit_gate(with_targets(spark, sf), "vec", "attribute")
+    return FT.gate_gradient(out, w)
 
 
 # ------------------------------------------------------------------ flagship

@@ -146,6 +146,7 @@ def test_projector_matches_numpy_ridge(spark):
     keep = [i for i in range(60) if i % 7 != 0]
     Xb = np.c_[X[keep], np.ones(len(keep))]
     expect = np.linalg.solve(Xb.T @ Xb + 1e-9 * np.eye(5), Xb.T @ Y[keep])
-    assert np.abs(got - expect).max() < 1e-8
-    out = FT.project(df, got).orderBy("id").collect()
-    assert np.allclose(out[1]["projection"], np.maximum(Y[1], 0), atol=1e-6)
+    assert np.abs(np.array([r.w for r in got.orderBy("component").collect()]).T - expect).max() < 1e-8
+    out = FT.with_projection(df, FT.project(df, got, ["id"]), ["id"]).orderBy("id").collect()
+    assert len(out) == 60
+    assert np.allclose([out[1]["projection"].get(c, 0.0) for c in range(3)], np.maximum(Y[1], 0), atol=1e-6)
