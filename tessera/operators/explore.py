@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_dir
+
 
 def _cnt():
     return F.count(F.lit(1))
@@ -144,26 +146,49 @@ def predicates_with_n_patterns(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def pair_sets(df: DataFrame, preds: DataFrame) -> DataFrame:
-    """C14: sorted set of pairs of each selected predicate.  The selection
-    (C13: predicates with exactly n patterns) bounds every set by n."""
+    """C14: sorted set of pairs of each selected predicate, as an array: the
+    selection (C13: predicates with exactly n patterns) bounds every set by
+    n.  ``equal_pair_sets`` compares sets of any size."""
     src = df.join(preds.select("predicate"), "predicate", "left_semi")
     return src.groupBy("predicate").agg(F.array_sort(F.collect_set("pair")).alias("pairs"))
 
 
-def equal_pair_sets(df: DataFrame, n: int = 5) -> DataFrame:
-    """For every predicate with exactly ``n`` patterns, the group of
-    predicates sharing exactly its pair set.
+def equal_pair_sets(df: DataFrame, n: int | None = 5) -> DataFrame:
+    """For every predicate with exactly ``n`` patterns (None: for every
+    predicate), the group of predicates sharing exactly its pair set.
 
     Output is linear in the predicates: ``set_rep`` (smallest predicate of
     the group, the group's id) and ``n_equal`` (other members).  The members
-    of a group are ``predicate`` where ``set_rep`` matches; no pair list
-    inside a group is materialised.  Sets have ``n`` elements, so the
-    grouping key is bounded by the parameter."""
-    sets = pair_sets(df, predicates_with_n_patterns(df, n))
-    groups = sets.groupBy("pairs").agg(F.min("predicate").alias("set_rep"),
-                                       _cnt().alias("members"))
-    return (sets.join(groups, "pairs")
-            .select("predicate", "set_rep", (F.col("members") - 1).alias("n_equal")))
+    of a group are ``predicate`` where ``set_rep`` matches.  Sets may be of
+    any size: predicates are compared by an order-free fingerprint (count,
+    and sum and exclusive or of two hashes of each pair), and then pair by
+    pair with the group's ``set_rep``; a predicate that shares the
+    fingerprint alone is grouped again without it."""
+    checkpoint_dir(df.sparkSession)
+    if n is not None:
+        df = df.join(predicates_with_n_patterns(df, n), "predicate", "left_semi")
+    pairs = df.select("predicate", "pair").distinct().checkpoint()
+    a, b = F.xxhash64("pair"), F.xxhash64(F.lit("pair"), "pair")
+    total = F.sum(a.cast("decimal(38,0)"))
+    prints = pairs.groupBy("predicate").agg(_cnt().alias("size"), F.bit_xor(a).alias("xa"), F.bit_xor(b).alias("xb"), total.alias("s"))
+    left, done = prints.checkpoint(), []
+    while True:
+        w = ["size", "xa", "xb", "s"]
+        reps = left.groupBy(*w).agg(F.min("predicate").alias("set_rep"))
+        grouped = left.join(reps, w)
+        # pairs of each member that its set_rep has too: all of them, if the sets are equal
+        own = pairs.join(grouped.filter(F.col("predicate") != F.col("set_rep")).select("predicate", "set_rep"), "predicate")
+        theirs = pairs.select(F.col("predicate").alias("set_rep"), "pair")
+        differs = own.join(theirs, ["set_rep", "pair"], "left_anti").select("predicate").distinct().checkpoint()
+        done.append(grouped.join(differs, "predicate", "left_anti").select("predicate", "set_rep"))
+        if differs.isEmpty():
+            break
+        left = left.join(differs, "predicate", "left_semi").checkpoint()
+    sets = done[0]
+    for more in done[1:]:
+        sets = sets.unionByName(more)
+    members = sets.groupBy("set_rep").agg(_cnt().alias("members"))
+    return sets.join(members, "set_rep").select("predicate", "set_rep", (F.col("members") - 1).alias("n_equal"))
 
 
 def relation_counts(sent: DataFrame) -> DataFrame:

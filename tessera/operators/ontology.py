@@ -40,41 +40,33 @@ def equivalent_classes(types: DataFrame, equiv: DataFrame, col: str = "value") -
     return equivalents(types, equiv, col)
 
 
-FRONTIERS = 32  # frontiers kept apart before they are written as one
-
-
 def subtypes(types: DataFrame, subclass: DataFrame, col: str = "value") -> DataFrame:
     """Reflexive-transitive closure downwards (``child subClassOf* root``)
     as distinct (root, type); every root is included even without edges.
 
-    Breadth-first: each round joins the frontier to the edges on the parent
-    and anti-joins everything reached so far, so cycles end, and the loop
-    runs until no new type is found, however deep the tree is.  Every
-    frontier is checkpointed to the shared checkpoint folder (lineage stays
-    one round deep and a lost executor re-reads the checkpoint); the result
-    is the union of the checkpointed frontiers.  One job per round, plus a
-    cheap emptiness probe of the checkpoint."""
-    spark = types.sparkSession
-    checkpoint_dir(spark)
-    # read by every round: materialised once instead of re-derived per level
-    edges = subclass.select(F.col("parent").alias("type"), F.col("child")).distinct().checkpoint()
-    frontier = types.select(F.col(col).alias("root"), F.col(col).alias("type")).distinct().checkpoint()
-    parts = [frontier]
-    while True:
-        if len(parts) > FRONTIERS:  # a deep chain: keep the plan short
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = whole.unionByName(p)
-            parts = [whole.checkpoint()]
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        nxt = (frontier.join(edges, "type").select("root", F.col("child").alias("type")).distinct()
-               .join(seen, ["root", "type"], "left_anti").checkpoint())
-        if nxt.isEmpty():
-            return seen
-        parts.append(nxt)
-        frontier = nxt
+    Path doubling: the pairs at a distance of 1, 2, 4, ... edges come from
+    joining the pairs of half the distance with themselves, and each table
+    carries what is reached so far that much further, so after the table of
+    2^i every distance below 2^(i+1) is covered.  The number of jobs is the
+    logarithm of the depth.  In a tree each table has at most one pair for
+    each type below it.  The loop ends when no pair is that far apart, or, as cycles
+    have pairs at any distance, when the distance exceeds the number of
+    edges.  Every table is checkpointed to the shared folder."""
+    checkpoint_dir(types.sparkSession)
+    steps = subclass.select(F.col("parent").alias("type"), F.col("child")).distinct().checkpoint()
+    reach = types.select(F.col(col).alias("root"), F.col(col).alias("type")).distinct().checkpoint()
+    longest, distance = steps.count(), 1
+    while distance <= longest:
+        further = reach.join(steps, "type").select("root", F.col("child").alias("type"))
+        reach = reach.unionByName(further).distinct().checkpoint()
+        distance *= 2
+        if distance > longest:
+            break
+        on = steps.select(F.col("type").alias("child"), F.col("child").alias("_next"))
+        steps = steps.join(on, "child").select("type", F.col("_next").alias("child")).distinct().checkpoint()
+        if steps.isEmpty():
+            break
+    return reach
 
 
 def subtypes_match(types: DataFrame, subclass: DataFrame, equiv: DataFrame,

@@ -98,3 +98,17 @@ def test_namespace_share_distinct_input(spark):
     df = spark.createDataFrame([("dbpedia.org/property/x",), ("dbpedia.org/property/x",), ("y",)], "predicate string")
     r = C.namespace_share(df, "dbpedia.org/property").first()
     assert (r["touched"], r["with_needle"], r["pct"]) == (2, 1, 50.0)
+
+
+def test_equal_pair_sets_of_any_size(spark):
+    data = [("s", p, f"o{k}", 1) for p in ("x", "y", "z") for k in range(3000 if p != "z" else 2999)] + [("s", "w", "o1", 1)]
+    got = rows(C.equal_pair_sets(pat_df(spark, data), None))
+    assert got == [("w", "w", 0), ("x", "x", 1), ("y", "x", 1), ("z", "z", 0)]
+
+
+def test_sets_with_one_fingerprint_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(C.F, "xxhash64", lambda *a: F.lit(1).cast("bigint"))  # all pairs look alike
+    data = [("s", p, o, 1) for p, os in (("a", "xy"), ("b", "xy"), ("c", "yz"), ("d", "yz"), ("e", "zz")) for o in os]
+    got = rows(C.equal_pair_sets(pat_df(spark, data), None))
+    assert got == [("a", "a", 1), ("b", "a", 1), ("c", "c", 1), ("d", "c", 1), ("e", "e", 0)]

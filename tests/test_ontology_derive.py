@@ -55,3 +55,22 @@ def test_rule_without_object_constraint(spark):
     out = D.artificial_properties(df, [D.Rule("org:alternate_names", ["alias"], ["Org"])],
                                   edges(spark, []), None, None)
     assert rows(out, "subject", "object") == [("Org", "x"), ("Org", "y")]
+
+
+def test_closure_of_a_deep_chain_takes_few_jobs(spark):
+    edges = spark.createDataFrame([(f"t{i + 1}", f"t{i}") for i in range(1000)], "child string, parent string")
+    group = "closure-of-a-chain"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        got = O.subtypes(O.values_frame(spark, ["t0", "t990"]), edges)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.groupBy("root").count().orderBy("root").collect() == [("t0", 1001), ("t990", 11)]
+    assert jobs <= 12 * 12  # a round is a few jobs; a round a level would be thousands
+
+
+def test_closure_of_a_cycle_and_of_shared_children(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("e", "d"), ("e", "a"), ("d", "d")], "child string, parent string")
+    got = sorted(map(tuple, O.subtypes(O.values_frame(spark, ["a", "d", "x"]), edges).collect()))
+    assert got == sorted([("a", t) for t in "abcde"] + [("d", "d"), ("d", "e"), ("x", "x")])
