@@ -54,7 +54,10 @@ def _repeated_words(windows: Column, words: int) -> Column:
 
 
 def measures(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id and the counts the rules need, one row per input row."""
+    """doc_id and the counts the rules need, one row per input row; ``window``
+    is any number of words from 1."""
+    if window < 1:
+        raise ValueError("a window has at least one word")
     rows = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select(
         "doc_id", F.array_remove(F.split("text", BLANKS, -1), "").alias("words"),
@@ -71,10 +74,11 @@ def measures(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     hashes, wide = F.col("hashes"), 1
-    while wide < window:  # hashes of 2, 4, 8 words from those of half as many
-        pair = F.zip_with(hashes, F.slice(hashes, wide + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    while wide < window:  # hashes of 2, 4, 8 words from those of half as many; the last two may overlap
+        further = min(wide, window - wide)
+        pair = F.zip_with(hashes, F.slice(hashes, further + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
         rows = rows.withColumn("hashes", pair)
-        wide *= 2
+        wide += further
     rows = rows.withColumn("hashes", F.slice("hashes", 1, F.greatest(F.col("n_words") - (window - 1), F.lit(0)).cast("int")))
     return rows.withColumn("n_repeat_words", _repeated_words(F.col("hashes"), window)).drop("hashes")
 
