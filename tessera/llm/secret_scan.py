@@ -25,7 +25,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # runs of [0-9a-f] with 24 or more characters
 #: Weak patterns.
 ACCOUNT = r"""(?i)(user_?name|user|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)"""
-ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+"""
+#: The scheme begins with the first letter of its run (after up to 32 digits
+#: and signs), and a run is read once: no other letter of it is tried.
+ENDPOINT = r"""(?<=(?:^|[^A-Za-z0-9+.-])[0-9+.-]{0,32})[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]++"""
 KEY = r"[A-Za-z0-9+/_-]{32,}"
 
 KINDS = ("assign", "access", "hex", "account", "endpoint", "key")
