@@ -26,7 +26,7 @@ from tessera.session import scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 2
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 #: Marks that end many words and, after a letter, are a piece of their own.
 MARKS = frozenset(".,;:!?")
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
@@ -71,7 +71,7 @@ class WordEncoder:
     def __init__(self, tokenizer_json: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.max_words = max_words
         self.number = Numbers()
         self.first = np.zeros(1 << 16, np.int64)
@@ -127,7 +127,7 @@ class WordEncoder:
         kept, used = len(self.number), self.used
         words = []
         for text in texts:
-            parts = text.split(" ")
+            parts = text.split(" ") if not any(t in text for t in self.special) else [""]  # "" is no word: the text goes whole
             # no space before the first word, which a character that begins no word of a text says
             parts[0] = "\0" + parts[0] if parts[0] and not parts[0][0].isspace() and "\0" not in text else ""
             words.append(parts)
