@@ -392,8 +392,7 @@ def test_token_files_round_trip(spark, odd, none, tmp_dir):
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         json = f.read()
     tok = Tokenizer.from_str(json)
-    tok.encode_special_tokens = True
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(9, "<|endoftext|> x  y\n z"), (8, "\0nul word")], "doc_id bigint, text string"))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(9, "<|endoftext|> x  y\n z"), (8, "\0nul word"), (12, "a <|endoftext|> b<|endoftext|>")], "doc_id bigint, text string"))
     rows = token_files.token_files(docs, json, path=f"{tmp_dir}/t").collect()
     at, expect = 0, []
     for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "")):
