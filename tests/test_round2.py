@@ -135,8 +135,7 @@ def test_rules_read_the_profile_twice_at_most(spark, tmp_dir):
     assert not any(s == "Sub" and p.startswith("per:") for s, p, _, _ in got)
 
 
-def test_deep_subclass_chain(spark, monkeypatch):
-    monkeypatch.setattr(O, "FRONTIERS", 3)
+def test_deep_subclass_chain(spark):
     edges = spark.createDataFrame([(f"t{k + 1}", f"t{k}") for k in range(12)] + [("t0", "t12")], "child string, parent string")
     got = O.subtypes(spark.createDataFrame([("t0",)], "value string"), edges).collect()
     assert {r.type for r in got} == {f"t{k}" for k in range(13)}
