@@ -9,6 +9,7 @@ that asks for some documents or only for counts fetches only those pages.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,8 +29,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 2
 MAX_WORDS = 250_000
+MAX_WORD_BYTES = 256
+#: Texts that are encoded together, so that their words are looked up once.
+TEXTS_AT_ONCE = 2000
 #: Marks that end many words and, after a letter, are a piece of their own.
 MARKS = frozenset(".,;:!?")
+#: Stands before the first word of a text, which has no space.
+FIRST = "\0"
+#: How a byte-level vocabulary writes the byte of a space.
+SPACE = "\u0120"
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 #: Writer settings: format version with delta encodings, 16 MB row groups,
 #: pages of at most 64 KB or 1000 rows, no dictionary for what never repeats.
@@ -44,38 +53,34 @@ WRITER = {
 }
 
 
-class Numbers(dict):
-    """word -> row of the id table; numbers a word when it is first asked
-    for and remembers that its ids are still to be made."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class WordEncoder:
     """Encodes texts with a byte-level tokenizer of the tokenizers library.
 
     Such a tokenizer splits a text before it merges bytes, and a single
     space between two characters that are no white space always begins a
-    new piece.  So each word, with its space, is given to the library once
-    and its ids are kept; texts with other spacing are given to it whole.
-    A mark after letters is a piece of its own, so such a word is put
-    together from its parts.  The table keeps the first ``max_words`` words
-    (frequent ones come early) and forgets the others after each call."""
+    new piece.  So each word, with its space, is given to the library once,
+    together with other words, and its ids, which begin at the token that
+    holds the space, are kept; texts with other spacing are given to it
+    whole.  A mark after letters is a piece of its own, so such a word is
+    put together from its parts.  Arrow splits the texts, finds the
+    different words of a call and looks them up, so only new ones are read
+    by the library; the table keeps the first ``max_words`` words of at most
+    ``MAX_WORD_BYTES`` (frequent ones come early) and forgets the others
+    after each call.  The library's own threads stay off: Spark's tasks are
+    what runs at once."""
 
     def __init__(self, tokenizer_json: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[n for token, n in vocabulary.items() if token[0] == SPACE]] = True
         self.max_words = max_words
-        self.number = Numbers()
+        self.words = pa.array([""], pa.string())  # a word's place is its number; the first is no word
         self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)  # -1: not a word
+        self.size = np.full(1 << 16, -1, np.int64)  # -1: not a word
         self.ids = np.zeros(1 << 18, np.int32)
         self.used = 0
         self.marks = {m: self._encode([m])[0][0] for m in MARKS}  # a byte is one id
@@ -83,27 +88,46 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Makes the ids of all words that were numbered since."""
-        table = self.number
-        marked = [w for w in table.new if w and w[-1] in MARKS and w[:-1].isalpha()]
-        for w in marked:
-            table[w[:-1]]  # numbers the part before the mark, if it is new
-        words, table.new = table.new, []
-        while len(table) > len(self.first):
+    def _learn(self, new: pa.Array) -> pa.Array:
+        """Makes the ids of words that the table does not have; returns all
+        words by number, those of this call behind the others."""
+        stem = pc.utf8_slice_codeunits(new, 0, -1)
+        is_marked = pc.and_(pc.is_in(pc.utf8_slice_codeunits(new, -1), value_set=pa.array(sorted(MARKS))), pc.utf8_is_alpha(stem))
+        marked, stem = new.filter(is_marked), stem.filter(is_marked)
+        words = pa.concat_arrays([self.words, new])
+        more = stem.filter(pc.invert(pc.is_in(stem, value_set=words))).unique()
+        words = pa.concat_arrays([words, more])
+        begin = len(self.words)
+        while len(words) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.first, self.size))
-        self.size[len(table) - len(words):len(table)] = -1
-        apart = set(marked)
-        plain = [w for w in words if w.isalpha() or (w not in apart and w and not (
-            w[0].isspace() or w[-1].isspace() or w == "\0"))]
+        self.size[begin:len(words)] = -1
+        fresh = words.slice(begin)
+        letters = pc.utf8_is_alpha(fresh)
+        plain = letters.to_numpy(zero_copy_only=False).copy()
+        alone = []
+        others = np.flatnonzero(~(plain | np.append(is_marked.to_numpy(zero_copy_only=False), np.zeros(len(more), bool))))
+        for k, w in zip(others.tolist(), fresh.take(pa.array(others)).to_pylist()):
+            if w[0] == FIRST:
+                if w != FIRST and not w[1].isspace() and not w[-1].isspace():
+                    alone.append(k)
+            elif not w[0].isspace() and not w[-1].isspace():
+                plain[k] = True
+        self._learn_alone(begin, fresh, np.array(alone, np.int64))
+        plain = np.flatnonzero(plain)
         for at in range(0, len(plain), 20_000):  # the library's results are large
             some = plain[at:at + 20_000]
-            ids = self._encode([w[1:] if w[0] == "\0" else " " + w for w in some])
-            size = np.fromiter(map(len, ids), np.int64, len(some))
-            self._store(np.fromiter(map(table.__getitem__, some), np.int64, len(some)), size,
-                        np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        if marked:
-            base = np.fromiter((table[w[:-1]] for w in marked), np.int64, len(marked))
+            cuts = np.append(np.arange(0, len(some), 200), len(some))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), fresh.take(pa.array(some)))
+            texts = pc.binary_join_element_wise("", pc.binary_join(lists, " "), " ").to_pylist()
+            for a, z, ids in zip(cuts[:-1], cuts[1:], self._encode(texts)):
+                ids = np.array(ids, np.int32)
+                begins = np.flatnonzero(self.spaced[ids])
+                if len(begins) == z - a:
+                    self._store(begin + some[a:z], np.diff(begins, append=len(ids)), ids)
+                else:
+                    self._learn_alone(begin, fresh, some[a:z])
+        if len(marked):
+            base = pc.index_in(stem, value_set=words).to_numpy()
             size = self.size[base] + 1
             ends = np.cumsum(size)
             flat = np.empty(ends[-1], np.int32)
@@ -111,8 +135,19 @@ class WordEncoder:
             body[ends - 1] = False
             n = size - 1
             flat[body] = self.ids[np.arange(n.sum()) + np.repeat(self.first[base] - (np.cumsum(n) - n), n)]
-            flat[ends - 1] = [self.marks[w[-1]] for w in marked]
-            self._store(np.fromiter(map(table.__getitem__, marked), np.int64, len(marked)), size, flat)
+            ends_with = pc.utf8_slice_codeunits(marked, -1).dictionary_encode()
+            mark = np.array([self.marks[m] for m in ends_with.dictionary.to_pylist()], np.int32)
+            flat[ends - 1] = mark[ends_with.indices.to_numpy()]
+            self._store(begin + np.flatnonzero(is_marked.to_numpy(zero_copy_only=False)), size, flat)
+        return words
+
+    def _learn_alone(self, begin: int, words: pa.Array, some: np.ndarray) -> None:
+        """Makes the ids of some words by giving each to the library by itself."""
+        if not len(some):
+            return
+        ids = self._encode([w[1:] if w[0] == FIRST else " " + w for w in words.take(pa.array(some)).to_pylist()])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._store(begin + some, size, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
 
     def _store(self, numbers: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -121,25 +156,32 @@ class WordEncoder:
         self.first[numbers], self.size[numbers] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         out = [np.zeros(0, np.int32)] * len(texts)
-        kept, used = len(self.number), self.used
-        words = []
-        for text in texts:
-            parts = text.split(" ") if not any(t in text for t in self.special) else [""]  # "" is no word: the text goes whole
-            # no space before the first word, which a character that begins no word of a text says
-            parts[0] = "\0" + parts[0] if parts[0] and not parts[0][0].isspace() and "\0" not in text else ""
-            words.append(parts)
-        n_words = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
-        if self.number.new:
-            self._learn()
+        if not len(texts):
+            return out
+        kept, used = len(self.words), self.used
+        # texts with an added token, or with the character that marks first words, go to the library whole
+        whole = pc.match_substring(texts, FIRST)
+        for token in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        words = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.if_else(whole, "", texts), ""), " ")
+        n_words = np.diff(words.offsets.to_numpy())
+        different = words.flatten().dictionary_encode()
+        number = pc.index_in(different.dictionary, value_set=self.words)
+        number = pc.if_else(pc.greater(pc.binary_length(different.dictionary), MAX_WORD_BYTES), 0, number)
+        new = different.dictionary.filter(pc.is_null(number))
+        numbers = pc.fill_null(number, 0).to_numpy().astype(np.int64)
+        numbers[pc.is_null(number).to_numpy(zero_copy_only=False)] = kept + np.arange(len(new))
+        at = numbers[different.indices.to_numpy()]
+        known = self._learn(new) if len(new) else self.words
         size = self.size[at]
         ends = np.cumsum(n_words)
         odd = np.add.reduceat(size < 0, ends - n_words) > 0  # texts with something else between two spaces
-        whole = [k for k in np.flatnonzero(odd).tolist() if texts[k]]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
+        rest = np.flatnonzero(odd)
+        for k, ids in zip(rest.tolist(), self._encode(texts.take(pa.array(rest)).to_pylist())):
             out[k] = np.array(ids, np.int32)
         size = np.maximum(size, 0)
         stop = np.cumsum(size)
@@ -148,12 +190,10 @@ class WordEncoder:
             for k, ids in enumerate(np.split(flat, stop[ends[:-1] - 1])):
                 if not odd[k]:
                     out[k] = ids
-        if len(self.number) > self.max_words:
-            keep = max(kept, min(self.max_words, len(self.number)))
-            if keep == kept:  # full: what this call added goes
-                self.used = used
-            while len(self.number) > keep:
-                self.number.popitem()  # the last one added
+        if kept >= self.max_words:  # full: what this call added goes
+            self.used = used
+        else:
+            self.words = known.slice(0, self.max_words)
         return out
 
 
@@ -166,9 +206,9 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("words", hash(tokenizer_json)), lambda: WordEncoder(tokenizer_json))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = encoder([t or "" for t in part.column(1).to_pylist()])
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                ids = encoder(part.column(1))
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 flat = np.empty(int(ends[-1]), np.int32)
