@@ -21,12 +21,14 @@ text decides.
 
 Exact copies do not rest on the walks: the first bytes of every item are
 looked up at every byte of the text, so they are found whatever the length
-and the script of the item; a lone word of ASCII letters or digits counts
-where it is not part of a longer one.
+and the script of the item.  An item that is a lone word of ASCII letters or
+digits is compared with whole words of the text, so neither it nor an edited
+copy counts as part of a longer word.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -60,6 +62,7 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_RUN = re.compile("[0-9a-z]+")
 _SPACED = _WORD & (np.arange(256) < 128)
 
 
@@ -200,6 +203,28 @@ def best_stretch(item: str, text: str, most: int) -> tuple[int, int, int] | None
     return distance, end - size, end
 
 
+def best_word(item: str, text: str, most: int, open_start: bool, open_end: bool) -> tuple[int, int, int] | None:
+    """``best_stretch`` for an item with one word: of the stretches that are
+    a whole word of ``text`` with as many characters before and after it as
+    the item has around its own.  An open side of ``text`` goes on with a
+    word character, so a word that touches it is not whole."""
+    own, best = _RUN.search(item), None
+    for run in _RUN.finditer(text):
+        start, end = run.start() - own.start(), run.end() + len(item) - own.end()
+        if start < 0 or end > len(text) or abs(end - start - len(item)) > most or \
+                (open_start and run.start() == 0) or (open_end and run.end() == len(text)):
+            continue
+        row = list(range(len(item) + 1))
+        for k, c in enumerate(text[start:end], 1):
+            last, row[0] = row[0], k
+            for m, d in enumerate(item, 1):
+                last, row[m] = row[m], min(row[m] + 1, row[m - 1] + 1, last + (c != d))
+        hit = (row[-1], start, end)
+        if hit[0] <= most and (best is None or hit < best):
+            best = hit
+    return best
+
+
 def _least_end(item: str, text: str, anchored: bool = False) -> tuple[int, int]:
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -253,11 +278,11 @@ class Items:
         self.begins = np.cumsum(self.n_bytes) - self.n_bytes
         data = np.frombuffer("".join(self.texts).encode(), np.uint8)
         owner = np.repeat(np.arange(len(rows)), self.n_bytes)
-        lone = np.array([w == 1 and t.isascii() for w, t in zip(self.n_words, self.texts)], bool)
+        self.lone = np.array([w == 1 and t.isascii() for w, t in zip(self.n_words, self.texts)], bool)
         self.tables = []
         for c, (least, steps, sampled, walks) in enumerate(EMBEDDINGS):
             above = EMBEDDINGS[c - 1][0] if c else 1 << 60
-            own = (least <= self.n_bytes) & (self.n_bytes < above) & (self.n_words > 0) & ~lone
+            own = (least <= self.n_bytes) & (self.n_bytes < above) & (self.n_words > 0)
             if not own.any():
                 continue
             emb = Embedding.drawn(steps, sampled, walks)
@@ -403,7 +428,11 @@ class Items:
             return None
         while a > 0 and data[a] & 0xC0 == 0x80:
             a -= 1
-        found = best_stretch(text, data[a:b].decode(errors="ignore"), most)
+        around = data[a:b].decode(errors="ignore")
+        if self.lone[item]:
+            found = best_word(text, around, most, a > 0 and bool(_SPACED[data[a - 1]]), b < len(data) and bool(_SPACED[data[b]]))
+        else:
+            found = best_stretch(text, around, most)
         if not found:
             return None
         before = len(data[:a].decode())
@@ -441,7 +470,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, distance, similarity: one row for every
     document and item with a stretch of the text (code points, end
     exclusive, A-Z lower-cased) within ``MAX_EDITS`` of the item's length;
-    the one with the least distance, then the first.
+    the one with the least distance, then the first.  For an item that is
+    one ASCII word the stretch is a whole word.
 
     Null and empty texts and items, and items without a word, match
     nothing; so does an empty benchmark.  Repeated documents give a row

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, quality, secret_scan
+from tessera.llm import decontam, langid, quality, secret_scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,3 +103,22 @@ def test_the_stage_without_rows_and_with_clashing_names(spark):
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").limit(60))
     assert langid.keep_identified(df, model).collect() == df.collect()
     assert langid.keep_identified(df.limit(0), model).count() == 0
+
+
+def test_items_of_one_word_are_found_edited_as_whole_words():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (40, 40, 25, 18, 12, 9)] + ["ab", "xy!"]
+    block, split = decontam.Items(list(enumerate(words))), decontam.Words(1 << 16)
+
+    def hits(text):
+        return {(i, start, end, d) for _, i, start, end, d in block.search([text], split)}
+
+    for k, w in enumerate(words[:6]):
+        edited = w[:len(w) // 2] + ("q" if w[len(w) // 2] != "q" else "z") + w[len(w) // 2 + 1:]
+        for text in (f"so {edited} it is", edited):
+            at = text.index(edited)
+            assert (k, at, at + len(w), 1) in hits(text), w
+        assert hits(f"so {w}, it is") == {(k, 3, 3 + len(w), 0)}
+        assert not hits(f"so zzzzzzzzz{edited}zzzzzzzzz it is") and not hits(f"q{'9' * 40}{w}{'9' * 40}")
+    assert hits("a cab, ab") == {(6, 7, 9, 0)}
+    assert not hits("cab abc") and not hits("xy?") and hits("(xy!)") == {(7, 1, 4, 0)}
