@@ -4,6 +4,7 @@ shared folder used for checkpoints and written intermediate tables."""
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -39,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     It is read from the session.  When the setting is absent, a folder below
-    the warehouse is used, which a cluster shares by definition."""
+    the warehouse is used; on a cluster, that is an error if the warehouse is
+    on a machine's own disk, which other machines do not see."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns the checkpoint folder
@@ -54,10 +56,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     if not configured:
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-scratch"
+        refuse_own_disk(sc.master, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def refuse_own_disk(master: str, folder: str) -> None:
+    """Raises ValueError if ``folder`` is on the driver's own disk and the
+    tasks run on other machines."""
+    local = master == "local" or master.startswith("local[")
+    if not local and re.match(r"file:|/|[^:/]+(/|$)", folder):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {folder} is on one machine's disk")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for a written table."""
     base = checkpoint_dir(spark).rstrip("/")

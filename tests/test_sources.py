@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from conftest import rows
@@ -76,3 +77,17 @@ def test_line_numbers_across_file_splits(spark, tmp_dir):
             (i, f" sentence {i} ", f"rel{i % 3}") for i in range(25)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+
+
+@pytest.mark.parametrize("master, folder, refused", [
+    ("local[8]", "file:/home/u/spark-warehouse/x", False), ("local", "/tmp/x", False),
+    ("yarn", "file:/home/u/spark-warehouse/x", True), ("spark://host:7077", "/data/x", True),
+    ("k8s://https://host", "spark-warehouse/x", True), ("yarn", "hdfs://name/x", False),
+    ("yarn", "s3a://bucket/x", False)])
+def test_scratch_on_one_machines_disk_is_refused_on_a_cluster(master, folder, refused):
+    from tessera.session import refuse_own_disk
+    if refused:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            refuse_own_disk(master, folder)
+    else:
+        refuse_own_disk(master, folder)
