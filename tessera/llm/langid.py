@@ -12,8 +12,9 @@ travel to the tasks as a few kilobytes.
 
 from __future__ import annotations
 
+import string
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,8 +66,9 @@ class Model:
     langs: list[str]
     ahead: Direction
     back: Direction
-    out: np.ndarray  # (2H, languages)
+    out: np.ndarray  # (2H, languages and perhaps the background)
     bias: np.ndarray
+    background: bool = False  # whether a class of no language follows the languages
 
     def arrays(self) -> list[np.ndarray]:
         return [*self.ahead.arrays(), *self.back.arrays(), self.out, self.bias]
@@ -117,24 +119,37 @@ def _softmax(a: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+#: Characters of the random strings that the background class learns from.
+BACKGROUND = [string.digits, "0123456789abcdef", string.ascii_lowercase, string.ascii_letters + string.digits + "+/",
+              string.ascii_letters + string.digits + string.punctuation]
+
+
 def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int = TRAIN_STEPS,
-          batch: int = TRAIN_BATCH, length: int = TRAIN_LENGTH, rate: float = 0.02, seed: int = 7) -> Model | None:
+          batch: int = TRAIN_BATCH, length: int = TRAIN_LENGTH, rate: float = 0.02, seed: int = 7,
+          background: bool = False) -> Model | None:
     """Learns from the given rows; None if there are none.  Languages are
-    drawn evenly, then a text, then a stretch of ``length`` bytes."""
+    drawn evenly, then a text, then a stretch of ``length`` bytes.  With
+    ``background`` one more class is drawn like a language: strings of
+    random characters of one of the ``BACKGROUND`` alphabets."""
     rows = [(t.encode(), lang) for t, lang in zip(texts, langs) if t and any(map(str.isalpha, t))]
     names = sorted({lang for _, lang in rows})
     if not names:
         return None
     rng = np.random.default_rng(seed)
+    classes = len(names) + background
     model = Model(names, Direction.random(rng, hidden), Direction.random(rng, hidden),
-                  rng.normal(0, 0.3, (2 * hidden, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
+                  rng.normal(0, 0.3, (2 * hidden, classes)).astype(np.float32), np.zeros(classes, np.float32), background)
+    alphabets = [np.frombuffer(a.encode(), np.uint8) for a in BACKGROUND]
     by_lang = [[np.frombuffer((t * (length // len(t) + 1)), np.uint8) for t, lang in rows if lang == k] for k in names]
     arrays = model.arrays()
     first, second = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
     for step in range(1, steps + 1):
-        y = rng.integers(0, len(names), batch)
+        y = rng.integers(0, classes, batch)
         x = np.empty((length, batch), np.intp)
         for b, k in enumerate(y):
+            if k == len(names):
+                x[:, b] = rng.choice(alphabets[rng.integers(len(alphabets))], length)
+                continue
             text = by_lang[k][rng.integers(len(by_lang[k]))]
             at = rng.integers(len(text) - length + 1)
             x[:, b] = text[at:at + length]
@@ -198,7 +213,8 @@ def _run(d: Direction, x: np.ndarray, live: list[int], out: np.ndarray, order: r
 
 
 def pooled(model: Model, data: list[bytes], window: int = WINDOW) -> np.ndarray:
-    """Mean of all positions' probabilities, a row for each byte string."""
+    """Mean of all positions' probabilities, a row for each byte string and
+    a column for each language (the background last)."""
     sizes = np.array([len(d) for d in data], np.int64)
     text = np.frombuffer(b"".join(data), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -208,9 +224,9 @@ def pooled(model: Model, data: list[bytes], window: int = WINDOW) -> np.ndarray:
     starts = begin[owner] + place * window
     lengths = np.minimum(sizes[owner] - place * window, window)
     by_length = np.argsort(-lengths, kind="stable")
-    total = np.zeros((len(data), len(model.langs)))
+    total = np.zeros((len(data), len(model.bias)))
     hidden = model.out.shape[0] // 2
-    batch = max(min(BATCH_WINDOWS, BATCH_WINDOWS * 64 // len(model.langs)), 1)  # what a batch holds grows with the languages
+    batch = max(min(BATCH_WINDOWS, BATCH_WINDOWS * 64 // len(model.bias)), 1)  # what a batch holds grows with the languages
     for at in range(0, len(by_length), batch):
         some = by_length[at:at + batch]
         steps = np.arange(lengths[some[0]])
@@ -230,25 +246,30 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _probabilities(model: Model, texts: list[str | None], read: Callable[[str | None], bool]) -> Iterator[tuple[int, np.ndarray]]:
+    """Place and pooled probabilities of the texts to ``read``, some
+    megabytes at a time."""
+    some, held = [], 0
+    for k, t in enumerate(texts):
+        if not read(t):
+            continue
+        some.append(k)
+        held += len(t)
+        if held > 4_000_000:
+            yield from zip(some, pooled(model, [texts[i].encode() for i in some]))
+            some, held = [], 0
+    if some:
+        yield from zip(some, pooled(model, [texts[i].encode() for i in some]))
+
+
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and its probability for each text; ``und`` and 0 for a text
     that is null or has no letter, and for all texts without a model."""
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    some, held = [], 0
-
-    def flush():
-        for k, p in zip(some, pooled(model, [texts[i].encode() for i in some])):
-            langs[k], scores[k] = model.langs[int(p.argmax())], float(min(p.max(), 1.0))
-
-    for k, t in enumerate(texts):
-        if model is not None and has_letter(t):
-            some.append(k)
-            held += len(t)
-            if held > 4_000_000:
-                flush()
-                some, held = [], 0
-    if some:
-        flush()
+    if model is not None:
+        for k, p in _probabilities(model, texts, has_letter):
+            best = int(p[:len(model.langs)].argmax())
+            langs[k], scores[k] = model.langs[best], float(min(p[best], 1.0))
     return langs, scores
 
 
@@ -257,12 +278,12 @@ def is_held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Model | None:
+def fit(docs: DataFrame, background: bool = False) -> Model | None:
     """Model of every language among the labelled rows that are not held
     out, from about ``SAMPLE_ROWS`` rows divided over the languages (at most
     ``ROWS_PER_LANGUAGE`` and at least ``LEAST_ROWS`` of each), those with
     the lowest hashes of their language, of each a stretch of
-    ``CHARS_PER_ROW``."""
+    ``CHARS_PER_ROW``.  ``background``: as in ``train``."""
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
             .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~is_held_out()))
@@ -276,7 +297,7 @@ def fit(docs: DataFrame) -> Model | None:
               .select("doc_id", "lang", "h", F.substring(F.col("text"), place, F.lit(CHARS_PER_ROW)).alias("text"))
               .withColumn("rank", rank).filter(F.col("rank") <= per_lang)
               .orderBy("lang", "rank").select("lang", "text").collect())
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    return train([r["text"] for r in sample], [r["lang"] for r in sample], background=background)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -299,39 +320,30 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-#: A text of at least a window must have a language this far above chance
-#: (of the way from 1 / languages to 1) to be kept.
-LEAST_SURENESS = 0.2
+#: Share of a text that may look like random characters to the network.  Of
+#: the test documents none has over 0.2, of encoded random bytes all have
+#: over 0.95, so the bound keeps source code and tables of figures in doubt.
+MOST_BACKGROUND = 0.9
 
 
-def is_identified(model: Model | None, text: str | None, lang: str, score: float) -> bool:
-    """Whether the language of a text can be told.  A null text or one
-    without a letter has none.  A text of a window or more is judged by the
-    network: where no language stands out over all its positions (random
-    letters, encoded bytes) it has none either.  Shorter texts, and all
-    without a model, are given the benefit of the doubt."""
-    if not has_letter(text):
-        return False
-    if model is None or len(text.encode()) < WINDOW:
-        return True
-    chance = 1 / len(model.langs)
-    return lang != UNDETERMINED and score >= chance + LEAST_SURENESS * (1 - chance)
+def is_identified(model: Model | None, texts: list[str | None]) -> list[bool]:
+    """Whether the language of each text can be told.
+
+    A null text or one without a letter has none.  A text of a window or
+    more is judged by the network: it has none if the background class has
+    more than ``MOST_BACKGROUND`` of the probability pooled over all its
+    positions.  The languages are not held against each other, so a text in
+    several of them stays.  Shorter texts, and all without a model or with
+    one that knows no background, are given the benefit of the doubt."""
+    out = [has_letter(t) for t in texts]
+    if model is not None and model.background:
+        for k, p in _probabilities(model, texts, lambda t: has_letter(t) and len(t.encode()) >= WINDOW):
+            out[k] = bool(p[-1] <= MOST_BACKGROUND)
+    return out
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` whose language can be told (``is_identified``),
     all columns.  Null texts and texts without a letter go; repeated rows
-    share their fate; an empty table stays empty.
-
-    On the labelled test documents the least score of a text of a window or
-    more is 0.49 with four languages, against a least score asked of 0.40.
-    What is rejected depends on the sample: trained on the larger test table
-    the network gives random base64 0.39 in the median, on the smaller one more."""
-
-    def make_mask():
-        def mask(texts):
-            langs, scores = predict(model, texts)
-            return [is_identified(model, *x) for x in zip(texts, langs, scores)]
-        return mask
-
-    return keep_rows(docs, make_mask)
+    share their fate; an empty table stays empty."""
+    return keep_rows(docs, lambda: lambda texts: is_identified(model, texts))

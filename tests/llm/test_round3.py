@@ -83,24 +83,29 @@ def test_links_against_all_pairs(spark):
 
 # 6: the stage of the pipeline
 
-def test_the_network_decides_by_its_score_and_keeps_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = langid.fit(docs)
+def test_the_network_rejects_random_characters_and_keeps_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, background=True)
     rng = random.Random(1)
-    noise = [(10_000_000 + k, base64.b64encode(rng.randbytes(1500)).decode()) for k in range(40)]
-    both = docs.select("doc_id", "text").union(spark.createDataFrame(noise, "doc_id bigint, text string"))
+    forms = [base64.b64encode, base64.b85encode, base64.b32encode, lambda b: b.hex().encode()]
+    noise = [(10_000_000 + k, forms[k % 4](rng.randbytes(rng.choice([130, 1500, 9000]))).decode()) for k in range(80)]
+    rows = docs.select("doc_id", "text")
+    several = [(20_000_000 + k, "\n".join(r.text for r in g)) for k, g in enumerate(zip(*[iter(rows.limit(200).filter("text is not null").collect())] * 5))]
+    both = rows.union(spark.createDataFrame(noise + several, "doc_id bigint, text string"))
     kept = {r.doc_id for r in langid.keep_identified(both, model).select("doc_id").collect()}
-    assert {r.doc_id for r in docs.select("doc_id", "text").collect() if langid.has_letter(r.text)} <= kept
-    floor = 1 / len(model.langs) + langid.LEAST_SURENESS * (1 - 1 / len(model.langs))
-    sure = dict(zip((k for k, _ in noise), langid.predict(model, [t for _, t in noise])[1]))
-    assert {k for k in sure if k in kept} == {k for k, s in sure.items() if s >= floor}
-    assert not langid.is_identified(model, "x" * 200, model.langs[0], floor - 0.01)
-    assert langid.is_identified(model, "x" * 200, model.langs[0], floor + 0.01) and langid.is_identified(model, "x", model.langs[0], 0.0)
+    assert kept == {r.doc_id for r in both.collect() if langid.has_letter(r.text)} - {k for k, _ in noise}
+    assert langid.is_identified(model, [noise[0][1][:100], None, "", "12 34", "ab"]) == [True, False, False, False, True]
+
+
+def test_without_a_background_letters_decide(spark):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert not model.background and model.bias.shape == (len(model.langs),)
+    assert langid.is_identified(model, ["0f3a" * 100, "7" * 200]) == [True, False]
 
 
 def test_the_stage_without_rows_and_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "some words", 3.0, "x")], "doc_id bigint, text string, score double, lang_pred string")
-    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").limit(60))
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet").limit(60), background=True)
     assert langid.keep_identified(df, model).collect() == df.collect()
     assert langid.keep_identified(df.limit(0), model).count() == 0
 
