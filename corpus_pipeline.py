@@ -17,8 +17,10 @@ from tessera.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (a text with a letter)."""
-    return langid.keep_identified(docs, langid.fit(docs))
+    """Documents whose language can be told: texts with a letter that the
+    network does not take for random characters.  Null and empty texts go;
+    repeated rows stay or go alike; an empty table stays empty."""
+    return langid.keep_identified(docs, langid.fit(docs, background=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
