@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.base import free_worker, id_text, text_key
+from tessera.llm.base import free_worker, id_text, join_facts, text_key
 from tessera.llm.components import stars
 from tessera.session import checkpoint_dir
 
@@ -237,16 +237,16 @@ def groups(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS
     component), component_id for every row of ``docs``."""
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, words).checkpoint()  # the texts are read once
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     linked = stars(links(classes, max_bits, node_rows))
     members = linked.select(F.col("u").alias("fp"), F.col("v").alias("group")).union(
         linked.select(F.col("v").alias("fp"), F.col("v").alias("group")).distinct())
     least = members.join(classes, "fp").groupBy("group").agg(F.min("first_id").alias("least_id"))
     named = members.join(least, "group")
     labels = classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("group", "fp").alias("group"),
-        F.when(F.col("group").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"))
-    return rows.join(labels, "fp").select(
+        "fp", "copies", F.coalesce("group", "fp").alias("group"),
+        F.when(F.col("group").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id")).checkpoint()
+    return join_facts(rows, labels, "fp", "copies", rows.count()).select(
         "doc_id", "text_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "group", "component_id")
 
 
