@@ -1,9 +1,8 @@
-"""Model fits on given sentence vectors.
+"""Model fits on given sentence vectors (H12, H14; H13 is in ``network.py``).
 
 These replace the reference's fine-tuned encoder heads with fits on a
 vector column: the gate is logistic regression by reweighted least squares,
-the baseline a small feed-forward classifier (``pyspark.ml``), and the
-projector a ridge least squares fit with its weights as a table.  The driver
+and the projector a ridge least squares fit with its weights as a table.  The driver
 sees (d+1) x (d+1) sums at most.  Scores are not comparable with the
 reference's published ones.
 """
@@ -108,25 +107,6 @@ def gate_gradient(df: DataFrame, weights, vec: str = "vec", attr: str = "attribu
     return g.select(F.col("component").cast("bigint").alias("component"), (F.abs(F.round(F.col("g") + ridge * w, ndigits))).alias("gradient"))
 
 
-def fit_baseline(df: DataFrame, vec: str = "vec", label: str = "int_label", n_classes: int | None = None,
-                 hidden=(256, 64), max_iter: int = 100, seed: int = 0):
-    """Feed-forward classifier ``[d, 256, 64, classes]`` (Spark's
-    perceptron uses sigmoid hidden units, not ReLU).  Returns (model, df
-    with ``pred_label`` and ``scores``)."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = len(df.select(vec).first()[0])
-    k = n_classes or int(df.agg(F.max(label)).first()[0]) + 1
-    data = df.withColumn("_f", array_to_vector(vec)).withColumn("_y", F.col(label).cast("double"))
-    mlp = MultilayerPerceptronClassifier(featuresCol="_f", labelCol="_y", layers=[d, *hidden, k],
-                                         maxIter=max_iter, seed=seed)
-    model = mlp.fit(data)
-    out = (model.transform(data).withColumn("pred_label", F.col("prediction").cast("bigint"))
-           .withColumn("scores", vector_to_array("rawPrediction")))
-    return model, out.drop("_f", "_y", "rawPrediction", "probability", "prediction")
-
-
 #: Numbers that a task holds while it multiplies a batch.
 CELLS = 1 << 22
 

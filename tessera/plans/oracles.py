@@ -684,6 +684,8 @@ ORACLES.update({
         CAST(0 AS DOUBLE) AS residual FROM range(1, 3) r(c)""",
     "h12_gate_gradient": with_(VEC) + """SELECT CAST(c AS BIGINT) AS component, CAST(0 AS DOUBLE) AS gradient
         FROM range((SELECT max(component) + 2 FROM vlong)) r(c)""",
+    "h13_baseline_forward": with_(VEC) + """SELECT v.vec_id, CAST(0 AS DOUBLE) AS error, CAST(0 AS BIGINT) AS label_error
+        FROM vec v JOIN vmap m ON m.prop = v.prop""",
     "h14_projector_residual": with_(VEC) + """SELECT DISTINCT s.component, CAST(0 AS DOUBLE) AS residual
         FROM vec v JOIN vmap m ON m.rel = v.rel JOIN space s ON s.predicate = m.prop
         WHERE v.rel <> 'no_relation' AND s.component IS NOT NULL AND s.value <> 0""",

@@ -443,6 +443,7 @@ def _f7(spark, sf):
 
 # ------------------------------------------------------------------ G / H (vectors)
 from tessera.operators import fits as FT  # noqa: E402
+from tessera.operators import network as NW  # noqa: E402
 from tessera.operators import labels as G  # noqa: E402
 from tessera.operators import metrics as M  # noqa: E402
 from tessera.operators import scoring as H  # noqa: E402
@@ -701,13 +702,25 @@ def _h12(spark, sf):
     return out.select("vec_id", "rel", "gate")
 
 
+def labelled_rows(spark, sf):
+    """Vectors with their integer label."""
+    il = F.broadcast(H.integer_labels(vec_mapping(spark, sf)).select("prop", "int_label"))
+    return vec_rows(spark, sf).join(il, "prop")
+
+
 @query("h13_fit_baseline")
 def _h13(spark, sf):
-    il = F.broadcast(H.integer_labels(vec_mapping(spark, sf)).select("prop", "int_label"))
-    _, out = FT.fit_baseline(vec_rows(spark, sf).join(il, "prop"), "vec", "int_label")
+    _, out = NW.fit_baseline(labelled_rows(spark, sf))
     return out.select("vec_id", "int_label", "pred_label")
 
 
+@query("h13_baseline_forward")
+def _h13f(spark, sf):
+    """The baseline's scores against a forward pass by SQL functions."""
+    net, out = NW.fit_baseline(labelled_rows(spark, sf))
+    return NW.forward_error(out, net)
+
+
 @query("h14_fit_projector")
 def _h14(spark, sf):
     t = with_targets(spark, sf)
