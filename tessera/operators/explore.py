@@ -117,11 +117,11 @@ def impact_extremes(impact: DataFrame, hi: float = 90, lo: float = 10,
 def namespace_share(preds: DataFrame, needle: str = "dbpedia.org/property",
                     col: str = "predicate") -> DataFrame:
     """Of the distinct predicates given, how many contain ``needle``
-    (case-sensitive substring) and the percentage."""
+    (case-sensitive substring) and the percentage (null without a predicate)."""
     d = preds.select(col).distinct()
     return d.agg(_cnt().alias("touched"),
                  F.count_if(F.col(col).contains(needle)).alias("with_needle")).withColumn(
-        "pct", F.round(F.col("with_needle") * 100.0 / F.col("touched"), 6))
+        "pct", F.round(F.try_divide(F.col("with_needle") * 100.0, F.col("touched")), 6))
 
 
 def touched_predicates(df: DataFrame, statistic: str = "frequency") -> DataFrame:
