@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.index import dense_index
@@ -10,7 +12,7 @@ from tessera.functions.text import tokens
 from tessera.functions.vectors import array_sum
 from tessera.operators.scoring import _best_row, dense_rows, integer_labels  # noqa: F401
 from tessera.operators.space import Space
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, scratch_path
 
 # Reserved ids of the sequence encoder.
 PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
@@ -129,49 +131,118 @@ def build_vocabulary(df: DataFrame, col: str = "sentence", lower: bool = True) -
     return ranked.select("token", "n", (F.col("idx") + len(RESERVED)).alias("token_id"))
 
 
-def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str = "id", col: str = "sentence",
-                     max_length: int = 160, lower: bool = True) -> DataFrame:
-    """``input_ids`` = [CLS] ids [SEP], truncated to ``max_length``,
-    right-padded with [PAD] to the longest row of the set; ``attention_mask``
-    1 for real tokens, 0 for padding.  Tokens are looked up by an equi-join
-    with the vocabulary (unknown -> [UNK])."""
-    cls_id, sep_id, pad_id, unk_id = (RESERVED.index(CLS), RESERVED.index(SEP),
-                                      RESERVED.index(PAD), RESERVED.index(UNK))
-    # cut before the join: what is beyond ``max_length`` never leaves its row
-    kept = F.slice(sentence_tokens(F.col(col), lower), 1, max_length - 2)
+#: Tokens looked up where the sentence is, and the lists that they are dealt to.
+HOT_TOKENS, HOT_LISTS = 4096, 2048
+
+
+def _hot_ids(vocab: DataFrame, toks: Column) -> Column:
+    """The id of each token of the array ``toks`` that is among the
+    ``HOT_TOKENS`` least ids, null for the others.  A vocabulary numbers
+    frequent tokens first (G9), so few are left to be joined.  The table is a
+    constant: lists of a few tokens each, by hash."""
+    def place(c):
+        return F.pmod(F.hash(c), F.lit(HOT_LISTS))
+
+    hot = (vocab.filter(F.col("token").isNotNull() & F.col("token_id").isNotNull()).orderBy("token_id", "token").limit(HOT_TOKENS)
+           .select("token", F.col("token_id").cast("int").alias("token_id"), place(F.col("token")).alias("at")).collect())
+    lists = [{} for _ in range(HOT_LISTS)]
+    for r in hot:
+        lists[r["at"]][r["token"]] = r["token_id"]
+    table = F.from_json(F.lit(json.dumps(lists)), "array<map<string,int>>")
+    return F.transform(toks, lambda t: F.try_element_at(F.get(table, place(t)), t))
+
+
+def _grouped_sequences(df: DataFrame, vocab: DataFrame, id_col: str, kept) -> DataFrame:
+    """(id, ``_ids``) for every row; rows of one id share their tokens, by position."""
     toks = df.select(id_col, F.posexplode(kept).alias("pos", "token"))
     ids = (toks.join(vocab.select("token", "token_id"), "token", "left")
-           .withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)).cast("int")))
+           .withColumn("token_id", F.coalesce("token_id", F.lit(RESERVED.index(UNK))).cast("int")))
     seq = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    seq = df.select(id_col).join(seq, id_col, "left").withColumn(
-        "_ids", F.coalesce(F.transform("_s", lambda x: x["token_id"]), F.array().cast("array<int>")))
-    seq = seq.withColumn("_enc", F.concat(F.array(F.lit(cls_id)), F.col("_ids"), F.array(F.lit(sep_id))))
-    # padding needs the longest row first: checkpoint the unpadded encodings
-    # once, so the length scan and the output read the same written data
-    # instead of running the tokenise/join/group twice
-    checkpoint_dir(seq.sparkSession)
-    seq = seq.select(id_col, "_enc").checkpoint()
-    longest = seq.agg(F.max(F.size("_enc"))).first()[0] or 0
-    pad = F.array_repeat(F.lit(pad_id), F.lit(longest) - F.size("_enc"))
+    return df.select(id_col).join(seq, id_col, "left").select(
+        id_col, F.coalesce(F.transform("_s", lambda x: x["token_id"]), F.array().cast("array<int>")).alias("_ids"))
+
+
+def _sequences(df: DataFrame, vocab: DataFrame, id_col: str, col: str, max_length: int, lower: bool,
+               keep: list[str]) -> tuple[DataFrame, DataFrame | None, int]:
+    """Unpadded encodings ``_enc`` of the rows whose id does not repeat, with
+    the columns ``keep``; those of the others (None if there is none), without
+    them; and the longest one's length.  A row without an id has no tokens.
+
+    Rows are written once with the ids found in place; what is left of a row
+    meets the vocabulary under the row's number, not its id or its text.  Rows
+    of repeated ids, and all if a token of the vocabulary repeats, are grouped
+    by id."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    # cut before the lookup: what is beyond ``max_length`` never leaves its row
+    kept = F.slice(sentence_tokens(F.col(col), lower), 1, max_length - 2)
+    vocab = vocab.select("token", "token_id")
+    none = F.array().cast("array<string>")
+    rows = df.select(id_col, *keep, F.when(F.col(id_col).isNotNull(), F.coalesce(kept, none)).otherwise(none).alias("_toks"))
+    rows = rows.withColumn("_ids", _hot_ids(vocab, F.col("_toks")))
+    left = F.when(F.exists("_ids", lambda x: x.isNull()), F.filter(
+        F.transform("_ids", lambda x, i: F.when(x.isNull(), F.struct(i.alias("pos"), F.get("_toks", i).alias("token")))), lambda x: x.isNotNull()))
+    rows = rows.select(id_col, *keep, "_ids", left.alias("_left"), F.monotonically_increasing_id().alias("_row"))
+    path = scratch_path(spark, "sequences")
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+
+    h, many = F.xxhash64(id_col), None
+    again = vocab.filter(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = rows.filter(F.col(id_col).isNotNull()).groupBy(h.alias("_h")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h").checkpoint()
+    if not again.isEmpty():
+        rows, many = rows.filter(F.lit(False)), df
+    elif not several.isEmpty():
+        own = F.when(F.col(id_col).isNotNull(), h)
+        many = df.withColumn("_h", own).join(several, "_h", "left_semi").drop("_h")
+        rows = rows.withColumn("_h", own).join(several, "_h", "left_anti").drop("_h")
+
+    rest = (rows.filter(F.col("_left").isNotNull()).select("_row", F.explode("_left").alias("t"))
+            .select("_row", "t.pos", "t.token").join(vocab, "token", "left")
+            .select("_row", "pos", F.coalesce("token_id", F.lit(RESERVED.index(UNK))).cast("int").alias("token_id")))
+    rest = rest.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_rest"))
+    filled = F.transform("_ids", lambda x, i: F.coalesce(x, F.try_element_at("_rest", i)))
+    longest = rows.agg(F.max(F.size("_ids"))).first()[0] or 0
+    rows = rows.drop("_left").join(rest, "_row", "left").withColumn("_ids", F.when(F.col("_rest").isNull(), F.col("_ids")).otherwise(filled))
+
+    def enc(some, *cols):
+        return some.select(id_col, *cols, F.concat(F.array(F.lit(RESERVED.index(CLS))), "_ids", F.array(F.lit(RESERVED.index(SEP)))).alias("_enc"))
+
+    if many is not None:
+        many = enc(_grouped_sequences(many, vocab, id_col, kept)).checkpoint()
+        longest = max(longest, (many.agg(F.max(F.size("_enc"))).first()[0] or 0) - 2)
+    return enc(rows, *keep), many, longest + 2
+
+
+def _padded(seq: DataFrame, longest: int, *cols: str) -> DataFrame:
+    gap = F.lit(longest) - F.size("_enc")
     return seq.select(
-        id_col,
-        F.concat("_enc", pad).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("_enc")),
-                 F.array_repeat(F.lit(0), F.lit(longest) - F.size("_enc"))).alias("attention_mask"))
+        *cols, F.concat("_enc", F.array_repeat(F.lit(RESERVED.index(PAD)), gap)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), F.size("_enc")), F.array_repeat(F.lit(0), gap)).alias("attention_mask"))
+
+
+def encode_sequences(df: DataFrame, vocab: DataFrame, id_col: str = "id", col: str = "sentence",
+                     max_length: int = 160, lower: bool = True) -> DataFrame:
+    """``input_ids`` = [CLS] ids [SEP], truncated to ``max_length``,
+    right-padded with [PAD] to the longest row of the set; ``attention_mask``
+    1 for real tokens, 0 for padding.  The first tokens of the vocabulary are
+    looked up where the sentence is, the others by an equi-join (unknown ->
+    [UNK]).  Rows that share an id share their tokens."""
+    rows, many, longest = _sequences(df, vocab, id_col, col, max_length, lower, [])
+    return _padded(rows if many is None else rows.unionByName(many), longest, id_col)
 
 
 def check_encoding(encoded: DataFrame, df: DataFrame, vocab: DataFrame, id_col: str = "id",
                    col: str = "sentence", max_length: int = 160) -> DataFrame:
     """Rows whose stored ids differ from a fresh encoding (padding
     removed before comparing)."""
-    fresh = encode_sequences(df, vocab, id_col, col, max_length)
-
-    def unpadded(c, m):
-        return F.filter(F.arrays_zip(F.col(c), F.col(m)), lambda x: x[m] == 1)
-
-    a = fresh.select(id_col, unpadded("input_ids", "attention_mask").alias("_a"))
-    b = encoded.select(id_col, unpadded("input_ids", "attention_mask").alias("_b"))
-    return (a.join(b, id_col, "full_outer")
+    rows, many, _ = _sequences(df, vocab, id_col, col, max_length, True, [])
+    fresh = rows if many is None else rows.unionByName(many)
+    real = F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] == 1)
+    h = F.xxhash64(id_col).alias("_h")  # numbers are sorted faster than ids
+    a = fresh.select(h, id_col, F.col("_enc").alias("_a"))
+    b = encoded.select(h, id_col, F.transform(real, lambda x: x["input_ids"]).alias("_b"))
+    return (a.join(b, ["_h", id_col], "full_outer")
             .filter(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select(id_col))
 
 
@@ -190,9 +261,11 @@ def training_rows(sent: DataFrame, mapping: DataFrame, space: Space, vocab: Data
     """The eight fields of one training row: input ids, attention mask,
     label vector, relation, property, integer label, no-relation flag and
     its 0/1 float."""
-    enc = encode_sequences(sent, vocab, id_col, "sentence", max_length)
-    lv = label_vectors(sent.select(id_col, "rel"), mapping, space)
+    rows, many, longest = _sequences(sent, vocab, id_col, "sentence", max_length, True, ["rel"])
+    if many is not None:
+        rows = rows.unionByName(many.join(sent.select(id_col, "rel"), id_col).select(*rows.columns))
+    enc = _padded(rows.filter(F.col(id_col).isNotNull()), longest, id_col, "rel")
+    lv = label_vectors(enc, mapping, space)
     il = F.broadcast(integer_labels(mapping).select("prop", "int_label").distinct())
-    rows = no_relation_flag(lv.join(il, "prop", "left"))
-    return enc.join(rows, id_col).select(id_col, "input_ids", "attention_mask", "target", "rel", "prop",
-                                         "int_label", "is_no_relation", "attribute")
+    return no_relation_flag(lv.join(il, "prop", "left")).select(
+        id_col, "input_ids", "attention_mask", "target", "rel", "prop", "int_label", "is_no_relation", "attribute")
