@@ -1,23 +1,32 @@
 """A feed-forward classifier with ReLU units, trained on mini-batches
 with early stopping.
 
-Every step is one Spark job over the rows of one mini-batch: tasks multiply
-their Arrow batches by the current weights, and Spark adds up the gradients
+A step needs the weights of the step before, so steps follow one another.  A
+Spark job takes some of them: its task reads the rows of at most
+``JOB_ROWS`` rows' mini-batches and passes on the weights, so that jobs and
+what comes to the driver are few.  What is measured is added up over all tasks
 as a tree.  The driver holds the weights, whose size follows from the layers
 and not from the rows.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.labels import mini_batches
 from tessera.session import checkpoint_dir, scratch_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows whose mini-batches one job learns from.
+JOB_ROWS = 1 << 16
+
 
 @dataclass
 class Network:
@@ -34,6 +43,64 @@ def _start(widths: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(rng.normal(0, (2 / a) ** 0.5, (a, b)), np.zeros(b)) for a, b in zip(widths, widths[1:])]
 
 
+def _forward(layers, x: np.ndarray) -> list[np.ndarray]:
+    """The input, the units of each layer and the scores."""
+    states = [x]
+    for i, (w, b) in enumerate(layers):
+        z = states[-1] @ w + b
+        states.append(np.maximum(z, 0) if i + 1 < len(layers) else z)
+    return states
+
+
+def _log_p(z: np.ndarray) -> np.ndarray:
+    log_p = z - z.max(1, keepdims=True)
+    return log_p - np.log(np.exp(log_p).sum(1, keepdims=True))
+
+
+def _gradient(layers, states: list[np.ndarray], log_p: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The summed loss's gradient of every weight, layer by layer."""
+    g, parts = np.exp(log_p), []
+    g[np.arange(len(y)), y] -= 1
+    for i in range(len(layers) - 1, -1, -1):
+        parts += [g.sum(0), (states[i].T @ g).ravel()]
+        if i:
+            g = (g @ layers[i][0].T) * (states[i] > 0)
+    return np.concatenate(parts[::-1])
+
+
+def _shaped(flat: np.ndarray, widths: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    for a, b in zip(widths, widths[1:]):
+        out.append((flat[at:at + a * b].reshape(a, b), flat[at + a * b:at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def _learn(train: DataFrame, order: list[int], widths: list[int], state: list[np.ndarray], step: int, rate: float) -> list[np.ndarray]:
+    """``state`` (weights, first and second moments) after an Adam step on
+    each mini-batch of ``order``, in that order."""
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        rows = [(b.column(0).flatten().to_numpy().reshape(-1, widths[0]), b.column(1).to_numpy(), b.column(2).to_numpy())
+                for b in batches if b.num_rows]
+        x, y, of = (np.concatenate(c) for c in zip(*rows))
+        (flat, first, second), t = state, step
+        for batch in order:
+            mine = np.flatnonzero(of == batch)
+            layers = _shaped(flat, widths)
+            states = _forward(layers, x[mine])
+            g, t = _gradient(layers, states, _log_p(states[-1]), y[mine]) / len(mine), t + 1
+            first = first + 0.1 * (g - first)
+            second = second + 0.001 * (g * g - second)
+            flat = flat - rate * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()]) for a in (flat, first, second)], ["w", "m", "v"])
+
+    rows = train.filter(F.col("batch_id").isin(order)).select("x", "y", "batch_id")
+    made = rows.coalesce(1).mapInArrow(work, "w binary, m binary, v binary").collect()[0]
+    return [np.frombuffer(b) for b in made]
+
+
 def _sums(rows: DataFrame, layers, learn: bool) -> np.ndarray:
     """Added over ``rows`` (x, y): number of rows, loss, then the gradient of
     every weight (``learn``) or the counts of (label, prediction)."""
@@ -52,28 +119,14 @@ def _sums(rows: DataFrame, layers, learn: bool) -> np.ndarray:
             if not n:
                 continue
             y = batch.column(1).to_numpy()
-            states = [batch.column(0).flatten().to_numpy().reshape(n, d)]
-            for i, (w, b) in enumerate(layers):
-                z = states[-1] @ w + b
-                states.append(np.maximum(z, 0) if i + 1 < len(layers) else z)
-            z = states[-1]
-            log_p = z - z.max(1, keepdims=True)
-            log_p -= np.log(np.exp(log_p).sum(1, keepdims=True))
+            states = _forward(layers, batch.column(0).flatten().to_numpy().reshape(n, d))
+            log_p = _log_p(states[-1])
             total[0] += n
             total[1] -= log_p[np.arange(n), y].sum()
-            if not learn:
-                np.add.at(total, 2 + y * k + z.argmax(1), 1)
-                continue
-            g = np.exp(log_p)
-            g[np.arange(n), y] -= 1
-            end = size
-            for i in range(len(layers) - 1, -1, -1):
-                w, b = layers[i]
-                total[end - b.size:end] += g.sum(0)
-                total[end - b.size - w.size:end - b.size] += (states[i].T @ g).ravel()
-                end -= b.size + w.size
-                if i:
-                    g = (g @ w.T) * (states[i] > 0)
+            if learn:
+                total[2:] += _gradient(layers, states, log_p, y)
+            else:
+                np.add.at(total, 2 + y * k + states[-1].argmax(1), 1)
         yield pa.RecordBatch.from_arrays([pa.array([total])], ["s"])
 
     parts = rows.select("x", "y").mapInArrow(work, "s array<double>")
@@ -119,27 +172,19 @@ def fit_baseline(df: DataFrame, vec: str = "vec", label: str = "int_label", id_c
     k = n_classes or max(of[1], -1 if top is None else top) + 1
     measured = train if top is None else held
 
-    net = Network(_start([of[2], *hidden, k], seed))
+    widths = [of[2], *hidden, k]
+    net = Network(_start(widths, seed))
     layers, best, waited = net.layers, None, 0
     flat = np.concatenate([a.ravel() for pair in layers for a in pair])
-    first, second, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    order = np.random.default_rng(seed)
-
-    def shaped(values):
-        out, at = [], 0
-        for w, b in net.layers:
-            out.append((values[at:at + w.size].reshape(w.shape), values[at + w.size:at + w.size + b.size]))
-            at += w.size + b.size
-        return out
+    state, step = [flat, np.zeros_like(flat), np.zeros_like(flat)], 0
+    order, per_job = np.random.default_rng(seed), max(JOB_ROWS // size, 1)
 
     for epoch in range(max_epochs):
-        for batch in order.permutation(of[0] + 1):
-            s = _sums(train.filter(F.col("batch_id") == int(batch)), layers, True)
-            g, step = s[2:] / s[0], step + 1
-            first += 0.1 * (g - first)
-            second += 0.001 * (g * g - second)
-            flat = flat - rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
-            layers = shaped(flat)
+        batches = order.permutation(of[0] + 1).tolist()
+        for at in range(0, len(batches), per_job):
+            state = _learn(train, batches[at:at + per_job], widths, state, step, rate)
+            step += len(batches[at:at + per_job])
+        layers = _shaped(state[0], widths)
         s = _sums(measured, layers, False)
         value = macro_f1(s[2:].reshape(k, k)) if monitor == "macro_f1" else -s[1] / s[0]
         net.history.append(value if monitor == "macro_f1" else -value)
