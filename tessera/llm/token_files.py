@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.base import free_worker, id_text, per_process
-from tessera.session import scratch_path
+from tessera.session import bound_batches, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,6 +32,8 @@ MAX_WORDS = 250_000
 MAX_WORD_BYTES = 256
 #: Texts that are encoded together, so that their words are looked up once.
 TEXTS_AT_ONCE = 2000
+#: Texts that are split, and put together from their words, at a time.
+TEXTS_SPLIT = 500
 #: Marks that end many words and, after a letter, are a piece of their own.
 MARKS = frozenset(".,;:!?")
 #: Stands before the first word of a text, which has no space.
@@ -62,17 +64,21 @@ class WordEncoder:
     together with other words, and its ids, which begin at the token that
     holds the space, are kept; texts with other spacing are given to it
     whole.  A mark after letters is a piece of its own, so such a word is
-    put together from its parts.  Arrow splits the texts, finds the
-    different words of a call and looks them up, so only new ones are read
-    by the library; the table keeps the first ``max_words`` words of at most
-    ``MAX_WORD_BYTES`` (frequent ones come early) and forgets the others
-    after each call.  The library's own threads stay off: Spark's tasks are
-    what runs at once."""
+    put together from its parts.  A word of ASCII letters is one piece and
+    is written in the vocabulary as it is, after ``SPACE``; such words are
+    given to the library in that form and split at white space alone.  Arrow
+    splits the texts, finds the different words of a call and looks them up,
+    so only new ones are read by the library; the table keeps the first
+    ``max_words`` words of at most ``MAX_WORD_BYTES`` (frequent ones come
+    early) and forgets the others after each call.  The library's own threads
+    stay off: Spark's tasks are what runs at once."""
 
     def __init__(self, tokenizer_json: str, max_words: int = MAX_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.by_word = Tokenizer(self.tokenizer.model)  # one model, two ways to split
+        self.by_word.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,27 +91,48 @@ class WordEncoder:
         self.used = 0
         self.marks = {m: self._encode([m])[0][0] for m in MARKS}  # a byte is one id
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: pa.Array) -> pa.Array:
-        """Makes the ids of words that the table does not have; returns all
-        words by number, those of this call behind the others."""
-        stem = pc.utf8_slice_codeunits(new, 0, -1)
-        is_marked = pc.and_(pc.is_in(pc.utf8_slice_codeunits(new, -1), value_set=pa.array(sorted(MARKS))), pc.utf8_is_alpha(stem))
-        marked, stem = new.filter(is_marked), stem.filter(is_marked)
-        words = pa.concat_arrays([self.words, new])
-        more = stem.filter(pc.invert(pc.is_in(stem, value_set=words))).unique()
-        words = pa.concat_arrays([words, more])
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of different words (0 for one over ``MAX_WORD_BYTES``) and
+        the words that the table did not have, in the order of their numbers.
+        The table and the words that it lacks are hashed once each."""
+        stem = pc.utf8_slice_codeunits(words, 0, -1)
+        is_marked = pc.and_(pc.is_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(sorted(MARKS))), pc.utf8_is_alpha(stem))
+        is_marked = is_marked.to_numpy(zero_copy_only=False)
+        stem = stem.filter(pa.array(is_marked))
+        at = pc.fill_null(pc.index_in(pa.concat_arrays([words, stem]), value_set=self.words), -1).to_numpy().astype(np.int64)
+        number, base = at[:len(words)], at[len(words):]
+        number[pc.greater(pc.binary_length(words), MAX_WORD_BYTES).to_numpy(zero_copy_only=False)] = 0
+        is_new = number < 0
+        new, marked = words.filter(pa.array(is_new)), is_marked & is_new
+        wanted = is_new[is_marked]
+        base, stem = base[wanted], stem.filter(pa.array(wanted))
+        missing = base < 0
+        more = pa.concat_arrays([new, stem.filter(pa.array(missing))]).dictionary_encode()  # the new words come first
+        base[missing] = len(self.words) + more.indices.to_numpy()[len(new):]
+        number[is_new] = len(self.words) + np.arange(len(new))
+        self._learn(more.dictionary, marked[is_new], base)
+        return number, more.dictionary
+
+    def _learn(self, fresh: pa.Array, is_marked: np.ndarray, base: np.ndarray) -> None:
+        """Makes the ids of words that the table does not have, numbered on
+        from it.  Among the first of them, ``is_marked`` are those that end
+        with a mark after letters, and ``base`` the numbers of the letters."""
         begin = len(self.words)
-        while len(words) > len(self.first):
+        marked = fresh.slice(0, len(is_marked)).filter(pa.array(is_marked))
+        while begin + len(fresh) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.first, self.size))
-        self.size[begin:len(words)] = -1
-        fresh = words.slice(begin)
+        self.size[begin:begin + len(fresh)] = -1
         letters = pc.utf8_is_alpha(fresh)
         plain = letters.to_numpy(zero_copy_only=False).copy()
+        is_ascii = pc.and_(letters, pc.string_is_ascii(fresh)).to_numpy(zero_copy_only=False) & (self.tokenizer.normalizer is None)
         alone = []
-        others = np.flatnonzero(~(plain | np.append(is_marked.to_numpy(zero_copy_only=False), np.zeros(len(more), bool))))
+        others = ~(plain | np.append(is_marked, np.zeros(len(fresh) - len(is_marked), bool)))
+        sure = pc.match_substring_regex(fresh, r"(?s)\A[!-~](.*[!-~])?\z").to_numpy(zero_copy_only=False)
+        plain |= others & sure
+        others = np.flatnonzero(others & ~sure)
         for k, w in zip(others.tolist(), fresh.take(pa.array(others)).to_pylist()):
             if w[0] == FIRST:
                 if w != FIRST and not w[1].isspace() and not w[-1].isspace():
@@ -113,21 +140,9 @@ class WordEncoder:
             elif not w[0].isspace() and not w[-1].isspace():
                 plain[k] = True
         self._learn_alone(begin, fresh, np.array(alone, np.int64))
-        plain = np.flatnonzero(plain)
-        for at in range(0, len(plain), 20_000):  # the library's results are large
-            some = plain[at:at + 20_000]
-            cuts = np.append(np.arange(0, len(some), 200), len(some))
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), fresh.take(pa.array(some)))
-            texts = pc.binary_join_element_wise("", pc.binary_join(lists, " "), " ").to_pylist()
-            for a, z, ids in zip(cuts[:-1], cuts[1:], self._encode(texts)):
-                ids = np.array(ids, np.int32)
-                begins = np.flatnonzero(self.spaced[ids])
-                if len(begins) == z - a:
-                    self._store(begin + some[a:z], np.diff(begins, append=len(ids)), ids)
-                else:
-                    self._learn_alone(begin, fresh, some[a:z])
+        self._learn_together(begin, fresh, np.flatnonzero(is_ascii), self.by_word, SPACE)
+        self._learn_together(begin, fresh, np.flatnonzero(plain & ~is_ascii), self.tokenizer, "")
         if len(marked):
-            base = pc.index_in(stem, value_set=words).to_numpy()
             size = self.size[base] + 1
             ends = np.cumsum(size)
             flat = np.empty(ends[-1], np.int32)
@@ -138,8 +153,28 @@ class WordEncoder:
             ends_with = pc.utf8_slice_codeunits(marked, -1).dictionary_encode()
             mark = np.array([self.marks[m] for m in ends_with.dictionary.to_pylist()], np.int32)
             flat[ends - 1] = mark[ends_with.indices.to_numpy()]
-            self._store(begin + np.flatnonzero(is_marked.to_numpy(zero_copy_only=False)), size, flat)
-        return words
+            self._store(begin + np.flatnonzero(is_marked), size, flat)
+
+    def _learn_together(self, begin: int, words: pa.Array, some: np.ndarray, tokenizer, space: str) -> None:
+        """Makes the ids of some words by giving 200 at a time to the library,
+        with a space and ``space`` between them and before the first."""
+        for at in range(0, len(some), 20_000):  # the library's results are large
+            part = some[at:at + 20_000]
+            cuts = np.append(np.arange(0, len(part), 200), len(part))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(part)))
+            found = self._encode(pc.binary_join_element_wise("", pc.binary_join(lists, " " + space), " " + space).to_pylist(), tokenizer)
+            stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+            ids = np.fromiter(chain.from_iterable(found), np.int32, int(stops[-1]))
+            begins = np.flatnonzero(self.spaced[ids])
+            if np.array_equal(np.searchsorted(begins, stops), cuts[1:]):
+                self._store(begin + part, np.diff(begins, append=len(ids)), ids)
+                continue
+            for a, z, of in zip(cuts[:-1], cuts[1:], np.split(ids, stops[:-1])):
+                begins = np.flatnonzero(self.spaced[of])
+                if len(begins) == z - a:
+                    self._store(begin + part[a:z], np.diff(begins, append=len(of)), of)
+                else:
+                    self._learn_alone(begin, words, part[a:z])
 
     def _learn_alone(self, begin: int, words: pa.Array, some: np.ndarray) -> None:
         """Makes the ids of some words by giving each to the library by itself."""
@@ -167,33 +202,34 @@ class WordEncoder:
         whole = pc.match_substring(texts, FIRST)
         for token in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, token))
-        words = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.if_else(whole, "", texts), ""), " ")
-        n_words = np.diff(words.offsets.to_numpy())
-        different = words.flatten().dictionary_encode()
-        number = pc.index_in(different.dictionary, value_set=self.words)
-        number = pc.if_else(pc.greater(pc.binary_length(different.dictionary), MAX_WORD_BYTES), 0, number)
-        new = different.dictionary.filter(pc.is_null(number))
-        numbers = pc.fill_null(number, 0).to_numpy().astype(np.int64)
-        numbers[pc.is_null(number).to_numpy(zero_copy_only=False)] = kept + np.arange(len(new))
-        at = numbers[different.indices.to_numpy()]
-        known = self._learn(new) if len(new) else self.words
-        size = self.size[at]
-        ends = np.cumsum(n_words)
-        odd = np.add.reduceat(size < 0, ends - n_words) > 0  # texts with something else between two spaces
-        rest = np.flatnonzero(odd)
-        for k, ids in zip(rest.tolist(), self._encode(texts.take(pa.array(rest)).to_pylist())):
-            out[k] = np.array(ids, np.int32)
-        size = np.maximum(size, 0)
-        stop = np.cumsum(size)
-        if len(stop) and stop[-1]:
+        pieces, n_words = [], []
+        for at in range(0, len(texts), TEXTS_SPLIT):
+            some = pc.if_else(whole.slice(at, TEXTS_SPLIT), "", texts.slice(at, TEXTS_SPLIT))
+            words = pc.split_pattern(pc.binary_join_element_wise(FIRST, some, ""), " ")
+            n_words.append(np.diff(words.offsets.to_numpy()))
+            pieces.append(words.flatten())
+        different = pa.chunked_array(pieces).dictionary_encode().unify_dictionaries()
+        del words, pieces
+        numbers, fresh = self._look_up(different.chunk(0).dictionary)
+        for part, (count, words) in enumerate(zip(n_words, different.chunks)):
+            at = numbers[words.indices.to_numpy()]
+            size = self.size[at]
+            ends = np.cumsum(count)
+            odd = np.add.reduceat(size < 0, ends - count) > 0  # texts with something else between two spaces
+            size = np.maximum(size, 0)
+            stop = np.cumsum(size)
             flat = self.ids[np.arange(stop[-1]) + np.repeat(self.first[at] - (stop - size), size)]
+            begin = part * TEXTS_SPLIT
             for k, ids in enumerate(np.split(flat, stop[ends[:-1] - 1])):
                 if not odd[k]:
-                    out[k] = ids
+                    out[begin + k] = ids
+            rest = np.flatnonzero(odd)
+            for k, ids in zip(rest.tolist(), self._encode(texts.take(pa.array(begin + rest)).to_pylist())):
+                out[begin + k] = np.array(ids, np.int32)
         if kept >= self.max_words:  # full: what this call added goes
             self.used = used
         else:
-            self.words = known.slice(0, self.max_words)
+            self.words = pa.concat_arrays([self.words, fresh]).slice(0, self.max_words)
         return out
 
 
@@ -265,6 +301,7 @@ def token_files(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID, path
     and returned as often as they occur; other columns are ignored; an empty
     table gives no rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or scratch_path(spark, "token-files")
     write_tokens(docs, tokenizer_json, path, end_id)
     return token_index(spark, path)
