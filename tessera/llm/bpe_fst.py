@@ -32,6 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from tessera.llm.base import id_text, per_process
+from tessera.session import bound_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -61,7 +62,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
@@ -81,7 +82,7 @@ class Merges:
     def stable(self, before: int, token: int) -> bool:
         """Do the two tokens, side by side, encode to themselves?  With
         ``before`` = -1: does the token alone?"""
-        key = (before, token)
+        key = (before + 1 << 32) + token
         if key not in self._pairs:
             if len(self._pairs) > 500_000:
                 self._pairs.clear()
@@ -108,14 +109,17 @@ class Merges:
 
 
 class State(dict):
-    """Maps a byte to (next state, token that ends there); fills itself."""
+    """Maps a byte to (next state, token that ends there); fills itself.
 
-    __slots__ = ("machine", "tail", "live")
+    ``key`` is one tuple, as a worker holds very many: the bytes since the
+    earliest open boundary (the tail), then for each open boundary its place
+    in the tail and the last token before it."""
 
-    def __init__(self, machine, tail: bytes, live: tuple):
+    __slots__ = ("machine", "key")
+
+    def __init__(self, machine, key: tuple):
         self.machine = machine
-        self.tail = tail  # bytes since the earliest open boundary
-        self.live = live  # open boundaries: (place in tail, last token before it)
+        self.key = key
 
     def __missing__(self, byte: int):
         step = self[byte] = self.machine.advance(self, byte)
@@ -134,27 +138,30 @@ class Encoder:
 
     def reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = State(self, b"", ((0, -1),))
+        self.start = State(self, (b"", 0, -1))
 
     def advance(self, state: State, byte: int):
-        tail, ranks, stable, open_ = state.tail + bytes((byte,)), self.ranks, self.merges.stable, self.open
-        end, live = None, []
-        for at, last in state.live:
+        before, ranks, stable, open_ = state.key, self.ranks, self.merges.stable, self.open
+        tail, end, live = before[0] + bytes((byte,)), None, []
+        for k in range(1, len(before), 2):
+            at, last = before[k], before[k + 1]
             part = tail[at:]
             if end is None:  # exactly one token of the right kind ends here
                 token = ranks.get(part)
                 if token is not None and stable(last, token):
                     end = token
             if part in open_:
-                live.append((at, last))
+                live += (at, last)
         if end is None:
             raise ValueError(f"no token of the rank table ends at {tail!r}")
-        live.append((len(tail), end))
-        first = live[0][0]
-        key = (tail[first:], *[x[1] for x in live])
+        live += (len(tail), end)
+        first = live[0]
+        if first:
+            live[::2] = [at - first for at in live[::2]]
+        key = (tail[first:], *live)
         nxt = self.states.get(key)
         if nxt is None:
-            nxt = self.states[key] = State(self, tail[first:], tuple([(at - first, last) for at, last in live]))
+            nxt = self.states[key] = State(self, key)
         return nxt, end
 
     def encode(self, piece: bytes) -> list[int]:
@@ -188,7 +195,7 @@ class Encoder:
         """Emits the tokens up to the boundary where the chains of all open
         boundaries meet: what comes later cannot change them."""
         n = len(ends)
-        chains = {n - len(state.tail) + at for at, _ in state.live}
+        chains = {n - len(state.key[0]) + at for at in state.key[1::2]}
         while len(chains) > 1:
             top = max(chains)
             chains.remove(top)
@@ -311,6 +318,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
     kept as they are; other columns are ignored.  Rows are handled one by
     one without a shuffle, so long texts cost their own length only."""
     schema = DIGEST_SCHEMA + (", token_ids array<int>" if with_ids else "")
+    bound_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, decoder, names = per_process(

@@ -1,4 +1,5 @@
-"""Round 3: what the word table of operator 5 costs a call."""
+"""Round 3: what the word table of operator 5 costs a call, and how many
+whole texts the operators of the pipeline are handed at once."""
 
 from __future__ import annotations
 
@@ -8,7 +9,10 @@ import public_tokenizers
 import pyarrow.compute as pc
 import pytest
 
-from tessera.llm import token_files
+from tessera.llm import base, bpe_fst, token_files
+from tessera.session import TEXTS_PER_BATCH, bound_batches
+
+ROWS_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def tokenizer_json() -> str:
@@ -67,3 +71,32 @@ def test_words_of_ascii_letters_are_split_at_white_space_alone(monkeypatch):
     monkeypatch.setattr(encoder, "_encode", lambda texts, *other: (given.append((texts, *other)), encode(texts, *other))[1])
     encoder(["first someword another someword. naïve"])
     assert [texts for texts, *other in given if other == [encoder.by_word]] == [[" Ġsomeword Ġanother"]]
+
+
+def test_whole_texts_come_in_bounded_batches(spark):
+    before = spark.conf.get(ROWS_BATCH)
+    docs = spark.range(5 * TEXTS_PER_BATCH, numPartitions=1).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    try:
+        spark.conf.set(ROWS_BATCH, "10000")
+
+        def mask():
+            def keep(texts: list) -> list[bool]:
+                if len(texts) > 2000:
+                    raise ValueError(f"{len(texts)} texts at once")
+                return [True] * len(texts)
+            return keep
+
+        assert base.keep_rows(docs, mask).count() == 5 * TEXTS_PER_BATCH
+        for build in (lambda: bpe_fst.encode_documents(docs.limit(1), {bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN),
+                      lambda: token_files.token_files(docs.limit(1), tokenizer_json())):
+            spark.conf.set(ROWS_BATCH, "10000")
+            build()
+            assert spark.conf.get(ROWS_BATCH) == str(TEXTS_PER_BATCH)
+        spark.conf.set(ROWS_BATCH, "70")
+        bound_batches(spark)
+        assert spark.conf.get(ROWS_BATCH) == "70"
+        spark.conf.set(ROWS_BATCH, "0")  # no bound at all
+        bound_batches(spark)
+        assert spark.conf.get(ROWS_BATCH) == str(TEXTS_PER_BATCH)
+    finally:
+        spark.conf.set(ROWS_BATCH, before)
