@@ -31,9 +31,10 @@ RANK_DIGITS = 12
 
 
 class SpaceIndex:
-    """Rows in row order, cut into clusters round pivots."""
+    """Rows in row order, cut into clusters round pivots.  ``norm``: other
+    norms than the rows' own lengths."""
 
-    def __init__(self, names, orders, row, component, value):
+    def __init__(self, names, orders, row, component, value, norm=None):
         self.names, self.orders = np.asarray(names, object), np.asarray(orders, np.int64)
         n = len(self.names)
         row, value = np.asarray(row, np.int64), np.asarray(value, float)
@@ -41,21 +42,25 @@ class SpaceIndex:
         by_row = np.argsort(row, kind="stable")
         self.column, self.value = column[by_row], value[by_row]
         self.start = np.searchsorted(row[by_row], np.arange(n + 1))
-        self.norm = np.sqrt(np.bincount(row, value * value, n)) if n else np.zeros(0)
+        length = np.sqrt(np.bincount(row, value * value, n)) if n else np.zeros(0)
+        self.norm = length if norm is None else np.asarray(norm, float)
+        stretch = np.ones(n) if norm is None else length / np.maximum(self.norm, NORM_EPS)
         self.looked_at = 0  # rows compared with queries (what was not skipped)
-        seen = np.flatnonzero(self.norm > TINY)
+        seen = np.flatnonzero((length > TINY) & (self.norm > TINY))
         pivots = seen[np.unique(np.linspace(0, len(seen) - 1, min(MAX_PIVOTS, int(np.ceil(np.sqrt(len(seen))))), dtype=int))] if len(seen) else seen
         self.pivots = self._block(pivots)
         nearest, angle = np.zeros(len(seen), int), np.zeros(len(seen))
         step = self._at_once(self.pivots)
         for a in range(0, len(seen), step):
             some = seen[a:a + step]
-            cosines = self._dots(self._dense_rows(some), self.pivots) / np.outer(self.norm[some], self.norm[pivots])
+            cosines = self._dots(self._dense_rows(some), self.pivots) / np.outer(length[some], length[pivots])
             nearest[a:a + step] = cosines.argmax(1)
             angle[a:a + step] = np.arccos(np.clip(cosines.max(1), -1, 1))
         self.clusters = [self._block(seen[nearest == k]) for k in range(len(pivots))]
         self.radius = np.array([angle[nearest == k].max(initial=0) for k in range(len(pivots))])
-        rest = np.flatnonzero(self.norm <= TINY)
+        self.pivot_stretch = stretch[pivots]
+        self.stretch = np.array([[stretch[c[0]].min(initial=1), stretch[c[0]].max(initial=1)] for c in self.clusters]).reshape(-1, 2).T
+        rest = np.flatnonzero((length <= TINY) | (self.norm <= TINY))
         self.rest = self._block(rest)
 
     def _block(self, rows: np.ndarray):
@@ -108,9 +113,10 @@ class SpaceIndex:
                 dense[r[there], at[there]] = v[there]
             yield a, dense, norms
 
-    def best(self, offsets, column, value, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, offsets, column, value, last: bool = False, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Row and cosine of the nearest row of every query; of equal ones
-        the first in row order, or the last."""
+        the first in row order, or the last.  ``known``: cosines that rows
+        elsewhere reach; row -1 if no row here can come up to that."""
         n = len(offsets) - 1
         found, sims = np.full(n, -1, np.int64), np.full(n, -np.inf)
         for a, dense, norms in self.batches(offsets, column, value):
@@ -118,8 +124,11 @@ class SpaceIndex:
             key, row, sim = np.full(m, -np.inf), np.full(m, -1, np.int64), np.zeros(m)
 
             def look(block, which):
-                if not len(which) or not len(block[0]):
-                    return
+                step = max(1, CELLS // max(len(block[0]), 1))
+                for z in range(0, len(which) if len(block[0]) else 0, step):
+                    look_at(block, which[z:z + step])
+
+            def look_at(block, which):
                 c = self._cosines(dense[which], norms[which], block)
                 k = np.round(c, RANK_DIGITS)
                 at = (k.shape[1] - 1 - k[:, ::-1].argmax(1)) if last else k.argmax(1)
@@ -133,9 +142,13 @@ class SpaceIndex:
             every = np.arange(m)
             if len(self.pivots[0]):
                 to_pivot = self._cosines(dense, norms, self.pivots)
-                bound = np.cos(np.clip(np.arccos(np.clip(to_pivot, -1, 1)) - self.radius - ANGLE_SLACK, 0, np.pi)) + 1e-11
-                bound[norms <= TINY] = 1
+                bound = np.cos(np.clip(np.arccos(np.clip(to_pivot / self.pivot_stretch, -1, 1)) - self.radius - ANGLE_SLACK, 0, np.pi))
+                least, most = self.stretch
+                bound = np.where(bound > 0, bound * most, bound * least) + 1e-11 * np.maximum(1, most)
+                bound[norms <= TINY] = most
                 floor = to_pivot.max(1)
+                if known is not None:
+                    floor = np.maximum(floor, known[a:a + m])
                 for k in np.argsort(-bound.mean(0)):
                     look(self.clusters[k], every[bound[:, k] >= np.maximum(floor, key)])
             look(self.rest, every)

@@ -4,7 +4,9 @@ Projections are ``array<double>`` or ``map<bigint,double>`` columns; the
 space stays sparse, so its width does not matter.  A space of checked size
 is searched by the pruned index of ``tessera.functions.nearest``, which every
 task holds: projections stay where they are.  A larger one is an inverted
-index that projections meet component by component.
+index that projections meet component by component; where that would make
+too many pairs, the nearest row is sought in blocks of the space
+(``tessera.functions.dealt``).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.dealt import add_nearest_dealt
 from tessera.functions.index import dense_index
 from tessera.functions.nearest import add_nearest, add_scores, space_index
 from tessera.functions.sparse_join import shared_dots
@@ -20,6 +23,9 @@ from tessera.operators.space import Space, to_dense
 
 #: Entries and rows of a space that a task holds as an index.
 MAX_INDEX_ENTRIES = 8_000_000
+#: Pairs of entries with a common component that an inverted index may make,
+#: for each entry of the projections and of the space.
+MAX_PAIRS_PER_ENTRY = 64
 # ranking key precision: engines differ in the last bits of a dot product
 RANK_DIGITS = 12
 LOG_CLAMP = -100.0
@@ -56,6 +62,15 @@ def _vector_entries(queries: DataFrame, id_cols: list[str], vec: str) -> DataFra
                        F.col("va").cast("double").alias("va")).filter(F.col("va") != 0)
 
 
+def _meets_few(queries: DataFrame, id_cols: list[str], vec: str, space: Space) -> bool:
+    """Whether an inverted index makes at most ``MAX_PAIRS_PER_ENTRY``."""
+    a = _vector_entries(queries, id_cols, vec).groupBy("component").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    b = space.entries.filter(F.col("value") != 0).groupBy("component").agg(F.count(F.lit(1)).cast("double").alias("b"))
+    n = a.join(b, "component", "full_outer").agg(
+        F.sum(F.col("a") * F.col("b")).alias("pairs"), F.sum(F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("entries")).first()
+    return (n["pairs"] or 0) <= MAX_PAIRS_PER_ENTRY * (n["entries"] or 0)
+
+
 def _joined_cosines(queries: DataFrame, id_cols: list[str], vec: str, space: Space, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(id columns, place, sim) of every query and row that share a
     component, by the inverted index; and the rows with their ``place`` (from
@@ -80,11 +95,15 @@ def _best_row(queries: DataFrame, id_cols: list[str], vec: str, space: Space, ti
 
     Up to ``max_entries`` rows and entries the space is an index in every
     task and the queries do not move.  Beyond, queries and rows meet on
-    shared components; rows that share none have cosine 0, of which the
-    first is the first place missing among those met."""
+    shared components if these are shared by few; rows that share none have
+    cosine 0, of which the first is the first place missing among those met.
+    Components that many share would make nearly all pairs; queries then go
+    to the blocks of the space that can hold their nearest row."""
     limit = MAX_INDEX_ENTRIES if max_entries is None else max_entries
     if _fits(space, limit):
         return add_nearest(queries, vec, space_index(space.long()), ties == "last")
+    if not _meets_few(queries, id_cols, vec, space):
+        return add_nearest_dealt(queries, vec, space.rows, space.entries, ties == "last")
     order = [F.col("row_order"), F.col("predicate")] if ties == "first" else [-F.col("row_order"), F.col("predicate")]
     met, placed = _joined_cosines(queries, id_cols, vec, space, order)
     n_rows = placed.count()
